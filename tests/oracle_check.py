@@ -1,0 +1,81 @@
+"""Runs queries beside their SQL in DuckDB and tells how the rows differ."""
+
+from __future__ import annotations
+
+import sys
+import time
+from collections import Counter
+from decimal import Decimal
+
+import duckdb
+from pyspark.sql import SparkSession
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents "
+    "embeddings pages benchmark labels conversations"
+).split()
+
+
+def _value(v):
+    if isinstance(v, Decimal):
+        v = float(v)
+    if isinstance(v, float):
+        return round(v, 9)
+    return v
+
+
+def _rows(columns, rows) -> Counter:
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return Counter(tuple(_value(r[i]) for i in order) for r in rows)
+
+
+def differences(spark: SparkSession, folder: str, query, sql: str) -> list[str]:
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for table in TABLES:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    result = con.execute(sql)
+    sql_columns = [d[0] for d in result.description]
+    wanted = _rows(sql_columns, result.fetchall())
+    df = query(spark, folder)
+    told = []
+    if sorted(df.columns) != sorted(sql_columns):
+        told.append(f"columns {sorted(df.columns)} against {sorted(sql_columns)}")
+        return told
+    got = _rows(df.columns, df.collect())
+    if not wanted:
+        told.append("the SQL gives no rows")
+    missing, extra = wanted - got, got - wanted
+    if missing or extra:
+        told.append(
+            f"{sum(got.values())} rows against {sum(wanted.values())}; "
+            f"missing {list(missing)[:2]}, extra {list(extra)[:2]}"
+        )
+    spark_types = {c: t for c, t in df.dtypes}
+    duck_types = {d[0]: str(d[1]) for d in result.description}
+    same_type = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN",
+                 "timestamp_ntz": "TIMESTAMP"}
+    odd = {c: (t, duck_types[c]) for c, t in spark_types.items() if same_type.get(t) != duck_types[c]}
+    if odd:
+        print("   types:", odd)
+    return told
+
+
+if __name__ == "__main__":
+    sys.path.insert(0, ".")
+    import __spark_entry__ as entry
+    from fleetcatalog.session import local_session
+
+    spark = local_session("8", **{"spark.sql.shuffle.partitions": "8"})
+    spark.sparkContext.setLogLevel("ERROR")
+    queries, oracle = entry.queries(), entry.oracle_sql()
+    for name in sys.argv[2:] or queries:
+        if name not in oracle:
+            print(f"{name:24s} no SQL, {queries[name](spark, sys.argv[1]).count()} rows")
+            continue
+        start = time.time()
+        try:
+            told = differences(spark, sys.argv[1], queries[name], oracle[name])
+        except Exception as error:  # shown, and the next one is run
+            told = [f"{type(error).__name__}: {str(error)[:600]}"]
+        print(f"{name:24s} {time.time() - start:6.2f}s", "ok" if not told else told)
