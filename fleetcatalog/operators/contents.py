@@ -19,22 +19,22 @@ def digest(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
-def content_catalog(df: DataFrame, id_col: str, content: str, name: str) -> DataFrame:
-    """One row per distinct content: its digest, number of copies, lowest id and artifact name.
+def content_names(df: DataFrame, id_col: str, content: str, name: str) -> DataFrame:
+    """``(id, digest, artifact)`` of each row: its digest, and its name with the digest put in."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(name).alias("name"), digest(F.col(content)).alias("digest"))
+    return rows.select("id", "digest", artifact_name(F.col("name"), F.col("digest")).alias("artifact"))
+
+
+def content_catalog(df: DataFrame, id_col: str, content: str) -> DataFrame:
+    """One row per distinct content: its digest, number of copies and lowest id.
 
     Only digests and ids are shuffled, and copies are counted before the shuffle, so a
-    content with very many copies costs no more than any other. The artifact is named after
-    the first of its names in text order.
+    content with very many copies costs no more than any other.
     """
     return (
-        df.select(F.col(id_col).alias("id"), F.col(name).alias("name"), digest(F.col(content)).alias("digest"))
+        df.select(F.col(id_col).alias("id"), digest(F.col(content)).alias("digest"))
         .groupBy("digest")
-        .agg(
-            F.count(F.lit(1)).alias("copies"),
-            F.min("id").alias("first_id"),
-            F.min("name").alias("name"),
-        )
-        .select("digest", "copies", "first_id", artifact_name(F.col("name"), F.col("digest")).alias("artifact"))
+        .agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id"))
     )
 
 
@@ -54,27 +54,23 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def file_digests(files: DataFrame, tasks: int | None = None) -> DataFrame:
-    """``(path, rel_path, length)`` rows plus the hex SHA-256 of each file.
+    """``(path, rel_path, length)`` rows plus the hex SHA-256 and the artifact name of each file.
 
     Files are read in blocks inside the tasks, so a file may be of any size; only its path
-    enters the task and only its digest leaves it.
+    enters the task and only its digest leaves it. The number of tasks is fixed, as the few
+    bytes of a path say nothing about the work behind it.
     """
-    listed = files.select("path", "rel_path", "length")
-    spread = listed.repartition(tasks, "path") if tasks else listed.repartition("path")
-    return spread.mapInPandas(_digests, "path string, rel_path string, length long, digest string")
+    tasks = tasks or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = files.select("path", "rel_path", "length").repartition(tasks, "path")
+    digests = spread.mapInPandas(_digests, "path string, rel_path string, length long, digest string")
+    base = F.regexp_extract("rel_path", r"([^/]*)\z", 1)
+    return digests.withColumn("artifact", artifact_name(base, F.col("digest")))
 
 
 def file_catalog(digests: DataFrame) -> DataFrame:
-    """One row per distinct file content, with copies, first path and artifact name."""
-    base = F.regexp_extract("rel_path", r"([^/]*)\z", 1)
-    return (
-        digests.groupBy("digest")
-        .agg(
-            F.count(F.lit(1)).alias("copies"),
-            F.min("rel_path").alias("first_path"),
-            F.min(base).alias("name"),
-        )
-        .select("digest", "copies", "first_path", artifact_name(F.col("name"), F.col("digest")).alias("artifact"))
+    """One row per distinct file content, with copies and first path."""
+    return digests.groupBy("digest").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("rel_path").alias("first_path")
     )
 
 

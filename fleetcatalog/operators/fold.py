@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import is_pair, pair_key, pair_value
-from .spread import CHUNK, HOT_ROWS, running_total
+from .spread import CHUNK, HOT_ROWS, durable, running_total
 
 LAST, ADD, PUT, SET = "last", "add", "put", "set"
 APPEND, APPEND_WORDS, APPEND_SETS = "append", "append_words", "append_sets"
@@ -42,6 +42,10 @@ def _rule(fields: Mapping[str, str], field: Column) -> Column:
     return rule
 
 
+def _order(seq: Sequence[str]) -> Column:
+    return F.col(seq[0]) if len(seq) == 1 else F.struct(*seq)
+
+
 def pair_errors(args: DataFrame, fields: Mapping[str, str]) -> DataFrame:
     """Arguments for a map field that do not read as ``key=value``; the fold leaves them out."""
     return args.filter((_rule(fields, F.col("field")) == PUT) & ~is_pair(F.col("value")))
@@ -75,7 +79,7 @@ def fold_settings(
     reduced = (
         ruled.filter(~F.col("rule").isin(*APPENDING))
         .filter((F.col("rule") != PUT) | is_pair(F.col("value")))
-        .select(entity, "field", "rule", key.alias("key"), value.alias("value"), F.struct(*seq).alias("_seq"))
+        .select(entity, "field", "rule", key.alias("key"), value.alias("value"), _order(seq).alias("_seq"))
         .groupBy(entity, "field", "rule", "key")
         .agg(F.max_by("value", "_seq").alias("value"))
         .select(entity, "field", "rule", F.lit(None).cast("long").alias("pos"), "key", "value")
@@ -101,13 +105,15 @@ def fold_records(
 
     Part 0 holds the single values. Lists stay in order, sets and maps are sorted; a field never
     given is null, false or empty by its rule. The parts of an entity in order make the record.
+    The folded rows are written down, as they are read more than once.
     """
+    folded = durable(folded)
     members = F.col("rule").isin(ADD, PUT)
     placed = running_total(
         folded.filter(members).drop("pos"), [entity, "field"], ["key"], "pos", hot_rows=hot_rows
     )
     all_rows = folded.filter(~members).unionByName(placed.select(*folded.columns))
-    part = F.coalesce(F.floor((F.col("pos") - 1) / chunk), F.lit(0)).cast("int")
+    part = F.coalesce(F.call_function("div", F.col("pos") - 1, F.lit(chunk)), F.lit(0)).cast("int")
 
     def of(name: str) -> Column:
         return F.col("field") == name

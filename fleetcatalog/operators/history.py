@@ -28,11 +28,12 @@ def compat_history(
 def event_tail(df: DataFrame, key: str, ts: str, event_id: str, n: int, salts: int = SALTS) -> DataFrame:
     """The last ``n`` events of each key, ties by id, with ``rank`` 1 for the last.
 
-    Ranked within salted parts of each key first, so that a key of any size leaves at most
-    ``salts`` x ``n`` rows for the second ranking. Both limits reach below their shuffle.
+    Each input partition keeps the last ``n`` of each key. These are ranked in groups of input
+    partitions first, so that a key of any size leaves at most ``salts`` x ``n`` rows for the
+    second ranking. How the partitions are grouped does not matter to the result.
     """
     order = [F.col(ts).desc(), F.col(event_id).desc()]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(event_id), F.lit(salts)))
+    salted = df.withColumn("_salt", F.spark_partition_id() % salts)
     within = Window.partitionBy(key, "_salt").orderBy(*order)
     some = salted.withColumn("rank", F.row_number().over(within)).filter(F.col("rank") <= n)
     overall = Window.partitionBy(key).orderBy(*order)

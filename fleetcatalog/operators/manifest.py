@@ -112,10 +112,16 @@ def manifest_emit(
     status check, if any checks are declared; a bundle with more endpoints has further parts with
     only those. A null field is left out of the JSON.
     """
-    document = endpoint_document(F.struct(*ENDPOINT_FIELDS))
-    entry = F.struct(F.col("label").alias("key"), document.alias("value"))
-    described = endpoints.select("bundle", "label", entry.alias("_entry"))
-    lists = chunked_lists(described, ["bundle"], ["label"], F.col("_entry"), "_entries", chunk, hot_rows)
+    lists = chunked_lists(
+        endpoints,
+        ["bundle"],
+        ["label"],
+        F.struct("label", *ENDPOINT_FIELDS),
+        "_entries",
+        chunk,
+        hot_rows,
+        lambda e: F.struct(e["label"].alias("key"), endpoint_document(e).alias("value")),
+    )
     none = F.array().cast(lists.schema["_entries"].dataType)
     joined = (
         bundles.join(prefixed(lists, ["bundle"], "_e_"), F.col("name") == F.col("_e_bundle"), "left")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spread import prefixed
+from .spread import prefixed, same
 
 
 def _with_prefixes(df: DataFrame, text: str, lengths: Column, out: str) -> DataFrame:
@@ -70,22 +70,14 @@ def _rewritten(path: Column, matched: Column, rewrite: Column) -> Column:
     return F.when(rewrite.isNull(), path).otherwise(F.concat(rewrite, rest))
 
 
-def _back(requests: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    found = prefixed(found, ["path", "method"], "_f_")
-    on = F.col("path").eqNullSafe(F.col("_f_path")) & F.col("method").eqNullSafe(F.col("_f_method"))
-    return requests.join(found, on, how).drop("_f_path", "_f_method")
-
-
 def route_matches(requests: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every rule that matches each request: ``(request_id, path, method, rule_id)``.
+    """Every rule that matches each distinct request: ``(path, method, rule_id)``.
 
-    ``requests`` is ``(request_id, path, method)``, ``rules`` ``(rule_id, position, kind, value,
+    ``requests`` has ``path`` and ``method``, ``rules`` is ``(rule_id, position, kind, value,
     method, rewrite)``. Plain paths match as a whole, prefixes by character, regexes from the
-    start of the path. Equal requests are matched once.
+    start of the path. Equal requests are matched, and listed, once.
     """
-    distinct = requests.select("path", "method").distinct()
-    found = _pairs(distinct, rules).select("path", "method", "rule_id")
-    return _back(requests, found, "inner").select("request_id", "path", "method", "rule_id")
+    return _pairs(requests.select("path", "method").distinct(), rules).select("path", "method", "rule_id")
 
 
 def route_match(requests: DataFrame, rules: DataFrame) -> DataFrame:
@@ -106,7 +98,9 @@ def route_match(requests: DataFrame, rules: DataFrame) -> DataFrame:
         )
         .select("path", "method", "matches", "b.*")
     )
-    joined = _back(requests, best, "left")
+    best = prefixed(best, ["path", "method"], "_b_")
+    on = same([(F.col("path"), F.col("_b_path")), (F.col("method"), F.col("_b_method"))])
+    joined = requests.join(best, on, "left")
     matched = _matched(F.col("kind"), F.col("value"), F.col("path"))
     return joined.select(
         "request_id",
@@ -119,9 +113,19 @@ def route_match(requests: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def port_match(requests: DataFrame, rules: DataFrame) -> DataFrame:
-    """TCP and UDP requests ``(request_id, family, port)`` with the rules for their port."""
-    ports = rules.filter(F.col("kind") == "port").select("rule_id", "family", "port")
-    return requests.join(ports, ["family", "port"]).select("request_id", "family", "port", "rule_id")
+    """The rule for the port of each TCP or UDP request ``(request_id, family, port)``, and how many there are.
+
+    The rule is that with the lowest id. Rules are reduced to one row per port before the join,
+    so a port that very many of them name is one row.
+    """
+    by_port = (
+        rules.filter(F.col("kind") == "port")
+        .groupBy("family", "port")
+        .agg(F.min("rule_id").alias("rule_id"), F.count(F.lit(1)).alias("matches"))
+    )
+    return requests.join(by_port, ["family", "port"], "left").select(
+        "request_id", "family", "port", "rule_id", F.coalesce("matches", F.lit(0).cast("long")).alias("matches")
+    )
 
 
 def name_resolve(queries: DataFrame, names: DataFrame) -> DataFrame:

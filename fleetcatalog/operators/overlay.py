@@ -12,20 +12,19 @@ NON_QUALIFYING = ("checks",)
 
 
 def scope_chain(scopes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """``(target, scope, is_config, distance)``: each scope with itself and all it delegates to.
+    """``(start, scope, is_config, distance)``: each scope that others delegate to, with itself and all above it.
 
-    ``scopes`` is ``(scope, parent, is_config)``; a root has a null parent. Scopes that others
-    delegate to are few beside those that none does. Only the few are walked level by level;
-    then each scope is joined once with the walk of its parent.
+    ``scopes`` is ``(scope, parent, is_config)``; a root has a null parent. The scopes that others
+    delegate to are few beside those that none does, and only they are walked, one join per level.
     """
     used = scopes.select(F.col("parent").alias("_parent")).filter(F.col("_parent").isNotNull()).distinct()
     inner = durable(scopes.join(used, F.col("scope") == F.col("_parent"), "left_semi"))
     parents = inner.select(
         F.col("scope").alias("_scope"), F.col("parent").alias("_parent"), F.col("is_config").alias("_config")
     )
-    level = inner.select(F.col("scope").alias("start"), "scope", "is_config", F.lit(1).alias("distance"), "parent")
+    level = inner.select(F.col("scope").alias("start"), "scope", "is_config", F.lit(0).alias("distance"), "parent")
     walked = level
-    for distance in range(2, max_depth + 2):
+    for distance in range(1, max_depth + 1):
         level = (
             level.filter(F.col("parent").isNotNull())
             .join(parents, F.col("parent") == F.col("_scope"))
@@ -38,34 +37,41 @@ def scope_chain(scopes: DataFrame, max_depth: int = 64) -> DataFrame:
             )
         )
         if level.isEmpty():
-            break
+            return walked.drop("parent")
         walked = walked.unionByName(level)
-    else:
-        raise ValueError(f"scopes delegate more than {max_depth} levels deep, or in a circle")
-    own = scopes.select(F.col("scope").alias("target"), "scope", "is_config", F.lit(0).alias("distance"))
-    above = scopes.select(F.col("scope").alias("target"), F.col("parent").alias("start")).join(
-        walked.drop("parent"), "start"
-    )
-    return own.unionByName(above.drop("start"))
+    raise ValueError(f"scopes delegate more than {max_depth} levels deep, or in a circle")
 
 
-def resolve_settings(settings: DataFrame, chain: DataFrame) -> DataFrame:
+def resolve_settings(settings: DataFrame, scopes: DataFrame) -> DataFrame:
     """``(target, key, value, scope)``: the value from the nearest defining scope, and that scope.
 
     ``settings`` is ``(scope, key, value)``, each defined at most once. ``scope`` is null in the
-    result where the supplier is no configuration but the project itself. The choice is made by
-    an aggregate of constant size, partly before the shuffle.
+    result where the supplier is no configuration but the project itself.
+
+    What a scope that others delegate to resolves to is found first. Any other scope takes its
+    own settings, else what its parent resolved to, so it is joined with one row per key and not
+    with a chain. The choice is an aggregate of constant size, partly before the shuffle.
     """
-    defined = settings.select(F.col("scope").alias("_scope"), "key", "value")
-    near = F.min_by(
-        F.struct("value", F.when(F.col("is_config"), F.col("scope")).alias("scope")), F.col("distance")
+    chain = scope_chain(scopes)
+    supplier = F.when(F.col("is_config"), F.col("scope"))
+
+    def nearest(rows: DataFrame, at: str) -> DataFrame:
+        near = F.min_by(F.struct("value", "supplier"), F.col("distance"))
+        chosen = rows.groupBy(at, "key").agg(near.alias("s"))
+        return chosen.select(at, "key", "s.value", F.col("s.supplier").alias("scope"))
+
+    above = nearest(
+        chain.join(settings, "scope").select("start", "key", "value", supplier.alias("supplier"), "distance"), "start"
+    )
+    own = settings.join(scopes.select("scope", "is_config"), "scope").select(
+        F.col("scope").alias("target"), "key", "value", supplier.alias("supplier"), F.lit(0).alias("distance")
     )
-    return (
-        chain.join(defined, F.col("scope") == F.col("_scope"))
-        .groupBy("target", "key")
-        .agg(near.alias("s"))
-        .select("target", "key", "s.value", "s.scope")
+    inherited = (
+        scopes.select(F.col("scope").alias("target"), F.col("parent").alias("start"))
+        .join(above, "start")
+        .select("target", "key", "value", F.col("scope").alias("supplier"), F.lit(1).alias("distance"))
     )
+    return nearest(own.unionByName(inherited), "target")
 
 
 def overlay_delta(

@@ -50,15 +50,16 @@ def _positions(nodes: DataFrame, bundles: DataFrame, dims: Sequence[str], hot_ro
 def _placed(df: DataFrame, positions: DataFrame, dims: Sequence[str], of_node: int) -> DataFrame:
     for d in dims:
         at = positions.filter((F.col("dim") == d) & (F.col("of_node") == of_node)).select(
-            F.col("value").alias("_value"), F.col("at").cast("int").alias("at_" + d)
+            F.col("value").alias("_value"), F.col("at").alias("at_" + d)
         )
         df = df.join(at, F.col(d).cast("double") == F.col("_value")).drop("_value")
     return df
 
 
-def _cells(df: DataFrame, dims: Sequence[str], of: Column, at) -> DataFrame:
+def _each_cell(df: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """A row per combination of one cell in each dimension."""
     for d in dims:
-        df = df.withColumn("cell_" + d, F.explode(F.transform(of(F.col("at_" + d)), at(F.col("at_" + d)))))
+        df = df.withColumn("cell_" + d, F.explode("cells_" + d)).drop("cells_" + d)
     return df
 
 
@@ -76,52 +77,57 @@ def placement_candidates(
     values. Position r is above y exactly if at one bit r has 1, y has 0 and all higher bits are
     equal; so a node is counted in one cell per 1-bit and a bundle asks one cell per 0-bit, in
     each dimension. Cells are summed before they are joined, which makes both the join and the
-    sums ordinary ones by equal keys. Equal nodes, and equal bundles, are counted once; both are
-    written down, since they are read once per dimension.
+    sums ordinary ones by equal keys. Equal nodes, and equal bundles, are counted once; they and
+    the positions are written down, since they are read once per dimension.
     """
     clean = F.array_sort(F.array_distinct(F.coalesce(F.col(roles), F.array().cast("array<string>"))))
+    profile = [*dims, "_roles"]
     profiles = durable(
-        nodes.select(*dims, clean.alias("_roles")).groupBy(*dims, "_roles").agg(F.count(F.lit(1)).alias("_n"))
+        nodes.select(*dims, clean.alias("_roles")).groupBy(*profile).agg(F.count(F.lit(1)).alias("_n"))
     )
-    demands = durable(bundles.select(*dims, clean.alias("_roles")).distinct())
-    positions = _positions(profiles, demands, dims, hot_rows)
-    bits = positions.select(F.length(F.bin(F.max("at"))).cast("int")).scalar()
-
-    def set_bits(at: Column) -> Column:
-        return F.filter(F.sequence(F.lit(0), F.length(F.bin(at)) - 1), lambda b: F.getbit(at, b) == 1)
+    # The number stands for a demand until the end; it is written down with it and stays the same.
+    demands = durable(
+        bundles.select(*dims, clean.alias("_roles"))
+        .distinct()
+        .withColumn("_demand", F.monotonically_increasing_id())
+    )
+    positions = durable(_positions(profiles, demands, dims, hot_rows))
 
-    def clear_bits(at: Column) -> Column:
-        return F.filter(F.sequence(F.lit(0), F.col("_bits") - 1), lambda b: F.getbit(at, b) == 0)
+    def bits(d: str) -> Column:
+        at = positions.filter(F.col("dim") == d)
+        return at.select(F.length(F.bin(F.coalesce(F.max("at"), F.lit(0)))).cast("int")).scalar()
 
-    def above(at: Column, shift: int):
-        def cell(b: Column) -> Column:
-            place = F.call_function("shiftright", at, b) + shift
-            return F.struct(b.alias("bit"), place.alias("place"))
+    def cells(d: str, digit: int) -> Column:
+        # One number for a bit with this digit and the place above it. The place a bundle asks
+        # for is the one that has 1 where the bundle's position has 0.
+        at = F.col("at_" + d)
+        chosen = F.filter(F.sequence(F.lit(0), F.col("_bits_" + d) - 1), lambda b: F.getbit(at, b) == digit)
+        return F.transform(chosen, lambda b: (F.call_function("shiftright", at, b) + (1 - digit)) * 64 + b)
 
-        return cell
+    def with_cells(df: DataFrame, digit: int) -> DataFrame:
+        df = df.withColumns({"_bits_" + d: bits(d) for d in dims})
+        df = df.withColumns({"cells_" + d: cells(d, digit) for d in dims})
+        return df.drop(*["at_" + d for d in dims], *["_bits_" + d for d in dims])
 
     cell_names = ["subset", *["cell_" + d for d in dims]]
-    held = _cells(
-        _placed(profiles, positions, dims, 1).withColumn("subset", F.explode(_subsets(F.col("_roles")))),
-        dims,
-        set_bits,
-        lambda at: above(at, 0),
-    ).groupBy(*cell_names).agg(F.sum("_n").alias("_held"))
-
-    asked = _cells(
-        _placed(demands, positions, dims, 0)
-        .withColumn("_bits", bits)
-        .withColumn("_s", F.explode(_signed_subsets(F.col("_roles"))))
-        .withColumn("subset", F.col("_s.subset")),
-        dims,
-        clear_bits,
-        lambda at: above(at, 1),
+    cell_lists = ["cells_" + d for d in dims]
+    held = with_cells(_placed(profiles, positions, dims, 1), 1).select(
+        "_n", *cell_lists, F.explode(_subsets(F.col("_roles"))).alias("subset")
     )
-    profile = [*dims, "_roles"]
+    held = _each_cell(held, dims).groupBy(*cell_names).agg(F.sum("_n").alias("_held"))
+    # A fixed number of tasks: the rows are few and small here, and become many in the next step.
+    tasks = int(bundles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = with_cells(_placed(demands, positions, dims, 0), 0).repartition(tasks, "_demand").select(
+        "_demand", *cell_lists, F.inline(_signed_subsets(F.col("_roles")))
+    )
+    asked = _each_cell(asked, dims)
     counted = (
-        asked.join(held, cell_names)
-        .groupBy(*profile)
-        .agg(F.sum(F.col("_s.sign") * F.col("_held")).alias("_candidates"))
+        asked.select("_demand", "sign", *cell_names)
+        .join(held, cell_names)
+        .groupBy("_demand")
+        .agg(F.sum(F.col("sign") * F.col("_held")).alias("_candidates"))
+        .join(demands, "_demand")
+        .select(*profile, "_candidates")
     )
     counted = prefixed(counted, profile, "_p_")
     on = same([(F.col(c), F.col("_p_" + c)) for c in profile])

@@ -14,7 +14,7 @@ from ..functions.fixed import (
     REMOTING_LABEL,
     REMOTING_PROTOCOL,
 )
-from .spread import CHUNK, HOT_ROWS, chunked_lists, prefixed, same
+from .spread import CHUNK, HOT_ROWS, chunked_lists, durable, prefixed, same
 
 DESCRIPTORS = "array<struct<name:string,acls:array<struct<method:string,pathPattern:string>>>>"
 
@@ -47,32 +47,38 @@ def parse_descriptors(df: DataFrame, keys: Sequence[str], json: str = "json") ->
     )
 
 
+def _paths(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct ``(keys, service, prefix)``; a descriptor without paths gives a null prefix."""
+    bare = F.array(F.lit(None).cast("string"))
+    prefixes = F.when(F.size("prefixes") == 0, bare).otherwise(F.col("prefixes"))
+    return parsed.select(*keys, "service", F.explode(prefixes).alias("prefix")).distinct()
+
+
+def _rule(prefix: Column) -> Column:
+    return F.concat(F.lit("^"), F.when(prefix == "", "/").otherwise(prefix))
+
+
+def _uri(tail: Column, port: int) -> Column:
+    return F.concat(F.lit(f"http://:{port}"), tail)
+
+
 def service_rules(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct ``(keys, service, rule)``, each rule a regex for the start of a path.
 
     Same-named services are one. Equal rules are kept once.
     """
-    return (
-        parsed.select(*keys, "service", F.explode("prefixes").alias("prefix"))
-        .distinct()
-        .select(
-            *keys,
-            "service",
-            F.concat(F.lit("^"), F.when(F.col("prefix") == "", "/").otherwise(F.col("prefix"))).alias("rule"),
-        )
-    )
+    found = _paths(parsed, keys).filter(F.col("prefix").isNotNull())
+    return found.select(*keys, "service", _rule(F.col("prefix")).alias("rule"))
 
 
 def service_uris(
     parsed: DataFrame, keys: Sequence[str], port: int = DEFAULT_SERVICE_PORT
 ) -> DataFrame:
     """Distinct ``(keys, service, uri)``: one per path, and always one with the service's name."""
-    base = F.lit(f"http://:{port}")
-    paths = F.transform("prefixes", lambda p: F.concat(base, p, F.lit(PRESERVE_PATH)))
-    own = F.concat(base, F.lit("/"), F.col("service"))
-    return parsed.select(
-        *keys, "service", F.explode(F.concat(paths, F.array(own))).alias("uri")
-    ).distinct()
+    paths = F.transform("prefixes", lambda p: _uri(F.concat(p, F.lit(PRESERVE_PATH)), port))
+    own = _uri(F.concat(F.lit("/"), F.col("service")), port)
+    uris = F.concat(paths, F.array(own))
+    return parsed.select(*keys, "service", F.explode(uris).alias("uri")).distinct()
 
 
 def _with_remoting(endpoints: DataFrame, sets: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -100,14 +106,14 @@ def acl_endpoints(
     """Endpoint rows with route rules, in parts of at most ``chunk`` rules.
 
     ``services`` is null, or empty if any descriptor of the service has no rules; ``rules`` is
-    null if none has any. All other fields depend on the name alone.
+    null if none has any. All other fields depend on the name alone. The distinct paths are
+    written down, so that the JSON is parsed once.
     """
     names = [*keys, "service"]
-    parsed = parse_descriptors(descriptors, keys, json)
-    flags = parsed.groupBy(*names).agg(F.bool_or(F.size("prefixes") == 0).alias("bare"))
-    lists = chunked_lists(
-        service_rules(parsed, keys), names, ["rule"], F.col("rule"), "rules", chunk, hot_rows
-    )
+    paths = durable(_paths(parse_descriptors(descriptors, keys, json), keys))
+    flags = paths.groupBy(*names).agg(F.bool_or(F.col("prefix").isNull()).alias("bare"))
+    rules = paths.filter(F.col("prefix").isNotNull()).select(*names, _rule(F.col("prefix")).alias("rule"))
+    lists = chunked_lists(rules, names, ["rule"], F.col("rule"), "rules", chunk, hot_rows)
     lists = prefixed(lists, names, "_r_")
     endpoints = flags.join(lists, same([(F.col(n), F.col("_r_" + n)) for n in names]), "left").select(
         *keys,
@@ -132,7 +138,7 @@ def uri_endpoints(
 ) -> DataFrame:
     """Endpoint rows with service URIs, in parts of at most ``chunk`` URIs."""
     names = [*keys, "service"]
-    uris = service_uris(parse_descriptors(descriptors, keys, json), keys, port)
+    uris = durable(service_uris(parse_descriptors(descriptors, keys, json), keys, port))
     lists = chunked_lists(uris, names, ["uri"], F.col("uri"), "services", chunk, hot_rows)
     endpoints = lists.select(
         *keys,

@@ -8,19 +8,19 @@ worked on slice by slice, and joined with what the slices before them add up to.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 4_000_000
 CHUNK = 1000
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that its rows stay the same when read again."""
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; only a local session may get one made for it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,7 +29,19 @@ def durable(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="fleetcatalog-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared checkpoint folder and read from there.
+
+    For rows that are read more than once and are costly to find, or that must stay the same
+    when read again after an executor was lost. The size of the table is known to the planner.
+    """
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def same(pairs: Sequence[tuple[Column, Column]]) -> Column:
@@ -149,16 +161,17 @@ def chunked_lists(
     out: str,
     chunk: int = CHUNK,
     hot_rows: int = HOT_ROWS,
+    shape: Callable[[Column], Column] = lambda item: item,
 ) -> DataFrame:
     """Ordered lists per group in parts of at most ``chunk`` items: ``(keys, part, out)``.
 
-    Parts count from 0; the parts of a group in order make its whole list.
+    Parts count from 0; the parts of a group in order make its whole list. Items are shuffled as
+    they are and given their final ``shape`` after that.
     """
-    ranked = running_total(
-        df.select(*keys, *order, item.alias("_item")), keys, order, "_pos", hot_rows=hot_rows
-    )
-    part = F.floor((F.col("_pos") - 1) / chunk).cast("int")
-    pairs = F.array_sort(F.collect_list(F.struct("_pos", "_item")))
+    whole = df.select(*keys, *[c for c in order if c not in keys], item.alias("_item"))
+    ranked = running_total(whole, keys, order, "_pos", hot_rows=hot_rows)
+    part = F.call_function("div", F.col("_pos") - 1, F.lit(chunk)).cast("int")
+    pairs = F.array_sort(F.collect_list(F.struct("_pos", shape(F.col("_item")).alias("_item"))))
     return (
         ranked.withColumn("part", part)
         .groupBy(*keys, "part")

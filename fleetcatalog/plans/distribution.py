@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import artifact_name
 from ..operators.contents import digest
 from ..operators.manifest import bundle_names, manifest_emit, resource_normalize
-from ..operators.overlay import overlay_delta, resolve_settings, scope_chain
+from ..operators.overlay import overlay_delta, resolve_settings
 from ..operators.overrides import override_per_entity
 from ..operators.routes import route_rules
 from ..operators.validation import valid_bundles, violations
@@ -30,7 +30,7 @@ def apply_settings(bundles: DataFrame, settings: DataFrame, scopes: DataFrame) -
     Settings under names that are no column of ``bundles`` are ignored.
     """
     types = {c: t for c, t in bundles.dtypes if c not in ("name", "scope") and not t.startswith(("array", "struct"))}
-    resolved = overlay_delta(resolve_settings(settings, scope_chain(scopes)), full=True)
+    resolved = overlay_delta(resolve_settings(settings, scopes), full=True)
     wide = resolved.groupBy(F.col("target").alias("_target")).agg(
         *[F.max(F.when(F.col("key") == c, F.col("value"))).alias("_s_" + c) for c in types]
     )

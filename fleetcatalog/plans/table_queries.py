@@ -98,8 +98,12 @@ def service_uri_endpoints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def content_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    return contents.content_catalog(_read(spark, folder, "documents"), "doc_id", "text")
+
+
+def content_names(spark: SparkSession, folder: str) -> DataFrame:
     documents = _read(spark, folder, "documents").withColumn("name", F.concat("source", F.lit(".txt")))
-    return contents.content_catalog(documents, "doc_id", "text", "name")
+    return contents.content_names(documents, "doc_id", "text", "name")
 
 
 def incremental_load(spark: SparkSession, folder: str) -> DataFrame:
@@ -233,8 +237,7 @@ def _customer_settings(spark: SparkSession, folder: str) -> DataFrame:
             )
         )
     )
-    chain = overlay.scope_chain(scopes).filter(F.col("target").startswith("c"))
-    return overlay.resolve_settings(defined, chain)
+    return overlay.resolve_settings(defined, scopes)
 
 
 def overlay_resolve(spark: SparkSession, folder: str) -> DataFrame:
@@ -318,10 +321,13 @@ EVENT_FIELDS = {
 }
 
 
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    return _read(spark, folder, "events").withColumn("k", F.get_json_object("props", "$.k"))
+
+
 def _event_args(spark: SparkSession, folder: str) -> DataFrame:
     """Events as arguments of their user; a sign-up gives an environment pair without a value, which is left out."""
-    kind = F.col("event_type")
-    k = F.get_json_object("props", "$.k")
+    kind, k = F.col("event_type"), F.col("k")
 
     def arg(name: str, value: Column) -> Column:
         return F.struct(F.lit(name).alias("field"), value.cast("string").alias("value"))
@@ -334,7 +340,7 @@ def _event_args(spark: SparkSession, folder: str) -> DataFrame:
         F.when(kind == "error", arg("no_default_features", F.lit(None))),
     )
     present = F.filter(args, lambda a: a.isNotNull())
-    return _read(spark, folder, "events").select("user_id", "ts", "event_id", F.inline(present))
+    return _events(spark, folder).select("user_id", "ts", "event_id", F.inline(present))
 
 
 def settings_fold(spark: SparkSession, folder: str) -> DataFrame:
@@ -590,7 +596,7 @@ def text_scalars(spark: SparkSession, folder: str) -> DataFrame:
 
 def pair_arguments(spark: SparkSession, folder: str) -> DataFrame:
     """Key-value texts of events in forms that are and are not pairs, and the flags of their values."""
-    kind, k = F.col("event_type"), F.get_json_object("props", "$.k")
+    kind, k = F.col("event_type"), F.col("k")
     text = (
         F.when(kind == "click", F.concat(kind, F.lit("="), k))
         .when(kind == "view", F.concat(kind, F.lit("=")))
@@ -599,7 +605,7 @@ def pair_arguments(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.concat(kind, F.lit("=="), k))
     )
     words = F.array(kind, F.concat(F.lit("-D"), kind, F.lit("="), k))
-    return _read(spark, folder, "events").select(
+    return _events(spark, folder).select(
         "event_id",
         is_pair(text).alias("valid"),
         pair_key(text).alias("key"),
@@ -616,6 +622,7 @@ QUERIES: dict[str, Query] = {
         service_endpoints,
         service_uri_endpoints,
         content_catalog,
+        content_names,
         incremental_load,
         tree_scan,
         file_catalog,

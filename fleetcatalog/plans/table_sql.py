@@ -52,18 +52,27 @@ both_kinds AS (
   FROM lineitem WHERE l_returnflag <> 'R' AND l_tax >= 0.08 AND l_discount >= 0.1),
 report AS (SELECT * FROM gate UNION ALL SELECT * FROM low UNION ALL SELECT * FROM both_kinds)"""
 
+# A nation may define memory, a region defines three settings of its own; both are targets too.
 RESOLVED = r"""
+nations AS (
+  SELECT 'n' || n_nationkey AS target, n_nationkey, r_name,
+         CASE WHEN n_regionkey < 3 THEN (n_nationkey + 100)::VARCHAR ELSE '64' END AS memory,
+         CASE WHEN n_regionkey < 3 THEN 'n' || n_nationkey END AS memory_scope
+  FROM nation JOIN region ON n_regionkey = r_regionkey),
 customers AS (
-  SELECT 'c' || c_custkey AS target, c.*, 'n' || n_nationkey AS nation, n_nationkey, n_regionkey, r_name
-  FROM customer c JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+  SELECT 'c' || c_custkey AS target, c.*, memory, memory_scope, r_name
+  FROM customer c JOIN nations ON c_nationkey = n_nationkey),
 resolved AS (
   SELECT target, 'cpus' AS key, CASE WHEN c_acctbal < 0 THEN '2' ELSE '1' END AS value,
          CASE WHEN c_acctbal < 0 THEN target END AS scope FROM customers
-  UNION ALL SELECT target, 'memory', CASE WHEN n_regionkey < 3 THEN (n_nationkey + 100)::VARCHAR ELSE '64' END,
-         CASE WHEN n_regionkey < 3 THEN nation END FROM customers
+  UNION ALL SELECT target, 'memory', memory, memory_scope FROM customers
   UNION ALL SELECT target, 'roles', CASE WHEN c_mktsegment = 'BUILDING' THEN c_mktsegment ELSE r_name END,
          CASE WHEN c_mktsegment = 'BUILDING' THEN target END FROM customers
-  UNION ALL SELECT target, 'checks', c_name, target FROM customers WHERE c_mktsegment = 'MACHINERY')"""
+  UNION ALL SELECT target, 'checks', c_name, target FROM customers WHERE c_mktsegment = 'MACHINERY'
+  UNION ALL SELECT target, 'cpus', '1', NULL FROM nations
+  UNION ALL SELECT target, 'memory', memory, memory_scope FROM nations
+  UNION ALL SELECT target, 'roles', r_name, NULL FROM nations
+  UNION ALL SELECT 'r' || r_regionkey, unnest(['cpus', 'memory', 'roles']), unnest(['1', '64', r_name]), NULL FROM region)"""
 
 OVERRIDES = r"""
 base AS (SELECT s_nationkey AS entity, s_name AS label, s_suppkey + 9000 AS port FROM supplier),
@@ -154,9 +163,9 @@ FROM numbered GROUP BY ALL
 UNION ALL
 SELECT DISTINCT scheme, 'akka-remote', 0, 'tcp', '' FROM paths""",
     "content_catalog": """
-SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_id,
-       min(source) || '-' || sha256(text) || '.txt' AS artifact
-FROM documents GROUP BY sha256(text)""",
+SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY sha256(text)""",
+    "content_names": """
+SELECT doc_id AS id, sha256(text) AS digest, source || '-' || sha256(text) || '.txt' AS artifact FROM documents""",
     "incremental_load": """
 SELECT sha256(text) AS digest, min(doc_id) AS first_id FROM documents
 WHERE sha256(text) NOT IN (SELECT sha256(d.text) FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM labels))
@@ -302,14 +311,15 @@ SELECT q.request_id, q.path, q.method, b.rule_id, coalesce(b.matches, 0) AS matc
             WHEN b.kind = 'path-regex' THEN b.rewrite || substr(q.path, length(regexp_extract(q.path, '^(?:' || b.value || ')')) + 1)
             ELSE b.rewrite || substr(q.path, length(b.value) + 1) END AS target
 FROM requests q LEFT JOIN best b USING (request_id)""",
-    "route_matches": f"WITH {PAGE_RULES} SELECT request_id, path, method, rule_id FROM hits",
+    "route_matches": f"WITH {PAGE_RULES} SELECT DISTINCT path, method, rule_id FROM hits",
     "port_match": f"""
 WITH {CUSTOMER_RULES},
 requests AS (
   SELECT event_id AS request_id, CASE WHEN event_type = 'click' THEN 'tcp' ELSE 'udp' END AS family,
          floor(value)::INTEGER + 9000 AS port FROM events)
-SELECT q.request_id, q.family, q.port, r.bundle || '/' || r.family || '/' || r.port AS rule_id
-FROM requests q JOIN raw r ON r.family = q.family AND r.port = q.port""",
+SELECT q.request_id, q.family, q.port, min(r.bundle || '/' || r.family || '/' || r.port) AS rule_id,
+       count(r.bundle) AS matches
+FROM requests q LEFT JOIN raw r ON r.family = q.family AND r.port = q.port GROUP BY ALL""",
     "name_resolve": """
 WITH asked AS (
   SELECT DISTINCT unnest([short, short || ':' || c_mktsegment, 'No ' || c_name]) AS query

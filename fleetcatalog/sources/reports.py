@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 from ..functions.fixed import REPORT_LINES
 
 SPACE = r"[ \t\n\x0B\f\r]+"
+SECOND_WORD = r"^[^ \t\n\x0B\f\r]*[ \t\n\x0B\f\r]+([^ \t\n\x0B\f\r]+)"
 
 
 def report_lines(text: Column, lines: int = REPORT_LINES) -> Column:
     """The lines after the header line, at most ``lines`` of them.
 
-    One part more is split off than is wanted, for the rest of the text.
+    The text up to its line feed number ``lines`` + 1 holds them all, however lines end.
     """
-    return F.slice(F.split(text, r"\r\n|\r|\n", lines + 2), 2, lines)
+    head = F.substring_index(text, "\n", lines + 1)
+    fed = F.replace(F.replace(head, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.slice(F.split(fed, "\n"), 2, lines)
 
 
 def second_word(line: Column) -> Column:
     """Second column of a line, null if it has none. A line that begins with space has an empty first one."""
-    word = F.try_element_at(F.split(line, SPACE, 3), F.lit(2))
+    word = F.regexp_extract(line, SECOND_WORD, 1)
     return F.when(word != "", word)
 
 

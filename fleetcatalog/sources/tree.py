@@ -41,9 +41,10 @@ def tree_scan(spark: SparkSession, roots: Sequence[str], pattern: str = "*") ->
     """
     uris = [root if ":" in root else f"file://{root}" for root in roots]
     level = spark.createDataFrame([(u, u, "") for u in uris], "root string, path string, rel_path string")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = []
     while True:
-        listed = durable(level.repartition("path").mapInPandas(_children, LISTING))
+        listed = durable(level.repartition(tasks, "path").mapInPandas(_children, LISTING))
         found.append(listed.filter(~F.col("is_dir")).select("root", "path", "rel_path", "length"))
         level = listed.filter("is_dir").select("root", "path", "rel_path")
         if level.isEmpty():
