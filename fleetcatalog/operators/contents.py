@@ -41,28 +41,30 @@ def content_catalog(df: DataFrame, id_col: str, content: str) -> DataFrame:
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
-    def one(path: str) -> str:
-        system, local = fs.FileSystem.from_uri(path)
+    def one(root: str, rel_path: str) -> str:
+        system, top = fs.FileSystem.from_uri(root)
         seen = hashlib.sha256()
-        with system.open_input_stream(local) as stream:
+        # The bytes as they are: without this, names such as x.gz would be read unpacked.
+        with system.open_input_stream(f"{top.rstrip('/')}/{rel_path}", compression=None) as stream:
             while block := stream.read(READ_BYTES):
                 seen.update(block)
         return seen.hexdigest()
 
     for batch in batches:
-        yield batch.assign(digest=[one(path) for path in batch["path"]])
+        pairs = zip(batch["root"], batch["rel_path"], strict=True)
+        yield batch.assign(digest=[one(root, rel_path) for root, rel_path in pairs])
 
 
 def file_digests(files: DataFrame, tasks: int | None = None) -> DataFrame:
-    """``(path, rel_path, length)`` rows plus the hex SHA-256 and the artifact name of each file.
+    """``(root, rel_path, length)`` rows plus the hex SHA-256 and the artifact name of each file.
 
     Files are read in blocks inside the tasks, so a file may be of any size; only its path
     enters the task and only its digest leaves it. The number of tasks is fixed, as the few
     bytes of a path say nothing about the work behind it.
     """
     tasks = tasks or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = files.select("path", "rel_path", "length").repartition(tasks, "path")
-    digests = spread.mapInPandas(_digests, "path string, rel_path string, length long, digest string")
+    spread = files.select("root", "rel_path", "length").repartition(tasks, "root", "rel_path")
+    digests = spread.mapInPandas(_digests, "root string, rel_path string, length long, digest string")
     base = F.regexp_extract("rel_path", r"([^/]*)\z", 1)
     return digests.withColumn("artifact", artifact_name(base, F.col("digest")))
 

@@ -24,7 +24,7 @@ def exposed_ports(uris: DataFrame, uri: str, given: DataFrame | None = None, str
     read = uri_ports(uris, uri)
     port = F.col("port")
     if strict:
-        port = F.when(F.col("error").isNotNull(), F.raise_error("error").cast("int")).otherwise(port)
+        port = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("int")).otherwise(port)
     ports = read.select(port.alias("port")).filter(F.col("port") >= 0)
     if given is not None:
         ports = ports.union(given.select(F.col("port").cast("int")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.fold import ADD, RUN_FIELDS, fold_settings
+from ..operators.fold import RUN_FIELDS, fold_settings
 from ..operators.overrides import override_global
 from ..operators.ports import exposed_ports
 
@@ -14,22 +14,21 @@ def run_settings(args: DataFrame, base: DataFrame, override: DataFrame) -> DataF
     """Folded rows per entity, with the exposed ports of the endpoints in use added to ``ports``.
 
     ``args`` is ``(entity, seq, field, value)``; endpoint rows have ``services``. Every entity
-    that has arguments gets every exposed port, of which there are at most 65,536.
+    that has arguments gets every exposed port, of which there are at most 65,536. They are put
+    in as arguments, so that the fold itself removes repeats.
     """
-    folded = fold_settings(args, "entity", ["seq"], RUN_FIELDS)
     used = override_global(base, override)
     ports = exposed_ports(used.select(F.explode("services").alias("uri")), "uri")
-    all_ports = ports.select(F.array_sort(F.collect_set("port"))).scalar()
+    exposed = ports.select(F.collect_set("port").cast("array<string>")).scalar()
     added = (
         args.select("entity")
         .distinct()
+        .withColumn("ports", exposed)
         .select(
             "entity",
+            F.lit(0).cast(args.schema["seq"].dataType).alias("seq"),
             F.lit("ports").alias("field"),
-            F.lit(ADD).alias("rule"),
-            F.lit(None).cast("long").alias("pos"),
-            F.explode(all_ports).cast("string").alias("key"),
+            F.explode("ports").alias("value"),
         )
-        .withColumn("value", F.col("key"))
     )
-    return folded.unionByName(added).distinct()
+    return fold_settings(args.unionByName(added), "entity", ["seq"], RUN_FIELDS)

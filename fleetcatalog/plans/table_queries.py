@@ -415,7 +415,7 @@ def manifest_emit(spark: SparkSession, folder: str) -> DataFrame:
     )
     endpoints = _read(spark, folder, "lineitem").select(
         F.concat(F.lit("order-"), _text("l_orderkey")).alias("bundle"),
-        F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("label"),
+        F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd")).alias("label"),
         F.lit("http").alias("bind_protocol"),
         F.lit(0).alias("bind_port"),
         F.when(F.col("l_returnflag") != "R", F.array(F.concat(F.lit("http://:"), _text("l_suppkey")))).alias("services"),

@@ -256,7 +256,7 @@ SELECT c_custkey, c_custkey::VARCHAR AS id, c_name AS name, c_nationkey AS repli
        length(c_mktsegment)::INTEGER AS starting, NULL::INTEGER AS running FROM customer""",
     "manifest_emit": r"""
 WITH entries AS (
-  SELECT l_orderkey, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS label,
+  SELECT l_orderkey, l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d') AS label,
     '{"bind-protocol":"http","bind-port":0'
     || CASE WHEN l_linestatus = 'O' THEN ',"service-name":"svc"' ELSE '' END
     || CASE WHEN l_returnflag <> 'R' THEN ',"services":["http://:' || l_suppkey || '"]'

@@ -11,42 +11,44 @@ from pyspark.sql import functions as F
 
 from ..operators.spread import durable
 
-LISTING = "root string, path string, rel_path string, is_dir boolean, length long"
+LISTING = "root string, rel_path string, is_dir boolean, length long"
 BATCH = 10_000
 
 
 def _children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
-    columns = ["root", "path", "rel_path", "is_dir", "length"]
     for batch in batches:
-        for root, path, rel in zip(batch["root"], batch["path"], batch["rel_path"], strict=True):
-            system, local = fs.FileSystem.from_uri(path)
-            rows = []
-            for entry in system.get_file_info(fs.FileSelector(local)):
-                below = f"{rel}/{entry.base_name}" if rel else entry.base_name
-                rows.append(
-                    (root, f"{path.rstrip('/')}/{entry.base_name}", below,
-                     entry.type == fs.FileType.Directory, entry.size)
+        for root, folder in zip(batch["root"], batch["rel_path"], strict=True):
+            system, top = fs.FileSystem.from_uri(root)
+            at = f"{top.rstrip('/')}/{folder}" if folder else top
+            lead = f"{folder}/" if folder else ""
+            entries = system.get_file_info(fs.FileSelector(at))
+            for start in range(0, len(entries), BATCH):
+                some = entries[start : start + BATCH]
+                yield pd.DataFrame(
+                    {
+                        "root": root,
+                        "rel_path": [lead + e.base_name for e in some],
+                        "is_dir": [e.type == fs.FileType.Directory for e in some],
+                        "length": pd.array([e.size for e in some], dtype="Int64"),
+                    }
                 )
-            for start in range(0, len(rows), BATCH):
-                yield pd.DataFrame(rows[start : start + BATCH], columns=columns).astype({"length": "Int64"})
 
 
 def tree_scan(spark: SparkSession, roots: Sequence[str], pattern: str = "*") -> DataFrame:
-    """Files at any depth below ``roots``: ``(root, path, rel_path, length)``.
+    """Files at any depth below ``roots``, folders given as URIs or local paths: ``(root, rel_path, length)``.
 
     One distributed listing per level of depth. The file sources of Spark leave out names that
     begin with ``.`` or ``_``; this does not. ``pattern`` is a glob on the file name.
     """
-    uris = [root if ":" in root else f"file://{root}" for root in roots]
-    level = spark.createDataFrame([(u, u, "") for u in uris], "root string, path string, rel_path string")
+    level = spark.createDataFrame([(root, "") for root in roots], "root string, rel_path string")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = []
     while True:
-        listed = durable(level.repartition(tasks, "path").mapInPandas(_children, LISTING))
-        found.append(listed.filter(~F.col("is_dir")).select("root", "path", "rel_path", "length"))
-        level = listed.filter("is_dir").select("root", "path", "rel_path")
+        listed = durable(level.repartition(tasks, "root", "rel_path").mapInPandas(_children, LISTING))
+        found.append(listed.filter(~F.col("is_dir")).select("root", "rel_path", "length"))
+        level = listed.filter("is_dir").select("root", "rel_path")
         if level.isEmpty():
             break
     files = found[0]

@@ -1,0 +1,69 @@
+import random
+
+from conftest import rows
+
+from fleetcatalog.operators.fold import RUN_FIELDS, fold_records, fold_settings, pair_errors
+
+ARGS = [
+    ("image_version", "2.0.5"),
+    ("no_default_features", None),
+    ("ports", "1111"),
+    ("ports", "2222"),
+    ("ports", "1111"),
+    ("nr_of_instances", "3"),
+    ("nr_of_instances", "1:2"),
+    ("log_level", "info"),
+    ("log_level", "debug"),
+    ("envs", "key1=old"),
+    ("envs", "key1=value1"),
+    ("envs", "key2=value2"),
+    ("envs", "a="),
+    ("envs", "=b"),
+    ("envs", "a=b=c"),
+    ("envs", "c=d="),
+    ("node_roles", "web"),
+    ("node_roles", "db backend db"),
+    ("features", "visualization"),
+    ("features", "lite-logging a b"),
+    ("args", "-Dx"),
+    ("args", "-Dx"),
+    ("unknown", "x"),
+]
+
+
+def arguments(spark, args=ARGS, entity="e"):
+    data = [(entity, i, f, v) for i, (f, v) in enumerate(args)]
+    random.Random(1).shuffle(data)
+    return spark.createDataFrame(data, "entity string, seq int, field string, value string").repartition(3)
+
+
+def test_record(spark):
+    folded = fold_settings(arguments(spark), "entity", ["seq"], RUN_FIELDS)
+    record = fold_records(folded, "entity", RUN_FIELDS).first().asDict()
+    assert record == dict(
+        entity="e", part=0, image_version="2.0.5", node_roles=[["web"], ["backend", "db"]],
+        envs={"key1": "value1", "key2": "value2", "": "b", "c": "d"}, envs_core={}, envs_agent={},
+        args=["-Dx", "-Dx"], args_core=[], args_agent=[], image=None, log_level="debug", nr_of_containers=None,
+        nr_of_instances="1:2", ports=["1111", "2222"], features=[["visualization"], ["lite-logging", "a", "b"]],
+        no_default_features=True,
+    )
+
+
+def test_pair_errors(spark):
+    assert rows(pair_errors(arguments(spark), RUN_FIELDS).select("value")) == [("a=",), ("a=b=c",)]
+
+
+def test_parts_and_slices(spark):
+    args = [("args", f"v{i % 7}") for i in range(200)] + [("ports", str(i % 50)) for i in range(200)]
+    args += [("envs", f"k{i % 30:02}={i}") for i in range(200)] + [("log_level", str(i)) for i in range(5)]
+    df = arguments(spark, args)
+    plain = fold_settings(df, "entity", ["seq"], RUN_FIELDS)
+    sliced = fold_settings(df, "entity", ["seq"], RUN_FIELDS, hot_rows=10)
+    assert rows(sliced) == rows(plain)
+    parts = fold_records(plain, "entity", RUN_FIELDS, chunk=20, hot_rows=10).orderBy("part").collect()
+    assert len(parts) == 10
+    assert [a for p in parts for a in p.args] == [f"v{i % 7}" for i in range(200)]
+    assert [a for p in parts for a in p.ports] == sorted(str(i) for i in range(50))
+    envs = {k: v for p in parts for k, v in p.envs.items()}
+    assert envs == {f"k{i % 30:02}": str(i) for i in range(200)}
+    assert [p.log_level for p in parts] == ["4"] + [None] * 9

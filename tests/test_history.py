@@ -1,0 +1,42 @@
+import datetime as dt
+import random
+
+from conftest import rows
+from pyspark.sql import functions as F
+
+from fleetcatalog.operators.history import compat_history, event_tail, event_time, status_rollup
+
+
+def test_compat_history(spark):
+    data = [("a", 1, "0"), ("a", 2, "0"), ("a", 3, "1"), ("b", 1, "5")]
+    df = spark.createDataFrame(data, "name string, seq int, compat string")
+    expected = [("a", 1, "0", None, False), ("a", 2, "0", "0", False), ("a", 3, "1", "0", True), ("b", 1, "5", None, False)]
+    assert rows(compat_history(df, "name", ["seq"], "compat")) == expected
+    assert rows(compat_history(df, "name", ["seq"], "compat", hot_rows=1)) == expected
+
+
+def test_event_tail(spark):
+    rng = random.Random(5)
+    data = [(rng.choice("hhhab"), rng.randrange(30), i) for i in range(500)]
+    df = spark.createDataFrame(data, "key string, ts int, id int").repartition(7)
+    expected = []
+    for key in "hab":
+        last = sorted(((t, i) for k, t, i in data if k == key), reverse=True)[:4]
+        expected += [(key, t, i, rank) for rank, (t, i) in enumerate(last, 1)]
+    assert rows(event_tail(df, "key", "ts", "id", 4, salts=3)) == sorted(expected, key=lambda r: [str(v) for v in r])
+
+
+def test_event_time(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 23, 30, 5, 999),)], "ts timestamp_ntz")
+    ts = F.col("ts")
+    shown = [event_time(ts), event_time(ts, date=True), event_time(ts, date=True, utc=False, zone="Asia/Tokyo")]
+    assert tuple(df.select(*[c.alias(f"c{i}") for i, c in enumerate(shown)]).first()) == (
+        "23:30:05",
+        "2024-01-01 23:30:05",
+        "2024-01-02 08:30:05",
+    )
+
+
+def test_status_rollup(spark):
+    df = spark.createDataFrame([("a", "running"), ("a", "running"), ("a", "starting"), ("b", "lost")], "name string, status string")
+    assert rows(status_rollup(df, "name", "status", ["replicated", "starting", "running"])) == [("a", 0, 1, 2), ("b", 0, 0, 0)]

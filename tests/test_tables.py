@@ -1,0 +1,46 @@
+"""All queries on the given tables, beside their SQL, and the shape of their plans."""
+
+import os
+import re
+
+import __spark_entry__ as entry
+import pytest
+from oracle_check import differences
+
+FOLDER = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
+
+QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+# The listing and the digests of the table files have no SQL.
+FILES = {"tree_scan", "file_catalog"}
+
+
+def test_every_query_has_sql():
+    assert set(QUERIES) - set(ORACLE) == FILES
+    assert not set(ORACLE) - set(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_same_rows_as_sql(spark, name):
+    # At the smallest scale there are too few suppliers for any part to be placed.
+    assert differences(spark, FOLDER, QUERIES[name], ORACLE[name]) == []
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_plan(spark, name):
+    df = QUERIES[name](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    # Only the one-row aggregates of subqueries may meet in one task.
+    outside = re.sub(r"(?ms)^[ :]*\+- Subquery.*?(?=^[ :]*\+- (?!AdaptiveSparkPlan|\S*Aggregate|Exchange SinglePartition|Project|Filter)|\Z)", "", plan)
+    assert outside.count("SinglePartition") <= plan.count("Subquery subquery")
+
+
+def test_files(spark):
+    listed = {r.rel_path: r.length for r in QUERIES["tree_scan"](spark, FOLDER).collect()}
+    assert listed == {n: os.path.getsize(f"{FOLDER}/{n}") for n in os.listdir(FOLDER)}
+    assert QUERIES["file_catalog"](spark, FOLDER).count() == len(listed)
+
+
+def test_entry(spark):
+    assert entry.entry(spark).columns == ["descriptor_set", "service", "rule"]
