@@ -123,11 +123,11 @@ def manifest_emit(
         lambda e: F.struct(e["label"].alias("key"), endpoint_document(e).alias("value")),
     )
     none = F.array().cast(lists.schema["_entries"].dataType)
-    joined = (
-        bundles.join(prefixed(lists, ["bundle"], "_e_"), F.col("name") == F.col("_e_bundle"), "left")
-        .withColumn("part", F.coalesce("part", F.lit(0)))
-        .withColumn("_entries", F.coalesce("_entries", none))
-    )
+    # An inner join can be split on the side of a bundle with very many parts, a left join cannot.
+    filled = bundles.join(prefixed(lists, ["bundle"], "_e_"), F.col("name") == F.col("_e_bundle")).drop("_e_bundle")
+    owners = endpoints.select(F.col("bundle").alias("name")).distinct()
+    bare = bundles.join(owners, "name", "left_anti").withColumns({"part": F.lit(0), "_entries": none})
+    joined = filled.unionByName(bare)
     head = F.col("part") == 0
 
     def header(value: Column, name: str) -> Column:

@@ -12,11 +12,9 @@ from pyspark.sql import functions as F
 from .spread import prefixed, same
 
 
-def _with_prefixes(df: DataFrame, text: str, lengths: Column, out: str) -> DataFrame:
-    """A row for each prefix of ``text`` that has one of the ``lengths``."""
-    fitting = F.filter("_lengths", lambda n: n <= F.length(text))
-    prefixes = F.transform(fitting, lambda n: F.left(F.col(text), n))
-    return df.withColumn("_lengths", lengths).withColumn(out, F.explode(prefixes)).drop("_lengths")
+def _prefixes(text: Column, lengths: Column) -> Column:
+    fitting = F.filter(lengths, lambda n: n <= F.length(text))
+    return F.transform(fitting, lambda n: F.left(text, n))
 
 
 def _lengths(df: DataFrame, text: str) -> Column:
@@ -48,16 +46,29 @@ def _pairs(paths: DataFrame, rules: DataFrame) -> DataFrame:
         "value",
         F.col("method").alias("rule_method"),
         "rewrite",
+        (F.col("kind") == "path").alias("whole"),
         _match_key(F.col("kind"), F.col("value")).alias("key"),
     )
-    heads = _with_prefixes(paths, "path", _lengths(keyed, "key"), "key")
-    fits = (
-        (F.col("kind") == "path-beg")
-        | ((F.col("kind") == "path") & (F.col("path") == F.col("value")))
-        | ((F.col("kind") == "path-regex") & F.rlike("path", _anchored(F.col("value"))))
+    # Plain paths are looked up as a whole, so their many lengths add no prefixes.
+    lengths = _lengths(keyed.filter(~F.col("whole")), "key")
+
+    def lookup(whole: bool, key: Column) -> Column:
+        return F.struct(F.lit(whole).alias("whole"), key.alias("key"))
+
+    heads = paths.withColumn("_lengths", lengths).select(
+        "path",
+        "method",
+        F.inline(
+            F.concat(
+                F.array(lookup(True, F.col("path"))),
+                F.transform(_prefixes(F.col("path"), F.col("_lengths")), lambda key: lookup(False, key)),
+            )
+        ),
     )
+    # Equal keys are a match, but for a regex only its plain beginning has been compared.
+    fits = (F.col("kind") != "path-regex") | F.rlike("path", _anchored(F.col("value")))
     allowed = F.col("rule_method").isNull() | (F.col("rule_method") == F.col("method"))
-    return heads.join(keyed, "key").filter(fits & allowed)
+    return heads.join(keyed, ["whole", "key"]).filter(fits & allowed)
 
 
 def _matched(kind: Column, value: Column, path: Column) -> Column:
@@ -144,7 +155,9 @@ def name_resolve(queries: DataFrame, names: DataFrame) -> DataFrame:
     untagged = names.select("name", F.lit(None).cast("string").alias("tag"))
     tagged = names.select("name", F.explode("tags").alias("tag"))
     known = untagged.unionByName(tagged).distinct()
-    heads = _with_prefixes(known, "name", _lengths(asked, "prefix"), "prefix")
+    heads = known.withColumn("_lengths", _lengths(asked, "prefix")).select(
+        "name", "tag", F.explode(_prefixes(F.col("name"), F.col("_lengths"))).alias("prefix")
+    )
     counted = heads.groupBy("prefix", "tag").agg(
         F.count(F.lit(1)).alias("candidates"),
         F.min("name").alias("only"),

@@ -23,10 +23,17 @@ def override_per_entity(
     return kept.unionByName(override.select(*base.columns))
 
 
-def override_global(base: DataFrame, override: DataFrame) -> DataFrame:
-    """Only overrides, for all entities, as soon as any entity has a non-empty one; else the base."""
-    none = ~override.limit(1).exists()
-    return base.filter(none).unionByName(override.select(*base.columns))
+def override_global(base: DataFrame, override: DataFrame, within: str | None = None) -> DataFrame:
+    """Only overrides, for all entities, as soon as any entity has a non-empty one; else the base.
+
+    With ``within``, a column that tells builds apart, this holds for each build by itself.
+    """
+    rows = override.select(*base.columns)
+    if within is None:
+        return base.filter(~override.limit(1).exists()).unionByName(rows)
+    builds = override.select(F.col(within).alias("_build")).distinct()
+    kept = base.join(builds, F.col(within).eqNullSafe(F.col("_build")), "left_anti")
+    return kept.unionByName(rows)
 
 
 def manual_or_derived(

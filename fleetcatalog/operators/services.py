@@ -111,14 +111,22 @@ def acl_endpoints(
     """
     names = [*keys, "service"]
     paths = durable(_paths(parse_descriptors(descriptors, keys, json), keys))
-    flags = paths.groupBy(*names).agg(F.bool_or(F.col("prefix").isNull()).alias("bare"))
+    flags = paths.groupBy(*names).agg(
+        F.bool_or(F.col("prefix").isNull()).alias("bare"), F.count("prefix").alias("paths")
+    )
     rules = paths.filter(F.col("prefix").isNotNull()).select(*names, _rule(F.col("prefix")).alias("rule"))
     lists = chunked_lists(rules, names, ["rule"], F.col("rule"), "rules", chunk, hot_rows)
     lists = prefixed(lists, names, "_r_")
-    endpoints = flags.join(lists, same([(F.col(n), F.col("_r_" + n)) for n in names]), "left").select(
+    # An inner join can be split on the side of a service with very many parts, a left join cannot.
+    ruled = flags.join(lists, same([(F.col(n), F.col("_r_" + n)) for n in names]))
+    unruled = flags.filter(F.col("paths") == 0).select(
+        "*", F.lit(0).alias("part"), F.lit(None).cast("array<string>").alias("rules")
+    )
+    endpoints = ruled.select(*flags.columns, "part", "rules").unionByName(unruled)
+    endpoints = endpoints.select(
         *keys,
         F.col("service").alias("label"),
-        F.coalesce("part", F.lit(0)).alias("part"),
+        "part",
         F.lit("http").alias("bind_protocol"),
         F.lit(0).alias("bind_port"),
         F.when(F.col("bare"), F.array().cast("array<string>")).alias("services"),

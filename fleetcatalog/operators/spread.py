@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,26 +55,31 @@ def prefixed(df: DataFrame, names: Sequence[str], prefix: str) -> DataFrame:
     return df.withColumnsRenamed({name: prefix + name for name in names})
 
 
-def split_hot(
-    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
-) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups up to ``hot_rows``, and rows of larger groups (none if there are none).
+class Split(NamedTuple):
+    cold: DataFrame
+    hot: DataFrame | None
+    slices: int
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Split:
+    """Rows of groups up to ``hot_rows``, rows of larger groups (none if there are none), and how
+    many slices of about ``hot_rows`` the latter make.
 
     The check reads only the key columns. At most rows / ``hot_rows`` keys can be hot, which
     is what bounds the broadcast below.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = counts.filter(F.col("_rows") > hot_rows).select(*keys)
-    if hot.isEmpty():
-        return df, None
-    hot = F.broadcast(prefixed(durable(hot), keys, "_hot_"))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
+    if counts.isEmpty():
+        return Split(df, None, 0)
+    counts = durable(counts)
+    total = counts.agg(F.sum("_rows")).first()[0]
+    hot = F.broadcast(prefixed(counts.select(*keys), keys, "_hot_"))
     on = same([(F.col(k), F.col("_hot_" + k)) for k in keys])
-    return df.join(hot, on, "left_anti"), df.join(hot, on, "left_semi")
+    return Split(df.join(hot, on, "left_anti"), df.join(hot, on, "left_semi"), -(-total // hot_rows))
 
 
-def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *keys, *order)
+def _sliced(split: Split, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    ranged = split.hot.repartitionByRange(split.slices, *keys, *order)
     return durable(ranged.withColumn("_slice", F.spark_partition_id()))
 
 
@@ -90,14 +96,14 @@ def running_total(
     ``order`` must be total within a group. Without a weight the sum is the row's position from 1.
     """
     amount = F.lit(1).cast("long") if weight is None else F.col(weight)
-    cold, hot = split_hot(df, keys, hot_rows)
+    split = split_hot(df, keys, hot_rows)
     upto = (Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto)
-    result = cold.withColumn(out, F.sum(amount).over(whole))
-    if hot is None:
+    result = split.cold.withColumn(out, F.sum(amount).over(whole))
+    if split.hot is None:
         return result
 
-    sliced = _sliced(hot, keys, order)
+    sliced = _sliced(split, keys, order)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     # One row per slice and key: no more than slices + hot keys.
     offsets = (
@@ -126,13 +132,13 @@ def previous_value(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``df`` plus the ``value`` of the row before it in its group, null for the first."""
-    cold, hot = split_hot(df, keys, hot_rows)
+    split = split_hot(df, keys, hot_rows)
     whole = Window.partitionBy(*keys).orderBy(*order)
-    result = cold.withColumn(out, F.lag(value).over(whole))
-    if hot is None:
+    result = split.cold.withColumn(out, F.lag(value).over(whole))
+    if split.hot is None:
         return result
 
-    sliced = _sliced(hot, keys, order)
+    sliced = _sliced(split, keys, order)
     names = [*keys, "_slice"]
     slices = Window.partitionBy(*keys).orderBy("_slice")
     # One row per slice and key: no more than slices + hot keys.

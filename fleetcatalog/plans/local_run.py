@@ -11,24 +11,17 @@ from ..operators.ports import exposed_ports
 
 
 def run_settings(args: DataFrame, base: DataFrame, override: DataFrame) -> DataFrame:
-    """Folded rows per entity, with the exposed ports of the endpoints in use added to ``ports``.
+    """Folded rows per run, with the exposed ports of the run's endpoints added to ``ports``.
 
-    ``args`` is ``(entity, seq, field, value)``; endpoint rows have ``services``. Every entity
-    that has arguments gets every exposed port, of which there are at most 65,536. They are put
-    in as arguments, so that the fold itself removes repeats.
+    ``args`` is ``(entity, seq, field, value)``, one entity per run; endpoint rows have ``entity``
+    and ``services``. The ports are put in as arguments, so that the fold itself removes repeats.
     """
-    used = override_global(base, override)
-    ports = exposed_ports(used.select(F.explode("services").alias("uri")), "uri")
-    exposed = ports.select(F.collect_set("port").cast("array<string>")).scalar()
-    added = (
-        args.select("entity")
-        .distinct()
-        .withColumn("ports", exposed)
-        .select(
-            "entity",
-            F.lit(0).cast(args.schema["seq"].dataType).alias("seq"),
-            F.lit("ports").alias("field"),
-            F.explode("ports").alias("value"),
-        )
+    used = override_global(base, override, within="entity")
+    uris = used.select("entity", F.explode("services").alias("uri"))
+    added = exposed_ports(uris, "uri", keys=["entity"]).select(
+        "entity",
+        F.lit(0).cast(args.schema["seq"].dataType).alias("seq"),
+        F.lit("ports").alias("field"),
+        F.col("port").cast("string").alias("value"),
     )
     return fold_settings(args.unionByName(added), "entity", ["seq"], RUN_FIELDS)

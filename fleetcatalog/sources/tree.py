@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import fnmatch
+import os
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,23 +17,35 @@ LISTING = "root string, rel_path string, is_dir boolean, length long"
 BATCH = 10_000
 
 
+def _entries(system, folder: str) -> Iterator[tuple[str, bool, int | None]]:
+    from pyarrow import fs
+
+    if isinstance(system, fs.LocalFileSystem):
+        # One entry at a time: a folder may hold any number of files.
+        with os.scandir(folder) as entries:
+            for entry in entries:
+                is_dir = entry.is_dir()
+                yield entry.name, is_dir, None if is_dir else entry.stat().st_size
+    else:
+        for entry in system.get_file_info(fs.FileSelector(folder)):
+            yield entry.base_name, entry.type == fs.FileType.Directory, entry.size
+
+
 def _children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
     for batch in batches:
         for root, folder in zip(batch["root"], batch["rel_path"], strict=True):
             system, top = fs.FileSystem.from_uri(root)
-            at = f"{top.rstrip('/')}/{folder}" if folder else top
+            entries = _entries(system, f"{top.rstrip('/')}/{folder}")
             lead = f"{folder}/" if folder else ""
-            entries = system.get_file_info(fs.FileSelector(at))
-            for start in range(0, len(entries), BATCH):
-                some = entries[start : start + BATCH]
+            while some := list(islice(entries, BATCH)):
                 yield pd.DataFrame(
                     {
                         "root": root,
-                        "rel_path": [lead + e.base_name for e in some],
-                        "is_dir": [e.type == fs.FileType.Directory for e in some],
-                        "length": pd.array([e.size for e in some], dtype="Int64"),
+                        "rel_path": [lead + name for name, _, _ in some],
+                        "is_dir": [is_dir for _, is_dir, _ in some],
+                        "length": pd.array([size for _, _, size in some], dtype="Int64"),
                     }
                 )
 

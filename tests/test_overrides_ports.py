@@ -23,6 +23,7 @@ def test_global(spark):
     base = table(spark, ("a", "x", 1), ("b", "x", 3))
     assert rows(override_global(base, table(spark, ("a", "z", 9)))) == [("a", "z", 9)]
     assert rows(override_global(base, table(spark))) == rows(base)
+    assert rows(override_global(base, table(spark, ("a", "z", 9)), within="entity")) == [("a", "z", 9), ("b", "x", 3)]
 
 
 def test_manual_or_derived(spark):

@@ -42,11 +42,15 @@ def test_apply_settings(spark):
 
 def test_run_settings(spark):
     args = spark.createDataFrame([("e", 1, "ports", "1111"), ("e", 2, "ports", "9001"), ("e", 3, "image", "i")], "entity string, seq int, field string, value string")
-    base = spark.createDataFrame(BASIC, ENDPOINT)
-    override = spark.createDataFrame([("b", "other", "http", 0, ["http://:9001", "http://h:7/x"], None, None)], ENDPOINT)
+    def endpoints(*urls):
+        return spark.createDataFrame([("e", list(urls)), ("f", ["http://:5"])], "entity string, services array<string>")
+
+    base = endpoints("http://:9001/simple-test")
+    override = endpoints("http://:9001", "http://h:7/x").filter("entity = 'e'")
 
     def ports(df):
-        return sorted(r.key for r in df.filter("field = 'ports'").collect())
+        return sorted((r.entity, r.key) for r in df.filter("field = 'ports'").collect())
 
-    assert ports(run_settings(args, base, override)) == ["1111", "7", "9001"]
-    assert ports(run_settings(args, base, spark.createDataFrame([], ENDPOINT))) == ["1111", "9001"]
+    # Run f has no override and keeps its own endpoints.
+    assert ports(run_settings(args, base, override)) == [("e", "1111"), ("e", "7"), ("e", "9001"), ("f", "5")]
+    assert ports(run_settings(args, base, override.limit(0))) == [("e", "1111"), ("e", "9001"), ("f", "5")]

@@ -20,15 +20,16 @@ def skewed(spark):
 
 
 def test_split_hot(skewed):
-    cold, hot = split_hot(skewed, ["k"], 500)
+    cold, hot, slices = split_hot(skewed, ["k"], 300)
+    assert slices == 4
     assert hot.select("k").distinct().collect()[0][0] == "hot"
     assert cold.count() + hot.count() == 3000
-    assert split_hot(skewed, ["k"], 5000)[1] is None
+    assert split_hot(skewed, ["k"], 5000).hot is None
 
 
 def test_null_keys_can_be_hot(spark):
     df = spark.createDataFrame([(None, i) for i in range(50)] + [("a", 1)], "k string, id int")
-    cold, hot = split_hot(df, ["k"], 10)
+    cold, hot, _ = split_hot(df, ["k"], 10)
     assert (cold.count(), hot.count()) == (1, 50)
 
 
