@@ -33,6 +33,7 @@ def typed_path(path: Column, is_regex: Column) -> Column:
     Plain text is a ``path``. A regex that starts with ``^/`` and does not end with ``$`` is a
     ``path-beg`` without its ``^`` and must be a plain prefix; any other is a ``path-regex``.
     """
+    is_regex = F.coalesce(is_regex, F.lit(False))
     begins = is_regex & path.startswith("^/") & ~path.endswith("$")
     prefix = F.substr(path, F.lit(2))
     plain = prefix.rlike(PLAIN_PREFIX)

@@ -38,7 +38,8 @@ def content_catalog(df: DataFrame, id_col: str, content: str) -> DataFrame:
     )
 
 
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _digester():
+    """The digest of files, as a function that tasks can run without this package installed."""
     from pyarrow import fs
 
     def one(root: str, rel_path: str) -> str:
@@ -50,9 +51,12 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 seen.update(block)
         return seen.hexdigest()
 
-    for batch in batches:
-        pairs = zip(batch["root"], batch["rel_path"], strict=True)
-        yield batch.assign(digest=[one(root, rel_path) for root, rel_path in pairs])
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pairs = zip(batch["root"], batch["rel_path"], strict=True)
+            yield batch.assign(digest=[one(root, rel_path) for root, rel_path in pairs])
+
+    return digests
 
 
 def file_digests(files: DataFrame, tasks: int | None = None) -> DataFrame:
@@ -64,7 +68,7 @@ def file_digests(files: DataFrame, tasks: int | None = None) -> DataFrame:
     """
     tasks = tasks or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = files.select("root", "rel_path", "length").repartition(tasks, "root", "rel_path")
-    digests = spread.mapInPandas(_digests, "root string, rel_path string, length long, digest string")
+    digests = spread.mapInPandas(_digester(), "root string, rel_path string, length long, digest string")
     base = F.regexp_extract("rel_path", r"([^/]*)\z", 1)
     return digests.withColumn("artifact", artifact_name(base, F.col("digest")))
 

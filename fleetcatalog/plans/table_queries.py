@@ -30,6 +30,7 @@ from ..functions import (
 from ..operators import contents, fold, history, install, manifest, matching, overlay
 from ..operators import overrides, placement, ports, routes, services, validation
 from ..sources import reports, tree
+from . import local_run
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,6 +98,14 @@ def service_uri_endpoints(spark: SparkSession, folder: str) -> DataFrame:
     return endpoints.select("descriptor_set", "label", "part", "bind_protocol", F.array_join("services", ",").alias("services"))
 
 
+def descriptor_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Descriptors of pages, and texts of documents in place of descriptors."""
+    texts = _read(spark, folder, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("json"))
+    described = _descriptors(spark, folder).select("seq", "json")
+    both = described.withColumn("origin", F.lit("pages")).union(texts.withColumn("origin", F.lit("documents")))
+    return services.descriptor_errors(both).select("origin", "seq")
+
+
 def content_catalog(spark: SparkSession, folder: str) -> DataFrame:
     return contents.content_catalog(_read(spark, folder, "documents"), "doc_id", "text")
 
@@ -435,6 +444,28 @@ def manifest_emit(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.manifest_emit(complete, endpoints)
 
 
+def manifest_artifacts(spark: SparkSession, folder: str) -> DataFrame:
+    """Manifests of orders, each under a name with the digest of its text."""
+    manifests = manifest_emit(spark, folder)
+    named = manifests.withColumn("name", F.concat("bundle", F.lit("."), "part", F.lit(".json")))
+    return contents.content_names(named, "bundle", "manifest", "name")
+
+
+def run_settings(spark: SparkSession, folder: str) -> DataFrame:
+    """A run per user: its events as arguments, clicks as endpoints, views of users in error as overrides."""
+    user = _text("user_id").alias("entity")
+    events = _events(spark, folder)
+    uri = F.concat(F.lit("http://:"), (F.floor("value") + 1000).cast("string"))
+    failed = events.filter(F.col("event_type") == "error").select(user).distinct()
+    args = events.select(
+        user, F.col("event_id").alias("seq"), F.lit("ports").alias("field"), F.floor("value").cast("string").alias("value")
+    )
+    endpoints = events.select("event_type", user, F.array(uri).alias("services"))
+    base = endpoints.filter(F.col("event_type") == "click").drop("event_type")
+    override = endpoints.filter(F.col("event_type") == "view").drop("event_type").join(failed, "entity", "left_semi")
+    return local_run.run_settings(args, base, override).select("entity", "field", "key")
+
+
 def resource_units(spark: SparkSession, folder: str) -> DataFrame:
     size = F.col("p_size")
     cents = F.round(F.col("p_retailprice") * 100).cast("long")
@@ -621,6 +652,7 @@ QUERIES: dict[str, Query] = {
         service_uris,
         service_endpoints,
         service_uri_endpoints,
+        descriptor_errors,
         content_catalog,
         content_names,
         incremental_load,
@@ -645,6 +677,8 @@ QUERIES: dict[str, Query] = {
         report_names,
         report_counts,
         manifest_emit,
+        manifest_artifacts,
+        run_settings,
         resource_units,
         resource_normalize,
         route_match,

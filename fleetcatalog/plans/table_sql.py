@@ -136,6 +136,38 @@ placed AS (
     ON n.cpus >= d.cpus AND n.memory >= d.memory AND (len(d.roles) = 0 OR list_has_any(n.roles, d.roles))
   GROUP BY p_partkey)"""
 
+MANIFESTS = r"""
+WITH entries AS (
+  SELECT l_orderkey, l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d') AS label,
+    '{"bind-protocol":"http","bind-port":0'
+    || CASE WHEN l_linestatus = 'O' THEN ',"service-name":"svc"' ELSE '' END
+    || CASE WHEN l_returnflag <> 'R' THEN ',"services":["http://:' || l_suppkey || '"]'
+       ELSE ',"acls":[{"http":{"requests":[{"path-beg":"/p/' || l_partkey || '","method":"GET"}]}},{"tcp":{"requests":['
+            || l_linenumber || ']}}]' END || '}' AS doc
+  FROM lineitem),
+numbered AS (SELECT *, ((row_number() OVER (PARTITION BY l_orderkey ORDER BY label) - 1) // 1000)::INTEGER AS part FROM entries),
+lists AS (
+  SELECT l_orderkey, part, count(*)::INTEGER AS endpoints,
+         string_agg('"' || label || '":' || doc, ',' ORDER BY label) AS docs FROM numbered GROUP BY ALL),
+joined AS (
+  SELECT o.*, coalesce(part, 0) AS part, coalesce(endpoints, 0) AS endpoints, coalesce(docs, '') AS docs,
+         length(o_orderpriority) AS p
+  FROM orders o LEFT JOIN lists ON o_orderkey = l_orderkey)
+SELECT 'order-' || o_orderkey AS bundle, part, endpoints,
+  CASE WHEN part = 0 THEN
+    '{"version":"1","name":"order-' || o_orderkey || '","compatibilityVersion":"' || p || '","tags":["' || p || '.' || o_custkey
+    || '"],"system":"order-' || o_orderkey || '","systemVersion":"' || p || '","nrOfCpus":0.5,"memory":' || (p * 1048576)
+    || ',"diskSpace":200000000,"roles":["' || o_orderstatus || '"],"components":{"order-' || o_orderkey
+    || '":{"description":"' || o_orderpriority || '","file-system-type":"universal","start-command":["bin/run"],"endpoints":{'
+    || docs || '}}'
+    || CASE WHEN o_orderstatus = 'F' THEN
+         ',"bundle-status":{"description":"Status check for the bundle component","file-system-type":"universal",'
+         || '"start-command":["check","--initial-delay","' || greatest(1, o_custkey // 1000) || '","$HOST?' || o_custkey
+         || '"],"endpoints":{}}' ELSE '' END || '}}'
+  ELSE '{"name":"order-' || o_orderkey || '","components":{"order-' || o_orderkey || '":{"endpoints":{' || docs || '}}}}'
+  END AS manifest
+FROM joined"""
+
 ORACLE: dict[str, str] = {
     "service_catalog": f"WITH {SERVICE_RULES} SELECT * FROM rules",
     "service_uris": f"WITH {SERVICE_URIS} SELECT * FROM uris",
@@ -162,6 +194,7 @@ SELECT descriptor_set, service AS label, part, 'http' AS bind_protocol, string_a
 FROM numbered GROUP BY ALL
 UNION ALL
 SELECT DISTINCT scheme, 'akka-remote', 0, 'tcp', '' FROM paths""",
+    "descriptor_errors": "SELECT 'documents' AS origin, doc_id AS seq FROM documents",
     "content_catalog": """
 SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY sha256(text)""",
     "content_names": """
@@ -254,37 +287,21 @@ SELECT DISTINCT doc_id, name FROM words WHERE name <> ''""",
     "report_counts": """
 SELECT c_custkey, c_custkey::VARCHAR AS id, c_name AS name, c_nationkey AS replicated,
        length(c_mktsegment)::INTEGER AS starting, NULL::INTEGER AS running FROM customer""",
-    "manifest_emit": r"""
-WITH entries AS (
-  SELECT l_orderkey, l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d') AS label,
-    '{"bind-protocol":"http","bind-port":0'
-    || CASE WHEN l_linestatus = 'O' THEN ',"service-name":"svc"' ELSE '' END
-    || CASE WHEN l_returnflag <> 'R' THEN ',"services":["http://:' || l_suppkey || '"]'
-       ELSE ',"acls":[{"http":{"requests":[{"path-beg":"/p/' || l_partkey || '","method":"GET"}]}},{"tcp":{"requests":['
-            || l_linenumber || ']}}]' END || '}' AS doc
-  FROM lineitem),
-numbered AS (SELECT *, ((row_number() OVER (PARTITION BY l_orderkey ORDER BY label) - 1) // 1000)::INTEGER AS part FROM entries),
-lists AS (
-  SELECT l_orderkey, part, count(*)::INTEGER AS endpoints,
-         string_agg('"' || label || '":' || doc, ',' ORDER BY label) AS docs FROM numbered GROUP BY ALL),
-joined AS (
-  SELECT o.*, coalesce(part, 0) AS part, coalesce(endpoints, 0) AS endpoints, coalesce(docs, '') AS docs,
-         length(o_orderpriority) AS p
-  FROM orders o LEFT JOIN lists ON o_orderkey = l_orderkey)
-SELECT 'order-' || o_orderkey AS bundle, part, endpoints,
-  CASE WHEN part = 0 THEN
-    '{"version":"1","name":"order-' || o_orderkey || '","compatibilityVersion":"' || p || '","tags":["' || p || '.' || o_custkey
-    || '"],"system":"order-' || o_orderkey || '","systemVersion":"' || p || '","nrOfCpus":0.5,"memory":' || (p * 1048576)
-    || ',"diskSpace":200000000,"roles":["' || o_orderstatus || '"],"components":{"order-' || o_orderkey
-    || '":{"description":"' || o_orderpriority || '","file-system-type":"universal","start-command":["bin/run"],"endpoints":{'
-    || docs || '}}'
-    || CASE WHEN o_orderstatus = 'F' THEN
-         ',"bundle-status":{"description":"Status check for the bundle component","file-system-type":"universal",'
-         || '"start-command":["check","--initial-delay","' || greatest(1, o_custkey // 1000) || '","$HOST?' || o_custkey
-         || '"],"endpoints":{}}' ELSE '' END || '}}'
-  ELSE '{"name":"order-' || o_orderkey || '","components":{"order-' || o_orderkey || '":{"endpoints":{' || docs || '}}}}'
-  END AS manifest
-FROM joined""",
+    "manifest_emit": MANIFESTS,
+    "manifest_artifacts": f"""
+WITH m AS ({MANIFESTS})
+SELECT bundle AS id, sha256(manifest) AS digest, bundle || '.' || part || '-' || sha256(manifest) || '.json' AS artifact
+FROM m""",
+    "run_settings": """
+WITH views AS (
+  SELECT user_id, (floor(value) + 1000)::INTEGER AS port FROM events e
+  WHERE event_type = 'view' AND EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error')),
+clicks AS (
+  SELECT user_id, (floor(value) + 1000)::INTEGER AS port FROM events
+  WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM views)),
+given AS (SELECT user_id, floor(value)::INTEGER AS port FROM events)
+SELECT user_id::VARCHAR AS entity, 'ports' AS field, port::VARCHAR AS key
+FROM (SELECT * FROM views UNION SELECT * FROM clicks UNION SELECT * FROM given)""",
     "resource_units": """
 WITH p AS (SELECT *, round(p_retailprice * 100)::BIGINT AS cents, p_size::BIGINT AS size FROM part)
 SELECT p_partkey, size * 1000 AS kb, size * 1000000 AS mb, size * 1000000000 AS gb, size * 1000000000000 AS tb,

@@ -17,37 +17,38 @@ LISTING = "root string, rel_path string, is_dir boolean, length long"
 BATCH = 10_000
 
 
-def _entries(system, folder: str) -> Iterator[tuple[str, bool, int | None]]:
+def _lister():
+    """The listing of folders, as a function that tasks can run without this package installed."""
     from pyarrow import fs
 
-    if isinstance(system, fs.LocalFileSystem):
-        # One entry at a time: a folder may hold any number of files.
-        with os.scandir(folder) as entries:
-            for entry in entries:
-                is_dir = entry.is_dir()
-                yield entry.name, is_dir, None if is_dir else entry.stat().st_size
-    else:
-        for entry in system.get_file_info(fs.FileSelector(folder)):
-            yield entry.base_name, entry.type == fs.FileType.Directory, entry.size
+    def entries(system, folder: str) -> Iterator[tuple[str, bool, int | None]]:
+        if isinstance(system, fs.LocalFileSystem):
+            # One entry at a time: a folder may hold any number of files.
+            with os.scandir(folder) as found:
+                for entry in found:
+                    is_dir = entry.is_dir()
+                    yield entry.name, is_dir, None if is_dir else entry.stat().st_size
+        else:
+            for entry in system.get_file_info(fs.FileSelector(folder)):
+                yield entry.base_name, entry.type == fs.FileType.Directory, entry.size
 
+    def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for root, folder in zip(batch["root"], batch["rel_path"], strict=True):
+                system, top = fs.FileSystem.from_uri(root)
+                found = entries(system, f"{top.rstrip('/')}/{folder}")
+                lead = f"{folder}/" if folder else ""
+                while some := list(islice(found, BATCH)):
+                    yield pd.DataFrame(
+                        {
+                            "root": root,
+                            "rel_path": [lead + name for name, _, _ in some],
+                            "is_dir": [is_dir for _, is_dir, _ in some],
+                            "length": pd.array([size for _, _, size in some], dtype="Int64"),
+                        }
+                    )
 
-def _children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
-
-    for batch in batches:
-        for root, folder in zip(batch["root"], batch["rel_path"], strict=True):
-            system, top = fs.FileSystem.from_uri(root)
-            entries = _entries(system, f"{top.rstrip('/')}/{folder}")
-            lead = f"{folder}/" if folder else ""
-            while some := list(islice(entries, BATCH)):
-                yield pd.DataFrame(
-                    {
-                        "root": root,
-                        "rel_path": [lead + name for name, _, _ in some],
-                        "is_dir": [is_dir for _, is_dir, _ in some],
-                        "length": pd.array([size for _, _, size in some], dtype="Int64"),
-                    }
-                )
+    return children
 
 
 def tree_scan(spark: SparkSession, roots: Sequence[str], pattern: str = "*") -> DataFrame:
@@ -60,7 +61,7 @@ def tree_scan(spark: SparkSession, roots: Sequence[str], pattern: str = "*") ->
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = []
     while True:
-        listed = durable(level.repartition(tasks, "root", "rel_path").mapInPandas(_children, LISTING))
+        listed = durable(level.repartition(tasks, "root", "rel_path").mapInPandas(_lister(), LISTING))
         found.append(listed.filter(~F.col("is_dir")).select("root", "rel_path", "length"))
         level = listed.filter("is_dir").select("root", "rel_path")
         if level.isEmpty():

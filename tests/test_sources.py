@@ -4,6 +4,7 @@ from conftest import rows
 
 from fleetcatalog.operators.contents import file_catalog, file_digests
 from fleetcatalog.sources.reports import report_counts, report_names
+from fleetcatalog.sources.texts import read_texts
 from fleetcatalog.sources.tree import tree_scan
 
 
@@ -89,3 +90,10 @@ def test_report_counts(spark):
     assert got["def", "visualizer"] == (1, 0, 0)
     assert got["i4", "name4"] == (4, 0, 0)
     assert ("i5", "name5") not in got and len(got) == 8
+
+
+def test_read_texts(spark, tmp_path):
+    write(tmp_path, "a/one.json", "two.json", text="[\n]")
+    write(tmp_path, "three.txt")
+    got = {r.source.rsplit("/", 1)[1]: r.text for r in read_texts(spark, str(tmp_path), "*.json").collect()}
+    assert got == {"one.json": "[\n]", "two.json": "[\n]"}
