@@ -26,14 +26,23 @@ def _anchored(pattern: Column) -> Column:
     return F.concat(F.lit("^(?:"), pattern, F.lit(")"))
 
 
+# Groups nested deeper than this are not looked into.
+GROUP_DEPTH = 4
+
+
 def _match_key(kind: Column, value: Column) -> Column:
     """Text a path must begin with to match at all.
 
-    For a regex, its leading plain characters, less one that a quantifier makes optional; none if
-    it has alternatives.
+    For a regex, its leading plain characters, less one that a quantifier makes optional. There
+    are none if it may have alternatives outside of all groups: classes and groups are taken out,
+    and what is left must have no bar and no bracket.
     """
     literal = F.regexp_extract(value, r"^\^?((?:[A-Za-z0-9/_-](?![*?{]))*)", 1)
-    plain = F.when(F.contains(value, F.lit("|")), F.lit("")).otherwise(literal)
+    left = F.regexp_replace(F.regexp_replace(value, r"\\.", ""), r"\[[^\]]*\]", "")
+    for _ in range(GROUP_DEPTH):
+        left = F.regexp_replace(left, r"\([^()]*\)", "")
+    unclear = left.rlike(r"[|()\[\]]") | F.contains(value, F.lit(r"\Q"))
+    plain = F.when(unclear, F.lit("")).otherwise(literal)
     return F.when(kind == "path-regex", plain).otherwise(value)
 
 
@@ -65,7 +74,8 @@ def _pairs(paths: DataFrame, rules: DataFrame) -> DataFrame:
             )
         ),
     )
-    # Equal keys are a match, but for a regex only its plain beginning has been compared.
+    # Equal keys are a match, but for a regex only its plain beginning has been compared. One
+    # that has none is tested against every distinct path; nothing else would be exact.
     fits = (F.col("kind") != "path-regex") | F.rlike("path", _anchored(F.col("value")))
     allowed = F.col("rule_method").isNull() | (F.col("rule_method") == F.col("method"))
     return heads.join(keyed, ["whole", "key"]).filter(fits & allowed)

@@ -2,8 +2,9 @@ import random
 import re
 
 from conftest import rows
+from pyspark.sql import functions as F
 
-from fleetcatalog.operators.matching import name_resolve, port_match, route_match, route_matches
+from fleetcatalog.operators.matching import _match_key, name_resolve, port_match, route_match, route_matches
 
 RULES = [
     ("exact", 2, "path", "/a/b", None, "/z"),
@@ -14,6 +15,10 @@ RULES = [
     ("digits", 4, "path-regex", "^/n/[0-9]+", None, "/num"),
     ("either", 5, "path-regex", "/(x|y)/1$", None, None),
     ("optional", 6, "path-regex", "/qq?/r", None, None),
+    ("class", 7, "path-regex", "/regex1/[a|b|c]", None, None),
+    ("bars", 7, "path-regex", "^/n/1|/a/((x|y)|z)", None, None),
+    ("nested", 7, "path-regex", "/b/((a|b)?/(1|22))+$", None, None),
+    ("quoted", 7, "path-regex", r"/a\Q[\E|/b\Q]\E", None, None),
     ("star", 6, "path-regex", "^/ab*c$", None, None),
     ("any", 8, "path-regex", ".*end$", None, None),
     ("port", 0, "port", None, None, None),
@@ -30,15 +35,20 @@ def fits(rule, path, method):
         return path == value
     if kind == "path-beg":
         return path.startswith(value)
-    return re.match(value, path) is not None
+    return re.match(python(value), path) is not None
+
+
+def python(pattern):
+    return pattern.replace(r"\Q[\E", r"\[").replace(r"\Q]\E", r"\]")
 
 
 def test_against_all_pairs(spark):
     rng = random.Random(3)
-    pieces = ["a", "b", "n", "x", "y", "q", "qq", "r", "1", "22", "ac", "abbc", "end", ""]
+    pieces = ["a", "b", "n", "x", "y", "q", "qq", "r", "1", "22", "ac", "abbc", "end", "b]", "a[", "regex1", "a|x", ""]
     paths = ["/" + "/".join(rng.choices(pieces, k=rng.randrange(1, 4))) for _ in range(300)] + ["", "/a/b", "/ab", None]
     requests = [(i, p, rng.choice(["GET", "POST", None])) for i, p in enumerate(paths)]
-    requests.append((len(requests), "/a/b", "GET"))
+    paths = ["/a/b", "/regex1/a", "/regex1/|", "/b/a/22", "/b]", "/a[", "/x/1"]
+    requests += [(len(requests) + i, p, "GET") for i, p in enumerate(paths)]
     rules = spark.createDataFrame(RULES, RULE)
     df = spark.createDataFrame(requests, REQUEST)
     expected = {(p, m, r[0]) for _, p, m in requests for r in RULES if fits(r, p, m)}
@@ -52,12 +62,22 @@ def test_against_all_pairs(spark):
             assert got[i] == (None, 0, None)
             continue
         rule = found[0][3]
-        matched = re.match(rule[3], path).group() if rule[2] == "path-regex" else rule[3]
+        matched = re.match(python(rule[3]), path).group() if rule[2] == "path-regex" else rule[3]
         target = path if rule[5] is None else rule[5] + path[len(matched):]
         assert got[i] == (rule[0], len(found), target)
     assert len(got) == len(requests)
 
 
+def test_plain_beginnings(spark):
+    patterns = {
+        "^/n/[0-9]+": "/n/", "/(x|y)/1$": "/", "/regex1/[a|b|c]": "/regex1/", "/a|/b": "", "/qq?/r": "/q", "ab*c": "a",
+        "/a{0,2}": "/", "/((((a|b))))c": "/", "/(((((a|b)))))c": "", r"/a\Q|\E": "", "[]|]": "", r"/a\|b": "/a", ".*": "",
+    }
+    df = spark.createDataFrame(list(patterns.items()), "p string, k string")
+    wrong = df.withColumn("got", _match_key(F.lit("path-regex"), F.col("p"))).filter("got <> k")
+    assert rows(wrong) == []
+
+
 def test_no_rules(spark):
     rules = spark.createDataFrame([], RULE)
     df = spark.createDataFrame([(1, "/a", "GET")], REQUEST)
