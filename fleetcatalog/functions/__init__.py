@@ -13,6 +13,7 @@ from .text import (
     package_name,
     pair_key,
     pair_value,
+    version_rank,
 )
 from .units import binary_bytes, decimal_bytes, round_up_kib, whole_seconds
 from .uris import uri_port
@@ -40,5 +41,6 @@ __all__ = [
     "typed_path",
     "typed_request",
     "uri_port",
+    "version_rank",
     "whole_seconds",
 ]

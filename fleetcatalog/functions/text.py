@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fixed import TARGET_VERSIONS
+
 # "=" splits the text into exactly two parts; empty parts at the end do not count.
 PAIR = r"^[^=]*=[^=]+=*\z"
 
@@ -24,6 +26,14 @@ def compat_version(version: Column) -> Column:
     return F.substring_index(version, ".", 1)
 
 
+def version_rank(version: Column) -> Column:
+    """Place of a target version in their declared order; null for an unknown one."""
+    rank = F.lit(None).cast("int")
+    for place, known in enumerate(TARGET_VERSIONS):
+        rank = F.when(version == known, F.lit(place)).otherwise(rank)
+    return rank
+
+
 def major_minor_tag(version: Column) -> Column:
     """First two characters of the version without its dots (``2.10.1`` gives ``21``)."""
     return F.left(F.replace(version, F.lit("."), F.lit("")), F.lit(2))

@@ -12,17 +12,24 @@ from ..functions import (
     package_name,
     round_up_kib,
     typed_request,
+    version_rank,
     whole_seconds,
 )
 from ..functions.fixed import (
     CHECK_COMMAND,
     CHECK_DESCRIPTION,
     CHECK_LABEL,
+    CHECK_SETTINGS,
+    COMPONENT_SETTINGS,
     DEFAULT_CHECK_DELAY_MS,
     DEFAULT_FILE_SYSTEM_TYPE,
     DEFAULT_MIN_MEMORY_MIB,
     DEFAULT_ROLES,
+    DEFAULT_TARGET_VERSION,
+    FIRST_VERSION_WITH_ACLS,
+    HEADER_SETTINGS,
     MANIFEST_VERSION,
+    TARGET_VERSIONS,
     WEB_CPUS,
     WEB_DISK_MB,
     WEB_HEAP_MIB,
@@ -77,6 +84,13 @@ def bundle_names(bundles: DataFrame) -> DataFrame:
     )
 
 
+def version_defaults(bundles: DataFrame) -> DataFrame:
+    """``bundles`` with ``target_version`` and ``enable_acls`` filled: access rules are on where the target has them."""
+    target = F.coalesce("target_version", F.lit(DEFAULT_TARGET_VERSION))
+    supported = version_rank(F.col("target_version")) >= TARGET_VERSIONS.index(FIRST_VERSION_WITH_ACLS)
+    return bundles.withColumn("target_version", target).withColumn("enable_acls", F.coalesce("enable_acls", supported))
+
+
 def endpoint_document(endpoint: Column) -> Column:
     """Manifest form of one endpoint; what is null is left out of the JSON, what is empty is not."""
     def acl(a: Column) -> Column:
@@ -166,3 +180,48 @@ def manifest_emit(
     return joined.select(
         F.col("name").alias("bundle"), "part", F.size("_entries").alias("endpoints"), F.to_json(manifest).alias("manifest")
     )
+
+
+def settings_manifest(resolved: DataFrame, full: bool) -> DataFrame:
+    """A JSON document per target from its resolved settings: ``(target, manifest)``.
+
+    ``resolved`` is ``(target, key, value, scope)`` with values as text, those of list and map
+    fields as JSON. With ``full`` all fields are written, else only those a configuration
+    supplies, and nothing for a target of which no field but the checks is supplied. The component
+    is always named after the target's name. A target has one row per setting name at most.
+    """
+    shown = F.lit(full) | F.col("scope").isNotNull()
+
+    def value(key: str, type_: str, when: Column) -> Column:
+        text = F.max(F.when((F.col("key") == key) & when, F.col("value")))
+        typed = F.from_json(text, type_) if type_.startswith(("array", "map")) else text.cast(type_)
+        return typed.alias(key)
+
+    types = {**HEADER_SETTINGS, **COMPONENT_SETTINGS, "checks": CHECK_SETTINGS["checks"]}
+    known = F.col("key").isin(*HEADER_SETTINGS, *COMPONENT_SETTINGS)
+    wide = resolved.groupBy("target").agg(
+        *[value(key, type_, shown) for key, type_ in types.items()],
+        value("name", "string", F.lit(True)).alias("_name"),
+        value("checkInitialDelay", CHECK_SETTINGS["checkInitialDelay"], F.lit(True)).alias("_delay"),
+        F.bool_or(shown & known).alias("_any"),
+    )
+    delay = whole_seconds(F.coalesce("_delay", F.lit(DEFAULT_CHECK_DELAY_MS).cast("long")))
+    words = F.array(*[F.lit(word) for word in CHECK_COMMAND], delay.cast("string"))
+    none = F.map_filter("endpoints", lambda k, v: F.lit(False))
+    check = F.struct(
+        F.lit(CHECK_DESCRIPTION).alias("description"),
+        F.lit(DEFAULT_FILE_SYSTEM_TYPE).alias("file-system-type"),
+        F.concat(words, F.col("checks")).alias("start-command"),
+        F.coalesce(none, F.from_json(F.lit("{}"), COMPONENT_SETTINGS["endpoints"])).alias("endpoints"),
+    )
+    own = F.struct(*[F.col(f"`{key}`") for key in COMPONENT_SETTINGS])
+    components = F.array(
+        F.struct(F.col("_name").alias("key"), own.alias("value")),
+        F.when(F.size("checks") > 0, F.struct(F.lit(CHECK_LABEL).alias("key"), check.alias("value"))),
+    )
+    document = F.struct(
+        F.lit(MANIFEST_VERSION).alias("version"),
+        *HEADER_SETTINGS,
+        F.map_from_entries(F.filter(components, lambda c: c.isNotNull())).alias("components"),
+    )
+    return wide.filter("_any").select("target", F.to_json(document).alias("manifest"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fixed import CHECK_SETTINGS
 from .spread import durable
 
-# Supplying only these does not make a delta worth emitting.
-NON_QUALIFYING = ("checks",)
+NON_QUALIFYING = tuple(CHECK_SETTINGS)
 
 
 def scope_chain(scopes: DataFrame, max_depth: int = 64) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Three ways in which one set of endpoints replaces another."""
+"""Default endpoints, and three ways in which one set of endpoints replaces another."""
 
 from __future__ import annotations
 
@@ -7,9 +7,44 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed import DEFAULT_LABEL, DEFAULT_SERVICE_PORT
 from .spread import prefixed, same
 
 
+ACLS = (
+    "array<struct<family:string,http:array<struct<method:string,path:string,is_regex:boolean,"
+    "rewrite:string>>,ports:array<int>>>"
+)
+
+
+def default_endpoints(bundles: DataFrame, web: bool = False, port: int = DEFAULT_SERVICE_PORT) -> DataFrame:
+    """The endpoint a bundle has when it declares none: one row per bundle.
+
+    It serves nothing to the outside, and has a service name if access rules are enabled. For
+    ``web`` bundles it takes all paths, by a rule if those are enabled, else by the URI of ``port``.
+    """
+    acls_on = F.col("enable_acls")
+    no_uris = F.array().cast("array<string>")
+    if web:
+        everything = F.expr(
+            "array(named_struct('family', 'http', 'http', array(named_struct('method', null, 'path', '^/', "
+            "'is_regex', true, 'rewrite', null)), 'ports', null))"
+        )
+        services = F.when(~acls_on, F.array(F.lit(f"http://:{port}")))
+        acls = F.when(acls_on, everything.cast(ACLS))
+    else:
+        services, acls = no_uris, F.lit(None).cast(ACLS)
+    return bundles.select(
+        F.col("name").alias("bundle"),
+        F.lit(DEFAULT_LABEL).alias("label"),
+        F.lit("http").alias("bind_protocol"),
+        F.lit(0).alias("bind_port"),
+        services.alias("services"),
+        F.when(acls_on, F.lit(DEFAULT_LABEL)).alias("service_name"),
+        acls.alias("acls"),
+    )
+
+
 def override_per_entity(
     base: DataFrame, override: DataFrame, defined: DataFrame, entity: str
 ) -> DataFrame:

@@ -5,19 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import version_rank
 from ..functions.fixed import LAST_VERSION_WITHOUT_ACLS, TARGET_VERSIONS
 
 RULES = ("version", "endpoint", "memory")
 
 
-def version_rank(version: Column) -> Column:
-    """Place of a target version in their declared order; null for an unknown one."""
-    rank = F.lit(None).cast("int")
-    for place, known in enumerate(TARGET_VERSIONS):
-        rank = F.when(version == known, F.lit(place)).otherwise(rank)
-    return rank
-
-
 def violations(bundles: DataFrame, endpoints: DataFrame) -> DataFrame:
     """All broken rules: ``(bundle, rule, label, message)``.
 

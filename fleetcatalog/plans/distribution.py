@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import artifact_name
 from ..operators.contents import digest
-from ..operators.manifest import bundle_names, manifest_emit, resource_normalize
+from ..operators.manifest import bundle_names, manifest_emit, resource_normalize, version_defaults
 from ..operators.overlay import overlay_delta, resolve_settings
 from ..operators.overrides import override_per_entity
 from ..operators.routes import route_rules
@@ -52,7 +52,7 @@ def distribute(
 
     The declared endpoints are checked, the overriding ones are emitted.
     """
-    complete = resource_normalize(bundle_names(bundles))
+    complete = resource_normalize(bundle_names(version_defaults(bundles)))
     report = violations(complete, endpoints)
     used = override_per_entity(endpoints, override, override_defined, "bundle")
     bad_rules = route_rules(used).filter(F.col("error").isNotNull())

@@ -226,22 +226,25 @@ def _customer_settings(spark: SparkSession, folder: str) -> DataFrame:
         .union(region.select(scope("r", "r_regionkey"), F.lit(None).cast("string"), F.lit(False)))
     )
 
+    def listed(column: str) -> Column:
+        return F.to_json(F.array(column))
+
     def settings(df: DataFrame, at: Column, values: dict[str, Column]) -> DataFrame:
         pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in values.items()])
         return df.select(at.alias("scope"), F.inline(pairs)).filter(F.col("value").isNotNull())
 
     balance, segment = F.col("c_acctbal"), F.col("c_mktsegment")
     defined = (
-        settings(region, scope("r", "r_regionkey"), {"cpus": F.lit(1), "memory": F.lit(64), "roles": F.col("r_name")})
+        settings(region, scope("r", "r_regionkey"), {"name": F.lower("r_name"), "nrOfCpus": F.lit(1), "memory": F.lit(64), "roles": listed("r_name")})
         .union(settings(nation, scope("n", "n_nationkey"), {"memory": F.when(F.col("n_regionkey") < 3, F.col("n_nationkey") + 100)}))
         .union(
             settings(
                 customer,
                 scope("c", "c_custkey"),
                 {
-                    "cpus": F.when(balance < 0, F.lit(2)),
-                    "roles": F.when(segment == "BUILDING", segment),
-                    "checks": F.when(segment == "MACHINERY", F.col("c_name")),
+                    "nrOfCpus": F.when(balance < 0, F.lit(2)),
+                    "roles": F.when(segment == "BUILDING", listed("c_mktsegment")),
+                    "checks": F.when(segment == "MACHINERY", listed("c_name")),
                 },
             )
         )
@@ -257,6 +260,31 @@ def overlay_delta(spark: SparkSession, folder: str) -> DataFrame:
     return overlay.overlay_delta(_customer_settings(spark, folder), full=False)
 
 
+def settings_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Full manifests and deltas, side by side."""
+    resolved = _customer_settings(spark, folder)
+    full = manifest.settings_manifest(resolved, full=True).withColumn("mode", F.lit("full"))
+    return full.unionByName(manifest.settings_manifest(resolved, full=False).withColumn("mode", F.lit("delta")))
+
+
+def default_endpoints(spark: SparkSession, folder: str) -> DataFrame:
+    """Default endpoints of parts as bundles, plain and for the web, as one JSON text each."""
+    version = F.when(F.col("p_type") == "STANDARD", "1.1").when(F.col("p_type") == "PROMO", "2.0")
+    bundles = manifest.version_defaults(
+        _read(spark, folder, "part").select(
+            _text("p_partkey").alias("name"),
+            version.alias("target_version"),
+            F.when(F.col("p_size") < 5, F.lit(False)).alias("enable_acls"),
+        )
+    )
+    kinds = [
+        overrides.default_endpoints(bundles, web).withColumn("kind", F.lit(kind))
+        for kind, web in (("plain", False), ("web", True))
+    ]
+    document = manifest.endpoint_document(F.struct(*manifest.ENDPOINT_FIELDS))
+    return kinds[0].unionByName(kinds[1]).select("bundle", "label", "kind", F.to_json(document).alias("endpoint"))
+
+
 def _base_and_override(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Suppliers per nation; nations of two regions define an override: their customers in debt."""
     base = _read(spark, folder, "supplier").select(
@@ -666,6 +694,8 @@ QUERIES: dict[str, Query] = {
         valid_bundles,
         overlay_resolve,
         overlay_delta,
+        settings_manifest,
+        default_endpoints,
         override_per_entity,
         override_global,
         manual_or_derived,

@@ -52,7 +52,7 @@ both_kinds AS (
   FROM lineitem WHERE l_returnflag <> 'R' AND l_tax >= 0.08 AND l_discount >= 0.1),
 report AS (SELECT * FROM gate UNION ALL SELECT * FROM low UNION ALL SELECT * FROM both_kinds)"""
 
-# A nation may define memory, a region defines three settings of its own; both are targets too.
+# A nation may define memory, a region defines four settings; both are targets too.
 RESOLVED = r"""
 nations AS (
   SELECT 'n' || n_nationkey AS target, n_nationkey, r_name,
@@ -62,17 +62,21 @@ nations AS (
 customers AS (
   SELECT 'c' || c_custkey AS target, c.*, memory, memory_scope, r_name
   FROM customer c JOIN nations ON c_nationkey = n_nationkey),
+places AS (
+  SELECT target, r_name, '1' AS cpus, NULL AS cpus_scope, memory, memory_scope, r_name AS role, NULL AS role_scope,
+         NULL AS checks FROM nations
+  UNION ALL SELECT 'r' || r_regionkey, r_name, '1', NULL, '64', NULL, r_name, NULL, NULL FROM region
+  UNION ALL SELECT target, r_name, CASE WHEN c_acctbal < 0 THEN '2' ELSE '1' END,
+         CASE WHEN c_acctbal < 0 THEN target END, memory, memory_scope,
+         CASE WHEN c_mktsegment = 'BUILDING' THEN c_mktsegment ELSE r_name END,
+         CASE WHEN c_mktsegment = 'BUILDING' THEN target END,
+         CASE WHEN c_mktsegment = 'MACHINERY' THEN c_name END FROM customers),
 resolved AS (
-  SELECT target, 'cpus' AS key, CASE WHEN c_acctbal < 0 THEN '2' ELSE '1' END AS value,
-         CASE WHEN c_acctbal < 0 THEN target END AS scope FROM customers
-  UNION ALL SELECT target, 'memory', memory, memory_scope FROM customers
-  UNION ALL SELECT target, 'roles', CASE WHEN c_mktsegment = 'BUILDING' THEN c_mktsegment ELSE r_name END,
-         CASE WHEN c_mktsegment = 'BUILDING' THEN target END FROM customers
-  UNION ALL SELECT target, 'checks', c_name, target FROM customers WHERE c_mktsegment = 'MACHINERY'
-  UNION ALL SELECT target, 'cpus', '1', NULL FROM nations
-  UNION ALL SELECT target, 'memory', memory, memory_scope FROM nations
-  UNION ALL SELECT target, 'roles', r_name, NULL FROM nations
-  UNION ALL SELECT 'r' || r_regionkey, unnest(['cpus', 'memory', 'roles']), unnest(['1', '64', r_name]), NULL FROM region)"""
+  SELECT target, 'name' AS key, lower(r_name) AS value, NULL AS scope FROM places
+  UNION ALL SELECT target, 'nrOfCpus', cpus, cpus_scope FROM places
+  UNION ALL SELECT target, 'memory', memory, memory_scope FROM places
+  UNION ALL SELECT target, 'roles', '["' || role || '"]', role_scope FROM places
+  UNION ALL SELECT target, 'checks', '["' || checks || '"]', target FROM places WHERE checks IS NOT NULL)"""
 
 OVERRIDES = r"""
 base AS (SELECT s_nationkey AS entity, s_name AS label, s_suppkey + 9000 AS port FROM supplier),
@@ -241,6 +245,31 @@ WHERE p_partkey::VARCHAR NOT IN (SELECT bundle FROM report)""",
     "overlay_delta": f"""
 WITH {RESOLVED} SELECT * FROM resolved r WHERE scope IS NOT NULL
 AND EXISTS (SELECT 1 FROM resolved o WHERE o.target = r.target AND o.scope IS NOT NULL AND o.key <> 'checks')""",
+    "settings_manifest": f"""
+WITH {RESOLVED},
+modes AS (
+  SELECT *, 'full' AS mode, true AS whole FROM places
+  UNION ALL SELECT *, 'delta', false FROM places
+  WHERE coalesce(cpus_scope, memory_scope, role_scope) IS NOT NULL)
+SELECT target, mode, '{{"version":"1"' || CASE WHEN whole THEN ',"name":"' || lower(r_name) || '"' ELSE '' END
+  || CASE WHEN whole OR cpus_scope IS NOT NULL THEN ',"nrOfCpus":' || cpus || '.0' ELSE '' END
+  || CASE WHEN whole OR memory_scope IS NOT NULL THEN ',"memory":' || memory ELSE '' END
+  || CASE WHEN whole OR role_scope IS NOT NULL THEN ',"roles":["' || role || '"]' ELSE '' END
+  || ',"components":{{"' || lower(r_name) || '":{{}}'
+  || CASE WHEN checks IS NOT NULL THEN ',"bundle-status":{{"description":"Status check for the bundle component",'
+          || '"file-system-type":"universal","start-command":["check","--initial-delay","3","' || checks
+          || '"],"endpoints":{{}}}}' ELSE '' END || '}}}}' AS manifest
+FROM modes""",
+    "default_endpoints": """
+WITH b AS (
+  SELECT p_partkey::VARCHAR AS bundle, p_type <> 'STANDARD' AND p_size >= 5 AS acls FROM part)
+SELECT bundle, 'web' AS label, 'plain' AS kind,
+       '{"bind-protocol":"http","bind-port":0' || CASE WHEN acls THEN ',"service-name":"web"' ELSE '' END
+       || ',"services":[]}' AS endpoint FROM b
+UNION ALL
+SELECT bundle, 'web', 'web', '{"bind-protocol":"http","bind-port":0'
+       || CASE WHEN acls THEN ',"service-name":"web","acls":[{"http":{"requests":[{"path-beg":"/"}]}}]}'
+               ELSE ',"services":["http://:9000"]}' END FROM b""",
     "override_per_entity": f"""
 WITH {OVERRIDES} SELECT * FROM base WHERE entity NOT IN (SELECT entity FROM defined)
 UNION ALL SELECT * FROM over""",

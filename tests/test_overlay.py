@@ -1,6 +1,9 @@
+import json
+
 import pytest
 from conftest import rows
 
+from fleetcatalog.operators.manifest import settings_manifest
 from fleetcatalog.operators.overlay import overlay_delta, resolve_settings, scope_chain
 
 SCOPES = [
@@ -56,3 +59,48 @@ def test_circle(spark):
     scopes = spark.createDataFrame([("a", "b", True), ("b", "a", True)], "scope string, parent string, is_config boolean")
     with pytest.raises(ValueError, match="circle"):
         scope_chain(scopes, max_depth=4)
+
+
+def test_manifest_of_settings(spark):
+    scopes = spark.createDataFrame(SCOPES, "scope string, parent string, is_config boolean")
+    data = [
+        *SETTINGS,
+        ("project", "name", "overlays"),
+        ("project", "tags", '["0.1.0-SNAPSHOT"]'),
+        ("project", "roles", '["web"]'),
+        ("project", "description", "overlays"),
+        ("project", "endpoints", '{"web":{"bind-protocol":"http","bind-port":0,"services":[]}}'),
+        ("other", "checks", '["$HOST"]'),
+        ("project", "checkInitialDelay", "1400"),
+    ]
+    settings = spark.createDataFrame([d for d in data if d[1:] != ("checks", "$HOST")], "scope string, key string, value string")
+    settings = settings.union(spark.createDataFrame([("checked", "checks", '["$HOST"]')], settings.schema))
+    resolved = resolve_settings(settings, scopes)
+    full = {r.target: json.loads(r.manifest) for r in settings_manifest(resolved, full=True).collect()}
+    assert full["backend"] == {
+        "version": "1",
+        "name": "overlays",
+        "tags": ["0.1.0-SNAPSHOT"],
+        "nrOfCpus": 2.0,
+        "memory": 64,
+        "roles": ["web"],
+        "components": {
+            "overlays": {
+                "description": "overlays",
+                "endpoints": {"web": {"bind-protocol": "http", "bind-port": 0, "services": []}},
+            }
+        },
+    }
+    delta = {r.target: json.loads(r.manifest) for r in settings_manifest(resolved, full=False).collect()}
+    assert delta["backend-config"] == {"version": "1", "nrOfCpus": 12.0, "components": {"overlays": {}}}
+    # Checks go along with another setting, with the delay whatever supplies it, but not alone.
+    assert delta["other"]["components"] == {
+        "overlays": {},
+        "bundle-status": {
+            "description": "Status check for the bundle component",
+            "file-system-type": "universal",
+            "start-command": ["check", "--initial-delay", "1", "$HOST"],
+            "endpoints": {},
+        },
+    }
+    assert sorted(delta) == ["backend", "backend-config", "configuration", "nested", "other"]

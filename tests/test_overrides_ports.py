@@ -1,7 +1,13 @@
 import pytest
 from conftest import rows
 
-from fleetcatalog.operators.overrides import manual_or_derived, override_global, override_per_entity
+from fleetcatalog.operators.manifest import version_defaults
+from fleetcatalog.operators.overrides import (
+    default_endpoints,
+    manual_or_derived,
+    override_global,
+    override_per_entity,
+)
 from fleetcatalog.operators.ports import exposed_ports, uri_ports
 
 SCHEMA = "entity string, label string, port int"
@@ -46,3 +52,21 @@ def test_exposed_ports(spark):
     assert [r.error for r in uri_ports(uris, "uri").collect()] == [None] * 4 + ["no port in http://:oops"]
     with pytest.raises(Exception, match="no port in http://:oops"):
         exposed_ports(uris, "uri", strict=True).collect()
+
+
+def test_default_endpoints(spark):
+    bundles = spark.createDataFrame(
+        [("new", None, None), ("old", "1.1", None), ("off", "2.0", False)], "name string, target_version string, enable_acls boolean"
+    )
+    filled = version_defaults(bundles)
+    assert rows(filled) == [("new", "2.0", True), ("off", "2.0", False), ("old", "1.1", False)]
+    plain = {r.bundle: tuple(r)[1:] for r in default_endpoints(filled).collect()}
+    assert plain == {
+        "new": ("web", "http", 0, [], "web", None),
+        "old": ("web", "http", 0, [], None, None),
+        "off": ("web", "http", 0, [], None, None),
+    }
+    web = {r.bundle: r for r in default_endpoints(filled, web=True).collect()}
+    assert (web["new"].services, web["new"].service_name) == (None, "web")
+    assert [tuple(a.http[0]) for a in web["new"].acls] == [(None, "^/", True, None)]
+    assert tuple(web["old"])[4:] == (["http://:9000"], None, None)
