@@ -41,9 +41,13 @@ def event_tail(df: DataFrame, key: str, ts: str, event_id: str, n: int, salts: i
 
 
 def event_time(ts: Column, date: bool = False, utc: bool = True, zone: str = "UTC") -> Column:
-    """Display text of a UTC timestamp without zone: the time, led by the date if asked, in UTC or ``zone``."""
+    """Display text of a UTC timestamp without zone: the time, led by the date if asked, in UTC or ``zone``.
+
+    The zone of the session has no say in it.
+    """
     shown = ts if utc else F.convert_timezone(F.lit("UTC"), F.lit(zone), ts)
-    return F.date_format(shown, "yyyy-MM-dd HH:mm:ss" if date else "HH:mm:ss")
+    text = shown.cast("timestamp_ntz").cast("string")
+    return F.substring(text, 1, 19) if date else F.substring(text, 12, 8)
 
 
 def status_rollup(df: DataFrame, name: str, status: str, statuses: Sequence[str]) -> DataFrame:

@@ -366,18 +366,18 @@ def _event_args(spark: SparkSession, folder: str) -> DataFrame:
     """Events as arguments of their user; a sign-up gives an environment pair without a value, which is left out."""
     kind, k = F.col("event_type"), F.col("k")
 
-    def arg(name: str, value: Column) -> Column:
-        return F.struct(F.lit(name).alias("field"), value.cast("string").alias("value"))
+    def arg(name: Column, value: Column) -> Column:
+        return F.struct(name.alias("field"), value.cast("string").alias("value"))
 
     args = F.array(
-        arg("log_level", kind),
-        arg("args", F.concat(kind, F.lit("-"), k)),
-        arg("ports", F.floor("value").cast("int")),
-        arg("envs", F.concat(kind, F.lit("="), F.when(kind == "signup", "").otherwise(k))),
-        F.when(kind == "error", arg("no_default_features", F.lit(None))),
+        arg(F.lit("log_level"), kind),
+        arg(F.lit("args"), F.concat(kind, F.lit("-"), k)),
+        arg(F.lit("ports"), F.floor("value").cast("int")),
+        arg(F.lit("envs"), F.concat(kind, F.lit("="), F.when(kind == "signup", "").otherwise(k))),
+        arg(F.when(kind == "error", "no_default_features"), F.lit(None)),
     )
-    present = F.filter(args, lambda a: a.isNotNull())
-    return _events(spark, folder).select("user_id", "ts", "event_id", F.inline(present))
+    given = _events(spark, folder).select("user_id", "ts", "event_id", F.inline(args))
+    return given.filter(F.col("field").isNotNull())
 
 
 def settings_fold(spark: SparkSession, folder: str) -> DataFrame:
@@ -452,7 +452,7 @@ def manifest_emit(spark: SparkSession, folder: str) -> DataFrame:
     )
     endpoints = _read(spark, folder, "lineitem").select(
         F.concat(F.lit("order-"), _text("l_orderkey")).alias("bundle"),
-        F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd")).alias("label"),
+        F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").cast("date")).alias("label"),
         F.lit("http").alias("bind_protocol"),
         F.lit(0).alias("bind_port"),
         F.when(F.col("l_returnflag") != "R", F.array(F.concat(F.lit("http://:"), _text("l_suppkey")))).alias("services"),
@@ -664,7 +664,9 @@ def pair_arguments(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.concat(kind, F.lit("=="), k))
     )
     words = F.array(kind, F.concat(F.lit("-D"), kind, F.lit("="), k))
-    return _events(spark, folder).select(
+    text_of_events = _events(spark, folder).withColumn("text", text)
+    text = F.col("text")
+    return text_of_events.select(
         "event_id",
         is_pair(text).alias("valid"),
         pair_key(text).alias("key"),

@@ -142,7 +142,7 @@ placed AS (
 
 MANIFESTS = r"""
 WITH entries AS (
-  SELECT l_orderkey, l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d') AS label,
+  SELECT l_orderkey, l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_shipdate::DATE AS label,
     '{"bind-protocol":"http","bind-port":0'
     || CASE WHEN l_linestatus = 'O' THEN ',"service-name":"svc"' ELSE '' END
     || CASE WHEN l_returnflag <> 'R' THEN ',"services":["http://:' || l_suppkey || '"]'

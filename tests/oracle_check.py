@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 from collections import Counter
@@ -66,7 +67,9 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
     from fleetcatalog.session import local_session
 
-    spark = local_session("8", **{"spark.sql.shuffle.partitions": "8"})
+    # Further session settings may be given as a=b,c=d in SETTINGS.
+    extra = dict(pair.split("=") for pair in os.environ.get("SETTINGS", "").split(",") if pair)
+    spark = local_session("8", **{"spark.sql.shuffle.partitions": "8", **extra})
     spark.sparkContext.setLogLevel("ERROR")
     queries, oracle = entry.queries(), entry.oracle_sql()
     for name in sys.argv[2:] or queries:
