@@ -16,7 +16,12 @@ from ..functions.fixed import (
 )
 from .spread import CHUNK, HOT_ROWS, chunked_lists, durable, prefixed, same
 
-DESCRIPTORS = "array<struct<name:string,acls:array<struct<method:string,pathPattern:string>>>>"
+# The rules stay JSON text here, so that patterns can be found in them at any depth.
+DESCRIPTORS = "array<struct<name:string,acls:string>>"
+
+# A key and its text value. Within a text value of its own the quotes would be escaped.
+PATTERN_KEY = r'"pathPattern"\s*:'
+PATTERN = PATTERN_KEY + r'\s*("[^"\\]*+(?:\\.[^"\\]*+)*+")'
 
 
 def _parsed(json: Column) -> Column:
@@ -24,22 +29,31 @@ def _parsed(json: Column) -> Column:
     return F.when(F.ltrim(json).startswith("["), F.from_json(json, DESCRIPTORS))
 
 
+def _pattern_texts(acls: Column) -> Column:
+    """All patterns below ``acls``, each still a quoted JSON text."""
+    return F.coalesce(F.regexp_extract_all(acls, F.lit(PATTERN), F.lit(1)), F.array().cast("array<string>"))
+
+
 def descriptor_errors(df: DataFrame, json: str = "json") -> DataFrame:
-    """Rows whose JSON is no list of objects that each have a name."""
+    """Rows whose JSON is no list of objects that each have a name and only texts as patterns."""
     parsed = _parsed(F.col(json))
-    return df.filter(
-        parsed.isNull() | F.exists(parsed, lambda s: s.isNull() | s["name"].isNull())
-    )
+
+    def bad(service: Column) -> Column:
+        keys = F.regexp_count(F.coalesce(service["acls"], F.lit("")), F.lit(PATTERN_KEY))
+        return service.isNull() | service["name"].isNull() | (keys != F.size(_pattern_texts(service["acls"])))
+
+    return df.filter(parsed.isNull() | F.exists(parsed, bad))
 
 
 def parse_descriptors(df: DataFrame, keys: Sequence[str], json: str = "json") -> DataFrame:
     """One row per described service: ``(keys, service, prefixes)``.
 
-    One leading slash of the name is dropped. ``prefixes`` are the distinct literal paths its
-    patterns begin with; patterns that begin otherwise are left out.
+    One leading slash of the name is dropped. ``prefixes`` are the distinct literal paths that the
+    patterns anywhere below its ``acls`` begin with; patterns that begin otherwise are left out.
     """
     services = df.select(*keys, F.inline(_parsed(F.col(json)))).filter(F.col("name").isNotNull())
-    found = F.transform(F.coalesce(F.col("acls.pathPattern"), F.array()), path_prefix)
+    texts = F.concat(F.lit("["), F.array_join(_pattern_texts(F.col("acls")), ","), F.lit("]"))
+    found = F.transform(F.from_json(texts, "array<string>"), path_prefix)
     return services.select(
         *keys,
         F.regexp_replace("name", r"^/", "").alias("service"),

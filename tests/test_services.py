@@ -64,6 +64,16 @@ def test_patterns(spark, pattern, rules):
     assert [r.rule for r in service_rules(parsed, ["descriptor_set"]).collect()] == rules
 
 
+def test_patterns_at_any_depth(spark):
+    acls = {"x": [{"rule": {"pathPattern": r"\Q/a\E"}}, {"pathPattern": r'\Q/q"é\E', "note": '"pathPattern":"\\Q/no\\E"'}]}
+    data = [("s", json.dumps([{"name": "deep", "acls": acls}, {"name": "none"}, {"name": "null", "acls": None}]))]
+    df = spark.createDataFrame(data, "descriptor_set string, json string")
+    parsed = parse_descriptors(df, ["descriptor_set"])
+    got = {r.service: sorted(r.prefixes) for r in parsed.collect()}
+    assert got == {"deep": ["/a", '/q"é'], "none": [], "null": []}
+    assert descriptor_errors(df).count() == 0
+
+
 def test_same_name_twice(spark):
     df = descriptors(spark, ("a", [r"\Q/x\E"]), ("/a", [r"\Q/y\E", r"\Q/x/\E"]), ("/a", []))
     got = endpoints(acl_endpoints(df, ["descriptor_set"]))
@@ -96,6 +106,6 @@ def test_many_rules_come_in_parts(spark):
 
 def test_errors(spark):
     good = json.dumps([{"name": "a"}])
-    bad = ['{"name": "a"}', "[", json.dumps([{"acls": []}]), None]
+    bad = ['{"name": "a"}', "[", json.dumps([{"acls": []}]), None, json.dumps([{"name": "a", "acls": [{"pathPattern": 5}]}])]
     df = spark.createDataFrame([(i, j) for i, j in enumerate([good, *bad])], "i int, json string")
-    assert [r[0] for r in rows(descriptor_errors(df).select("i"))] == [1, 2, 3, 4]
+    assert [r[0] for r in rows(descriptor_errors(df).select("i"))] == [1, 2, 3, 4, 5]
