@@ -52,7 +52,7 @@ def pair_errors(args: DataFrame, fields: Mapping[str, str]) -> DataFrame:
 
 
 def fold_settings(
-    args: DataFrame, entity: str, seq: Sequence[str], fields: Mapping[str, str], hot_rows: int = HOT_ROWS
+    args: DataFrame, entity: str, seq: Sequence[str], fields: Mapping[str, str], hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """The fold as rows ``(entity, field, rule, pos, key, value)``.
 
@@ -99,7 +99,7 @@ def fold_records(
     entity: str,
     fields: Mapping[str, str],
     chunk: int = CHUNK,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """One record per entity, in parts that hold at most ``chunk`` items of each list.
 

@@ -13,7 +13,7 @@ SALTS = 256
 
 
 def compat_history(
-    df: DataFrame, name: str, seq: Sequence[str], compat: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, name: str, seq: Sequence[str], compat: str, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """``df`` plus ``previous``, the compatibility version before it of the same name, and ``changed``.
 

@@ -116,7 +116,7 @@ ENDPOINT_FIELDS = ("bind_protocol", "bind_port", "services", "service_name", "ac
 
 
 def manifest_emit(
-    bundles: DataFrame, endpoints: DataFrame, chunk: int = CHUNK, hot_rows: int = HOT_ROWS
+    bundles: DataFrame, endpoints: DataFrame, chunk: int = CHUNK, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """One JSON document per bundle: ``(bundle, part, endpoints, manifest)``.
 

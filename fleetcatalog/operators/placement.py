@@ -37,7 +37,7 @@ def _signed_subsets(roles: Column) -> Column:
     return F.when(F.size(roles) == 0, all_subsets).otherwise(F.slice(all_subsets, 2, F.size(all_subsets)))
 
 
-def _positions(nodes: DataFrame, bundles: DataFrame, dims: Sequence[str], hot_rows: int) -> DataFrame:
+def _positions(nodes: DataFrame, bundles: DataFrame, dims: Sequence[str], hot_rows: int | None) -> DataFrame:
     """``(dim, value, of_node, at)``: how many distinct node values are up to a node's value, or below a bundle's."""
     def values(df: DataFrame, of_node: int) -> DataFrame:
         pairs = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("double").alias("value")) for d in dims])
@@ -69,7 +69,7 @@ def placement_candidates(
     bundle: str,
     dims: Sequence[str],
     roles: str = "roles",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """``(bundle, candidates)``: nodes with at least the bundle's amount of each of ``dims`` and a common role.
 

@@ -115,7 +115,7 @@ def acl_endpoints(
     keys: Sequence[str],
     json: str = "json",
     chunk: int = CHUNK,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Endpoint rows with route rules, in parts of at most ``chunk`` rules.
 
@@ -156,7 +156,7 @@ def uri_endpoints(
     json: str = "json",
     port: int = DEFAULT_SERVICE_PORT,
     chunk: int = CHUNK,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Endpoint rows with service URIs, in parts of at most ``chunk`` URIs."""
     names = [*keys, "service"]

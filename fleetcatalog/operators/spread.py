@@ -61,13 +61,16 @@ class Split(NamedTuple):
     slices: int
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Split:
+def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None = HOT_ROWS) -> Split:
     """Rows of groups up to ``hot_rows``, rows of larger groups (none if there are none), and how
     many slices of about ``hot_rows`` the latter make.
 
     The check reads only the key columns. At most rows / ``hot_rows`` keys can be hot, which
-    is what bounds the broadcast below.
+    is what bounds the broadcast below. It is left out if ``hot_rows`` is none, for groups that
+    are known to be bounded.
     """
+    if hot_rows is None:
+        return Split(df, None, 0)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
     if counts.isEmpty():
         return Split(df, None, 0)
@@ -89,7 +92,7 @@ def running_total(
     order: Sequence[str],
     out: str,
     weight: str | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """``df`` plus the sum of ``weight`` (1 if not given) up to and with each row of its group.
 
@@ -129,7 +132,7 @@ def previous_value(
     order: Sequence[str],
     value: str,
     out: str,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """``df`` plus the ``value`` of the row before it in its group, null for the first."""
     split = split_hot(df, keys, hot_rows)
@@ -166,7 +169,7 @@ def chunked_lists(
     item: Column,
     out: str,
     chunk: int = CHUNK,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
     shape: Callable[[Column], Column] = lambda item: item,
 ) -> DataFrame:
     """Ordered lists per group in parts of at most ``chunk`` items: ``(keys, part, out)``.

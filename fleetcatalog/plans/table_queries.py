@@ -29,6 +29,7 @@ from ..functions import (
 )
 from ..operators import contents, fold, history, install, manifest, matching, overlay
 from ..operators import overrides, placement, ports, routes, services, validation
+from ..operators.spread import durable
 from ..sources import reports, tree
 from . import local_run
 
@@ -262,7 +263,7 @@ def overlay_delta(spark: SparkSession, folder: str) -> DataFrame:
 
 def settings_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Full manifests and deltas, side by side."""
-    resolved = _customer_settings(spark, folder)
+    resolved = durable(_customer_settings(spark, folder))
     full = manifest.settings_manifest(resolved, full=True).withColumn("mode", F.lit("full"))
     return full.unionByName(manifest.settings_manifest(resolved, full=False).withColumn("mode", F.lit("delta")))
 

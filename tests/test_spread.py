@@ -72,3 +72,8 @@ def test_chunked_lists_are_whole(skewed):
     for r in sorted(skewed.collect(), key=lambda r: (r.ts, r.id)):
         expected.setdefault(r.k, []).append(r.id)
     assert whole == expected
+
+
+def test_bounded_groups_need_no_count(skewed):
+    split = split_hot(skewed, ["k"], None)
+    assert split.hot is None and split.cold is skewed
