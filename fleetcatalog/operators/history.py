@@ -30,7 +30,8 @@ def event_tail(df: DataFrame, key: str, ts: str, event_id: str, n: int, salts: i
 
     Each input partition keeps the last ``n`` of each key. These are ranked in groups of input
     partitions first, so that a key of any size leaves at most ``salts`` x ``n`` rows for the
-    second ranking. How the partitions are grouped does not matter to the result.
+    second ranking. How the partitions are grouped does not matter to the result. Spark limits
+    below the shuffle for ``n`` up to ``spark.sql.optimizer.windowGroupLimitThreshold``.
     """
     order = [F.col(ts).desc(), F.col(event_id).desc()]
     salted = df.withColumn("_salt", F.spark_partition_id() % salts)

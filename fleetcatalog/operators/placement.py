@@ -78,7 +78,9 @@ def placement_candidates(
     equal; so a node is counted in one cell per 1-bit and a bundle asks one cell per 0-bit, in
     each dimension. Cells are summed before they are joined, which makes both the join and the
     sums ordinary ones by equal keys. Equal nodes, and equal bundles, are counted once; they and
-    the positions are written down, since they are read once per dimension.
+    the positions are written down, since they are read once per dimension. Amounts are compared
+    as doubles; a bundle that lacks one has no candidates. Sets of roles are taken to be small, as
+    their subsets are listed.
     """
     clean = F.array_sort(F.array_distinct(F.coalesce(F.col(roles), F.array().cast("array<string>"))))
     profile = [*dims, "_roles"]

@@ -29,18 +29,13 @@ from ..functions import (
 )
 from ..operators import contents, fold, history, install, manifest, matching, overlay
 from ..operators import overrides, placement, ports, routes, services, validation
+from ..operators.overrides import ACLS
 from ..operators.spread import durable
 from ..sources import reports, tree
 from . import local_run
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-ACLS = (
-    "array<struct<family:string,http:array<struct<method:string,path:string,is_regex:boolean,"
-    "rewrite:string>>,ports:array<int>>>"
-)
-
-
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 

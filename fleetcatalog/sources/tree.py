@@ -26,8 +26,9 @@ def _lister():
             # One entry at a time: a folder may hold any number of files.
             with os.scandir(folder) as found:
                 for entry in found:
-                    is_dir = entry.is_dir()
-                    yield entry.name, is_dir, None if is_dir else entry.stat().st_size
+                    # A link to nothing is listed as a file without a length.
+                    size = entry.stat().st_size if entry.is_file() else None
+                    yield entry.name, entry.is_dir(), size
         else:
             for entry in system.get_file_info(fs.FileSelector(folder)):
                 yield entry.base_name, entry.type == fs.FileType.Directory, entry.size

@@ -40,6 +40,12 @@ def test_names_the_file_sources_leave_out(spark, tmp_path):
     assert names(tree_scan(spark, [f"file://{tmp_path}"], "*.txt")) == ["_b/f.txt", "a/.h/x y%.txt"]
 
 
+def test_link_to_nothing(spark, tmp_path):
+    write(tmp_path, "a", text="x")
+    (tmp_path / "lost").symlink_to(tmp_path / "nowhere")
+    assert rows(tree_scan(spark, [str(tmp_path)]).select("rel_path", "length")) == [("a", 1), ("lost", None)]
+
+
 def test_several_roots(spark, tmp_path):
     write(tmp_path, "one/a", "two/a", "three/a")
     listed = tree_scan(spark, [str(tmp_path / "one"), str(tmp_path / "two")])
