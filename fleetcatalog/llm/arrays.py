@@ -106,13 +106,13 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse; kept for the usual slice, made anew for a longer text."""
+    """Powers of the base and of its inverse; kept for the usual slices, made anew for a longer text."""
     if len(_POWERS.get("up", ())) < count:
         size = max(count, SLICE_BYTES + 1)
         up, down = np.full(size, BASE, np.uint64), np.full(size, BASE_INVERSE, np.uint64)
         up[0] = down[0] = 1
         up, down = np.cumprod(up), np.cumprod(down)
-        if size > SLICE_BYTES + 1:
+        if size > 4 * SLICE_BYTES + 1:
             return up, down
         _POWERS.update(up=up, down=down)
     return _POWERS["up"], _POWERS["down"]

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, near_dedup, packing, quality
+from . import decontaminate, exact_dedup, language_model, licences, near_dedup, packing, personal_data, quality, toxicity, url_filter
 from .store import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,26 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.token_counts(read(spark, folder, "documents")))
 
 
+def op4_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score(read(spark, folder, "documents"), held_out("doc_id", 7, 2))
+
+
+def _only(kind: str) -> Callable[[Column], Column]:
+    return lambda span: span["kind"] == kind
+
+
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal_data.find(read(spark, folder, "documents"))
+    count = [F.size(F.filter("spans", _only(k))).cast("long").alias(f"n_{k}") for k in personal_data.KINDS[:4]]
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.sha2(text(F.filter("spans", lambda s: s["kind"] != "private")).cast("binary"), 256)
+    return found.select("doc_id", *count, base.alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+def op6_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(read(spark, folder, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
     names = F.sha2(F.concat_ws(",", F.sort_array("items")).cast("binary"), 256)
@@ -43,8 +63,24 @@ def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, folder, "documents")).drop("row")
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    index = toxicity.train(docs, read(spark, folder, "labels"), lambda i: ~held_out(i, 5, 0))
+    return toxicity.score(docs, index).select(
+        "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence"
+    )
+
+
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(read(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_packing, op7_decontamination, op8_near_dedup)
+    f.__name__: f
+    for f in (
+        op1_quality, op2_exact_dedup, op3_packing, op4_language_model, op5_personal_data, op6_licences, op7_decontamination, op8_near_dedup,
+        op9_toxicity, op10_url_filter,
+    )
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -81,4 +117,94 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIG
 FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op2_exact_dedup": EXACT, "op7_decontamination": CONTAMINATION}
+
+
+def _canonical(text: str) -> str:
+    out = f"translate(coalesce({text}, ''), '{UPPER}', '{LOWER}')"
+    out = f"replace(replace({out}, '(c)', ' copyright '), '©', ' copyright ')"
+    out = f"concat(' ', replace(regexp_replace({out}, '[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), chr(10), concat(' ', chr(10), ' ')), ' ')"
+    for other, usual in licences.SPELLINGS:
+        out = f"replace({out}, ' {other} ', ' {usual} ')"
+    return f"string_split({out}, chr(10))"
+
+
+def _tight(text: str) -> str:
+    return f"trim(regexp_replace({text}, ' {{2,}}', ' ', 'g'), ' ')"
+
+
+def _whole(lines: str) -> str:
+    return _tight(f"array_to_string(list_filter({lines}, lambda x: NOT starts_with(ltrim(x, ' '), 'copyright')), ' ')")
+
+
+def _known() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in licences.KNOWN)
+
+
+LICENCES = f"""
+WITH known(licence, text) AS (VALUES {_known()}),
+digests AS (
+  SELECT sha256(t) AS digest, min(licence) AS licence FROM (SELECT licence, {_whole(_canonical("text"))} AS t FROM known) WHERE t <> '' GROUP BY ALL),
+docs AS (SELECT row_number() OVER () AS row, doc_id, {_canonical("text")} AS lines FROM documents),
+whole AS (SELECT row, doc_id, sha256({_whole("lines")}) AS text_sha256 FROM docs),
+lines AS (SELECT row, sha256({_tight("line")}) AS digest FROM (SELECT row, unnest(lines) AS line FROM docs)),
+found AS (SELECT row, count(*) AS n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS names FROM lines JOIN digests USING (digest) GROUP BY row)
+SELECT doc_id, text_sha256, d.licence, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, coalesce(names, '') AS line_licences
+FROM whole LEFT JOIN found USING (row) LEFT JOIN digests d ON d.digest = text_sha256
+"""
+
+
+def _url_sql() -> str:
+    rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in url_filter.RULES)
+    steps, last = [], "p"
+    for n in range(url_filter.ORDER + 1):
+        key, at = f"substr(gram, {url_filter.ORDER + 1 - n}, {n + 1})", url_filter.ORDER + 1 - n
+        smooth = ", ".join(
+            f"CASE WHEN total_{k} = 0 THEN p_{k} ELSE (n_{k} + kinds_{k} * p_{k}) / (total_{k} + kinds_{k}) END AS p_{k}" for k in ("allow", "block")
+        )
+        steps.append(f"""
+sums{n} AS (SELECT {key} AS key, CAST(sum(allow) AS BIGINT) AS n_allow, CAST(sum(block) AS BIGINT) AS n_block FROM counts GROUP BY ALL),
+seen{n} AS (
+  SELECT substr(key, 1, {n}) AS context, CAST(sum(n_allow) AS BIGINT) AS total_allow, CAST(sum(n_block) AS BIGINT) AS total_block,
+         count(*) FILTER (n_allow > 0) AS kinds_allow, count(*) FILTER (n_block > 0) AS kinds_block FROM sums{n} GROUP BY ALL),
+p{n} AS (
+  SELECT gram, {smooth} FROM {last} JOIN sums{n} ON sums{n}.key = {key} JOIN seen{n} ON seen{n}.context = substr(gram, {at}, {n}))""")
+        last = f"p{n}"
+    return f"""
+WITH rules(verdict, host, path) AS (VALUES {rules}),
+parts AS (
+  SELECT row_number() OVER () AS row, page_id, coalesce(url, '') AS url, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+fitting AS (
+  SELECT row, r.host || r.path AS rule, r.verdict AS ruled,
+         row_number() OVER (PARTITION BY row ORDER BY length(r.host || r.path) DESC, r.host, r.path, r.verdict) AS rank
+  FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)),
+urls AS (
+  SELECT p.*, rule, ruled, substr(md5(url), 1, 1) > '2' AS learned,
+         '^^^' || regexp_replace(translate(translate(p.host || p.path, '{UPPER}', '{LOWER}'), '0123456789', '0000000000'), '[^a-z0._/-]', '~', 'g') AS t
+  FROM parts p LEFT JOIN fitting f ON f.row = p.row AND rank = 1),
+grams AS (SELECT row, ruled, learned, substr(t, i, 4) AS gram FROM (SELECT row, ruled, learned, t, unnest(range(1, length(t) - 2)) AS i FROM urls)),
+counts AS (
+  SELECT gram, count(*) FILTER (ruled = 'allow' AND learned) AS allow, count(*) FILTER (ruled = 'block' AND learned) AS block FROM grams GROUP BY gram),
+p AS (SELECT gram, CAST(1 AS DOUBLE) / {url_filter.ALPHABET} AS p_allow, CAST(1 AS DOUBLE) / {url_filter.ALPHABET} AS p_block FROM counts),
+{",".join(steps)},
+ratios AS (SELECT gram, CAST(round((ln(p_allow) - ln(p_block)) * 1000000) AS BIGINT) AS millionths FROM {last}),
+able AS (SELECT coalesce(sum(allow), 0) > 0 AND coalesce(sum(block), 0) > 0 AS ok FROM counts),
+scores AS (
+  SELECT row, any_value(ruled) AS ruled, any_value(learned) AS learned, CAST(floor(CAST(sum(millionths) AS DOUBLE) / count(*) / 1000000 * {url_filter.BINS}) AS BIGINT) AS bin
+  FROM grams JOIN ratios USING (gram) GROUP BY row),
+bins AS (
+  SELECT bin, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b
+  FROM scores WHERE ruled IS NOT NULL AND NOT learned GROUP BY bin),
+totals AS (SELECT coalesce(sum(a), 0) AS accepted, coalesce(sum(b), 0) AS rejected FROM bins),
+rights AS (
+  SELECT bin, coalesce(sum(b * accepted - a * rejected) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gain
+  FROM bins, totals WHERE accepted > 0 AND rejected > 0),
+least AS (SELECT coalesce((SELECT bin FROM rights ORDER BY gain DESC, bin LIMIT 1), 0) AS least)
+SELECT page_id, host, path, rule,
+       coalesce(u.ruled, CASE WHEN ok AND coalesce(bin, 0) < least THEN 'block' ELSE 'allow' END) AS verdict
+FROM urls u LEFT JOIN scores s ON s.row = u.row CROSS JOIN least CROSS JOIN able
+"""
+
+
+ORACLE: dict[str, str] = {"op2_exact_dedup": EXACT, "op6_licences": LICENCES, "op7_decontamination": CONTAMINATION, "op10_url_filter": _url_sql()}

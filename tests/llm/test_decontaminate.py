@@ -1,0 +1,102 @@
+import random
+import re
+
+import pytest
+from conftest_llm import DOCS, ODD, duck, table
+
+from fleetcatalog.llm import decontaminate, queries
+
+
+def words(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def plain(docs, items):
+    out = []
+    for key, text in docs:
+        w, hit, names, longest = words(text), set(), set(), 0
+        for item, item_text in items:
+            v = words(item_text)
+            size = min(len(v), 13)
+            for q in range(len(v) - size + 1 if v else 0):
+                for p in range(len(w) - size + 1):
+                    if w[p : p + size] == v[q : q + size]:
+                        hit.update(range(p, p + size))
+                        names.update([item] if item is not None else [])
+                        run = size
+                        while p + run < len(w) and q + run < len(v) and w[p + run] == v[q + run]:
+                            run += 1
+                        longest = max(longest, run)
+        out.append((key, len(w), len(hit), sorted(map(str, names)), longest, len(hit) > 0 and 20 * len(hit) >= len(w)))
+    return sorted(out, key=str)
+
+
+def got(df):
+    return sorted(((r.doc_id, r.n_words, r.n_hit, r["items"], r.longest, r.contaminated) for r in df.collect()), key=str)
+
+
+def made(seed, vocabulary=4, docs=60, items=12):
+    pick = random.Random(seed)
+    line = lambda n: " ".join(pick.choice("abcdefghij"[:vocabulary]) for _ in range(n))
+    tests = [(i, line(pick.choice([0, 1, 3, 12, 13, 14, 40]))) for i in range(items)] + [(None, line(14)), (3, line(15))]
+    texts = [(i, line(pick.randrange(60)) + ("\n" + tests[pick.randrange(items)][1] + "! " + line(9) if i % 3 else "")) for i in range(docs)]
+    return texts, tests
+
+
+@pytest.mark.parametrize("vocabulary", [2, 4, 10])
+@pytest.mark.parametrize("block_words", [10**6, 30])
+def test_brute_force(spark, vocabulary, block_words):
+    docs, items = made(vocabulary, vocabulary)
+    items = [(i, t) for i, t in items if vocabulary > 4 or len(words(t)) > 3]
+    found = decontaminate.contamination(table(spark, docs), table(spark, items, "item_id long, text string"), block_words=block_words)
+    assert got(found) == plain(docs, items)
+    left = decontaminate.drop_contaminated(table(spark, docs), table(spark, items, "item_id long, text string"), block_words=block_words)
+    assert sorted(r.doc_id for r in left.collect()) == [r[0] for r in sorted(plain(docs, items)) if not r[5]]
+
+
+def test_odd_rows(spark):
+    items = [(1, "Two, three; FOUR"), (2, None), (3, ""), (4, "é" * 50_000)]
+    found = decontaminate.contamination(table(spark, ODD), table(spark, items, "item_id long, text string"))
+    assert got(found) == plain(ODD, items)
+
+
+def test_a_twentieth_of_the_words_is_enough(spark):
+    items = [(1, " ".join(f"t{i}" for i in range(13)))]
+    docs = [(n, items[0][1] + " x" * (n - 13)) for n in (259, 260, 261)]
+    assert [r[5] for r in got(decontaminate.contamination(table(spark, docs), table(spark, items, "item_id long, text string")))] == [True, True, False]
+
+
+def test_where_the_longest_match_is(spark):
+    items = [(1, " ".join(f"t{i}" for i in range(30)))]
+    text = "a b " + " ".join(f"t{i}" for i in range(3, 20)) + " c"
+    row = decontaminate.contamination(table(spark, [(1, text)]), table(spark, items, "item_id long, text string")).first()
+    assert (row.longest, row.longest_at, row.longest_item, row.spans) == (17, 2, "1", [2, 19])
+
+
+@pytest.mark.parametrize("items", [[], [(1, None)]])
+def test_nothing_to_look_for(spark, items):
+    benchmark = table(spark, items, "item_id long, text string")
+    assert got(decontaminate.contamination(table(spark, ODD), benchmark)) == plain(ODD, items)
+    assert decontaminate.drop_contaminated(table(spark, ODD), benchmark).count() == len(ODD)
+
+
+def test_empty_table(spark):
+    benchmark = table(spark, [(1, "a")], "item_id long, text string")
+    assert decontaminate.contamination(table(spark, []), benchmark).count() == 0
+
+
+def test_clean_rows_keep_their_columns(spark):
+    docs = spark.createDataFrame([(i, t, "en", None, 1) for i, t in ODD], DOCS)
+    left = decontaminate.drop_contaminated(docs, table(spark, [(1, "two three four")], "item_id long, text string"))
+    assert left.schema == docs.schema
+    assert sorted((r.doc_id for r in left.collect()), key=str) == [3, 4, 5, 6, 7, None]
+
+
+def test_given_tables_as_in_sql(spark, docs):
+    from conftest_llm import DATA
+
+    rows = queries.op7_decontamination(spark, DATA)
+    names = sorted(rows.columns)
+    want = duck().execute(f"SELECT {', '.join(names)} FROM ({queries.CONTAMINATION})").fetchall()
+    assert sorted(tuple(r) for r in rows.select(*names).collect()) == sorted(want)
