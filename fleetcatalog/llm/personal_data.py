@@ -27,7 +27,7 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TOKEN = r"(?<![A-Za-z0-9@._%+:/()-])[A-Za-z0-9@._%+:/()-]{7,}+"
+TOKEN = r"(?<![A-Za-z0-9@._%+:/()-])(?=[A-Za-z._%+:/()-]*+[0-9@])[A-Za-z0-9@._%+:/()-]{7,}+"
 #: Words that come before personal data or secrets, and before numbers that are neither.
 PRIVATE_WORDS = ("tel", "phone", "call", "mobile", "fax", "email", "mail", "contact", "token", "key", "secret", "password", "passwd", "pwd", "ssn", "iban", "account", "card", "passport")
 PLAIN_WORDS = ("page", "pages", "year", "years", "figure", "fig", "version", "chapter", "section", "volume", "no", "line", "table", "isbn")

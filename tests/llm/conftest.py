@@ -12,8 +12,8 @@ from fleetcatalog.llm import queries  # noqa: E402
 
 @pytest.fixture(scope="session", autouse=True)
 def shared(spark, tmp_path_factory):
-    """The folder that a cluster would name in spark.checkpoint.dir."""
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    """In place of the folder that a cluster names in spark.checkpoint.dir."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
 
 
 @pytest.fixture(scope="session")
