@@ -1,4 +1,4 @@
-from .paths import known_method, pair_request, path_prefix, typed_path, typed_request
+from .paths import known_method, pair_request, path_prefix, tuple_request, typed_path, typed_request
 from .text import (
     artifact_name,
     compat_version,
@@ -38,6 +38,7 @@ __all__ = [
     "pair_value",
     "path_prefix",
     "round_up_kib",
+    "tuple_request",
     "typed_path",
     "typed_request",
     "uri_port",

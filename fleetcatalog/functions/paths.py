@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import HTTP_METHODS
+from .fixed import HTTP_METHODS, QUOTED_HEAD
 
 # A leading slash, then segments of plain characters, none empty but the last.
 PLAIN_PREFIX = r"^/([a-zA-Z0-9._-]+/)*[a-zA-Z0-9._-]*\z"
 
-# A pattern led by a quoted literal that starts with a slash.
-QUOTED_HEAD = r"^\\Q(/.*?)\\E.*\z"
-
 
 def known_method(method: Column) -> Column:
     return method.isin(*HTTP_METHODS)
@@ -56,6 +53,26 @@ def pair_request(first: Column, second: Column) -> Column:
     )
 
 
+def tuple_request(texts: Column, regex_at: Column) -> Column:
+    """Request rule written as one to three texts, of which the one at ``regex_at`` (from 0, null for none) is a regex.
+
+    One text is a path. Of two, a regex makes clear what the other is: a method before it or a
+    rewrite after it; without one they are told apart as in :func:`pair_request`. Three are method,
+    path and rewrite.
+    """
+    text = lambda i: F.try_element_at(texts, F.lit(i + 1))
+    size, at = F.size(texts), F.coalesce(regex_at, F.lit(-1))
+    pair = pair_request(text(0), text(1))
+    path_second = (size == 3) | (at == 1)
+    plain_pair = (size == 2) & (at < 0)
+    return F.struct(
+        F.when(plain_pair, pair["method"]).when(path_second, text(0)).alias("method"),
+        F.when(plain_pair, pair["path"]).when(path_second, text(1)).otherwise(text(0)).alias("path"),
+        (at >= 0).alias("is_regex"),
+        F.when(plain_pair, pair["rewrite"]).when(size == 3, text(2)).when((size == 2) & (at == 0), text(1)).alias("rewrite"),
+    )
+
+
 def typed_request(request: Column) -> Column:
     """Manifest form of a request struct: one of ``path``, ``path-beg``, ``path-regex``, then method and rewrite."""
     typed = typed_path(request["path"], request["is_regex"])

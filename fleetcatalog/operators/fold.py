@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import is_pair, pair_key, pair_value
-from .spread import CHUNK, HOT_ROWS, durable, running_total
+from .spread import durable, running_total
 
 LAST, ADD, PUT, SET = "last", "add", "put", "set"
 APPEND, APPEND_WORDS, APPEND_SETS = "append", "append_words", "append_sets"
@@ -51,9 +51,7 @@ def pair_errors(args: DataFrame, fields: Mapping[str, str]) -> DataFrame:
     return args.filter((_rule(fields, F.col("field")) == PUT) & ~is_pair(F.col("value")))
 
 
-def fold_settings(
-    args: DataFrame, entity: str, seq: Sequence[str], fields: Mapping[str, str], hot_rows: int | None = HOT_ROWS
-) -> DataFrame:
+def fold_settings(args: DataFrame, entity: str, seq: Sequence[str], fields: Mapping[str, str]) -> DataFrame:
     """The fold as rows ``(entity, field, rule, pos, key, value)``.
 
     ``args`` has ``entity``, the columns ``seq`` that order them in total, ``field`` and ``value``.
@@ -89,48 +87,38 @@ def fold_settings(
         [entity, "field"],
         seq,
         "pos",
-        hot_rows=hot_rows,
     ).select(entity, "field", "rule", "pos", F.lit(None).cast("string").alias("key"), "value")
     return reduced.unionByName(appended)
 
 
-def fold_records(
-    folded: DataFrame,
-    entity: str,
-    fields: Mapping[str, str],
-    chunk: int = CHUNK,
-    hot_rows: int | None = HOT_ROWS,
-) -> DataFrame:
-    """One record per entity, in parts that hold at most ``chunk`` items of each list.
+def fold_records(folded: DataFrame, entity: str, fields: Mapping[str, str]) -> DataFrame:
+    """The record of each entity as one header row and a row for each item of its lists, sets and maps.
 
-    Part 0 holds the single values. Lists stay in order, sets and maps are sorted; a field never
-    given is null, false or empty by its rule. The parts of an entity in order make the record.
-    The folded rows are written down, as they are read more than once.
+    ``(entity, field, pos, key, value, words)`` and a column for each field that holds one value.
+    In the header ``field`` is null, and a field never given is null, or false if it is a flag. In
+    the other rows those columns are null; lists stay in order, sets and maps are in order of their
+    keys, and ``words`` are those of a value, or their sorted set, where the field's rule says so.
+    The form is the same for any number of items. The folded rows are written down, as they are
+    read more than once.
     """
     folded = durable(folded)
     members = F.col("rule").isin(ADD, PUT)
-    placed = running_total(
-        folded.filter(members).drop("pos"), [entity, "field"], ["key"], "pos", hot_rows=hot_rows
+    placed = running_total(folded.filter(members).drop("pos"), [entity, "field"], ["key"], "pos")
+    listed = folded.filter(F.col("rule").isin(*APPENDING)).unionByName(placed.select(*folded.columns))
+    words = F.split("value", " ")
+    told = (
+        F.when(F.col("rule") == APPEND_WORDS, words)
+        .when(F.col("rule") == APPEND_SETS, F.array_sort(F.array_distinct(words)))
     )
-    all_rows = folded.filter(~members).unionByName(placed.select(*folded.columns))
-    part = F.coalesce(F.call_function("div", F.col("pos") - 1, F.lit(chunk)), F.lit(0)).cast("int")
+    items = listed.select(entity, "field", "pos", "key", "value", told.alias("words"))
 
     def of(name: str) -> Column:
         return F.col("field") == name
 
-    def sorted_list(name: str, item: Column) -> Column:
-        pairs = F.collect_list(F.when(of(name), F.struct("pos", item.alias("item"))))
-        return F.transform(F.array_sort(pairs), lambda p: p["item"])
-
-    words = F.split("value", " ")
-    build = {
+    single = {
         LAST: lambda n: F.max(F.when(of(n), F.col("value"))),
         SET: lambda n: F.coalesce(F.bool_or(of(n)), F.lit(False)),
-        APPEND: lambda n: sorted_list(n, F.col("value")),
-        APPEND_WORDS: lambda n: sorted_list(n, words),
-        APPEND_SETS: lambda n: sorted_list(n, F.array_sort(F.array_distinct(words))),
-        ADD: lambda n: sorted_list(n, F.col("key")),
-        PUT: lambda n: F.map_from_entries(sorted_list(n, F.struct("key", "value"))),
     }
-    columns = [build[rule](name).alias(name) for name, rule in fields.items()]
-    return all_rows.withColumn("part", part).groupBy(entity, "part").agg(*columns)
+    columns = [single[rule](name).alias(name) for name, rule in fields.items() if rule in single]
+    headers = folded.groupBy(entity).agg(F.count(F.lit(1)).alias("_rows"), *columns).drop("_rows")
+    return items.unionByName(headers, allowMissingColumns=True)

@@ -7,19 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spread import HOT_ROWS, previous_value
+from .spread import previous_value
 
 SALTS = 256
 
 
-def compat_history(
-    df: DataFrame, name: str, seq: Sequence[str], compat: str, hot_rows: int | None = HOT_ROWS
-) -> DataFrame:
+def compat_history(df: DataFrame, name: str, seq: Sequence[str], compat: str) -> DataFrame:
     """``df`` plus ``previous``, the compatibility version before it of the same name, and ``changed``.
 
     Any difference is a change; the first of a name has no previous one and is none.
     """
-    lagged = previous_value(df, [name], seq, compat, "previous", hot_rows)
+    lagged = previous_value(df, [name], seq, compat, "previous")
     return lagged.withColumn(
         "changed", F.coalesce(F.col("previous") != F.col(compat), F.lit(False))
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,6 @@ from ..functions.fixed import (
     WEB_HEAP_MIB,
     WEB_MEMORY_MIB,
 )
-from .spread import CHUNK, HOT_ROWS, chunked_lists, prefixed
 
 
 def resource_normalize(bundles: DataFrame) -> DataFrame:
@@ -115,71 +116,82 @@ def endpoint_document(endpoint: Column) -> Column:
 ENDPOINT_FIELDS = ("bind_protocol", "bind_port", "services", "service_name", "acls")
 
 
-def manifest_emit(
-    bundles: DataFrame, endpoints: DataFrame, chunk: int = CHUNK, hot_rows: int | None = HOT_ROWS
-) -> DataFrame:
-    """One JSON document per bundle: ``(bundle, part, endpoints, manifest)``.
+def _components(name: Column, own: Column, checked: Column, check: Column) -> Column:
+    """Components under their names; of a bundle named like the status check, the check, being the later one."""
+    clash = checked & (name == CHECK_LABEL)
+    listed = F.array(
+        F.when(~F.coalesce(clash, F.lit(False)), F.struct(name.alias("key"), own.alias("value"))),
+        F.when(checked, F.struct(F.lit(CHECK_LABEL).alias("key"), check.alias("value"))),
+    )
+    return F.map_from_entries(F.filter(listed, lambda c: c.isNotNull()))
+
+
+def manifest_emit(bundles: DataFrame, endpoints: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """The manifest of each bundle as JSON rows: ``(bundle, label, document)``.
+
+    One row per bundle without label: the header, its component, and the status check if any
+    checks are declared. One row per endpoint: its document, to stand under its label in the
+    component's endpoints. The form is the same for any number of endpoints.
 
     ``bundles`` is as :func:`bundle_names` and :func:`resource_normalize` leave it, with
-    ``description``, ``start_command``, ``checks`` and ``annotations``; ``endpoints`` has one row
-    per bundle and label. Part 0 holds the header, the first ``chunk`` endpoints by label and the
-    status check, if any checks are declared; a bundle with more endpoints has further parts with
-    only those. A null field is left out of the JSON.
+    ``description``, ``start_command``, ``checks`` and ``annotations``; ``endpoints`` has rows by
+    bundle and label. Of several with one label the last by the columns ``order`` counts, or the greatest if
+    there is no order. A null field is left out of the JSON. Bundles without name, endpoints
+    without label and those of other bundles are left out.
     """
-    lists = chunked_lists(
-        endpoints,
-        ["bundle"],
-        ["label"],
-        F.struct("label", *ENDPOINT_FIELDS),
-        "_entries",
-        chunk,
-        hot_rows,
-        lambda e: F.struct(e["label"].alias("key"), endpoint_document(e).alias("value")),
-    )
-    none = F.array().cast(lists.schema["_entries"].dataType)
-    # An inner join can be split on the side of a bundle with very many parts, a left join cannot.
-    filled = bundles.join(prefixed(lists, ["bundle"], "_e_"), F.col("name") == F.col("_e_bundle")).drop("_e_bundle")
-    owners = endpoints.select(F.col("bundle").alias("name")).distinct()
-    bare = bundles.join(owners, "name", "left_anti").withColumns({"part": F.lit(0), "_entries": none})
-    joined = filled.unionByName(bare)
-    head = F.col("part") == 0
-
-    def header(value: Column, name: str) -> Column:
-        return F.when(head, value).alias(name)
-
-    def component(description: Column, command: Column, entries: Column) -> Column:
+    entry = F.struct(*ENDPOINT_FIELDS)
+    last = F.max_by(entry, F.struct(*order)) if order else F.max(entry)
+    single = endpoints.filter(F.col("label").isNotNull()).groupBy("bundle", "label").agg(last.alias("_entry"))
+    named = bundles.filter(F.col("name").isNotNull())
+    owned = single.join(named.select(F.col("name").alias("bundle")), "bundle", "left_semi")
+    entries = owned.select("bundle", "label", F.to_json(endpoint_document(F.col("_entry"))).alias("document"))
+
+    def component(description: Column, command: Column) -> Column:
         return F.struct(
-            header(description, "description"),
-            header(F.lit(DEFAULT_FILE_SYSTEM_TYPE), "file-system-type"),
-            header(command, "start-command"),
-            F.map_from_entries(entries).alias("endpoints"),
+            description.alias("description"),
+            F.lit(DEFAULT_FILE_SYSTEM_TYPE).alias("file-system-type"),
+            command.alias("start-command"),
         )
 
-    own = component(F.col("description"), F.col("start_command"), F.col("_entries"))
     words = F.array(*[F.lit(word) for word in CHECK_COMMAND], F.col("check_delay_s").cast("string"))
-    check = component(F.lit(CHECK_DESCRIPTION), F.concat(words, F.col("checks")), none)
-    checked = head & (F.size("checks") > 0)
-    components = F.array(
-        F.struct(F.col("name").alias("key"), own.alias("value")),
-        F.when(checked, F.struct(F.lit(CHECK_LABEL).alias("key"), check.alias("value"))),
-    )
-    manifest = F.struct(
-        header(F.lit(MANIFEST_VERSION), "version"),
+    own = component(F.col("description"), F.col("start_command"))
+    check = component(F.lit(CHECK_DESCRIPTION), F.concat(words, F.col("checks")))
+    header = F.struct(
+        F.lit(MANIFEST_VERSION).alias("version"),
         "name",
-        header(F.col("compat"), "compatibilityVersion"),
-        header(F.col("tags"), "tags"),
-        header(F.col("annotations"), "annotations"),
-        header(F.col("system"), "system"),
-        header(F.col("system_version"), "systemVersion"),
-        header(F.col("nr_of_cpus"), "nrOfCpus"),
-        header(F.col("memory"), "memory"),
-        header(F.col("disk_space"), "diskSpace"),
-        header(F.array_sort(F.array_distinct("roles")), "roles"),
-        F.map_from_entries(F.filter(components, lambda c: c.isNotNull())).alias("components"),
-    )
-    return joined.select(
-        F.col("name").alias("bundle"), "part", F.size("_entries").alias("endpoints"), F.to_json(manifest).alias("manifest")
+        F.col("compat").alias("compatibilityVersion"),
+        "tags",
+        "annotations",
+        "system",
+        F.col("system_version").alias("systemVersion"),
+        F.col("nr_of_cpus").alias("nrOfCpus"),
+        "memory",
+        F.col("disk_space").alias("diskSpace"),
+        F.array_sort(F.array_distinct("roles")).alias("roles"),
+        _components(F.col("name"), own, F.coalesce(F.size("checks") > 0, F.lit(False)), check).alias("components"),
     )
+    headers = named.select(F.col("name").alias("bundle"), F.lit(None).cast("string").alias("label"), F.to_json(header).alias("document"))
+    return headers.unionByName(entries)
+
+
+# Hex digits of one slice of an endpoint's digest, and slices.
+SLICE, SLICES = 15, 4
+
+
+def manifest_digests(manifests: DataFrame) -> DataFrame:
+    """``(bundle, endpoints, digest)`` of the rows of :func:`manifest_emit`.
+
+    The digest is SHA-256 over the header, the number of endpoints, and the sums of the first four
+    slices of the endpoints' own SHA-256, which do not depend on an order. So it is a sum partly
+    made before the shuffle, and no bundle has to fit a task.
+    """
+    own = F.sha2(F.concat("label", F.lit(":"), "document").cast("binary"), 256)
+    slices = [F.conv(F.substr(own, F.lit(1 + SLICE * i), F.lit(SLICE)), 16, 10).cast("decimal(38,0)") for i in range(SLICES)]
+    sums = [F.coalesce(F.sum(F.when(F.col("label").isNotNull(), x)), F.lit(0).cast("decimal(38,0)")).cast("string") for x in slices]
+    header = F.max(F.when(F.col("label").isNull(), F.col("document")))
+    endpoints = F.count("label")
+    text = F.concat_ws(":", header, endpoints.cast("string"), *sums)
+    return manifests.groupBy("bundle").agg(endpoints.alias("endpoints"), F.sha2(text.cast("binary"), 256).alias("digest"))
 
 
 def settings_manifest(resolved: DataFrame, full: bool) -> DataFrame:
@@ -188,7 +200,7 @@ def settings_manifest(resolved: DataFrame, full: bool) -> DataFrame:
     ``resolved`` is ``(target, key, value, scope)`` with values as text, those of list and map
     fields as JSON. With ``full`` all fields are written, else only those a configuration
     supplies, and nothing for a target of which no field but the checks is supplied. The component
-    is always named after the target's name. A target has one row per setting name at most.
+    is always named after the target's name, or the target if it has none. A target has one row per setting name at most.
     """
     shown = F.lit(full) | F.col("scope").isNotNull()
 
@@ -215,13 +227,10 @@ def settings_manifest(resolved: DataFrame, full: bool) -> DataFrame:
         F.coalesce(none, F.from_json(F.lit("{}"), COMPONENT_SETTINGS["endpoints"])).alias("endpoints"),
     )
     own = F.struct(*[F.col(f"`{key}`") for key in COMPONENT_SETTINGS])
-    components = F.array(
-        F.struct(F.col("_name").alias("key"), own.alias("value")),
-        F.when(F.size("checks") > 0, F.struct(F.lit(CHECK_LABEL).alias("key"), check.alias("value"))),
-    )
+    components = _components(F.coalesce("_name", "target"), own, F.coalesce(F.size("checks") > 0, F.lit(False)), check)
     document = F.struct(
         F.lit(MANIFEST_VERSION).alias("version"),
         *HEADER_SETTINGS,
-        F.map_from_entries(F.filter(components, lambda c: c.isNotNull())).alias("components"),
+        components.alias("components"),
     )
     return wide.filter("_any").select("target", F.to_json(document).alias("manifest"))

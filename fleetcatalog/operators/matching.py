@@ -29,6 +29,13 @@ def _anchored(pattern: Column) -> Column:
 # Groups nested deeper than this are not looked into.
 GROUP_DEPTH = 4
 
+# Keys so short that very many paths begin with them are dealt over so many buckets of paths.
+SHORT, BUCKETS = 1, 256
+
+
+def _bucket(key: Column, path: Column) -> Column:
+    return F.when(F.length(key) <= SHORT, F.pmod(F.xxhash64(path), F.lit(BUCKETS))).otherwise(F.lit(0).cast("long"))
+
 
 def _match_key(kind: Column, value: Column) -> Column:
     """Text a path must begin with to match at all.
@@ -58,6 +65,8 @@ def _pairs(paths: DataFrame, rules: DataFrame) -> DataFrame:
         (F.col("kind") == "path").alias("whole"),
         _match_key(F.col("kind"), F.col("value")).alias("key"),
     )
+    # The few rules with short keys stand in every bucket, each path in the one of its hash.
+    spread = F.when(~F.col("whole") & (F.length("key") <= SHORT), F.sequence(F.lit(0), F.lit(BUCKETS - 1))).otherwise(F.array(F.lit(0)))
     # Plain paths are looked up as a whole, so their many lengths add no prefixes.
     lengths = _lengths(keyed.filter(~F.col("whole")), "key")
 
@@ -78,7 +87,9 @@ def _pairs(paths: DataFrame, rules: DataFrame) -> DataFrame:
     # that has none is tested against every distinct path; nothing else would be exact.
     fits = (F.col("kind") != "path-regex") | F.rlike("path", _anchored(F.col("value")))
     allowed = F.col("rule_method").isNull() | (F.col("rule_method") == F.col("method"))
-    return heads.join(keyed, ["whole", "key"]).filter(fits & allowed)
+    heads = heads.withColumn("bucket", F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(_bucket(F.col("key"), F.col("path"))))
+    keyed = keyed.withColumn("bucket", F.explode(spread.cast("array<bigint>")))
+    return heads.join(keyed, ["whole", "key", "bucket"]).filter(fits & allowed)
 
 
 def _matched(kind: Column, value: Column, path: Column) -> Column:

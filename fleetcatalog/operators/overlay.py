@@ -6,52 +6,60 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import CHECK_SETTINGS
-from .spread import durable
+from .spread import durable, prefixed
 
 NON_QUALIFYING = tuple(CHECK_SETTINGS)
+# Scopes that the message about a circle names.
+CIRCLE_NAMES = 100
 
 
-def scope_chain(scopes: DataFrame, max_depth: int = 64) -> DataFrame:
+def scope_chain(scopes: DataFrame) -> DataFrame:
     """``(start, scope, is_config, distance)``: each scope that others delegate to, with itself and all above it.
 
     ``scopes`` is ``(scope, parent, is_config)``; a root has a null parent. The scopes that others
-    delegate to are few beside those that none does, and only they are walked, one join per level.
+    delegate to are few beside those that none does, and only they are walked. Each round doubles
+    the steps that are known, so a chain of any depth takes the logarithm of it in rounds, and what
+    a round finds is written down. A scope that still has something above it after as many steps as
+    there are scopes is in a circle, or below one.
     """
     used = scopes.select(F.col("parent").alias("_parent")).filter(F.col("_parent").isNotNull()).distinct()
     inner = durable(scopes.join(used, F.col("scope") == F.col("_parent"), "left_semi"))
-    parents = inner.select(
-        F.col("scope").alias("_scope"), F.col("parent").alias("_parent"), F.col("is_config").alias("_config")
-    )
-    level = inner.select(F.col("scope").alias("start"), "scope", "is_config", F.lit(0).alias("distance"), "parent")
-    walked = level
-    for distance in range(1, max_depth + 1):
-        level = (
-            level.filter(F.col("parent").isNotNull())
-            .join(parents, F.col("parent") == F.col("_scope"))
-            .select(
-                "start",
-                F.col("_scope").alias("scope"),
-                F.col("_config").alias("is_config"),
-                F.lit(distance).alias("distance"),
-                F.col("_parent").alias("parent"),
+    count = inner.count()
+    walked = inner.select(F.col("scope").alias("start"), "scope", F.lit(0).cast("long").alias("distance"))
+    known = inner.select(F.col("scope").alias("_known")).distinct()
+    jumps = inner.select("scope", F.col("parent").alias("above")).join(known, F.col("above") == F.col("_known"), "left_semi")
+    jumps, steps = durable(jumps), 1
+    while not jumps.isEmpty():
+        if steps > count:
+            names = ", ".join(r["scope"] for r in jumps.select("scope").distinct().orderBy("scope").limit(CIRCLE_NAMES).collect())
+            raise ValueError(f"scopes delegate in a circle: {names}")
+        far = prefixed(walked, ["start", "scope", "distance"], "_f_")
+        further = jumps.join(far, F.col("above") == F.col("_f_start"))
+        walked = durable(
+            walked.unionByName(
+                further.select(F.col("scope").alias("start"), F.col("_f_scope").alias("scope"), (F.col("_f_distance") + steps).alias("distance"))
             )
         )
-        if level.isEmpty():
-            return walked.drop("parent")
-        walked = walked.unionByName(level)
-    raise ValueError(f"scopes delegate more than {max_depth} levels deep, or in a circle")
+        over = prefixed(jumps, ["scope", "above"], "_o_")
+        jumps = durable(jumps.join(over, F.col("above") == F.col("_o_scope")).select("scope", F.col("_o_above").alias("above")))
+        steps *= 2
+    kinds = inner.select(F.col("scope").alias("_scope"), "is_config")
+    return walked.join(kinds, F.col("scope") == F.col("_scope")).select("start", "scope", "is_config", "distance")
 
 
 def resolve_settings(settings: DataFrame, scopes: DataFrame) -> DataFrame:
     """``(target, key, value, scope)``: the value from the nearest defining scope, and that scope.
 
-    ``settings`` is ``(scope, key, value)``, each defined at most once. ``scope`` is null in the
-    result where the supplier is no configuration but the project itself.
+    ``settings`` is ``(scope, key, value)``; of two values for one key in one scope the one with the
+    larger ``seq`` counts, if there is such a column, then the larger value. ``scope`` is null in the result where
+    the supplier is no configuration but the project itself.
 
     What a scope that others delegate to resolves to is found first. Any other scope takes its
     own settings, else what its parent resolved to, so it is joined with one row per key and not
     with a chain. The choice is an aggregate of constant size, partly before the shuffle.
     """
+    latest = ["seq", "value"] if "seq" in settings.columns else ["value"]
+    settings = settings.groupBy("scope", "key").agg(F.max_by("value", F.struct(*latest)).alias("value"))
     chain = scope_chain(scopes)
     supplier = F.when(F.col("is_config"), F.col("scope"))
 
@@ -64,12 +72,12 @@ def resolve_settings(settings: DataFrame, scopes: DataFrame) -> DataFrame:
         chain.join(settings, "scope").select("start", "key", "value", supplier.alias("supplier"), "distance"), "start"
     )
     own = settings.join(scopes.select("scope", "is_config"), "scope").select(
-        F.col("scope").alias("target"), "key", "value", supplier.alias("supplier"), F.lit(0).alias("distance")
+        F.col("scope").alias("target"), "key", "value", supplier.alias("supplier"), F.lit(0).cast("long").alias("distance")
     )
     inherited = (
         scopes.select(F.col("scope").alias("target"), F.col("parent").alias("start"))
         .join(above, "start")
-        .select("target", "key", "value", F.col("scope").alias("supplier"), F.lit(1).alias("distance"))
+        .select("target", "key", "value", F.col("scope").alias("supplier"), F.lit(1).cast("long").alias("distance"))
     )
     return nearest(own.unionByName(inherited), "target")
 

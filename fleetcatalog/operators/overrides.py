@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from ..functions.fixed import DEFAULT_LABEL, DEFAULT_SERVICE_PORT
 from .spread import prefixed, same
@@ -15,6 +16,18 @@ ACLS = (
     "array<struct<family:string,http:array<struct<method:string,path:string,is_regex:boolean,"
     "rewrite:string>>,ports:array<int>>>"
 )
+# Lists whose order counts.
+ORDERED = ("http",)
+
+
+def _as_set(value: Column, kind: DataType) -> Column:
+    """``value`` with the lists in it sorted and without repeats, all but those in the fields ``ORDERED``."""
+    if isinstance(kind, ArrayType):
+        return F.array_sort(F.array_distinct(F.transform(value, lambda item: _as_set(item, kind.elementType))))
+    if isinstance(kind, StructType):
+        parts = [value[f.name] if f.name in ORDERED else _as_set(value[f.name], f.dataType) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*[p.alias(f.name) for p, f in zip(parts, kind.fields, strict=True)]))
+    return value
 
 
 def default_endpoints(bundles: DataFrame, web: bool = False, port: int = DEFAULT_SERVICE_PORT) -> DataFrame:
@@ -76,12 +89,17 @@ def manual_or_derived(
 ) -> DataFrame:
     """Manual rows of entities where they differ from the default in any way, else the derived rows.
 
-    Two sets of rows are equal when every label is in both with equal fields. Entities are those
-    that have manual or default rows, and those with derived rows only keep them.
+    Two sets of rows are equal when every label is in both with equal fields. Lists are sets here,
+    so neither order nor repeats count, but for the HTTP requests of a rule, which are tried in order.
+    Entities are those that have manual or default rows, and those with derived rows only keep them.
     """
     keys = [entity, label]
-    sides = manual.select(*keys, F.struct(*fields).alias("_m"), F.lit(True).alias("_in_m"))
-    other = prefixed(default.select(*keys, F.struct(*fields).alias("_d"), F.lit(True).alias("_in_d")), keys, "_d_")
+
+    def compared(df: DataFrame) -> Column:
+        return F.struct(*[_as_set(F.col(f), df.schema[f].dataType).alias(f) for f in fields])
+
+    sides = manual.select(*keys, compared(manual).alias("_m"), F.lit(True).alias("_in_m"))
+    other = prefixed(default.select(*keys, compared(default).alias("_d"), F.lit(True).alias("_in_d")), keys, "_d_")
     both = sides.join(other, same([(F.col(k), F.col("_d_" + k)) for k in keys]), "full")
     equal = F.coalesce(F.col("_in_m") & F.col("_in_d"), F.lit(False)) & F.col("_m").eqNullSafe(F.col("_d"))
     owner = F.when(F.col("_in_m"), F.col(entity)).otherwise(F.col("_d_" + entity))

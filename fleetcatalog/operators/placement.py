@@ -7,60 +7,48 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spread import HOT_ROWS, durable, prefixed, running_total, same
+from .spread import durable, prefixed, running_total, same
 
 
-def _subsets(roles: Column) -> Column:
-    """All subsets of a set of roles, as sorted texts; the empty one is the empty text."""
-    masks = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size(roles)) - 1)
+def _role_sets(df: DataFrame) -> DataFrame:
+    """``(set, roles)``: the distinct role sets, each with a number that is the same for equal sets."""
+    return df.select("_roles").distinct().select(F.xxhash64("_roles").alias("set"), F.col("_roles").alias("roles"))
 
-    def subset(mask: Column) -> Column:
-        chosen = F.filter(roles, lambda _, i: F.getbit(mask, i) == 1)
-        return F.to_json(chosen)
 
-    return F.transform(masks, subset)
+def _related(demands: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``(asking, holding)``: role sets of demands and of nodes that have a role in common; a set without roles takes any."""
+    asked, held = durable(_role_sets(demands)), durable(_role_sets(profiles))
+    by_role = asked.select(F.col("set").alias("asking"), F.explode("roles").alias("role"))
+    shared = by_role.join(held.select(F.col("set").alias("holding"), F.explode("roles").alias("role")), "role")
+    # Equal sets are one, so there is one set without roles at most, and it adds a row per node set.
+    free = asked.filter(F.size("roles") == 0).select(F.col("set").alias("asking"), F.lit(1).alias("_one"))
+    any_node = free.join(held.select(F.col("set").alias("holding"), F.lit(1).alias("_one")), "_one")
+    return shared.select("asking", "holding").unionByName(any_node.select("asking", "holding")).distinct()
 
 
-def _signed_subsets(roles: Column) -> Column:
-    """Subsets a bundle's roles ask for, with the sign each counts by.
+def _with_positions(rows: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """``rows`` plus ``at``: for each of ``dims`` how many distinct node values are up to a node's value, or below a demand's.
 
-    Nodes that share a role with the bundle are counted by inclusion and exclusion over the
-    non-empty subsets; a bundle without roles takes any node.
+    ``rows`` has ``_id``, ``_of_node`` (1 or 0) and the dims. Values are ranked once for all
+    dims, and joined back once.
     """
-    all_subsets = F.transform(
-        _subsets(roles),
-        lambda s, i: F.struct(
-            s.alias("subset"),
-            F.when((i == 0) | (F.bit_count(i) % 2 == 1), 1).otherwise(-1).alias("sign"),
-        ),
-    )
-    return F.when(F.size(roles) == 0, all_subsets).otherwise(F.slice(all_subsets, 2, F.size(all_subsets)))
-
-
-def _positions(nodes: DataFrame, bundles: DataFrame, dims: Sequence[str], hot_rows: int | None) -> DataFrame:
-    """``(dim, value, of_node, at)``: how many distinct node values are up to a node's value, or below a bundle's."""
-    def values(df: DataFrame, of_node: int) -> DataFrame:
-        pairs = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("double").alias("value")) for d in dims])
-        return df.select(F.inline(pairs)).distinct().withColumn("of_node", F.lit(of_node))
+    each = F.array(*[F.struct(F.lit(i).alias("dim"), F.col(d).cast("double").alias("value")) for i, d in enumerate(dims)])
+    values = durable(rows.select("_id", "_of_node", F.inline(each)).filter(F.col("value").isNotNull()))
+    ranked = running_total(values.select("dim", "value", "_of_node").distinct(), ["dim"], ["value", "_of_node"], "at", "_of_node")
+    found = prefixed(ranked, ["dim", "value", "_of_node"], "_r_")
+    placed = values.join(found, [values[c] == found["_r_" + c] for c in ("dim", "value", "_of_node")])
+    listed = placed.groupBy("_id", "_of_node").agg(F.array_sort(F.collect_list(F.struct("dim", "at"))).alias("_listed"))
+    full = listed.filter(F.size("_listed") == len(dims))
+    return full.select("_id", "_of_node", F.transform("_listed", lambda x: x["at"]).alias("at"))
 
-    both = values(nodes, 1).unionByName(values(bundles, 0))
-    return running_total(both, ["dim"], ["value", "of_node"], "at", "of_node", hot_rows)
 
+def _cells(at: Column, bits: int, digit: int) -> Column:
+    """Numbers of the cells of a position: for a bit with this digit, its place and what is above it.
 
-def _placed(df: DataFrame, positions: DataFrame, dims: Sequence[str], of_node: int) -> DataFrame:
-    for d in dims:
-        at = positions.filter((F.col("dim") == d) & (F.col("of_node") == of_node)).select(
-            F.col("value").alias("_value"), F.col("at").alias("at_" + d)
-        )
-        df = df.join(at, F.col(d).cast("double") == F.col("_value")).drop("_value")
-    return df
-
-
-def _each_cell(df: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """A row per combination of one cell in each dimension."""
-    for d in dims:
-        df = df.withColumn("cell_" + d, F.explode("cells_" + d)).drop("cells_" + d)
-    return df
+    A demand asks for the cell that has 1 where its own position has 0.
+    """
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda b: F.getbit(at, b) == digit)
+    return F.transform(chosen, lambda b: (F.call_function("shiftright", at, b) + (1 - digit)) * 64 + b)
 
 
 def placement_candidates(
@@ -69,74 +57,51 @@ def placement_candidates(
     bundle: str,
     dims: Sequence[str],
     roles: str = "roles",
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """``(bundle, candidates)``: nodes with at least the bundle's amount of each of ``dims`` and a common role.
 
     Counted without pairing bundles with nodes. Each value gets its position among the node
     values. Position r is above y exactly if at one bit r has 1, y has 0 and all higher bits are
-    equal; so a node is counted in one cell per 1-bit and a bundle asks one cell per 0-bit, in
-    each dimension. Cells are summed before they are joined, which makes both the join and the
-    sums ordinary ones by equal keys. Equal nodes, and equal bundles, are counted once; they and
-    the positions are written down, since they are read once per dimension. Amounts are compared
-    as doubles; a bundle that lacks one has no candidates. Sets of roles are taken to be small, as
-    their subsets are listed.
+    equal; so in all dims but the last a node lies in one cell per 1-bit and a demand asks one
+    cell per 0-bit. Within a cell the last dim is a running total from its upper end: what has
+    been counted when a demand's own position is reached. Role sets are numbers; those that share
+    a role are found once, whatever the count of roles. Equal nodes, and equal demands, are one.
+    Amounts are compared as doubles; a bundle that lacks one has no candidates.
     """
     clean = F.array_sort(F.array_distinct(F.coalesce(F.col(roles), F.array().cast("array<string>"))))
     profile = [*dims, "_roles"]
-    profiles = durable(
-        nodes.select(*dims, clean.alias("_roles")).groupBy(*profile).agg(F.count(F.lit(1)).alias("_n"))
-    )
-    # The number stands for a demand until the end; it is written down with it and stays the same.
-    demands = durable(
-        bundles.select(*dims, clean.alias("_roles"))
-        .distinct()
-        .withColumn("_demand", F.monotonically_increasing_id())
-    )
-    positions = durable(_positions(profiles, demands, dims, hot_rows))
-
-    def bits(d: str) -> Column:
-        at = positions.filter(F.col("dim") == d)
-        return at.select(F.length(F.bin(F.coalesce(F.max("at"), F.lit(0)))).cast("int")).scalar()
-
-    def cells(d: str, digit: int) -> Column:
-        # One number for a bit with this digit and the place above it. The place a bundle asks
-        # for is the one that has 1 where the bundle's position has 0.
-        at = F.col("at_" + d)
-        chosen = F.filter(F.sequence(F.lit(0), F.col("_bits_" + d) - 1), lambda b: F.getbit(at, b) == digit)
-        return F.transform(chosen, lambda b: (F.call_function("shiftright", at, b) + (1 - digit)) * 64 + b)
-
-    def with_cells(df: DataFrame, digit: int) -> DataFrame:
-        df = df.withColumns({"_bits_" + d: bits(d) for d in dims})
-        df = df.withColumns({"cells_" + d: cells(d, digit) for d in dims})
-        return df.drop(*["at_" + d for d in dims], *["_bits_" + d for d in dims])
-
-    cell_names = ["subset", *["cell_" + d for d in dims]]
-    cell_lists = ["cells_" + d for d in dims]
-    held = with_cells(_placed(profiles, positions, dims, 1), 1).select(
-        "_n", *cell_lists, F.explode(_subsets(F.col("_roles"))).alias("subset")
-    )
-    held = _each_cell(held, dims).groupBy(*cell_names).agg(F.sum("_n").alias("_held"))
-    # A fixed number of tasks: the rows are few and small here, and become many in the next step.
-    tasks = int(bundles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = with_cells(_placed(demands, positions, dims, 0), 0).repartition(tasks, "_demand").select(
-        "_demand", *cell_lists, F.inline(_signed_subsets(F.col("_roles")))
-    )
-    asked = _each_cell(asked, dims)
-    counted = (
-        asked.select("_demand", "sign", *cell_names)
-        .join(held, cell_names)
-        .groupBy("_demand")
-        .agg(F.sum(F.col("sign") * F.col("_held")).alias("_candidates"))
-        .join(demands, "_demand")
-        .select(*profile, "_candidates")
-    )
-    counted = prefixed(counted, profile, "_p_")
+    profiles = nodes.select(*dims, clean.alias("_roles")).groupBy(*profile).agg(F.count(F.lit(1)).alias("_n"))
+    demands = bundles.select(*dims, clean.alias("_roles")).distinct().withColumn("_n", F.lit(0).cast("long"))
+    both = profiles.withColumn("_of_node", F.lit(1)).unionByName(demands.withColumn("_of_node", F.lit(0)))
+    # The number stands for a row until the end; it is written down with it and stays the same.
+    both = durable(both.withColumn("_id", F.monotonically_increasing_id()))
+    related = durable(_related(both.filter("_of_node = 0"), both.filter("_of_node = 1")))
+    placed = durable(_with_positions(both, dims))
+    most = placed.agg(*[F.max(F.col("at")[i]) for i in range(len(dims))]).first()
+    sets = both.select("_id", "_n", F.xxhash64("_roles").alias("_set"))
+    rows = placed.join(sets, "_id")
+
+    def in_cells(some: DataFrame, digit: int) -> DataFrame:
+        cells = []
+        for i in range(len(dims) - 1):
+            cells.append(f"_cell_{i}")
+            some = some.withColumn(cells[-1], F.explode(_cells(F.col("at")[i], max(1, int(most[i] or 0).bit_length()), digit)))
+        return some.withColumn("_last", -F.col("at")[len(dims) - 1]).select("_id", "_set", *cells, "_last", "_n")
+
+    cells = ["_set", *[f"_cell_{i}" for i in range(len(dims) - 1)]]
+    held = in_cells(rows.filter("_of_node = 1"), 1).join(related, F.col("_set") == F.col("holding"))
+    held = held.withColumn("_set", F.col("asking")).groupBy(*cells, "_last").agg(F.sum("_n").alias("_n"))
+    held = held.select(F.lit(-1).cast("long").alias("_id"), *cells, "_last", "_n", F.lit(1).alias("_after"))
+    asked = in_cells(rows.filter("_of_node = 0"), 0).withColumn("_after", F.lit(0))
+    # A node's own position is counted in it and a demand's is not, so a node of a demand's position comes after it.
+    counted = running_total(held.unionByName(asked.select(*held.columns)), cells, ["_last", "_after", "_id"], "_held", "_n")
+    found = counted.filter("_after = 0").groupBy("_id").agg(F.sum("_held").alias("candidates"))
+    wanted = prefixed(both.filter("_of_node = 0").join(found, "_id").select(*profile, "candidates"), profile, "_p_")
     on = same([(F.col(c), F.col("_p_" + c)) for c in profile])
     return (
         bundles.select(bundle, *dims, clean.alias("_roles"))
-        .join(counted, on, "left")
-        .select(bundle, F.coalesce("_candidates", F.lit(0).cast("long")).alias("candidates"))
+        .join(wanted, on, "left")
+        .select(bundle, F.coalesce("candidates", F.lit(0).cast("long")).alias("candidates"))
     )
 
 

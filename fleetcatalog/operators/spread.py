@@ -1,48 +1,21 @@
 """Ordered work over groups of any size.
 
-A window puts each group into one task. Here only groups of up to ``hot_rows`` rows go
-that way. The rows of larger groups are range-partitioned by (group, order) into slices,
-worked on slice by slice, and joined with what the slices before them add up to.
+A window by group would put each group into one task. Here rows are range-partitioned by (group,
+order) into slices, written down, and worked on slice by slice. Only groups that go on from one
+slice into the next need more: what the slices before them add up to, one row per slice border.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
-from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 4_000_000
-CHUNK = 1000
+from ..store import durable
 
-
-def _shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; only a local session may get one made for it."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="fleetcatalog-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared checkpoint folder and read from there.
-
-    For rows that are read more than once and are costly to find, or that must stay the same
-    when read again after an executor was lost. The size of the table is known to the planner.
-    """
-    spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["durable", "prefixed", "previous_value", "running_total", "same"]
 
 
 def same(pairs: Sequence[tuple[Column, Column]]) -> Column:
@@ -55,34 +28,10 @@ def prefixed(df: DataFrame, names: Sequence[str], prefix: str) -> DataFrame:
     return df.withColumnsRenamed({name: prefix + name for name in names})
 
 
-class Split(NamedTuple):
-    cold: DataFrame
-    hot: DataFrame | None
-    slices: int
-
-
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None = HOT_ROWS) -> Split:
-    """Rows of groups up to ``hot_rows``, rows of larger groups (none if there are none), and how
-    many slices of about ``hot_rows`` the latter make.
-
-    The check reads only the key columns. At most rows / ``hot_rows`` keys can be hot, which
-    is what bounds the broadcast below. It is left out if ``hot_rows`` is none, for groups that
-    are known to be bounded.
-    """
-    if hot_rows is None:
-        return Split(df, None, 0)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
-    if counts.isEmpty():
-        return Split(df, None, 0)
-    counts = durable(counts)
-    total = counts.agg(F.sum("_rows")).first()[0]
-    hot = F.broadcast(prefixed(counts.select(*keys), keys, "_hot_"))
-    on = same([(F.col(k), F.col("_hot_" + k)) for k in keys])
-    return Split(df.join(hot, on, "left_anti"), df.join(hot, on, "left_semi"), -(-total // hot_rows))
-
-
-def _sliced(split: Split, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    ranged = split.hot.repartitionByRange(split.slices, *keys, *order)
+def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None) -> DataFrame:
+    """``df`` with the ``_slice`` of each row; as many as shuffles have partitions, if not said."""
+    columns = [*keys, *[c for c in order if c not in keys]]
+    ranged = df.repartitionByRange(*columns) if slices is None else df.repartitionByRange(slices, *columns)
     return durable(ranged.withColumn("_slice", F.spark_partition_id()))
 
 
@@ -92,38 +41,26 @@ def running_total(
     order: Sequence[str],
     out: str,
     weight: str | None = None,
-    hot_rows: int | None = HOT_ROWS,
+    slices: int | None = None,
 ) -> DataFrame:
     """``df`` plus the sum of ``weight`` (1 if not given) up to and with each row of its group.
 
     ``order`` must be total within a group. Without a weight the sum is the row's position from 1.
     """
     amount = F.lit(1).cast("long") if weight is None else F.col(weight)
-    split = split_hot(df, keys, hot_rows)
-    upto = (Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto)
-    result = split.cold.withColumn(out, F.sum(amount).over(whole))
-    if split.hot is None:
-        return result
-
-    sliced = _sliced(split, keys, order)
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per slice and key: no more than slices + hot keys.
-    offsets = (
-        sliced.groupBy(*keys, "_slice")
-        .agg(F.sum(amount).alias("_sum"))
-        .withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-        .drop("_sum")
-    )
+    sliced = _sliced(df, keys, order, slices)
     names = [*keys, "_slice"]
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sliced.groupBy(*names).agg(F.sum(amount).alias("_sum"))
+    # A group that began in an earlier slice is the first of its slice, so there is one row per slice at most.
+    offsets = sums.withColumn("_offset", F.sum("_sum").over(before)).filter(F.col("_offset").isNotNull()).drop("_sum")
     offsets = F.broadcast(prefixed(offsets, names, "_o_"))
-    inner = Window.partitionBy(*names).orderBy(*order).rowsBetween(*upto)
-    spread = (
-        sliced.withColumn(out, F.sum(amount).over(inner))
-        .join(offsets, same([(F.col(n), F.col("_o_" + n)) for n in names]))
-        .withColumn(out, F.col(out) + F.col("_offset"))
+    inner = Window.partitionBy("_slice", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = sliced.withColumn(out, F.sum(amount).over(inner)).join(
+        offsets, same([(F.col(n), F.col("_o_" + n)) for n in names]), "left"
     )
-    return result.unionByName(spread.select(*result.columns))
+    total = (F.col(out) + F.coalesce("_offset", F.lit(0))).alias(out)
+    return joined.select(*[total if c == out else c for c in [*df.columns, out]])
 
 
 def previous_value(
@@ -132,57 +69,21 @@ def previous_value(
     order: Sequence[str],
     value: str,
     out: str,
-    hot_rows: int | None = HOT_ROWS,
+    slices: int | None = None,
 ) -> DataFrame:
     """``df`` plus the ``value`` of the row before it in its group, null for the first."""
-    split = split_hot(df, keys, hot_rows)
-    whole = Window.partitionBy(*keys).orderBy(*order)
-    result = split.cold.withColumn(out, F.lag(value).over(whole))
-    if split.hot is None:
-        return result
-
-    sliced = _sliced(split, keys, order)
+    sliced = _sliced(df, keys, order, slices)
     names = [*keys, "_slice"]
-    slices = Window.partitionBy(*keys).orderBy("_slice")
-    # One row per slice and key: no more than slices + hot keys.
-    last = (
-        sliced.groupBy(*names)
-        .agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
-        .withColumn("_carry", F.lag("_last").over(slices))
-        .drop("_last")
-    )
-    last = F.broadcast(prefixed(last, names, "_l_"))
-    inner = Window.partitionBy(*names).orderBy(*order)
-    spread = (
+    by_slice = Window.partitionBy(*keys).orderBy("_slice")
+    last = sliced.groupBy(*names).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
+    # One row per slice at most, as above.
+    carried = last.withColumn("_carry", F.lag("_last").over(by_slice)).drop("_last").filter(F.col("_carry").isNotNull())
+    carried = F.broadcast(prefixed(carried, names, "_l_"))
+    inner = Window.partitionBy("_slice", *keys).orderBy(*order)
+    joined = (
         sliced.withColumn("_first", F.row_number().over(inner) == 1)
         .withColumn(out, F.lag(value).over(inner))
-        .join(last, same([(F.col(n), F.col("_l_" + n)) for n in names]))
-        .withColumn(out, F.when(F.col("_first"), F.col("_carry.v")).otherwise(F.col(out)))
-    )
-    return result.unionByName(spread.select(*result.columns))
-
-
-def chunked_lists(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    item: Column,
-    out: str,
-    chunk: int = CHUNK,
-    hot_rows: int | None = HOT_ROWS,
-    shape: Callable[[Column], Column] = lambda item: item,
-) -> DataFrame:
-    """Ordered lists per group in parts of at most ``chunk`` items: ``(keys, part, out)``.
-
-    Parts count from 0; the parts of a group in order make its whole list. Items are shuffled as
-    they are and given their final ``shape`` after that.
-    """
-    whole = df.select(*keys, *[c for c in order if c not in keys], item.alias("_item"))
-    ranked = running_total(whole, keys, order, "_pos", hot_rows=hot_rows)
-    part = F.call_function("div", F.col("_pos") - 1, F.lit(chunk)).cast("int")
-    pairs = F.array_sort(F.collect_list(F.struct("_pos", shape(F.col("_item")).alias("_item"))))
-    return (
-        ranked.withColumn("part", part)
-        .groupBy(*keys, "part")
-        .agg(F.transform(pairs, lambda p: p["_item"]).alias(out))
+        .join(carried, same([(F.col(n), F.col("_l_" + n)) for n in names]), "left")
     )
+    found = F.when(F.col("_first"), F.col("_carry.v")).otherwise(F.col(out)).alias(out)
+    return joined.select(*[found if c == out else c for c in [*df.columns, out]])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import version_rank
 from ..functions.fixed import LAST_VERSION_WITHOUT_ACLS, TARGET_VERSIONS
+from ..store import shared_folder
 
 RULES = ("version", "endpoint", "memory")
 
@@ -61,15 +64,24 @@ def valid_bundles(bundles: DataFrame, report: DataFrame) -> DataFrame:
 
 
 class InvalidBundles(ValueError):
-    """Some bundles break a rule."""
+    """Some bundles break a rule; ``place`` is the table of all violations."""
+
+    def __init__(self, message: str, place: str) -> None:
+        super().__init__(message)
+        self.place = place
 
 
-def require_valid(report: DataFrame, shown: int = 20) -> None:
-    """Fails once if the report has rows, telling how many break each rule and the first few of them."""
+def require_valid(report: DataFrame, path: str | None = None) -> None:
+    """Fails once if the report has rows, telling how many break each rule and where all of them are.
+
+    All violations are written as a table to ``path``, in order of bundle, rule and label; without a path, to
+    the shared folder, where they stay.
+    """
     counts = {r["rule"]: r["count"] for r in report.groupBy("rule").count().collect()}
     if not counts:
         return
-    first = report.orderBy("bundle", rule_order(F.col("rule")), "label").limit(shown).collect()
+    place = path or f"{shared_folder(report.sparkSession)}/violations-{uuid.uuid4().hex}"
+    rank = report.withColumn("rank", rule_order(F.col("rule")))
+    rank.orderBy("bundle", "rank", "label").drop("rank").write.parquet(place)
     lines = [f"{counts[r]} x {r}" for r in RULES if r in counts]
-    lines += [f"  - {row['bundle']}: {row['message']}" for row in first]
-    raise InvalidBundles("bundle settings are not valid\n" + "\n".join(lines))
+    raise InvalidBundles("\n".join(["bundle settings are not valid", *lines, f"all of them: {place}"]), place)

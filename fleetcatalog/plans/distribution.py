@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import artifact_name
-from ..operators.contents import digest
-from ..operators.manifest import bundle_names, manifest_emit, resource_normalize, version_defaults
+from ..operators.manifest import bundle_names, manifest_digests, manifest_emit, resource_normalize, version_defaults
 from ..operators.overlay import overlay_delta, resolve_settings
 from ..operators.overrides import override_per_entity
 from ..operators.routes import route_rules
@@ -24,22 +23,23 @@ class Distribution(NamedTuple):
 
 
 def apply_settings(bundles: DataFrame, settings: DataFrame, scopes: DataFrame) -> DataFrame:
-    """``bundles`` with the scalar settings resolved for each bundle's scope put over its own fields.
+    """``bundles`` with the settings resolved for each bundle's scope put over its own fields.
 
-    ``bundles`` has a ``scope`` column; ``settings`` values are texts, cast to the field's type.
-    Settings under names that are no column of ``bundles`` are ignored.
+    ``bundles`` has a ``scope`` column; ``settings`` values are texts, cast to the field's type, those of
+    lists, maps and structs JSON. Settings under names that are no column of ``bundles`` are ignored.
     """
-    types = {c: t for c, t in bundles.dtypes if c not in ("name", "scope") and not t.startswith(("array", "struct"))}
+    types = {c: t for c, t in bundles.dtypes if c not in ("name", "scope")}
     resolved = overlay_delta(resolve_settings(settings, scopes), full=True)
     wide = resolved.groupBy(F.col("target").alias("_target")).agg(
         *[F.max(F.when(F.col("key") == c, F.col("value"))).alias("_s_" + c) for c in types]
     )
     joined = bundles.join(wide, F.col("scope") == F.col("_target"), "left")
-    columns = [
-        F.coalesce(F.col("_s_" + c).cast(types[c]), F.col(c)).alias(c) if c in types else F.col(c)
-        for c in bundles.columns
-    ]
-    return joined.select(*columns)
+
+    def given(c: str) -> Column:
+        text = F.col("_s_" + c)
+        return F.from_json(text, types[c]) if types[c].startswith(("array", "map", "struct")) else text.cast(types[c])
+
+    return joined.select(*[F.coalesce(given(c), F.col(c)).alias(c) if c in types else F.col(c) for c in bundles.columns])
 
 
 def distribute(
@@ -48,7 +48,7 @@ def distribute(
     override: DataFrame,
     override_defined: DataFrame,
 ) -> Distribution:
-    """Checks bundles, then writes one manifest for each valid one and names it by digest.
+    """Checks bundles, then emits the manifest of each valid one and names it by digest.
 
     The declared endpoints are checked, the overriding ones are emitted.
     """
@@ -61,16 +61,13 @@ def distribute(
     )
     manifests = manifest_emit(sound, used)
     packages = sound.select(F.col("name").alias("bundle"), "package")
-    named = digest(F.col("manifest"))
-    artifacts = manifests.join(packages, "bundle").select(
-        "bundle",
-        "part",
-        named.alias("digest"),
-        artifact_name(F.concat("package", F.lit(".json")), named).alias("artifact"),
+    artifacts = manifest_digests(manifests).join(packages, "bundle").select(
+        "bundle", "digest", artifact_name(F.concat("package", F.lit(".json")), F.col("digest")).alias("artifact")
     )
     return Distribution(report, bad_rules, manifests, artifacts)
 
 
 def write_manifests(manifests: DataFrame, path: str) -> None:
-    """Writes the documents as text lines beside the columns that identify them."""
-    manifests.write.mode("overwrite").parquet(path)
+    """Writes the rows of all manifests as a table in order of bundle and label, the header first."""
+    order = ["bundle", "label"]
+    manifests.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)

@@ -25,14 +25,15 @@ from ..functions import (
     pair_request,
     pair_value,
     round_up_kib,
+    tuple_request,
     whole_seconds,
 )
 from ..operators import contents, fold, history, install, manifest, matching, overlay
 from ..operators import overrides, placement, ports, routes, services, validation
 from ..operators.overrides import ACLS
-from ..operators.spread import durable
-from ..sources import reports, tree
-from . import local_run
+from ..store import durable
+from ..sources import reports
+from . import distribution, local_run
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,7 +57,11 @@ def _paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _descriptors(spark: SparkSession, folder: str) -> DataFrame:
-    """A descriptor per page: its host as service, its path quoted, its first folder quoted, its path bare."""
+    """A descriptor per page: its host as service, its path quoted, its first folder quoted, its path bare.
+
+    Pages of even number also have the root and, for some, the bare slashes of an empty prefix. The JSON of
+    every third begins with white space.
+    """
     def quoted(text: Column) -> Column:
         return F.concat(F.lit("\\Q"), text, F.lit("\\E"))
 
@@ -64,12 +69,26 @@ def _descriptors(spark: SparkSession, folder: str) -> DataFrame:
         quoted(F.col("path")),
         F.concat(quoted(F.regexp_extract("path", "^(/[^/]+/)", 1)), F.lit("([^/]+)")),
         F.col("path"),
+        F.when(F.col("page_id") % 2 == 0, quoted(F.lit("/"))).otherwise(F.col("path")),
+        F.when(F.col("page_id") % 4 == 0, quoted(F.lit("//"))).otherwise(F.col("path")),
     ]
     acls = F.array(*[F.struct(p.alias("pathPattern")) for p in patterns])
     described = F.array(F.struct(F.concat(F.lit("/"), "host").alias("name"), acls.alias("acls")))
     return _paths(spark, folder).select(
-        F.col("scheme").alias("descriptor_set"), F.col("page_id").alias("seq"), F.to_json(described).alias("json")
+        F.col("scheme").alias("descriptor_set"),
+        F.col("page_id").alias("seq"),
+        F.concat(F.when(F.col("page_id") % 3 == 0, "\n\t ").otherwise(""), F.to_json(described)).alias("json"),
+    )
+
+
+def _plain_descriptors(spark: SparkSession, folder: str) -> DataFrame:
+    """A descriptor per page that quotes its path; hosts of some lengths have no rules."""
+    pattern = F.concat(F.lit("\\Q"), "path", F.lit("\\E"))
+    rules = F.when(F.length("host") % 5 == 0, F.array().cast("array<struct<pathPattern:string>>")).otherwise(
+        F.array(F.struct(pattern.alias("pathPattern")))
     )
+    described = F.array(F.struct(F.col("host").alias("name"), rules.alias("acls")))
+    return _paths(spark, folder).select(F.col("scheme").alias("descriptor_set"), F.to_json(described).alias("json"))
 
 
 def service_catalog(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,20 +103,25 @@ def service_uris(spark: SparkSession, folder: str) -> DataFrame:
 
 def service_endpoints(spark: SparkSession, folder: str) -> DataFrame:
     endpoints = services.acl_endpoints(_descriptors(spark, folder), ["descriptor_set"])
-    return endpoints.withColumn("services", F.array_join("services", ",")).withColumn(
-        "rules", F.array_join("rules", ",")
-    )
+    return endpoints.withColumn("services", F.array_join("services", ","))
 
 
 def service_uri_endpoints(spark: SparkSession, folder: str) -> DataFrame:
     endpoints = services.uri_endpoints(_descriptors(spark, folder), ["descriptor_set"])
-    return endpoints.select("descriptor_set", "label", "part", "bind_protocol", F.array_join("services", ",").alias("services"))
+    return endpoints.select("descriptor_set", "label", "uri", "bind_protocol", F.array_join("services", ",").alias("services"))
 
 
 def descriptor_errors(spark: SparkSession, folder: str) -> DataFrame:
-    """Descriptors of pages, and texts of documents in place of descriptors."""
+    """Descriptors of pages, some without name, with a number as pattern or cut off, and texts of documents."""
     texts = _read(spark, folder, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("json"))
-    described = _descriptors(spark, folder).select("seq", "json")
+    kind, json = F.col("seq") % 10, F.col("json")
+    spoilt = (
+        F.when(kind == 1, F.regexp_replace(json, '"name"', '"title"'))
+        .when(kind == 2, F.regexp_replace(json, r'"pathPattern":"[^"]*"', '"pathPattern":5'))
+        .when(kind == 3, F.left(json, F.length(json) - 1))
+        .otherwise(json)
+    )
+    described = _descriptors(spark, folder).select("seq", spoilt.alias("json"))
     both = described.withColumn("origin", F.lit("pages")).union(texts.withColumn("origin", F.lit("documents")))
     return services.descriptor_errors(both).select("origin", "seq")
 
@@ -119,14 +143,6 @@ def incremental_load(spark: SparkSession, folder: str) -> DataFrame:
     return contents.new_contents(documents, catalog, "doc_id", "text")
 
 
-def tree_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return tree.tree_scan(spark, [folder]).select("rel_path", "length")
-
-
-def file_catalog(spark: SparkSession, folder: str) -> DataFrame:
-    return contents.file_catalog(contents.file_digests(tree.tree_scan(spark, [folder])))
-
-
 def path_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Each page path as a plain rule and as three regexes: prefix, whole path, and one with a double slash."""
     def form(name: str, path: Column, is_regex: bool) -> Column:
@@ -152,6 +168,22 @@ def pair_requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def tuple_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules of pages in each form that one, two or three texts can take, with and without a regex."""
+    path, host, regex = F.col("path"), F.col("host"), F.concat(F.lit("^"), "path")
+    method = F.when(F.col("scheme") == "https", "GET").otherwise("PUT")
+
+    def form(name: str, regex_at: int | None, *texts: Column) -> Column:
+        return F.struct(F.lit(name).alias("form"), F.array(*texts).alias("texts"), F.lit(regex_at).cast("int").alias("at"))
+
+    forms = F.array(
+        form("path", None, path), form("regex", 0, regex), form("method path", None, method, path), form("path rewrite", None, path, host),
+        form("method regex", 1, method, regex), form("regex rewrite", 0, regex, host), form("three", None, method, path, host), form("three regex", 1, method, regex, host),
+    )
+    rows = _paths(spark, folder).select("page_id", F.inline(forms))
+    return rows.select("page_id", "form", F.inline(F.array(tuple_request(F.col("texts"), F.col("at")))))
+
+
 def _customer_endpoints(spark: SparkSession, folder: str) -> DataFrame:
     """An endpoint per customer with three HTTP rules, two of three TCP ports and a UDP port."""
     return _read(spark, folder, "customer").select(
@@ -174,9 +206,21 @@ def route_rules(spark: SparkSession, folder: str) -> DataFrame:
     return routes.route_rules(_customer_endpoints(spark, folder))
 
 
-def acl_listing(spark: SparkSession, folder: str) -> DataFrame:
+def _listing(spark: SparkSession, folder: str, family: str) -> DataFrame:
     rules = routes.route_rules(_customer_endpoints(spark, folder))
-    return routes.acl_listing(rules, "tcp").select("bundle", "label", "family", "port")
+    return routes.acl_listing(rules, family)
+
+
+def acl_listing(spark: SparkSession, folder: str) -> DataFrame:
+    return _listing(spark, folder, "tcp").select("bundle", "label", "family", "port")
+
+
+def acl_listing_udp(spark: SparkSession, folder: str) -> DataFrame:
+    return _listing(spark, folder, "udp").select("bundle", "label", "family", "port")
+
+
+def acl_listing_http(spark: SparkSession, folder: str) -> DataFrame:
+    return _listing(spark, folder, "http").select("bundle", "label", "method", "kind", "value", "rewrite", "error")
 
 
 def _part_bundles(spark: SparkSession, folder: str) -> DataFrame:
@@ -282,14 +326,13 @@ def default_endpoints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _base_and_override(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Suppliers per nation; nations of two regions define an override: their customers in debt."""
+    """Suppliers per nation; nations of two regions define an override: their customers."""
     base = _read(spark, folder, "supplier").select(
         F.col("s_nationkey").alias("entity"), F.col("s_name").alias("label"), (F.col("s_suppkey") + 9000).alias("port")
     )
     defined = _read(spark, folder, "nation").filter(F.col("n_regionkey") < 2).select(F.col("n_nationkey").alias("entity"))
     override = (
         _read(spark, folder, "customer")
-        .filter(F.col("c_acctbal") < 0)
         .select(F.col("c_nationkey").alias("entity"), F.col("c_name").alias("label"), (F.col("c_custkey") + 8000).alias("port"))
         .join(defined, "entity", "left_semi")
     )
@@ -309,18 +352,26 @@ def override_global(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def manual_or_derived(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers whose manual port is the default get an endpoint per order instead."""
+    """Customers whose manual endpoint is the default get one per order instead. Names in another order, or twice, are no change."""
     customer = _read(spark, folder, "customer")
-    default = customer.select(F.col("c_custkey").alias("entity"), F.lit("web").alias("label"), F.lit(0).cast("long").alias("port"))
+    entity, name = F.col("c_custkey").alias("entity"), F.col("c_name")
+    default = customer.select(
+        entity, F.lit("web").alias("label"), F.lit(0).cast("long").alias("port"), F.array(F.lit("a"), name).alias("services")
+    )
     manual = customer.select(
-        F.col("c_custkey").alias("entity"),
+        entity,
         F.lit("web").alias("label"),
         F.when(F.col("c_acctbal") < 0, F.col("c_custkey")).otherwise(0).alias("port"),
+        F.array(name, F.when(F.col("c_nationkey") == 0, "b").otherwise("a"), name).alias("services"),
     )
     derived = _read(spark, folder, "orders").select(
-        F.col("o_custkey").alias("entity"), _text("o_orderkey").alias("label"), F.col("o_orderkey").alias("port")
+        F.col("o_custkey").alias("entity"),
+        _text("o_orderkey").alias("label"),
+        F.col("o_orderkey").alias("port"),
+        F.array("o_orderstatus").alias("services"),
     )
-    return overrides.manual_or_derived(manual, default, derived, "entity", "label", ["port"])
+    found = overrides.manual_or_derived(manual, default, derived, "entity", "label", ["port", "services"])
+    return found.withColumn("services", F.array_join("services", ","))
 
 
 def _uris(spark: SparkSession, folder: str) -> DataFrame:
@@ -383,16 +434,7 @@ def settings_fold(spark: SparkSession, folder: str) -> DataFrame:
 def settings_record(spark: SparkSession, folder: str) -> DataFrame:
     folded = settings_fold(spark, folder)
     records = fold.fold_records(folded, "user_id", EVENT_FIELDS)
-    pairs = F.transform(F.map_entries("envs"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return records.select(
-        "user_id",
-        "part",
-        "log_level",
-        F.array_join("args", ",").alias("args"),
-        F.array_join("ports", ",").alias("ports"),
-        F.array_join(F.array_sort(pairs), ",").alias("envs"),
-        "no_default_features",
-    )
+    return records.select("user_id", "field", "pos", "key", "value", "log_level", "no_default_features")
 
 
 def install_plan(spark: SparkSession, folder: str) -> DataFrame:
@@ -418,10 +460,14 @@ def report_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def report_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers and suppliers by nation as reports of a header and one line each."""
+    """Customers as reports of a header and up to fifty lines, whose ends differ by report."""
     line = F.concat_ws(" ", "c_custkey", "c_name", F.lit("v1"), "c_nationkey", F.length("c_mktsegment"), "c_mktsegment")
-    told = _read(spark, folder, "customer").select("c_custkey", F.concat(F.lit("ID NAME\n"), line).alias("text"))
-    return reports.report_counts(told, "c_custkey", "text")
+    report = F.floor(F.col("c_custkey") / 50).alias("report")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))), lambda x: x["line"])
+    told = _read(spark, folder, "customer").groupBy(report).agg(lines.alias("lines"))
+    ends = F.when(F.col("report") % 3 == 0, "\r\n").when(F.col("report") % 3 == 1, "\r").otherwise("\n")
+    joined = F.array_join(F.concat(F.array(F.lit("ID NAME")), "lines"), "\x00")
+    return reports.report_counts(told.select("report", F.replace(joined, F.lit("\x00"), ends).alias("text")), "report", "text")
 
 
 def manifest_emit(spark: SparkSession, folder: str) -> DataFrame:
@@ -469,14 +515,44 @@ def manifest_emit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def manifest_artifacts(spark: SparkSession, folder: str) -> DataFrame:
-    """Manifests of orders, each under a name with the digest of its text."""
-    manifests = manifest_emit(spark, folder)
-    named = manifests.withColumn("name", F.concat("bundle", F.lit("."), "part", F.lit(".json")))
-    return contents.content_names(named, "bundle", "manifest", "name")
+    """Digests of the manifests of orders."""
+    return manifest.manifest_digests(manifest_emit(spark, folder))
+
+
+def detected_manifests(spark: SparkSession, folder: str) -> DataFrame:
+    """From descriptors of pages to manifests: settings, detected endpoints, checks, documents and digests.
+
+    A bundle per scheme of pages.
+    """
+    detected = services.declared_endpoints(services.acl_endpoints(_plain_descriptors(spark, folder), ["descriptor_set"]), "descriptor_set")
+    named = _paths(spark, folder).select(F.col("scheme").alias("name")).distinct()
+    none = F.lit(None)
+    bundles = named.select(
+        "name", F.concat(F.lit("s-"), "name").alias("scope"), F.lit("1.2").alias("version"), none.cast("array<string>").alias("tags"),
+        none.cast("string").alias("system"), none.cast("string").alias("system_version"), none.cast("string").alias("target_version"),
+        none.cast("boolean").alias("enable_acls"), none.cast("double").alias("nr_of_cpus"), none.cast("long").alias("memory"),
+        none.cast("long").alias("min_memory"), none.cast("long").alias("disk_space"), none.cast("array<string>").alias("roles"),
+        none.cast("string").alias("annotations"), none.cast("long").alias("check_delay_ms"), none.cast("array<string>").alias("checks"),
+        F.col("name").alias("description"), F.array(F.lit("bin/run")).alias("start_command"),
+    )
+    root = spark.createDataFrame([("build", None, False)], "scope string, parent string, is_config boolean")
+    scopes = bundles.select("scope", F.lit("build").alias("parent"), F.lit(True).alias("is_config")).unionByName(root)
+    pages = _read(spark, folder, "pages").agg(F.count(F.lit(1)).alias("n"))
+    of_build = F.array(
+        F.struct(F.lit("memory").alias("key"), (F.col("n") + 402653184).cast("string").alias("value")),
+        F.struct(F.lit("roles").alias("key"), F.to_json(F.array(F.lit("web"), F.lit("pages"))).alias("value")),
+    )
+    settings = pages.select(F.lit("build").alias("scope"), F.inline(of_build))
+    # Written down, so that the one scope name does not turn joins into products.
+    complete = distribution.apply_settings(bundles, durable(settings), durable(scopes)).drop("scope")
+    derived = overrides.manual_or_derived(detected.limit(0), detected.limit(0), detected, "bundle", "label", list(manifest.ENDPOINT_FIELDS))
+    none_defined = detected.select("bundle").limit(0)
+    made = distribution.distribute(complete, derived, derived.limit(0), none_defined)
+    return made.manifests.join(made.artifacts.select("bundle", "artifact"), "bundle")
 
 
 def run_settings(spark: SparkSession, folder: str) -> DataFrame:
-    """A run per user: its events as arguments, clicks as endpoints, views of users in error as overrides."""
+    """A run per user: its events as arguments and endpoints; the views of users in error are overrides."""
     user = _text("user_id").alias("entity")
     events = _events(spark, folder)
     uri = F.concat(F.lit("http://:"), (F.floor("value") + 1000).cast("string"))
@@ -485,9 +561,8 @@ def run_settings(spark: SparkSession, folder: str) -> DataFrame:
         user, F.col("event_id").alias("seq"), F.lit("ports").alias("field"), F.floor("value").cast("string").alias("value")
     )
     endpoints = events.select("event_type", user, F.array(uri).alias("services"))
-    base = endpoints.filter(F.col("event_type") == "click").drop("event_type")
     override = endpoints.filter(F.col("event_type") == "view").drop("event_type").join(failed, "entity", "left_semi")
-    return local_run.run_settings(args, base, override).select("entity", "field", "key")
+    return local_run.run_settings(args, endpoints.drop("event_type"), override).select("entity", "field", "key")
 
 
 def resource_units(spark: SparkSession, folder: str) -> DataFrame:
@@ -682,12 +757,13 @@ QUERIES: dict[str, Query] = {
         content_catalog,
         content_names,
         incremental_load,
-        tree_scan,
-        file_catalog,
         path_rules,
         pair_requests,
+        tuple_requests,
         route_rules,
         acl_listing,
+        acl_listing_udp,
+        acl_listing_http,
         validation_report,
         valid_bundles,
         overlay_resolve,
@@ -706,6 +782,7 @@ QUERIES: dict[str, Query] = {
         report_counts,
         manifest_emit,
         manifest_artifacts,
+        detected_manifests,
         run_settings,
         resource_units,
         resource_normalize,

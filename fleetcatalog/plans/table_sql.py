@@ -9,17 +9,19 @@ paths AS (
          regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path
   FROM pages)"""
 
-# Prefix of the whole path and of its first folder, less one trailing slash; the bare pattern gives none.
+# Prefixes of the whole path, of its first folder and of the root, less one trailing slash; the bare pattern gives none.
 PREFIXES = PATHS + r""",
 prefixes AS (
   SELECT DISTINCT scheme AS descriptor_set, host AS service, regexp_replace(literal, '/$', '') AS prefix
   FROM (SELECT scheme, host, path AS literal FROM paths
-        UNION ALL SELECT scheme, host, regexp_extract(path, '^(/[^/]+/)', 1) FROM paths)
+        UNION ALL SELECT scheme, host, regexp_extract(path, '^(/[^/]+/)', 1) FROM paths
+        UNION ALL SELECT scheme, host, '/' FROM paths WHERE page_id % 2 = 0
+        UNION ALL SELECT scheme, host, '//' FROM paths WHERE page_id % 4 = 0)
   WHERE starts_with(literal, '/'))"""
 
 SERVICE_RULES = PREFIXES + r""",
 rules AS (
-  SELECT descriptor_set, service, '^' || CASE WHEN prefix = '' THEN '/' ELSE prefix END AS rule FROM prefixes)"""
+  SELECT DISTINCT descriptor_set, service, '^' || CASE WHEN prefix = '' THEN '/' ELSE prefix END AS rule FROM prefixes)"""
 
 SERVICE_URIS = PREFIXES + r""",
 uris AS (
@@ -83,7 +85,7 @@ base AS (SELECT s_nationkey AS entity, s_name AS label, s_suppkey + 9000 AS port
 defined AS (SELECT n_nationkey AS entity FROM nation WHERE n_regionkey < 2),
 over AS (
   SELECT c_nationkey AS entity, c_name AS label, c_custkey + 8000 AS port FROM customer
-  WHERE c_acctbal < 0 AND c_nationkey IN (SELECT entity FROM defined))"""
+  WHERE c_nationkey IN (SELECT entity FROM defined))"""
 
 URIS = r"""
 uris AS (
@@ -142,63 +144,69 @@ placed AS (
 
 MANIFESTS = r"""
 WITH entries AS (
-  SELECT l_orderkey, l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_shipdate::DATE AS label,
+  SELECT 'order-' || l_orderkey AS bundle, l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_shipdate::DATE AS label,
     '{"bind-protocol":"http","bind-port":0'
     || CASE WHEN l_linestatus = 'O' THEN ',"service-name":"svc"' ELSE '' END
     || CASE WHEN l_returnflag <> 'R' THEN ',"services":["http://:' || l_suppkey || '"]'
        ELSE ',"acls":[{"http":{"requests":[{"path-beg":"/p/' || l_partkey || '","method":"GET"}]}},{"tcp":{"requests":['
-            || l_linenumber || ']}}]' END || '}' AS doc
+            || l_linenumber || ']}}]' END || '}' AS document
   FROM lineitem),
-numbered AS (SELECT *, ((row_number() OVER (PARTITION BY l_orderkey ORDER BY label) - 1) // 1000)::INTEGER AS part FROM entries),
-lists AS (
-  SELECT l_orderkey, part, count(*)::INTEGER AS endpoints,
-         string_agg('"' || label || '":' || doc, ',' ORDER BY label) AS docs FROM numbered GROUP BY ALL),
-joined AS (
-  SELECT o.*, coalesce(part, 0) AS part, coalesce(endpoints, 0) AS endpoints, coalesce(docs, '') AS docs,
-         length(o_orderpriority) AS p
-  FROM orders o LEFT JOIN lists ON o_orderkey = l_orderkey)
-SELECT 'order-' || o_orderkey AS bundle, part, endpoints,
-  CASE WHEN part = 0 THEN
-    '{"version":"1","name":"order-' || o_orderkey || '","compatibilityVersion":"' || p || '","tags":["' || p || '.' || o_custkey
-    || '"],"system":"order-' || o_orderkey || '","systemVersion":"' || p || '","nrOfCpus":0.5,"memory":' || (p * 1048576)
-    || ',"diskSpace":200000000,"roles":["' || o_orderstatus || '"],"components":{"order-' || o_orderkey
-    || '":{"description":"' || o_orderpriority || '","file-system-type":"universal","start-command":["bin/run"],"endpoints":{'
-    || docs || '}}'
-    || CASE WHEN o_orderstatus = 'F' THEN
-         ',"bundle-status":{"description":"Status check for the bundle component","file-system-type":"universal",'
-         || '"start-command":["check","--initial-delay","' || greatest(1, o_custkey // 1000) || '","$HOST?' || o_custkey
-         || '"],"endpoints":{}}' ELSE '' END || '}}'
-  ELSE '{"name":"order-' || o_orderkey || '","components":{"order-' || o_orderkey || '":{"endpoints":{' || docs || '}}}}'
-  END AS manifest
-FROM joined"""
+headers AS (SELECT *, length(o_orderpriority) AS p FROM orders)
+SELECT 'order-' || o_orderkey AS bundle, NULL AS label,
+  '{"version":"1","name":"order-' || o_orderkey || '","compatibilityVersion":"' || p || '","tags":["' || p || '.' || o_custkey
+  || '"],"system":"order-' || o_orderkey || '","systemVersion":"' || p || '","nrOfCpus":0.5,"memory":' || (p * 1048576)
+  || ',"diskSpace":200000000,"roles":["' || o_orderstatus || '"],"components":{"order-' || o_orderkey
+  || '":{"description":"' || o_orderpriority || '","file-system-type":"universal","start-command":["bin/run"]}'
+  || CASE WHEN o_orderstatus = 'F' THEN
+       ',"bundle-status":{"description":"Status check for the bundle component","file-system-type":"universal",'
+       || '"start-command":["check","--initial-delay","' || greatest(1, o_custkey // 1000) || '","$HOST?' || o_custkey
+       || '"]}' ELSE '' END || '}}' AS document
+FROM headers
+UNION ALL
+SELECT bundle, label, document FROM entries WHERE bundle IN (SELECT 'order-' || o_orderkey FROM orders)"""
+
+
+def _digests(manifests: str) -> str:
+    """Digests of the rows (bundle, label, document) of a named query."""
+    sums = " || ':' || ".join(f"coalesce(sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT), 0)" for i in range(4))
+    return f"""
+  SELECT bundle, count(label) AS endpoints,
+         sha256(max(document) FILTER (label IS NULL) || ':' || count(label) || ':' || {sums}) AS digest
+  FROM (SELECT *, CASE WHEN label IS NOT NULL THEN sha256(label || ':' || document) END AS h FROM {manifests}) GROUP BY bundle"""
+
+
+DETECTED = PATHS + r""",
+hosts AS (
+  SELECT scheme, host, length(host) % 5 = 0 AS bare,
+         string_agg(DISTINCT '{"path-beg":"' || CASE WHEN p = '' THEN '/' ELSE p END || '"}', ',' ORDER BY '{"path-beg":"' || CASE WHEN p = '' THEN '/' ELSE p END || '"}') AS rules
+  FROM (SELECT scheme, host, regexp_replace(path, '/$', '') AS p FROM paths) GROUP BY ALL),
+manifests AS (
+  SELECT scheme AS bundle, host AS label, '{"bind-protocol":"http","bind-port":0,"service-name":"' || host || '",'
+    || CASE WHEN bare THEN '"services":[]' ELSE '"acls":[{"http":{"requests":[' || rules || ']}}]' END || '}' AS document FROM hosts
+  UNION ALL SELECT DISTINCT scheme, 'akka-remote', '{"bind-protocol":"tcp","bind-port":0,"services":[]}' FROM paths
+  UNION ALL SELECT scheme, NULL, '{"version":"1","name":"' || scheme || '","compatibilityVersion":"1","tags":["1.2"],"system":"' || scheme
+    || '","systemVersion":"1","nrOfCpus":0.1,"memory":' || ((SELECT count(*) FROM pages) + 402653184)
+    || ',"diskSpace":200000000,"roles":["pages","web"],"components":{"' || scheme || '":{"description":"' || scheme
+    || '","file-system-type":"universal","start-command":["bin/run"]}}}' FROM (SELECT DISTINCT scheme FROM paths))"""
 
 ORACLE: dict[str, str] = {
     "service_catalog": f"WITH {SERVICE_RULES} SELECT * FROM rules",
     "service_uris": f"WITH {SERVICE_URIS} SELECT * FROM uris",
     "service_endpoints": f"""
-WITH {SERVICE_RULES},
-bare AS (
-  SELECT scheme AS descriptor_set, host AS service, bool_or(NOT starts_with(path, '/')) AS bare FROM paths GROUP BY ALL),
-numbered AS (
-  SELECT *, ((row_number() OVER (PARTITION BY descriptor_set, service ORDER BY rule) - 1) // 1000)::INTEGER AS part
-  FROM rules),
-lists AS (
-  SELECT descriptor_set, service, part, string_agg(rule, ',' ORDER BY rule) AS rules FROM numbered GROUP BY ALL)
-SELECT descriptor_set, service AS label, coalesce(part, 0) AS part, 'http' AS bind_protocol, 0 AS bind_port,
-       CASE WHEN bare THEN '' END AS services, service AS service_name, rules
-FROM bare LEFT JOIN lists USING (descriptor_set, service)
-UNION ALL
-SELECT DISTINCT scheme, 'akka-remote', 0, 'tcp', 0, '', NULL, NULL FROM paths""",
+WITH {SERVICE_RULES}
+SELECT scheme AS descriptor_set, host AS label, NULL AS rule, 'http' AS bind_protocol, 0 AS bind_port,
+       CASE WHEN bool_or(NOT starts_with(path, '/') AND page_id % 2 <> 0) THEN '' END AS services, host AS service_name
+FROM paths GROUP BY scheme, host
+UNION ALL SELECT descriptor_set, service, rule, NULL, NULL, NULL, NULL FROM rules
+UNION ALL SELECT DISTINCT scheme, 'akka-remote', NULL, 'tcp', 0, '', NULL FROM paths""",
     "service_uri_endpoints": f"""
-WITH {SERVICE_URIS},
-numbered AS (
-  SELECT *, ((row_number() OVER (PARTITION BY descriptor_set, service ORDER BY uri) - 1) // 1000)::INTEGER AS part
-  FROM uris)
-SELECT descriptor_set, service AS label, part, 'http' AS bind_protocol, string_agg(uri, ',' ORDER BY uri) AS services
-FROM numbered GROUP BY ALL
-UNION ALL
-SELECT DISTINCT scheme, 'akka-remote', 0, 'tcp', '' FROM paths""",
-    "descriptor_errors": "SELECT 'documents' AS origin, doc_id AS seq FROM documents",
+WITH {SERVICE_URIS}
+SELECT DISTINCT descriptor_set, service AS label, NULL AS uri, 'http' AS bind_protocol, NULL AS services FROM uris
+UNION ALL SELECT descriptor_set, service, uri, NULL, NULL FROM uris
+UNION ALL SELECT DISTINCT scheme, 'akka-remote', NULL, 'tcp', '' FROM paths""",
+    "descriptor_errors": """
+SELECT 'documents' AS origin, doc_id AS seq FROM documents
+UNION ALL SELECT 'pages', page_id FROM pages WHERE page_id % 10 IN (1, 2, 3)""",
     "content_catalog": """
 SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY sha256(text)""",
     "content_names": """
@@ -228,6 +236,17 @@ FROM flagged""",
 WITH {PATHS}
 SELECT page_id, CASE WHEN scheme = 'https' THEN 'GET' END AS method, path,
        CASE WHEN scheme <> 'https' THEN host END AS rewrite FROM paths""",
+    "tuple_requests": f"""
+WITH {PATHS},
+p AS (SELECT *, '^' || path AS regex, CASE WHEN scheme = 'https' THEN 'GET' ELSE 'PUT' END AS m FROM paths)
+SELECT page_id, 'path' AS form, NULL AS method, path, false AS is_regex, NULL AS rewrite FROM p
+UNION ALL SELECT page_id, 'regex', NULL, regex, true, NULL FROM p
+UNION ALL SELECT page_id, 'method path', m, path, false, NULL FROM p
+UNION ALL SELECT page_id, 'path rewrite', NULL, path, false, host FROM p
+UNION ALL SELECT page_id, 'method regex', m, regex, true, NULL FROM p
+UNION ALL SELECT page_id, 'regex rewrite', NULL, regex, true, host FROM p
+UNION ALL SELECT page_id, 'three', m, path, false, host FROM p
+UNION ALL SELECT page_id, 'three regex', m, regex, true, host FROM p""",
     "route_rules": f"""
 WITH {CUSTOMER_RULES}
 SELECT bundle, label, acl_pos, request_pos, family, method,
@@ -237,6 +256,13 @@ SELECT bundle, label, acl_pos, request_pos, family, method,
        CASE WHEN method = 'PATCH' THEN 'PATCH is not a known method' END AS error
 FROM raw""",
     "acl_listing": f"WITH {CUSTOMER_RULES} SELECT bundle, label, family, port FROM raw WHERE family = 'tcp'",
+    "acl_listing_udp": f"WITH {CUSTOMER_RULES} SELECT bundle, label, family, port FROM raw WHERE family = 'udp'",
+    "acl_listing_http": f"""
+WITH {CUSTOMER_RULES}
+SELECT bundle, label, method, CASE WHEN NOT is_regex THEN 'path' WHEN starts_with(path, '^/') THEN 'path-beg' ELSE 'path-regex' END AS kind,
+       CASE WHEN starts_with(path, '^/') THEN substr(path, 2) ELSE path END AS value, rewrite,
+       CASE WHEN method = 'PATCH' THEN 'PATCH is not a known method' END AS error
+FROM raw WHERE family = 'http'""",
     "validation_report": f"WITH {REPORT} SELECT * FROM report",
     "valid_bundles": f"""
 WITH {REPORT} SELECT p_partkey::VARCHAR AS name FROM part
@@ -279,10 +305,13 @@ SELECT *, 'some' AS "case" FROM over
 UNION ALL SELECT *, 'some' FROM base WHERE NOT EXISTS (SELECT 1 FROM over)
 UNION ALL SELECT *, 'none' FROM base""",
     "manual_or_derived": """
-SELECT c_custkey AS entity, 'web' AS label, c_custkey AS port FROM customer WHERE c_acctbal < 0 AND c_custkey <> 0
+WITH changed AS (
+  SELECT c_custkey, c_name || ',' || CASE WHEN c_nationkey = 0 THEN 'b' ELSE 'a' END || ',' || c_name AS services,
+         CASE WHEN c_acctbal < 0 THEN c_custkey ELSE 0 END AS port
+  FROM customer WHERE c_nationkey = 0 OR (c_acctbal < 0 AND c_custkey <> 0))
+SELECT c_custkey AS entity, 'web' AS label, port, services FROM changed
 UNION ALL
-SELECT o_custkey, o_orderkey::VARCHAR, o_orderkey FROM orders
-WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0 AND c_custkey <> 0)""",
+SELECT o_custkey, o_orderkey::VARCHAR, o_orderkey, o_orderstatus FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM changed)""",
     "uri_ports": f"""
 WITH {URIS} SELECT uri, port, CASE WHEN port IS NULL THEN 'no port in ' || uri END AS error FROM uris""",
     "exposed_ports": f"WITH {URIS} SELECT port FROM uris WHERE port >= 0 UNION SELECT p_size FROM part",
@@ -293,13 +322,11 @@ placed AS (
   SELECT user_id, field, key, value,
          CASE WHEN field IN ('ports', 'envs') THEN row_number() OVER (PARTITION BY user_id, field ORDER BY key)
               ELSE pos END AS pos FROM folded)
-SELECT user_id, coalesce((pos - 1) // 1000, 0)::INTEGER AS part,
-       max(value) FILTER (field = 'log_level') AS log_level,
-       coalesce(string_agg(value, ',' ORDER BY pos) FILTER (field = 'args'), '') AS args,
-       coalesce(string_agg(key, ',' ORDER BY pos) FILTER (field = 'ports'), '') AS ports,
-       coalesce(string_agg(key || '=' || value, ',' ORDER BY key || '=' || value) FILTER (field = 'envs'), '') AS envs,
-       bool_or(field = 'no_default_features') AS no_default_features
-FROM placed GROUP BY ALL""",
+SELECT user_id, field, pos, key, value, NULL AS log_level, NULL::BOOLEAN AS no_default_features
+FROM placed WHERE field IN ('args', 'ports', 'envs')
+UNION ALL
+SELECT user_id, NULL, NULL, NULL, NULL, max(value) FILTER (field = 'log_level'), bool_or(field = 'no_default_features')
+FROM folded GROUP BY user_id""",
     "install_plan": """
 SELECT 0 AS phase, r_regionkey::BIGINT AS ord, r_name AS name, lower(r_name) AS source, NULL AS config_file,
        regexp_replace(upper(r_name), '[^A-Z0-9_]', '_', 'g') || '_BUNDLE_ID' AS id_env FROM region
@@ -314,23 +341,22 @@ WITH lines AS (
 words AS (SELECT doc_id, string_split_regex(line, '[ \t\n\x0B\f\r]+')[2] AS name FROM lines)
 SELECT DISTINCT doc_id, name FROM words WHERE name <> ''""",
     "report_counts": """
-SELECT c_custkey, c_custkey::VARCHAR AS id, c_name AS name, c_nationkey AS replicated,
+SELECT c_custkey // 50 AS report, c_custkey::VARCHAR AS id, c_name AS name, c_nationkey AS replicated,
        length(c_mktsegment)::INTEGER AS starting, NULL::INTEGER AS running FROM customer""",
     "manifest_emit": MANIFESTS,
-    "manifest_artifacts": f"""
-WITH m AS ({MANIFESTS})
-SELECT bundle AS id, sha256(manifest) AS digest, bundle || '.' || part || '-' || sha256(manifest) || '.json' AS artifact
-FROM m""",
+    "manifest_artifacts": f"WITH m AS ({MANIFESTS}) {_digests('m')}",
+    "detected_manifests": f"""
+WITH {DETECTED}, digests AS ({_digests("manifests")})
+SELECT bundle, label, document, bundle || '-1.2-' || digest || '.json' AS artifact FROM manifests JOIN digests USING (bundle)""",
     "run_settings": """
 WITH views AS (
   SELECT user_id, (floor(value) + 1000)::INTEGER AS port FROM events e
   WHERE event_type = 'view' AND EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error')),
-clicks AS (
-  SELECT user_id, (floor(value) + 1000)::INTEGER AS port FROM events
-  WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM views)),
+others AS (
+  SELECT user_id, (floor(value) + 1000)::INTEGER AS port FROM events WHERE user_id NOT IN (SELECT user_id FROM views)),
 given AS (SELECT user_id, floor(value)::INTEGER AS port FROM events)
 SELECT user_id::VARCHAR AS entity, 'ports' AS field, port::VARCHAR AS key
-FROM (SELECT * FROM views UNION SELECT * FROM clicks UNION SELECT * FROM given)""",
+FROM (SELECT * FROM views UNION SELECT * FROM others UNION SELECT * FROM given)""",
     "resource_units": """
 WITH p AS (SELECT *, round(p_retailprice * 100)::BIGINT AS cents, p_size::BIGINT AS size FROM part)
 SELECT p_partkey, size * 1000 AS kb, size * 1000000 AS mb, size * 1000000000 AS gb, size * 1000000000000 AS tb,

@@ -11,14 +11,16 @@ SPACE = r"[ \t\n\x0B\f\r]+"
 SECOND_WORD = r"^[^ \t\n\x0B\f\r]*[ \t\n\x0B\f\r]+([^ \t\n\x0B\f\r]+)"
 
 
-def report_lines(text: Column, lines: int = REPORT_LINES) -> Column:
-    """The lines after the header line, at most ``lines`` of them.
+def report_lines(text: Column, lines: int | None = None) -> Column:
+    """The lines after the header line; with ``lines``, the first so many of them.
 
-    The text up to its line feed number ``lines`` + 1 holds them all, however lines end.
+    Lines end in a line feed, a return, or both. With a limit the text is cut first: up to its line
+    feed number ``lines`` + 1 it holds them all, however lines end.
     """
-    head = F.substring_index(text, "\n", lines + 1)
+    head = text if lines is None else F.substring_index(text, "\n", lines + 1)
     fed = F.replace(F.replace(head, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    return F.slice(F.split(fed, "\n"), 2, lines)
+    split = F.split(fed, "\n")
+    return F.slice(split, 2, F.size(split) if lines is None else lines)
 
 
 def second_word(line: Column) -> Column:
@@ -28,7 +30,7 @@ def second_word(line: Column) -> Column:
 
 
 def report_names(df: DataFrame, source: str, text: str, lines: int = REPORT_LINES) -> DataFrame:
-    """Distinct ``(source, name)`` of each report; a report that failed (null text) gives none.
+    """Distinct ``(source, name)`` of the first ``lines`` data lines of each report; a report that failed (null text) gives none.
 
     ``source`` must be unique: each report is one row and is made distinct within it, so
     nothing is shuffled.
@@ -38,12 +40,12 @@ def report_names(df: DataFrame, source: str, text: str, lines: int = REPORT_LINE
     return df.select(source, F.explode(names).alias("name"))
 
 
-def report_counts(df: DataFrame, source: str, text: str, lines: int = REPORT_LINES) -> DataFrame:
-    """Status counts of each data line: ``(source, id, name, replicated, starting, running)``.
+def report_counts(df: DataFrame, source: str, text: str) -> DataFrame:
+    """Status counts of every data line: ``(source, id, name, replicated, starting, running)``.
 
     Columns 4 to 6 of the report hold the counts; a line that lacks them gives nulls.
     """
-    rows = df.select(source, F.explode(report_lines(F.col(text), lines)).alias("line"))
+    rows = df.select(source, F.explode(report_lines(F.col(text))).alias("line"))
     words = rows.select(source, F.split("line", SPACE).alias("w"))
 
     def word(i: int) -> Column:

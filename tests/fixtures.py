@@ -8,32 +8,27 @@ ENDPOINT = (
     "bundle string, label string, bind_protocol string, bind_port int, services array<string>, "
     f"service_name string, acls {ACLS}"
 )
+# Every form a rule can have: path, prefix and regex, each with and without method and rewrite.
 HTTP_RULES = [
-    (None, "/bar-1", False, None),
-    ("GET", "/bar-2", False, None),
-    ("GET", "/bar-3", False, "/other-bar-3"),
-    (None, "^/beg-1", True, None),
-    ("GET", "^/beg-2", True, None),
-    ("GET", "^/beg-3", True, "/other-beg-3"),
-    (None, "^/beg-4", True, "/other-beg-4"),
-    (None, "/regex1/[a|b|c]", True, None),
-    ("GET", "/regex2/[a|b|c]", True, None),
-    ("GET", "/regex3/[a|b|c]", True, "/other-regex-3"),
-    (None, "/regex4/[a|b|c]", True, "/other-regex-4"),
+    ("DELETE", "/orders/old", False, "/archive"),
+    (None, "^/shop", True, None),
+    ("PUT", "/items/[0-9]+", True, None),
+    (None, "/health", False, None),
+    (None, "^/v1/users", True, "/users"),
+    ("HEAD", "/ping", False, None),
+    ("POST", "^/upload", True, None),
+    (None, "/img/.*", True, "/static"),
+    (None, "/legacy", False, "/new"),
+    ("GET", "/a(b|c)", True, "/abc"),
+    ("TRACE", "^/debug", True, "/off"),
+    (None, "/x.*y$", True, None),
 ]
 BASIC = [
-    ("basic", "web", "http", 0, [], "web", None),
-    ("basic", "other", "http", 0, ["http://:9001/simple-test"], None, None),
-    ("basic", "remote", "tcp", 0, [], None, None),
-    (
-        "basic",
-        "extras",
-        "http",
-        0,
-        None,
-        "ping-service",
-        [("http", HTTP_RULES, None), ("tcp", None, [9001, 9002]), ("udp", None, [19002, 19001, 19002])],
-    ),
+    ("basic", "front", "http", 0, [], "front", None),
+    ("basic", "uris", "http", 0, ["http://:7070/c", "http://:7070/a"], None, None),
+    ("basic", "gossip", "tcp", 0, [], None, None),
+    ("basic", "mixed", "http", 0, None, "mixed-service", [("http", HTTP_RULES, None), ("tcp", None, [7100, 7001]), ("udp", None, [5300, 53, 5300])]),
+    ("basic", "nothing", "http", 0, None, None, []),
 ]
 BUNDLE = (
     "name string, version string, tags array<string>, system string, system_version string, "

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from conftest import rows
 
 from fleetcatalog.operators.fold import RUN_FIELDS, fold_records, fold_settings, pair_errors
@@ -37,33 +38,44 @@ def arguments(spark, args=ARGS, entity="e"):
     return spark.createDataFrame(data, "entity string, seq int, field string, value string").repartition(3)
 
 
+def record(df, entity="e"):
+    """The record of an entity, put together from its rows."""
+    rows = [r for r in df.collect() if r.entity == entity]
+    (header,) = [r for r in rows if r.field is None]
+    items = {}
+    for r in sorted((r for r in rows if r.field), key=lambda r: r.pos):
+        assert r.pos == len(items.setdefault(r.field, [])) + 1
+        items[r.field].append(r)
+    single = {n: v for n, v in header.asDict().items() if n in RUN_FIELDS}
+    return single, items
+
+
 def test_record(spark):
     folded = fold_settings(arguments(spark), "entity", ["seq"], RUN_FIELDS)
-    record = fold_records(folded, "entity", RUN_FIELDS).first().asDict()
-    assert record == dict(
-        entity="e", part=0, image_version="2.0.5", node_roles=[["web"], ["backend", "db"]],
-        envs={"key1": "value1", "key2": "value2", "": "b", "c": "d"}, envs_core={}, envs_agent={},
-        args=["-Dx", "-Dx"], args_core=[], args_agent=[], image=None, log_level="debug", nr_of_containers=None,
-        nr_of_instances="1:2", ports=["1111", "2222"], features=[["visualization"], ["lite-logging", "a", "b"]],
-        no_default_features=True,
-    )
+    single, items = record(fold_records(folded, "entity", RUN_FIELDS))
+    assert single == dict(
+        image_version="2.0.5", image=None, log_level="debug", nr_of_containers=None, nr_of_instances="1:2", no_default_features=True
+    )
+    assert sorted(items) == ["args", "envs", "features", "node_roles", "ports"]
+    assert [r.value for r in items["args"]] == ["-Dx", "-Dx"]
+    assert [(r.key, r.value) for r in items["envs"]] == [("", "b"), ("c", "d"), ("key1", "value1"), ("key2", "value2")]
+    assert [r.key for r in items["ports"]] == ["1111", "2222"]
+    assert [r.words for r in items["node_roles"]] == [["web"], ["backend", "db"]]
+    assert [r.words for r in items["features"]] == [["visualization"], ["lite-logging", "a", "b"]]
 
 
-def test_pair_errors(spark):
-    assert rows(pair_errors(arguments(spark), RUN_FIELDS).select("value")) == [("a=",), ("a=b=c",)]
+@pytest.mark.parametrize("count", [5, 1000, 1001])
+def test_one_form_at_any_size(spark, count):
+    args = [("args", f"v{i % 7}") for i in range(count)] + [("ports", f"{i:05}") for i in range(count)]
+    args += [("envs", f"k{i:05}={i}") for i in range(count)] + [("log_level", str(i)) for i in range(5)]
+    found = fold_records(fold_settings(arguments(spark, args), "entity", ["seq"], RUN_FIELDS), "entity", RUN_FIELDS)
+    single, items = record(found)
+    assert single["log_level"] == "4" and single["no_default_features"] is False
+    assert [r.value for r in items["args"]] == [f"v{i % 7}" for i in range(count)]
+    assert [r.key for r in items["ports"]] == [f"{i:05}" for i in range(count)]
+    assert [(r.key, r.value) for r in items["envs"]] == [(f"k{i:05}", str(i)) for i in range(count)]
+    assert found.count() == 3 * count + 1
 
 
-def test_parts_and_slices(spark):
-    args = [("args", f"v{i % 7}") for i in range(200)] + [("ports", str(i % 50)) for i in range(200)]
-    args += [("envs", f"k{i % 30:02}={i}") for i in range(200)] + [("log_level", str(i)) for i in range(5)]
-    df = arguments(spark, args)
-    plain = fold_settings(df, "entity", ["seq"], RUN_FIELDS)
-    sliced = fold_settings(df, "entity", ["seq"], RUN_FIELDS, hot_rows=10)
-    assert rows(sliced) == rows(plain)
-    parts = fold_records(plain, "entity", RUN_FIELDS, chunk=20, hot_rows=10).orderBy("part").collect()
-    assert len(parts) == 10
-    assert [a for p in parts for a in p.args] == [f"v{i % 7}" for i in range(200)]
-    assert [a for p in parts for a in p.ports] == sorted(str(i) for i in range(50))
-    envs = {k: v for p in parts for k, v in p.envs.items()}
-    assert envs == {f"k{i % 30:02}": str(i) for i in range(200)}
-    assert [p.log_level for p in parts] == ["4"] + [None] * 9
+def test_pair_errors(spark):
+    assert rows(pair_errors(arguments(spark), RUN_FIELDS).select("value")) == [("a=",), ("a=b=c",)]

@@ -12,7 +12,6 @@ def test_compat_history(spark):
     df = spark.createDataFrame(data, "name string, seq int, compat string")
     expected = [("a", 1, "0", None, False), ("a", 2, "0", "0", False), ("a", 3, "1", "0", True), ("b", 1, "5", None, False)]
     assert rows(compat_history(df, "name", ["seq"], "compat")) == expected
-    assert rows(compat_history(df, "name", ["seq"], "compat", hot_rows=1)) == expected
 
 
 def test_event_tail(spark):

@@ -56,9 +56,41 @@ def test_delta(resolved):
 
 
 def test_circle(spark):
-    scopes = spark.createDataFrame([("a", "b", True), ("b", "a", True)], "scope string, parent string, is_config boolean")
-    with pytest.raises(ValueError, match="circle"):
-        scope_chain(scopes, max_depth=4)
+    links = [("a", "b"), ("b", "c"), ("c", "a"), ("below", "a"), ("leaf", "below"), ("x", None), ("y", "x")]
+    scopes = spark.createDataFrame([(*link, True) for link in links], "scope string, parent string, is_config boolean")
+    with pytest.raises(ValueError, match="circle: a, b, below, c"):
+        scope_chain(scopes)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 65, 200])
+def test_any_depth(spark, depth):
+    links = [(f"s{i}", f"s{i - 1}" if i else None, i > 0) for i in range(depth)]
+    scopes = spark.createDataFrame(links, "scope string, parent string, is_config boolean")
+    chain = scope_chain(scopes)
+    want = [(f"s{i}", f"s{j}", i - j) for i in range(depth - 1) for j in range(i + 1)]
+    assert sorted((r.start, r.scope, r.distance) for r in chain.collect()) == sorted(want)
+    settings = spark.createDataFrame([("s0", "a", "0"), (f"s{depth // 2}", "b", "half")], "scope string, key string, value string")
+    found = of(resolve_settings(settings, scopes), f"s{depth - 1}")
+    assert found["a"] == ("0", None) and found["b"][0] == "half"
+    assert chain._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 1
+
+
+def test_one_setting_twice(spark):
+    scopes = spark.createDataFrame([("s", None, True)], "scope string, parent string, is_config boolean")
+    settings = spark.createDataFrame([("s", "k", "b", 1), ("s", "k", "a", 2)], "scope string, key string, value string, seq int")
+    assert of(resolve_settings(settings, scopes), "s") == {"k": ("a", "s")}
+    assert of(resolve_settings(settings.drop("seq"), scopes), "s") == {"k": ("b", "s")}
+
+
+def test_target_without_name(spark):
+    scopes = spark.createDataFrame([("s", None, True), ("bundle-status", None, True)], "scope string, parent string, is_config boolean")
+    settings = spark.createDataFrame(
+        [("s", "memory", "5"), ("bundle-status", "memory", "6"), ("bundle-status", "checks", '["x"]')], "scope string, key string, value string"
+    )
+    found = {r.target: json.loads(r.manifest)["components"] for r in settings_manifest(resolve_settings(settings, scopes), full=True).collect()}
+    assert found["s"] == {"s": {}}
+    assert list(found["bundle-status"]) == ["bundle-status"]
+    assert found["bundle-status"]["bundle-status"]["start-command"] == ["check", "--initial-delay", "3", "x"]
 
 
 def test_manifest_of_settings(spark):

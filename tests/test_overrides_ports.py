@@ -42,6 +42,23 @@ def test_manual_or_derived(spark):
     )
 
 
+def test_lists_are_sets(spark):
+    schema = (
+        "entity string, label string, services array<string>, "
+        "acls array<struct<family:string,http:array<struct<path:string>>,ports:array<int>>>"
+    )
+    acls = [("http", [("/b",), ("/a",)], None), ("tcp", None, [2, 1])]
+    same = [("tcp", None, [1, 2, 1]), ("http", [("/b",), ("/a",)], None), ("tcp", None, [2, 1])]
+    other_order = [("http", [("/a",), ("/b",)], None), ("tcp", None, [2, 1])]
+    default = spark.createDataFrame([(e, "l", ["a", "b"], acls) for e in "pqrs"], schema)
+    manual = spark.createDataFrame(
+        [("p", "l", ["b", "a", "b"], same), ("q", "l", ["a", "b"], other_order), ("r", "l", ["a"], acls), ("s", "l", ["a", "b"], None)], schema
+    )
+    derived = spark.createDataFrame([(e, "d", [], []) for e in "pqrs"], schema)
+    found = manual_or_derived(manual, default, derived, "entity", "label", ["services", "acls"])
+    assert sorted((r.entity, r.label) for r in found.collect()) == [("p", "d"), ("q", "l"), ("r", "l"), ("s", "l")]
+
+
 def test_exposed_ports(spark):
     uris = spark.createDataFrame(
         [("http://:9001",), ("http://h:91/x",), ("http://h/x",), ("http://:9001/again",), ("http://:oops",)], "uri string"

@@ -1,9 +1,9 @@
-import hashlib
 import json
 
 from conftest import rows
 from fixtures import BASIC, BUNDLE, ENDPOINT, MIB, bundle
 
+from fleetcatalog.operators.manifest import manifest_digests
 from fleetcatalog.plans.distribution import apply_settings, distribute, write_manifests
 from fleetcatalog.plans.local_run import run_settings
 
@@ -20,12 +20,13 @@ def test_distribution(spark, tmp_path):
     made = distribute(bundles, endpoints, override, defined)
     assert rows(made.report.select("bundle", "rule")) == [("small", "memory")]
     assert rows(made.bad_rules.select("bundle", "error")) == [("bad", "^//x is not a plain path prefix")]
-    documents = {r.bundle: r.manifest for r in made.manifests.collect()}
-    assert sorted(documents) == ["basic", "over"]
-    assert list(json.loads(documents["over"])["components"]["over"]["endpoints"]) == ["new"]
+    documents = {(r.bundle, r.label): json.loads(r.document) for r in made.manifests.collect()}
+    assert {b for b, _ in documents} == {"basic", "over"}
+    assert [label for b, label in documents if b == "over" and label] == ["new"]
+    digests = {r.bundle: r.digest for r in manifest_digests(made.manifests).collect()}
     for r in made.artifacts.collect():
-        assert r.digest == hashlib.sha256(documents[r.bundle].encode()).hexdigest()
-        assert r.artifact == f"{r.bundle}-0.1.0-SNAPSHOT-{r.digest}.json"
+        assert r.artifact == f"{r.bundle}-0.1.0-SNAPSHOT-{digests.pop(r.bundle)}.json"
+    assert not digests
     write_manifests(made.manifests, str(tmp_path / "out"))
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(made.manifests)
 
@@ -40,6 +41,16 @@ def test_apply_settings(spark):
     assert rows(apply_settings(bundles, settings, scopes)) == [("a", "s1", 2.5, 64), ("b", "s2", 2.5, 9), ("c", None, 0.1, 7)]
 
 
+def test_lists_and_maps_as_settings(spark):
+    schema = "name string, scope string, tags array<string>, envs map<string,string>, checks array<string>"
+    bundles = spark.createDataFrame([("a", "s", ["old"], {"k": "v"}, None), ("b", None, ["old"], None, ["x"])], schema)
+    scopes = spark.createDataFrame([("p", None, False), ("s", "p", True)], "scope string, parent string, is_config boolean")
+    settings = spark.createDataFrame(
+        [("p", "tags", '["t1","t2"]'), ("s", "envs", '{"a":"b"}'), ("s", "checks", "[]")], "scope string, key string, value string"
+    )
+    assert rows(apply_settings(bundles, settings, scopes)) == [("a", "s", ["t1", "t2"], {"a": "b"}, []), ("b", None, ["old"], None, ["x"])]
+
+
 def test_run_settings(spark):
     args = spark.createDataFrame([("e", 1, "ports", "1111"), ("e", 2, "ports", "9001"), ("e", 3, "image", "i")], "entity string, seq int, field string, value string")
     def endpoints(*urls):

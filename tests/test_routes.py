@@ -9,21 +9,22 @@ def test_basic(spark):
     rules = route_rules(spark.createDataFrame(BASIC, ENDPOINT))
     got = [tuple(r)[2:] for r in rules.orderBy("acl_pos", "request_pos").collect()]
     assert got == [
-        (0, 0, "http", None, "path", "/bar-1", None, None, None),
-        (0, 1, "http", "GET", "path", "/bar-2", None, None, None),
-        (0, 2, "http", "GET", "path", "/bar-3", "/other-bar-3", None, None),
-        (0, 3, "http", None, "path-beg", "/beg-1", None, None, None),
-        (0, 4, "http", "GET", "path-beg", "/beg-2", None, None, None),
-        (0, 5, "http", "GET", "path-beg", "/beg-3", "/other-beg-3", None, None),
-        (0, 6, "http", None, "path-beg", "/beg-4", "/other-beg-4", None, None),
-        (0, 7, "http", None, "path-regex", "/regex1/[a|b|c]", None, None, None),
-        (0, 8, "http", "GET", "path-regex", "/regex2/[a|b|c]", None, None, None),
-        (0, 9, "http", "GET", "path-regex", "/regex3/[a|b|c]", "/other-regex-3", None, None),
-        (0, 10, "http", None, "path-regex", "/regex4/[a|b|c]", "/other-regex-4", None, None),
-        (1, 0, "tcp", None, "port", None, None, 9001, None),
-        (1, 1, "tcp", None, "port", None, None, 9002, None),
-        (2, 0, "udp", None, "port", None, None, 19001, None),
-        (2, 1, "udp", None, "port", None, None, 19002, None),
+        (0, 0, "http", "DELETE", "path", "/orders/old", "/archive", None, None),
+        (0, 1, "http", None, "path-beg", "/shop", None, None, None),
+        (0, 2, "http", "PUT", "path-regex", "/items/[0-9]+", None, None, None),
+        (0, 3, "http", None, "path", "/health", None, None, None),
+        (0, 4, "http", None, "path-beg", "/v1/users", "/users", None, None),
+        (0, 5, "http", "HEAD", "path", "/ping", None, None, None),
+        (0, 6, "http", "POST", "path-beg", "/upload", None, None, None),
+        (0, 7, "http", None, "path-regex", "/img/.*", "/static", None, None),
+        (0, 8, "http", None, "path", "/legacy", "/new", None, None),
+        (0, 9, "http", "GET", "path-regex", "/a(b|c)", "/abc", None, None),
+        (0, 10, "http", "TRACE", "path-beg", "/debug", "/off", None, None),
+        (0, 11, "http", None, "path-regex", "/x.*y$", None, None, None),
+        (1, 0, "tcp", None, "port", None, None, 7001, None),
+        (1, 1, "tcp", None, "port", None, None, 7100, None),
+        (2, 0, "udp", None, "port", None, None, 53, None),
+        (2, 1, "udp", None, "port", None, None, 5300, None),
     ]
 
 
@@ -43,12 +44,12 @@ def test_repeats_stay_and_errors_are_told(spark):
 
 def test_strict_passes_good_rules(spark):
     df = spark.createDataFrame(BASIC, ENDPOINT)
-    assert route_rules(df, strict=True).count() == 15
+    assert route_rules(df, strict=True).count() == 16
 
 
 def test_acl_listing(spark):
     rules = route_rules(spark.createDataFrame(BASIC, ENDPOINT))
-    assert [acl_listing(rules, f).count() for f in ("http", "tcp", "udp")] == [11, 2, 2]
-    assert rows(acl_listing(rules, "udp").select("port")) == [(19001,), (19002,)]
+    assert [acl_listing(rules, f).count() for f in ("http", "tcp", "udp")] == [12, 2, 2]
+    assert rows(acl_listing(rules, "udp").select("port")) == [(53,), (5300,)]
     with pytest.raises(ValueError):
         acl_listing(rules, "sctp")

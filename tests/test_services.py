@@ -2,9 +2,13 @@ import json
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
+from fleetcatalog.operators.overrides import manual_or_derived
+from fleetcatalog.operators.routes import route_rules
 from fleetcatalog.operators.services import (
     acl_endpoints,
+    declared_endpoints,
     descriptor_errors,
     parse_descriptors,
     service_rules,
@@ -12,7 +16,7 @@ from fleetcatalog.operators.services import (
     uri_endpoints,
 )
 
-REMOTING = ("akka-remote", 0, "tcp", 0, [], None, None)
+REMOTING = ("tcp", 0, [], None, [])
 
 
 def descriptors(spark, *services, name="s"):
@@ -20,43 +24,48 @@ def descriptors(spark, *services, name="s"):
     return spark.createDataFrame(data, "descriptor_set string, json string")
 
 
-def endpoints(df):
-    return {r.label: tuple(r)[1:] for r in df.collect()}
+def endpoints(df, item="rule"):
+    """Header fields and sorted items of each endpoint; a header each, and nothing else in the rows of items."""
+    out = {r.label: (r.bind_protocol, r.bind_port, r.services, r.service_name, []) for r in df.filter(f"{item} IS NULL").collect()}
+    for r in df.filter(f"{item} IS NOT NULL").collect():
+        assert (r.bind_protocol, r.bind_port, r.services, r.service_name) == (None,) * 4
+        out[r.label][4].append(r[item])
+    assert df.filter(f"{item} IS NULL").count() == len(out)
+    return {label: (*fields, sorted(items)) for label, (*fields, items) in out.items()}
 
 
 def test_two_services(spark):
-    df = descriptors(spark, ("/debitservice", [r"\Q/debit\E"]), ("/creditservice", [r"\Q/credit\E"]))
+    df = descriptors(spark, ("/rooms", [r"\Q/hotel/rooms\E"]), ("/guests", [r"\Q/hotel/guests\E"]))
     assert endpoints(acl_endpoints(df, ["descriptor_set"])) == {
-        "debitservice": ("debitservice", 0, "http", 0, None, "debitservice", ["^/debit"]),
-        "creditservice": ("creditservice", 0, "http", 0, None, "creditservice", ["^/credit"]),
+        "rooms": ("http", 0, None, "rooms", ["^/hotel/rooms"]),
+        "guests": ("http", 0, None, "guests", ["^/hotel/guests"]),
         "akka-remote": REMOTING,
     }
 
 
 def test_service_without_rules(spark):
-    got = endpoints(acl_endpoints(descriptors(spark, ("backendservice", [])), ["descriptor_set"]))
-    assert got["backendservice"] == ("backendservice", 0, "http", 0, [], "backendservice", None)
+    got = endpoints(acl_endpoints(descriptors(spark, ("mailer", [])), ["descriptor_set"]))
+    assert got["mailer"] == ("http", 0, [], "mailer", [])
 
 
 def test_service_mode(spark):
-    df = descriptors(spark, ("fooservice", [r"\Q/foo\E"]))
-    got = endpoints(uri_endpoints(df, ["descriptor_set"]))
-    assert got["fooservice"][4] == ["http://:9000/foo?preservePath", "http://:9000/fooservice"]
-    assert got["fooservice"][5:] == (None, None)
+    df = descriptors(spark, ("rooms", [r"\Q/hotel/rooms\E"]))
+    got = endpoints(uri_endpoints(df, ["descriptor_set"]), "uri")
+    assert got["rooms"] == ("http", 0, None, None, ["http://:9000/hotel/rooms?preservePath", "http://:9000/rooms"])
     assert got["akka-remote"] == REMOTING
     parsed = parse_descriptors(df, ["descriptor_set"])
     assert {r.uri for r in service_uris(parsed, ["descriptor_set"], 80).collect()} == {
-        "http://:80/foo?preservePath",
-        "http://:80/fooservice",
+        "http://:80/hotel/rooms?preservePath",
+        "http://:80/rooms",
     }
 
 
 @pytest.mark.parametrize(
     "pattern, rules",
     [
-        ("/api/users", []),
+        ("/hotel/rooms", []),
         (r"\Q/\E", ["^/"]),
-        (r"\Q/api/users/\E([^/]+)\Q/friends\E", ["^/api/users"]),
+        (r"\Q/hotel/rooms/\E([0-9]+)\Q/beds\E", ["^/hotel/rooms"]),
     ],
 )
 def test_patterns(spark, pattern, rules):
@@ -78,7 +87,7 @@ def test_same_name_twice(spark):
     df = descriptors(spark, ("a", [r"\Q/x\E"]), ("/a", [r"\Q/y\E", r"\Q/x/\E"]), ("/a", []))
     got = endpoints(acl_endpoints(df, ["descriptor_set"]))
     # One of the descriptors has no rules and so an empty list of services, which stays.
-    assert got["a"] == ("a", 0, "http", 0, [], "a", ["^/x", "^/y"])
+    assert got["a"] == ("http", 0, [], "a", ["^/x", "^/y"])
 
 
 def test_one_slash_is_dropped(spark):
@@ -94,14 +103,57 @@ def test_remoting_replaces_a_service_of_its_name(spark):
 def test_empty_set_has_remoting(spark):
     df = descriptors(spark)
     assert endpoints(acl_endpoints(df, ["descriptor_set"])) == {"akka-remote": REMOTING}
-    assert endpoints(uri_endpoints(df, ["descriptor_set"])) == {"akka-remote": REMOTING}
+    assert endpoints(uri_endpoints(df, ["descriptor_set"]), "uri") == {"akka-remote": REMOTING}
 
 
-def test_many_rules_come_in_parts(spark):
-    df = descriptors(spark, ("a", [rf"\Q/p{i:03}\E" for i in range(100)]), ("b", [r"\Q/x\E"]))
-    parts = acl_endpoints(df, ["descriptor_set"], chunk=30, hot_rows=10).filter("label = 'a'").orderBy("part").collect()
-    assert [len(p.rules) for p in parts] == [30, 30, 30, 10]
-    assert [r for p in parts for r in p.rules] == [f"^/p{i:03}" for i in range(100)]
+@pytest.mark.parametrize("count", [5, 1000, 1001])
+def test_one_form_at_any_size(spark, count):
+    df = descriptors(spark, ("a", [rf"\Q/p{i:04}\E" for i in range(count)]), ("b", [r"\Q/x\E"]))
+    got = endpoints(acl_endpoints(df, ["descriptor_set"]))
+    assert got["a"] == ("http", 0, None, "a", [f"^/p{i:04}" for i in range(count)])
+    declared = {r.label: r for r in declared_endpoints(acl_endpoints(df, ["descriptor_set"]), "descriptor_set").collect()}
+    assert [r.path for r in declared["a"].acls[0].http] == got["a"][4]
+
+
+def test_white_space_before_the_list(spark):
+    texts = ["\n" * n + " \t\r" * n + json.dumps([{"name": f"s{n}", "acls": [{"pathPattern": r"\Q/x\E"}]}]) for n in range(4)]
+    df = spark.createDataFrame([(t,) for t in texts], "json string")
+    assert sorted(r.service for r in parse_descriptors(df, []).collect()) == ["s0", "s1", "s2", "s3"]
+    assert descriptor_errors(df).count() == 0
+
+
+def test_prefixes_that_make_one_rule(spark):
+    df = descriptors(spark, ("a", [r"\Q/\E", r"\Q//\E"]))
+    parsed = parse_descriptors(df, ["descriptor_set"])
+    assert sorted(parsed.first().prefixes) == ["", "/"]
+    assert [r.rule for r in service_rules(parsed, ["descriptor_set"]).collect()] == ["^/"]
+    assert endpoints(acl_endpoints(df, ["descriptor_set"]))["a"][4] == ["^/"]
+
+
+def test_detected_endpoints_go_on_as_declared_ones(spark):
+    df = descriptors(spark, ("rooms", [r"\Q/r\E", r"\Q//bad\E"]), ("mailer", []), name="hotel")
+    declared = declared_endpoints(acl_endpoints(df, ["descriptor_set"]), "descriptor_set")
+    assert rows(route_rules(declared).select("bundle", "label", "kind", "value", "error")) == [
+        ("hotel", "rooms", None, None, "^//bad is not a plain path prefix"),
+        ("hotel", "rooms", "path-beg", "/r", None),
+    ]
+    by_label = {r.label: r for r in declared.collect()}
+    assert (by_label["mailer"].services, by_label["mailer"].acls, by_label["rooms"].services) == ([], None, None)
+    assert (by_label["akka-remote"].bind_protocol, by_label["akka-remote"].acls) == ("tcp", None)
+    uris = {r.label: r.services for r in declared_endpoints(uri_endpoints(df, ["descriptor_set"]), "descriptor_set").collect()}
+    assert uris["mailer"] == ["http://:9000/mailer"] and uris["akka-remote"] == []
+    default = declared.withColumn("services", F.coalesce("services", F.array().cast("array<string>")))
+    changed = manual_or_derived(default.filter("label = 'rooms'"), default.filter("label = 'rooms'"), declared, "bundle", "label", declared.columns[2:])
+    assert rows(changed.select("label")) == [("akka-remote",), ("mailer",), ("rooms",)]
+
+
+def test_strict(spark):
+    good = descriptors(spark, ("a", [r"\Q/x\E"]))
+    assert parse_descriptors(good, ["descriptor_set"], strict=True).count() == 1
+    bad = good.union(spark.createDataFrame([("s", '[{"acls": []}]')], good.schema))
+    assert parse_descriptors(bad, ["descriptor_set"]).count() == 1
+    with pytest.raises(Exception, match="not a list of service descriptors"):
+        parse_descriptors(bad, ["descriptor_set"], strict=True).collect()
 
 
 def test_errors(spark):

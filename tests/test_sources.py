@@ -94,8 +94,14 @@ def test_report_counts(spark):
     got = {(r.id, r.name): (r.replicated, r.starting, r.running) for r in report_counts(df, "source", "text").collect()}
     assert got["abc", "visualizer"] == (1, 0, 1)
     assert got["def", "visualizer"] == (1, 0, 0)
-    assert got["i4", "name4"] == (4, 0, 0)
-    assert ("i5", "name5") not in got and len(got) == 8
+    # Every line counts, however many there are and however they end.
+    assert [got[f"i{n}", f"name{n}"] for n in range(7)] == [(n, 0, 0) for n in range(7)]
+    assert len(got) == 10
+    for end in ("\n", "\r", "\r\n"):
+        text = end.join(["ID NAME", *[f"i{n} n{n} v1 {n} 0 0" for n in range(1001)]])
+        df = spark.createDataFrame([("a", text)], "source string, text string")
+        found = report_counts(df, "source", "text").collect()
+        assert sorted(r.replicated for r in found) == list(range(1001))
 
 
 def test_read_texts(spark, tmp_path):

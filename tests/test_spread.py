@@ -1,10 +1,11 @@
 import random
 
 import pytest
-from conftest import rows
-from pyspark.sql import functions as F
 
-from fleetcatalog.operators.spread import chunked_lists, previous_value, running_total, split_hot
+from fleetcatalog.operators.spread import _sliced, previous_value, running_total
+from fleetcatalog.store import durable, release
+
+SLICES = (1, 3, 16, None)
 
 
 @pytest.fixture(scope="module")
@@ -19,61 +20,46 @@ def skewed(spark):
     return spark.createDataFrame(data, "k string, ts int, id int, v string, w long").repartition(6).cache()
 
 
-def test_split_hot(skewed):
-    cold, hot, slices = split_hot(skewed, ["k"], 300)
-    assert slices == 4
-    assert hot.select("k").distinct().collect()[0][0] == "hot"
-    assert cold.count() + hot.count() == 3000
-    assert split_hot(skewed, ["k"], 5000).hot is None
-
-
-def test_null_keys_can_be_hot(spark):
-    df = spark.createDataFrame([(None, i) for i in range(50)] + [("a", 1)], "k string, id int")
-    cold, hot, _ = split_hot(df, ["k"], 10)
-    assert (cold.count(), hot.count()) == (1, 50)
-
+def in_order(df):
+    return sorted(df.collect(), key=lambda r: (r.ts, r.id))
 
-def test_running_total(skewed):
-    plain = running_total(skewed, ["k"], ["ts", "id"], "pos")
-    sliced = running_total(skewed, ["k"], ["ts", "id"], "pos", hot_rows=20)
-    assert rows(sliced) == rows(plain)
-    weighted = running_total(skewed, ["k"], ["ts", "id"], "sum", "w")
-    assert rows(running_total(skewed, ["k"], ["ts", "id"], "sum", "w", hot_rows=20)) == rows(weighted)
 
-
-def test_running_total_against_python(skewed):
-    expected, seen = [], {}
-    for r in sorted(skewed.collect(), key=lambda r: (r.ts, r.id)):
+@pytest.mark.parametrize("slices", SLICES)
+def test_running_total(skewed, slices):
+    expected, sums, seen = [], {}, {}
+    for r in in_order(skewed):
         seen[r.k] = seen.get(r.k, 0) + 1
-        expected.append((r.id, seen[r.k]))
-    got = running_total(skewed, ["k"], ["ts", "id"], "pos", hot_rows=20).select("id", "pos")
+        sums[r.k] = sums.get(r.k, 0) + r.w
+        expected.append((r.id, seen[r.k], sums[r.k]))
+    counted = running_total(skewed, ["k"], ["ts", "id"], "pos", slices=slices)
+    assert counted.columns == [*skewed.columns, "pos"]
+    got = running_total(counted, ["k"], ["ts", "id"], "sum", "w", slices=slices).select("id", "pos", "sum")
     assert sorted(map(tuple, got.collect())) == sorted(expected)
 
 
-def test_previous_value(skewed):
-    plain = previous_value(skewed, ["k"], ["ts", "id"], "v", "prev")
-    sliced = previous_value(skewed, ["k"], ["ts", "id"], "v", "prev", hot_rows=20)
-    assert rows(sliced) == rows(plain)
+@pytest.mark.parametrize("slices", SLICES)
+def test_previous_value(skewed, slices):
     expected, last = [], {}
-    for r in sorted(skewed.collect(), key=lambda r: (r.ts, r.id)):
+    for r in in_order(skewed):
         expected.append((r.id, last.get(r.k)))
         last[r.k] = r.v
-    assert sorted((r.id, r.prev) for r in sliced.collect()) == sorted(expected)
+    got = previous_value(skewed, ["k"], ["ts", "id"], "v", "prev", slices=slices)
+    assert sorted((r.id, r.prev) for r in got.collect()) == sorted(expected)
+
+
+def test_no_task_has_a_hot_group(skewed):
+    """The rows of a slice are about as many as those of any other."""
+    sizes = [r["count"] for r in _sliced(skewed, ["k"], ["ts", "id"], 12).groupBy("_slice").count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 600
 
 
-def test_chunked_lists_are_whole(skewed):
-    parts = chunked_lists(skewed, ["k"], ["ts", "id"], F.col("id"), "ids", chunk=7, hot_rows=20)
-    whole = {}
-    for r in sorted(parts.collect(), key=lambda r: r.part):
-        assert len(r.ids) <= 7
-        assert r.part == len(whole.setdefault(r.k, [])) // 7
-        whole[r.k] += r.ids
-    expected = {}
-    for r in sorted(skewed.collect(), key=lambda r: (r.ts, r.id)):
-        expected.setdefault(r.k, []).append(r.id)
-    assert whole == expected
+def test_empty(skewed):
+    assert running_total(skewed.limit(0), ["k"], ["ts"], "pos").count() == 0
+    assert previous_value(skewed.limit(0), ["k"], ["ts"], "v", "prev").count() == 0
 
 
-def test_bounded_groups_need_no_count(skewed):
-    split = split_hot(skewed, ["k"], None)
-    assert split.hot is None and split.cold is skewed
+def test_written_tables_can_be_removed(skewed):
+    release(skewed.sparkSession)
+    kept = durable(skewed)
+    assert kept.count() == 3000
+    assert release(skewed.sparkSession) == 1 and release(skewed.sparkSession) == 0

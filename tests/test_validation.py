@@ -47,7 +47,17 @@ def test_one_failure_for_all(report):
     with pytest.raises(InvalidBundles) as failure:
         require_valid(told)
     text = str(failure.value)
-    assert "2 x version" in text and "2 x endpoint" in text and "2 x memory" in text
-    # Within a bundle: version, endpoints, memory.
-    assert text.index("all: access") < text.index("all: endpoint") < text.index("all: memory")
+    assert "2 x version" in text and "2 x endpoint" in text and "2 x memory" in text and failure.value.place in text
+    told = told.sparkSession.read.parquet(failure.value.place)
+    # All of them; within a bundle: version, endpoints, memory.
+    assert told.count() == 6
+    assert [r.rule for r in told.filter("bundle = 'all'").collect()] == ["version", "endpoint", "memory"]
     require_valid(told.filter("bundle = 'basic'"))
+
+
+def test_every_violation_is_kept(spark, tmp_path):
+    bundles = spark.createDataFrame([bundle(f"b{i}", memory=1) for i in range(1001)], BUNDLE)
+    with pytest.raises(InvalidBundles) as failure:
+        require_valid(violations(bundles, spark.createDataFrame([], ENDPOINT)), str(tmp_path / "bad"))
+    assert failure.value.place == str(tmp_path / "bad")
+    assert spark.read.parquet(failure.value.place).count() == 1001
