@@ -1,48 +1,14 @@
-"""Tables that an operator writes down and reads again, in the folder all executors share."""
+"""What the operators share: tables written down, and which rows are held out."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import weakref
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WRITTEN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only a session on one machine without that setting gets a folder made for it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tables-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet and read from there.
-
-    For rows that are read more than once, or that have to stay the same when an executor is lost.
-    ``release`` removes what a session wrote.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    WRITTEN.setdefault(spark, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..store import durable as keep
+from ..store import release, shared_folder
 
-def release(spark: SparkSession) -> int:
-    """Removes the tables that ``keep`` wrote in this session; call it when their results are stored. Returns how many."""
-    paths, jvm = WRITTEN.pop(spark, []), spark.sparkContext._jvm
-    for path in paths:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    return len(paths)
+__all__ = ["held_out", "keep", "release", "shared_folder"]
 
 
 def held_out(doc_id: Column | str, parts: int, part: int) -> Column:
