@@ -198,9 +198,9 @@ bins AS (
   FROM scores WHERE ruled IS NOT NULL AND NOT learned GROUP BY bin),
 totals AS (SELECT coalesce(sum(a), 0) AS accepted, coalesce(sum(b), 0) AS rejected FROM bins),
 rights AS (
-  SELECT bin, coalesce(sum(b * accepted - a * rejected) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gain
+  SELECT bin, lag(bin) OVER (ORDER BY bin) AS before, coalesce(sum(b * accepted - a * rejected) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gain
   FROM bins, totals WHERE accepted > 0 AND rejected > 0),
-least AS (SELECT coalesce((SELECT bin FROM rights ORDER BY gain DESC, bin LIMIT 1), 0) AS least)
+least AS (SELECT coalesce((SELECT CAST(coalesce(floor((before + bin + 1) / 2.0), bin) AS BIGINT) FROM rights ORDER BY gain DESC, bin LIMIT 1), 0) AS least)
 SELECT page_id, host, path, rule,
        coalesce(u.ruled, CASE WHEN ok AND coalesce(bin, 0) < least THEN 'block' ELSE 'allow' END) AS verdict
 FROM urls u LEFT JOIN scores s ON s.row = u.row CROSS JOIN least CROSS JOIN able

@@ -101,7 +101,9 @@ def _learned(url: str) -> Column:
 
 
 def threshold(scored: DataFrame) -> int:
-    """The bin from which URLs are accepted: the one that is right most often, each label weighed the same; the smallest of equals, 0 without URLs of either label.
+    """The bin from which URLs are accepted: the one that is right most often, each label weighed the same; 0 without URLs of either label.
+
+    All bins after one with URLs, up to the next with any, are as right; the middle of them is taken, and of several such gaps the lowest.
 
     ``scored``: bin and ruled ('allow' or 'block'). Counts of bins come to the driver, and there are few: a mean log ratio has 2 * BINS * 14 bins at most, as no smoothed probability is below 1e-6.
     """
@@ -109,11 +111,12 @@ def threshold(scored: DataFrame) -> int:
     accepted, rejected = sum(r["allow"] for r in rows), sum(r["block"] for r in rows)
     if not accepted or not rejected:
         return 0
-    right, best = accepted * rejected, None
+    right, best, before = accepted * rejected, None, None
     for r in rows:
         if best is None or right > best[0]:
-            best = (right, r["bin"])
+            best = (right, r["bin"] if before is None else (before + r["bin"] + 1) // 2)
         right += r["block"] * accepted - r["allow"] * rejected
+        before = r["bin"]
     return best[1]
 
 

@@ -62,7 +62,10 @@ def plain(urls):
     least = 0
     if accepted and rejected:
         right = lambda b: sum(x >= b for x, v in seen if v == "allow") * rejected + sum(x < b for x, v in seen if v == "block") * accepted
-        least = min({b for b, _ in seen}, key=lambda b: (-right(b), b))
+        bins = sorted({b for b, _ in seen})
+        best = min(bins, key=lambda b: (-right(b), b))
+        least = min((b for b in range(bins[0], best + 1) if right(b) == right(best) and (b > max([x for x in bins if x < best], default=best - 1))), default=best)
+        least = (least + best) // 2 if best > bins[0] else best
     return [(h, p, r and r.host + r.path, r.verdict if r else ("block" if t and math.floor(score(t) * 100) < least else "allow" if t else ("block" if least > 0 else "allow"))) for _, h, p, r, t, _ in judged]
 
 
