@@ -24,14 +24,16 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return keep(moved.where("u <> v").distinct())
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour, which has none itself."""
+    several = links.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    above = links.select(F.col("v").alias("u")).distinct().join(links.select("u").distinct(), "u", "left_semi")
+    return several.unionByName(above).isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component for each node of ``links`` (u, v: long); a component is named by its least node. Links of a node with itself are left out."""
     now = keep(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
-    while True:
+    while not _are_stars(now):
         now = _star(_star(now, True), False)
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            break
-        mark = seen
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -5,10 +5,11 @@ text's sketch holds the ``ELL`` k-mers of least hash in the order of the text, s
 in a table if they share these k-mers and their order: a sketch for edit similarity. Texts that
 agree in a table are candidates; a banded alignment of their k-mers verifies them.
 
-Equal texts are one node from the start. The members of a bucket are compared with few leaders, not
-with each other: first with the member that agrees with most others, then with growing shares of
-those still apart, until nothing in a bucket is both apart and untested. No link is lost by that, as
-a pair that is left out is in one class already.
+Equal texts are one node from the start. The members of a bucket are first compared with
+one leader, the member that agrees with most others. Only buckets whose members are then still in
+several classes are looked at again: blocks of their members are compared by the k-mers they
+share, and pairs that share enough are aligned. No class is lost by that, as a pair that is left out
+is in one class already.
 """
 
 from __future__ import annotations
@@ -29,8 +30,12 @@ K = 5
 #: Similarity of two texts with n and m k-mers of which s are aligned: s / (n + m - s).
 SIMILARITY = (4, 5)
 TABLES, ELL = 24, 5
-#: Leaders in a bucket in the second round; eight times as many in each round after it.
-LEADERS = 8
+#: k-mers of a text by which members of a bucket are compared; of longer texts those of least hash, about as many.
+COMPARED = 256
+#: Similarity that the compared k-mers have to show where they are a sample: 0.8 less more than three deviations.
+SAMPLED = 0.72
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 512
 
 
 def _kmers(texts: arrays.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,41 +57,44 @@ def _occurrences(kmers: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return out
 
 
+def _labelled(kmers: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Hashes of k-mers with their occurrence, so that a text has none twice."""
+    return arrays.mixed(kmers + _occurrences(kmers, owner).astype(np.uint64) * np.uint64(arrays.BASE))
+
+
 def sketches(kmers: np.ndarray, first: np.ndarray, tables: int = TABLES, ell: int = ELL) -> np.ndarray:
     """[text, table] bucket keys; texts without k-mers have zeros.
 
-    Only k-mers with a hash below a bound are sorted. The bound lets 4 * ell through on average; it is
+    Only k-mers with a hash below a bound are sorted. The bound lets 3 * ell through on average; it is
     lifted for texts in which fewer than they need came through.
     """
     counts = np.diff(first)
     owner = np.repeat(np.arange(len(counts)), counts)
-    labelled = arrays.mixed(kmers + _occurrences(kmers, owner).astype(np.uint64) * np.uint64(arrays.BASE))
-    out = np.zeros((len(counts), tables), np.int64)
+    labelled = _labelled(kmers, owner)
+    keys = np.zeros((len(counts), tables), np.int64)
     need = np.minimum(counts, ell)
     top = np.iinfo(np.uint64).max
-    share = np.minimum(4.0 * ell / np.maximum(counts, 1), 1)
-    usual = np.where(share < 1, (share * float(2**63)).astype(np.uint64) * np.uint64(2), top)
+    share = np.minimum(3.0 * ell / np.maximum(counts, 1), 1)
+    usual = np.repeat(np.where(share < 1, (share * float(2**63)).astype(np.uint64) * np.uint64(2), top), counts)
     factors = arrays.seeds(2 * tables, 2000)
     parts = arrays.seeds(ell, 3000)
     for t in range(tables):
         value = (labelled ^ factors[2 * t]) * factors[2 * t + 1]
         value ^= value >> np.uint64(29)
-        bound = usual
-        while True:
-            at = np.flatnonzero(value <= np.repeat(bound, counts))
+        at = np.flatnonzero(value <= usual)
+        got = np.bincount(owner[at], minlength=len(counts))
+        if (got < need).any():
+            at = np.flatnonzero((value <= usual) | (got < need)[owner])
             got = np.bincount(owner[at], minlength=len(counts))
-            if (got >= need).all():
-                break
-            bound = np.where(got < need, top, bound)
-        at = at[np.lexsort((at, value[at], owner[at]))]
+        at = at[np.lexsort((value[at], owner[at]))]
         rank = np.arange(len(at)) - np.repeat(np.cumsum(got) - got, got)
         at = np.sort(at[rank < ell])
         place = np.arange(len(at)) - np.repeat(np.cumsum(need) - need, need)
         total = np.zeros(len(counts), np.uint64)
         np.add.at(total, owner[at], labelled[at] * parts[place])
-        out[:, t] = arrays.mixed(total ^ factors[2 * t]).view(np.int64)
-    out[counts == 0] = 0
-    return out
+        keys[:, t] = arrays.mixed(total ^ factors[2 * t]).view(np.int64)
+    keys[counts == 0] = 0
+    return keys
 
 
 SKETCH = T.StructType(
@@ -110,7 +118,8 @@ def _sketched(tables: int, ell: int):
                 used = np.where(counts > 0, tables, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(used)]), pa.int32()), pa.array(keys[counts > 0].ravel()))
                 part = batch.slice(texts.first, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts), *digests, lists], names=["row", "doc_id", "n", "digest_a", "digest_b", "keys"])
+                columns = [part.column(0), part.column(1), pa.array(counts), *digests, lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", *SKETCH.names[1:]])
 
     return run
 
@@ -162,21 +171,12 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = 256
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
-            sides = []
-            for column in (2, 3):
-                lists = []
-                for texts in arrays.slices(part.column(column).fill_null("")):
-                    _, kmers, first = _kmers(texts)
-                    lists += [kmers[first[i] : first[i + 1]] for i in range(len(texts))]
-                sides.append(lists)
+            sides = [_kmer_lists(part.column(column)) for column in (2, 3)]
             for i, (x, y) in enumerate(zip(*sides, strict=True)):
                 least = -(-up * (len(x) + len(y)) // (up + down))
                 if least > min(len(x), len(y)) or not least:
                     continue
-                values, counts = np.unique(x, return_counts=True)
-                others, other_counts = np.unique(y, return_counts=True)
-                _, i1, i2 = np.intersect1d(values, others, True, True)
-                if np.minimum(counts[i1], other_counts[i2]).sum() < least:
+                if not _enough(*(_labelled(k, np.zeros(len(k), np.int64)) for k in (x, y))):
                     continue
                 if (common := aligned(x.tolist(), y.tolist())) is not None:
                     found[0].append(part.column(0)[i].as_py())
@@ -185,6 +185,100 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["u", "v", "similarity"])
 
 
+LINKS = "u long, v long, similarity double"
+
+
+def _level(n: np.ndarray) -> np.ndarray:
+    """How often a text's k-mers are halved until about ``COMPARED`` are left."""
+    return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / COMPARED))).astype(np.int64)
+
+
+def _prints(kmers: list[np.ndarray]) -> list[bytes]:
+    """Prints of the compared k-mers of each text."""
+    out = []
+    for own in kmers:
+        labelled = _labelled(own, np.zeros(len(own), np.int64))
+        out.append(labelled[labelled <= (np.uint64(2**64 - 1) >> _level(np.array([len(own)])).astype(np.uint64)[0])].astype(np.uint32).tobytes())
+    return out
+
+
+def _kmer_lists(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    out = []
+    for texts in arrays.slices(column):
+        _, kmers, first = _kmers(texts)
+        out += [kmers[first[i] : first[i + 1]] for i in range(len(texts))]
+    return out
+
+
+def in_common(prints: list[bytes], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """[text of one, text of two] prints they have in common; as a product of matrices, a slice of prints at a time."""
+    counts = np.array([len(p) // 4 for p in prints])
+    owner = np.repeat(np.arange(len(prints)), counts)
+    values, which, times = np.unique(np.frombuffer(b"".join(prints), np.uint32), return_inverse=True, return_counts=True)
+    several = times > 1
+    which, owner = (np.cumsum(several) - 1)[which[several[which]]], owner[several[which]]
+    order = np.argsort(which, kind="stable")
+    which, owner = which[order], owner[order]
+    out, width = np.zeros((len(one), len(two)), np.float32), 4096
+    for at in range(0, int(several.sum()), width):
+        i, j = np.searchsorted(which, (at, at + width))
+        some = np.zeros((len(prints), width), np.float32)
+        some[owner[i:j], which[i:j] - at] = 1
+        out += some[one] @ some[two].T
+    return out
+
+
+def _enough(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two texts share enough labelled k-mers in any order; else there is nothing to align."""
+    up, down = SIMILARITY
+    return (up + down) * len(np.intersect1d(a, b, True)) >= up * (len(a) + len(b))
+
+
+def _compared(group: pa.Table) -> pa.Table:
+    """Links among the members of a block, or of two blocks: of pairs that are in two classes, alike in length, and share enough k-mers.
+
+    A pair that links found before have joined is left out.
+    """
+    up, down = SIMILARITY
+    block = group.column("block").to_numpy()
+    low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+    row, n, kind = (group.column(c).to_numpy() for c in ("row", "n", "class"))
+    one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    n1, n2 = n[one][:, None], n[two][None]
+    fit = (kind[one][:, None] != kind[two][None]) & (np.minimum(n1, n2) * down >= np.maximum(n1, n2) * up)
+    fit &= (row[one][:, None] > row[two][None]) | (low != high)
+    links: list[tuple] = []
+    if fit.any():
+        kmers = _kmer_lists(group.column("text"))
+        level = np.maximum(_level(n)[one][:, None], _level(n)[two][None])
+        common = in_common(_prints(kmers), one, two)
+        every = (n1 + n2) / 2.0**level
+        fit &= np.where(level == 0, common * (up + down) >= up * (n1 + n2), common >= SAMPLED * (every - common))
+        joined: dict[int, int] = {}
+        whole = {a: np.sort(_labelled(kmers[a], np.zeros(len(kmers[a]), np.int64))) for a in {*one[fit.any(1)], *two[fit.any(0)]}}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        for i, j in zip(*np.nonzero(fit), strict=True):
+            a, b = one[i], two[j]
+            first, second = root(kind[a]), root(kind[b])
+            if first == second or not _enough(whole[a], whole[b]) or (s := aligned(kmers[a].tolist(), kmers[b].tolist())) is None:
+                continue
+            joined[first] = second
+            links.append((max(row[a], row[b]), min(row[a], row[b]), s / (n[a] + n[b] - s)))
+    return pa.table([pa.array([x[i] for x in links], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["u", "v", "similarity"])
+
+
+def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links among pairs of rows, by their texts."""
+    one = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
+    two = one.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
+    return keep(two.select("a", "b", "text_a", "text_b").mapInArrow(_verified, LINKS))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tables: int = TABLES, ell: int = ELL) -> DataFrame:
     """A row for each row of ``docs``: row, doc_id, class_id, class_size, kept, n_links.
 
@@ -202,49 +296,34 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     exploded = sketched.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select("row", "n", F.posexplode("keys").alias("place", "key"))
     entries = exploded.select("row", "n", F.xxhash64("place", "key").alias("key"))
     sizes = keep(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-    members = keep(entries.join(sizes, "key"))
-    weights = members.groupBy("row").agg(F.sum("size").alias("weight"))
-    members = keep(members.join(weights, "row"))
-    texts = keep(numbered.join(members.select("row").distinct(), "row", "left_semi").select("row", "text"))
-
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "u long, v long, similarity double")
-    tested = spark.createDataFrame([], "a long, b long")
-    found = spark.createDataFrame([], "node long, component long")
-    leaders, target = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("row")).alias("least"))).alias("first")).select("key", (-F.col("first.least")).alias("leader")), 1
-    open_ = members.withColumn("class", F.col("row"))
-    while True:
-        leaders = keep(leaders)
-        met = open_.join(leaders, "key").where("row <> leader")
-        if target > 1:
-            met = met.where("class <> leader_class")
-        else:
-            met = met.withColumn("leader_n", F.lit(None).cast("long"))
-        pairs = met.select(F.col("row").alias("a"), F.col("leader").alias("b"), "n", "leader_n")
-        if target > 1:  # a pair of two leaders comes both ways, and n is known on both sides
-            pairs = pairs.where("least(n, leader_n) * 5 >= greatest(n, leader_n) * 4").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        pairs = pairs.select("a", "b").distinct()
-        pairs = keep(pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti") if target > 1 else pairs)
-        if not pairs.isEmpty():
-            one = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
-            two = one.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-            new = keep(two.mapInArrow(_verified, links.schema))
-            links, tested = links.unionByName(new), tested.unionByName(pairs)
-            if not new.isEmpty():
-                found = keep(components(new.select("u", "v").unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))))
-        classes = found.select(F.col("node").alias("row"), F.col("component").alias("class"))
-        placed = members.where(F.col("size") > target).join(classes, "row", "left").withColumn("class", F.coalesce("class", "row"))
-        placed = keep(placed)
-        apart = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
-        open_ = keep(placed.join(keep(apart), "key", "left_semi"))
-        if open_.isEmpty():
-            break
-        target *= LEADERS
-        chosen = F.pmod(F.xxhash64("row", F.lit(target)), F.ceil(F.col("size") / target)) == 0
-        leaders = open_.where(chosen).select("key", F.col("row").alias("leader"), F.col("class").alias("leader_class"), F.col("n").alias("leader_n"))
-
-    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = nodes.join(found, "node", "left").join(degree, "node", "left")
+    met = keep(entries.join(sizes, "key"))
+    members = keep(met.join(met.groupBy("row").agg(F.sum("size").alias("weight")), "row"))
+    # The rows grow with the documents, so they are not broadcast where there happen to be few.
+    asked = members.select("row").distinct().hint("merge")
+    texts = keep(numbered.join(asked, "row", "left_semi").select("row", F.coalesce("text", F.lit("")).alias("text")))
+
+    first = F.max(F.struct("weight", (-F.col("row")).alias("least"), "n"))
+    leaders = keep(members.groupBy("key").agg(first.alias("first")).select("key", (-F.col("first.least")).alias("leader"), F.col("first.n").alias("leader_n")))
+    alike = "row <> leader AND least(n, leader_n) * 5 >= greatest(n, leader_n) * 4"
+    pairs = keep(members.join(leaders, "key").where(alike).select(F.col("row").alias("a"), F.col("leader").alias("b")).distinct())
+    links = _verify(pairs, texts)
+    # Labels for now: the least leader that a row is linked with, and what that one is linked with. Rows of one class may
+    # still differ in them, which only makes more pairs to compare.
+    linked = keep(links.groupBy(F.col("u").alias("row")).agg(F.min("v").alias("class")).where("class < row"))
+    further = linked.select(F.col("row").alias("class"), F.col("class").alias("further"))
+    classes = linked.join(further, "class", "left").select("row", F.coalesce("further", "class").alias("class"))
+
+    placed = keep(members.join(classes, "row", "left").withColumn("class", F.coalesce("class", "row")))
+    apart = keep(placed.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("key"))
+    apart = keep(placed.join(apart, "key", "left_semi"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = apart.join(texts, "row").withColumn("block", F.pmod(F.xxhash64("row"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "row", "n", "class", "text")
+    links = links.unionByName(keep(dealt.groupBy("key", "low", "high").applyInArrow(_compared, LINKS)))
+    found = components(links.select("u", "v"))
+
+    ends = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().select(F.explode(F.array("u", "v")).alias("node"))
+    known = nodes.join(found, "node", "left").join(ends.groupBy("node").agg(F.count("*").alias("n_links")), "node", "left")
     known = keep(known.select(*digest, F.coalesce("component", "node").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
     placed = keep(sketched.select("row", "doc_id", *digest).join(known, digest).select("row", "doc_id", "class", "n_links"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")

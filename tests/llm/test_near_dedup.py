@@ -1,7 +1,9 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import DATA, DOCS, ODD, table
 
@@ -51,7 +53,7 @@ def partition(keys, groups):
     out = {}
     for k, g in zip(keys, groups, strict=True):
         out.setdefault(g, []).append(k)
-    return sorted(sorted(v, key=str) for v in out.values())
+    return sorted((sorted(v, key=lambda k: (k is None, k or 0)) for v in out.values()), key=str)
 
 
 def check(spark, rows):
@@ -62,7 +64,7 @@ def check(spark, rows):
     assert all(r.class_size == next(len(v) for v in want if r.doc_id in v) for r in found)
 
 
-def copies(seed, bases=12, each=6, size=90):
+def copies(seed, bases=9, each=5, size=80):
     pick, rows = random.Random(seed), []
     for _ in range(bases):
         base = [f"w{pick.randrange(400)}" for _ in range(size)]
@@ -76,7 +78,7 @@ def copies(seed, bases=12, each=6, size=90):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_brute_force(spark, seed):
     check(spark, copies(seed))
 
@@ -84,8 +86,8 @@ def test_brute_force(spark, seed):
 def test_one_large_group_and_a_common_passage(spark):
     pick = random.Random(5)
     base, passage = [f"w{i}" for i in range(100)], " ".join(f"p{i}" for i in range(60))
-    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k:])) for i, k in enumerate(pick.randrange(100) for _ in range(60))]
-    rows += [(100 + i, passage + " " + " ".join(f"y{pick.randrange(10**6)}" for _ in range(60))) for i in range(60)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k:])) for i, k in enumerate(pick.randrange(100) for _ in range(30))]
+    rows += [(100 + i, passage + " " + " ".join(f"y{pick.randrange(10**6)}" for _ in range(60))) for i in range(30)]
     check(spark, rows)
 
 
@@ -95,6 +97,34 @@ def test_a_chain_is_one_class(spark):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("size", [12, 60, 400])
+def test_similar_texts_meet(size):
+    """At the least similarity texts meet in a table."""
+    pick, kmers, first = np.random.default_rng(size), [], [0]
+    for _ in range(300):
+        one = pick.integers(1, 2**63, size, dtype=np.uint64)
+        other = one.copy()
+        other[pick.choice(size, size - -(-size * 8 // 9), False)] = pick.integers(1, 2**63, size - -(-size * 8 // 9), dtype=np.uint64)
+        kmers += [one, other]
+        first += [first[-1] + size, first[-1] + 2 * size]
+    keys = near_dedup.sketches(np.concatenate(kmers), np.array(first))
+    assert (keys[::2] == keys[1::2]).any(1).all()
+
+
+def test_compared_kmers(spark):
+    """What two texts have in common among the compared k-mers tells their similarity; exactly, if these are all."""
+    pick = random.Random(4)
+    for size in (60, 200, 1500):
+        base = [f"w{pick.randrange(10**6)}" for _ in range(size)]
+        other = [w if pick.random() > 0.02 else "new" + w for w in base]
+        texts = [" ".join(base), " ".join(other)]
+        prints = near_dedup._prints(near_dedup._kmer_lists(pa.array(texts)))
+        common = near_dedup.in_common(prints, np.array([0]), np.array([1]))[0, 0]
+        want = sum((Counter(kmers(texts[0])) & Counter(kmers(texts[1]))).values())
+        scale = 2.0 ** near_dedup._level(np.array([size - 4]))[0]
+        assert common == want if scale == 1 else abs(common * scale / want - 1) < 0.15
+
+
 def test_order_matters(spark):
     first, second = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     found = near_dedup.near_duplicates(table(spark, [(1, f"{first} {second}"), (2, f"{second} {first}")])).collect()
