@@ -49,41 +49,51 @@ class Counts(NamedTuple):
     class_words: np.ndarray
 
 
+def _hashed(texts: arrays.Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a slice as hashes, whose last bits say how the word ends, and how many each text has."""
+    found = arrays.words(texts)
+    last = arrays.LOWER[texts.data[found.end - 1]].astype(np.uint64)
+    before = np.where(found.end - found.start > 1, arrays.LOWER[texts.data[np.maximum(found.end - 2, 0)]], 0).astype(np.uint64)
+    endings = arrays.mixed(last * np.uint64(256) + before + np.uint64(77)) % np.uint64(ENDINGS)
+    hashes = arrays.word_hashes(texts, found)
+    return hashes - hashes % np.uint64(ENDINGS) + endings, np.diff(found.first)
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of rows (row, doc_id, held_out, text): ids, where each document's tokens start, distinct words and the tokens as numbers of them."""
+    """Blocks of rows (row, doc_id, held_out, text): ids, where each document's tokens start, distinct words, how often training
+    rows have each, and the tokens as numbers of words. The words stand by frequency, so that the numbers pack well."""
     seen = 0
     for batch in batches:
-        for texts in arrays.slices(batch.column(3).fill_null(""), BLOCK_BYTES):
-            found = arrays.words(texts)
-            words, codes = np.unique(arrays.word_hashes(texts, found), return_inverse=True)
-            ends = np.zeros(len(words), np.int64)
-            last = texts.data[found.end - 1].astype(np.int64)
-            before = np.where(found.end - found.start > 1, texts.data[np.maximum(found.end - 2, 0)], 0).astype(np.int64)
-            ends[codes] = arrays.LOWER[last].astype(np.int64) * 256 + arrays.LOWER[before]
-            endings = arrays.fold_mod(arrays.mixed(ends.astype(np.uint64) + np.uint64(77)), ENDINGS)
-            counts = np.diff(found.first)
-            first = np.concatenate([[0], np.cumsum(counts + 1)])
-            tokens = np.full(first[-1], len(words), np.int64)
-            tokens[np.arange(len(codes)) + found.text] = codes
+        text = batch.column(3).fill_null("")
+        for texts in arrays.slices(text, BLOCK_BYTES):
             part = batch.slice(texts.first, len(texts))
+            hashed = [_hashed(some) for some in arrays.slices(text.slice(texts.first, len(texts)))]
+            counts = np.concatenate([c for _, c in hashed])
+            words, codes, times = np.unique(np.concatenate([h for h, _ in hashed]), return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(1, len(words) + 1)
+            first = np.concatenate([[0], np.cumsum(counts + 1)])
+            tokens = np.zeros(first[-1], np.uint32)
+            tokens[np.arange(len(codes)) + np.repeat(np.arange(len(counts)), counts)] = rank[codes]
+            held = np.asarray(part.column(2).to_pylist(), bool)
+            learned = np.bincount(tokens[~np.repeat(held, counts + 1)], minlength=len(words) + 1)
             block = (TaskContext.get().partitionId() << 32) + seen
             seen += 1
-            held = np.repeat(np.asarray(part.column(2).to_pylist(), bool), counts + 1)
-            learned = np.bincount(tokens[~held], minlength=len(words) + 1)
-            as_list = lambda x, kind: pa.array([x], pa.list_(kind))
+            as_list = lambda x: pa.array([x], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([block]), pa.array([part.column(1).to_pylist()], pa.list_(part.column(1).type)), pa.array([part.column(2).to_pylist()], pa.list_(pa.bool_())),
-                    as_list(first, pa.int64()), as_list(np.append(words, np.uint64(END)).view(np.int64), pa.int64()),
-                    as_list(np.append(endings, 0), pa.int32()), as_list(tokens, pa.int32()), as_list(learned, pa.int64()),
+                    pa.array([block]), pa.array([part.column(1).to_pylist()], pa.list_(part.column(1).type)), pa.array([held.tolist()], pa.list_(pa.bool_())),
+                    as_list(first), as_list(np.concatenate([[np.uint64(END)], words[order]]).view(np.int64)), as_list(learned),
+                    pa.array([pa.compress(tokens.tobytes(), "zstd", asbytes=True)], pa.binary()),
                 ],
-                names=["block", "ids", "held_out", "first", "words", "endings", "tokens", "learned"],
+                names=["block", "ids", "held_out", "first", "words", "learned", "tokens"],
             )
 
 
 def _blocks_schema(kind: T.DataType) -> T.StructType:
-    lists = {"ids": kind, "held_out": T.BooleanType(), "first": T.LongType(), "words": T.LongType(), "endings": T.IntegerType(), "tokens": T.IntegerType(), "learned": T.LongType()}
-    return T.StructType([T.StructField("block", T.LongType()), *(T.StructField(n, T.ArrayType(k)) for n, k in lists.items())])
+    lists = {"ids": kind, "held_out": T.BooleanType(), "first": T.LongType(), "words": T.LongType(), "learned": T.LongType()}
+    return T.StructType([T.StructField("block", T.LongType()), *(T.StructField(n, T.ArrayType(k)) for n, k in lists.items()), T.StructField("tokens", T.BinaryType())])
 
 
 def _column(batch: pa.RecordBatch | pa.Table, name: str, row: int) -> np.ndarray:
@@ -93,8 +103,12 @@ def _column(batch: pa.RecordBatch | pa.Table, name: str, row: int) -> np.ndarray
     return column[row].values.to_numpy(zero_copy_only=False)
 
 
-def classes_of(words: np.ndarray, endings: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    out = 1 + FREQUENT + endings.astype(np.int64)
+def _tokens(batch: pa.RecordBatch | pa.Table, row: int, count: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(batch.column("tokens")[row].as_buffer(), 4 * count, "zstd", asbytes=True), np.uint32)
+
+
+def classes_of(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    out = 1 + FREQUENT + (words % np.uint64(ENDINGS)).astype(np.int64)
     if len(frequent):
         place = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
         out = np.where(frequent[place] == words, 1 + place, out)
@@ -125,20 +139,28 @@ def features(words: np.ndarray, classes: np.ndarray, first: np.ndarray) -> np.nd
     return np.stack([arrays.fold_mod(arrays.mixed(h), FEATURES) for h in hashed], 1).astype(np.int32)
 
 
-def log_classes(model: Model, x: np.ndarray) -> np.ndarray:
-    """[token, class] natural log probabilities."""
+def _logits(model: Model, x: np.ndarray) -> np.ndarray:
+    """[token, class] logits, the largest of a token 0."""
     logits = model.weights[x[:, 0]]
     for t in range(1, TEMPLATES):
         logits += model.weights[x[:, t]]
     logits += model.constant
     logits -= logits.max(1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(1, keepdims=True))
     return logits
 
 
+def log_classes(model: Model, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Natural log probability of each token's class y."""
+    logits = _logits(model, x)
+    own = logits[np.arange(len(y)), y]
+    return own - np.log(np.exp(logits, out=logits).sum(1))
+
+
 def update(model: Model, squares: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
     """A step of adaptive gradient descent on a batch, in place."""
-    slope = np.exp(log_classes(model, x))
+    slope = _logits(model, x)
+    np.exp(slope, out=slope)
+    slope /= slope.sum(1, keepdims=True)
     slope[np.arange(len(y)), y] -= 1
     flat = x.T.ravel()
     order = np.argsort(flat.astype(np.uint16), kind="stable")
@@ -156,11 +178,12 @@ def _trainer(held_model):
         for batch in batches:
             for row in range(batch.num_rows):
                 words = _column(batch, "words", row).view(np.uint64)
-                tokens, first = _column(batch, "tokens", row), _column(batch, "first", row)
+                first = _column(batch, "first", row)
+                tokens = _tokens(batch, row, first[-1])
                 held = _column(batch, "held_out", row).astype(bool)
                 if model is None:
                     model, squares = Model(start.frequent, start.constant, start.weights.copy()), np.zeros_like(start.weights)
-                of_word = classes_of(words, _column(batch, "endings", row), start.frequent)
+                of_word = classes_of(words, start.frequent)
                 classes = of_word[tokens]
                 use = np.flatnonzero(np.repeat(~held, np.diff(first)))
                 x = features(words[tokens], classes, first)
@@ -171,7 +194,7 @@ def _trainer(held_model):
         if model is not None:
             rows = np.flatnonzero(seen)
             change = (model.weights[rows] - start.weights[rows]) * seen[rows, None]
-            columns = [pa.array(np.ascontiguousarray(change[:, c], np.float64)) for c in range(CLASSES)]
+            columns = [pa.array(np.ascontiguousarray(change[:, c], np.float32)) for c in range(CLASSES)]
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(seen[rows]), *columns], names=["feature", "seen", *(f"c{c}" for c in range(CLASSES))])
 
     return run
@@ -181,8 +204,8 @@ def _round(blocks: DataFrame, model: Model) -> Model:
     """The model after one round; FEATURES rows of CLASSES numbers come back at most."""
     held = blocks.sparkSession.sparkContext.broadcast(model)
     names = [f"c{c}" for c in range(CLASSES)]
-    schema = T.StructType([T.StructField("feature", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in ("seen", *names))])
-    changes = blocks.select("held_out", "first", "words", "endings", "tokens").mapInArrow(_trainer(held), schema)
+    schema = T.StructType([T.StructField("feature", T.LongType()), T.StructField("seen", T.DoubleType()), *(T.StructField(n, T.FloatType()) for n in names)])
+    changes = blocks.select("held_out", "first", "words", "tokens").mapInArrow(_trainer(held), schema)
     mean = changes.groupBy("feature").agg(*((F.sum(n) / F.sum("seen")).alias(n) for n in names)).orderBy("feature").toArrow()
     weights = model.weights.copy()
     if mean.num_rows:
@@ -200,18 +223,18 @@ def _scorer(held_model, counts: Counts):
         kind = left.schema.field("ids").type.value_type
         for row in range(left.num_rows):
             words = _column(left, "words", row).view(np.uint64)
-            tokens, first = _column(left, "tokens", row), _column(left, "first", row)
-            known = np.zeros(len(words))
+            first = _column(left, "first", row)
+            tokens = _tokens(left, row, first[-1])
+            known = _column(left, "learned", row).astype(float)
             known[right.column("place").to_numpy()] = right.column("n").to_numpy()
-            of_word = classes_of(words, _column(left, "endings", row), model.frequent)
+            of_word = classes_of(words, model.frequent)
             base = np.log10((known + 1) / (counts.tokens + counts.words + 1))
             inside = np.log10((known + 1) / (counts.class_tokens + counts.class_words + 1)[of_word])
             classes = of_word[tokens]
             x = features(words[tokens], classes, first)
             log_class = np.zeros(len(tokens))
             for at in range(0, len(tokens), BATCH):
-                p = log_classes(model, x[at : at + BATCH])
-                log_class[at : at + BATCH] = p[np.arange(len(p)), classes[at : at + BATCH]]
+                log_class[at : at + BATCH] = log_classes(model, x[at : at + BATCH], classes[at : at + BATCH])
             doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
             each = lambda values: np.bincount(doc, values, len(first) - 1)  # noqa: E731, B023
             out["doc_id"] += left.column("ids")[row].as_py()
@@ -236,8 +259,8 @@ def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_col
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_column).alias("text"))
     kind = rows.schema["doc_id"].dataType
     blocks = keep(rows.mapInArrow(_encode, _blocks_schema(kind)))
-    listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "endings", "learned")).alias("place", "x")).select("block", "place", F.col("x.words").alias("word"), F.col("x.endings").alias("ending"), F.col("x.learned").alias("learned"))
-    counted = keep(listed.where("learned > 0").groupBy("word").agg(F.sum("learned").alias("n"), F.min("ending").alias("ending")))
+    listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "learned")).alias("place", "x")).select("block", "place", F.col("x.words").alias("word"), F.col("x.learned").alias("learned"))
+    counted = keep(listed.where("learned > 0").groupBy("word").agg(F.sum("learned").alias("n")))
     tokens, words = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end = END - (1 << 64) if END >= 1 << 63 else END
     top = [r["word"] & (2**64 - 1) for r in counted.where(F.col("word") != end).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
@@ -245,7 +268,7 @@ def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_col
     special = F.when(F.col("word") == end, 0)
     for i, w in enumerate(frequent.view(np.int64).tolist()):
         special = special.when(F.col("word") == w, 1 + i)
-    by_class = counted.groupBy(special.otherwise(1 + FREQUENT + F.col("ending")).alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
+    by_class = counted.groupBy(special.otherwise(1 + FREQUENT + F.pmod("word", F.lit(ENDINGS))).alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     class_tokens, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in by_class:
         class_tokens[r["class"]], class_words[r["class"]] = r["n"], r["v"]
@@ -256,9 +279,10 @@ def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_col
         model = _round(blocks.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == r), model)
 
     held = docs.sparkSession.sparkContext.broadcast(model)
-    found = listed.select("block", "place", "word").join(counted.select("word", "n"), "word").select(F.col("block").alias("of_block"), "place", "n")
+    # A word that no other block has in training rows has been counted in its block already.
+    found = listed.join(counted, "word").where("n <> learned").select(F.col("block").alias("of_block"), "place", "n")
     schema = T.StructType(
         [T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known")), *(T.StructField(n, T.DoubleType()) for n in ("base_score", "score"))]
     )
-    scored = blocks.drop("learned").groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(_scorer(held, counts), schema)
+    scored = blocks.groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(_scorer(held, counts), schema)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
