@@ -30,10 +30,10 @@ K = 5
 #: Similarity of two texts with n and m k-mers of which s are aligned: s / (n + m - s).
 SIMILARITY = (4, 5)
 TABLES, ELL = 24, 5
-#: k-mers of a text by which members of a bucket are compared; of longer texts those of least hash, about as many.
+#: k-mers of a text by which members of a bucket are compared first; of longer texts those of least hash, about as many.
 COMPARED = 256
-#: Similarity that the compared k-mers have to show where they are a sample: 0.8 less more than three deviations.
-SAMPLED = 0.72
+#: k-mers of all texts of a block that are counted at once.
+COUNTED = 1 << 22
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 512
 
@@ -189,7 +189,7 @@ LINKS = "u long, v long, similarity double"
 
 
 def _level(n: np.ndarray) -> np.ndarray:
-    """How often a text's k-mers are halved until about ``COMPARED`` are left."""
+    """How often a text's k-mers are halved until about ``COMPARED`` are left for the first look."""
     return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / COMPARED))).astype(np.int64)
 
 
@@ -198,7 +198,7 @@ def _prints(kmers: list[np.ndarray]) -> list[bytes]:
     out = []
     for own in kmers:
         labelled = _labelled(own, np.zeros(len(own), np.int64))
-        out.append(labelled[labelled <= (np.uint64(2**64 - 1) >> _level(np.array([len(own)])).astype(np.uint64)[0])].astype(np.uint32).tobytes())
+        out.append(labelled[labelled <= (np.uint64(2**64 - 1) >> _level(np.array([len(own)])).astype(np.uint64)[0])].tobytes())
     return out
 
 
@@ -212,19 +212,19 @@ def _kmer_lists(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
 
 def in_common(prints: list[bytes], one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """[text of one, text of two] prints they have in common; as a product of matrices, a slice of prints at a time."""
-    counts = np.array([len(p) // 4 for p in prints])
+    counts = np.array([len(p) // 8 for p in prints])
     owner = np.repeat(np.arange(len(prints)), counts)
-    values, which, times = np.unique(np.frombuffer(b"".join(prints), np.uint32), return_inverse=True, return_counts=True)
+    values, which, times = np.unique(np.frombuffer(b"".join(prints), np.uint64), return_inverse=True, return_counts=True)
     several = times > 1
     which, owner = (np.cumsum(several) - 1)[which[several[which]]], owner[several[which]]
     order = np.argsort(which, kind="stable")
     which, owner = which[order], owner[order]
-    out, width = np.zeros((len(one), len(two)), np.float32), 4096
+    out, width = np.zeros((len(one), len(two)), np.int64), 4096
     for at in range(0, int(several.sum()), width):
         i, j = np.searchsorted(which, (at, at + width))
         some = np.zeros((len(prints), width), np.float32)
         some[owner[i:j], which[i:j] - at] = 1
-        out += some[one] @ some[two].T
+        out += (some[one] @ some[two].T).astype(np.int64)
     return out
 
 
@@ -234,6 +234,35 @@ def _enough(a: np.ndarray, b: np.ndarray) -> bool:
     return (up + down) * len(np.intersect1d(a, b, True)) >= up * (len(a) + len(b))
 
 
+def _sharing(kmers: list[np.ndarray], one: np.ndarray, two: np.ndarray, fit: np.ndarray) -> np.ndarray:
+    """Those of the pairs ``fit`` [text of one, text of two] that share enough labelled k-mers in any order, counted over all of them.
+
+    The first look is at the compared k-mers: a pair shares no more than what it shares of these and all the others of the smaller rest.
+    What is left is counted whole, a range of hashes at a time.
+    """
+    up, down = SIMILARITY
+    n = np.array([len(own) for own in kmers])
+    least = -(-up * (n[one][:, None] + n[two][None]) // (up + down))
+    level = np.maximum(_level(n)[one][:, None], _level(n)[two][None])
+    prints = _prints(kmers)
+    common, fit = in_common(prints, one, two), fit.copy()
+    for step in np.unique(level[fit]):
+        bound = np.uint64(2**64 - 1) >> np.uint64(step)
+        rest = n - [np.count_nonzero(np.frombuffer(own, np.uint64) <= bound) for own in prints]
+        fit &= (level != step) | (common + np.minimum(rest[one][:, None], rest[two][None]) >= least)
+    i, j = np.flatnonzero((fit & (level > 0)).any(1)), np.flatnonzero((fit & (level > 0)).any(0))
+    if len(i):
+        asked = np.union1d(one[i], two[j])
+        whole = [np.sort(_labelled(kmers[a], np.zeros(len(kmers[a]), np.int64))) for a in asked]
+        parts = -(-sum(map(len, whole)) // COUNTED)
+        ends = [np.searchsorted(own, np.array([2**64 * k // parts for k in range(1, parts)], np.uint64)) for own in whole]
+        cuts = [[0, *end, len(own)] for end, own in zip(ends, whole, strict=True)]
+        rows, columns = np.searchsorted(asked, one[i]), np.searchsorted(asked, two[j])
+        every = sum(in_common([own[cut[k] : cut[k + 1]].tobytes() for own, cut in zip(whole, cuts, strict=True)], rows, columns) for k in range(parts))
+        fit[np.ix_(i, j)] &= every >= least[np.ix_(i, j)]
+    return fit
+
+
 def _compared(group: pa.Table) -> pa.Table:
     """Links among the members of a block, or of two blocks: of pairs that are in two classes, alike in length, and share enough k-mers.
 
@@ -250,12 +279,8 @@ def _compared(group: pa.Table) -> pa.Table:
     links: list[tuple] = []
     if fit.any():
         kmers = _kmer_lists(group.column("text"))
-        level = np.maximum(_level(n)[one][:, None], _level(n)[two][None])
-        common = in_common(_prints(kmers), one, two)
-        every = (n1 + n2) / 2.0**level
-        fit &= np.where(level == 0, common * (up + down) >= up * (n1 + n2), common >= SAMPLED * (every - common))
+        fit = _sharing(kmers, one, two, fit)
         joined: dict[int, int] = {}
-        whole = {a: np.sort(_labelled(kmers[a], np.zeros(len(kmers[a]), np.int64))) for a in {*one[fit.any(1)], *two[fit.any(0)]}}
 
         def root(c: int) -> int:
             while c in joined:
@@ -265,7 +290,7 @@ def _compared(group: pa.Table) -> pa.Table:
         for i, j in zip(*np.nonzero(fit), strict=True):
             a, b = one[i], two[j]
             first, second = root(kind[a]), root(kind[b])
-            if first == second or not _enough(whole[a], whole[b]) or (s := aligned(kmers[a].tolist(), kmers[b].tolist())) is None:
+            if first == second or (s := aligned(kmers[a].tolist(), kmers[b].tolist())) is None:
                 continue
             joined[first] = second
             links.append((max(row[a], row[b]), min(row[a], row[b]), s / (n[a] + n[b] - s)))

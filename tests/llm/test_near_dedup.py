@@ -125,6 +125,31 @@ def test_compared_kmers(spark):
         assert common == want if scale == 1 else abs(common * scale / want - 1) < 0.15
 
 
+@pytest.mark.parametrize("size", [300, 520, 1030, 4000, 10_000])
+def test_blocks_keep_every_pair_at_the_least_similarity(size):
+    """Pairs of long texts that no leader joined: at 0.8 each is linked, below none is."""
+    texts, n = [], size - 4
+    for i in range(40 if size < 4000 else 12):
+        base = [f"b{i}x{k}" for k in range(size)]
+        new = n // 9 + (i % 2)
+        texts += [" ".join(base), " ".join(base[: size - new] + [f"n{i}x{k}" for k in range(new)])]
+    row = pa.array(range(len(texts)))
+    group = pa.table({"low": [0] * len(texts), "high": [0] * len(texts), "block": [0] * len(texts), "row": row, "n": [n] * len(texts), "class": row, "text": texts})
+    found = near_dedup._compared(group)
+    assert sorted(found.column("v").to_pylist()) == list(range(0, len(texts), 4))
+
+
+def test_common_kmers_are_counted_in_parts(monkeypatch):
+    pick = np.random.default_rng(6)
+    kmers = [pick.choice(4000, size).astype(np.uint64) for size in (700, 900, 3000, 2900)]
+    kmers += [np.append(k[: len(k) * 19 // 20], np.arange(9000, 9000 + len(k) // 20)).astype(np.uint64) for k in kmers]
+    one = two = np.arange(len(kmers))
+    want = [[9 * sum((Counter(a.tolist()) & Counter(b.tolist())).values()) >= 4 * (len(a) + len(b)) for b in kmers] for a in kmers]
+    for counted in (near_dedup.COUNTED, 1000):
+        monkeypatch.setattr(near_dedup, "COUNTED", counted)
+        assert near_dedup._sharing(kmers, one, two, np.ones((8, 8), bool)).tolist() == want
+
+
 def test_order_matters(spark):
     first, second = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     found = near_dedup.near_duplicates(table(spark, [(1, f"{first} {second}"), (2, f"{second} {first}")])).collect()
