@@ -3,7 +3,8 @@
 A k-mer is ``K`` words in a row, labelled with its occurrence. For each of ``TABLES`` hash functions a
 text's sketch holds the ``ELL`` k-mers of least hash in the order of the text, so that two texts agree
 in a table if they share these k-mers and their order: a sketch for edit similarity. Texts that
-agree in a table are candidates; a banded alignment of their k-mers verifies them.
+agree in a table are candidates; a banded alignment of their k-mers verifies them. Of texts with few
+k-mers a sketch says little: links of up to ``SHORT`` aligned k-mers are found by these themselves.
 
 Equal texts are one node from the start. The members of a bucket are first compared with
 one leader, the member that agrees with most others. Only buckets whose members are then still in
@@ -15,6 +16,7 @@ is in one class already.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ K = 5
 #: Similarity of two texts with n and m k-mers of which s are aligned: s / (n + m - s).
 SIMILARITY = (4, 5)
 TABLES, ELL = 24, 5
+#: Links of up to so many aligned k-mers are found by the k-mers left when a text leaves some out.
+SHORT = 11
 #: k-mers of a text by which members of a bucket are compared first; of longer texts those of least hash, about as many.
 COMPARED = 256
 #: k-mers of all texts of a block that are counted at once.
@@ -97,8 +101,35 @@ def sketches(kmers: np.ndarray, first: np.ndarray, tables: int = TABLES, ell: in
     return keys
 
 
+def short_keys(kmers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, key and number left out, for each different sequence of s <= SHORT k-mers that texts get by leaving out as many as a link of s allows.
+
+    Two texts are alike by s aligned k-mers just if they have a key for s in common and leave out s / 4 k-mers together at most.
+    """
+    up, down = SIMILARITY
+    counts = np.diff(first)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    factors = arrays.seeds(SHORT + 1, 5000)
+    for s in range(-(-up // (down - up)), SHORT + 1):
+        for n in range(s, s + s * (down - up) // up + 1):
+            at = np.flatnonzero(counts == n)
+            if not len(at):
+                continue
+            own = kmers[first[at][:, None] + np.arange(n)]
+            keys = np.stack([(own[:, left] * factors[:s]).sum(1, dtype=np.uint64) for left in combinations(range(n), s)], 1)
+            keys = np.sort(arrays.mixed(keys + factors[SHORT] * np.uint64(s)), 1)
+            new = np.ones(keys.shape, bool)
+            new[:, 1:] = keys[:, 1:] != keys[:, :-1]
+            i, j = np.nonzero(new)
+            out.append((at[i], keys[i, j].view(np.int64), np.full(len(i), n - s)))
+    text, key, left = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort(text, kind="stable")
+    return text[order], key[order], left[order]
+
+
+SHORT_KEYS = T.ArrayType(T.StructType([T.StructField("short", T.LongType()), T.StructField("left", T.LongType())]))
 SKETCH = T.StructType(
-    [T.StructField("row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest_a", T.LongType()), T.StructField("digest_b", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    [T.StructField("row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest_a", T.LongType()), T.StructField("digest_b", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("shorts", SHORT_KEYS)]
 )
 
 
@@ -117,8 +148,11 @@ def _sketched(tables: int, ell: int):
                     digests.append(pa.array(arrays.mixed(total[first[1:]] - total[first[:-1]] + n_words.astype(np.uint64)).view(np.int64)))
                 used = np.where(counts > 0, tables, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(used)]), pa.int32()), pa.array(keys[counts > 0].ravel()))
+                text, key, left = short_keys(kmers, first)
+                pairs = pa.StructArray.from_arrays([pa.array(key), pa.array(left)], names=["short", "left"])
+                shorts = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(texts) + 1)), pa.int32()), pairs)
                 part = batch.slice(texts.first, len(texts))
-                columns = [part.column(0), part.column(1), pa.array(counts), *digests, lists]
+                columns = [part.column(0), part.column(1), pa.array(counts), *digests, lists, shorts]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", *SKETCH.names[1:]])
 
     return run
@@ -297,6 +331,15 @@ def _compared(group: pa.Table) -> pa.Table:
     return pa.table([pa.array([x[i] for x in links], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["u", "v", "similarity"])
 
 
+def _short_pairs(sketched: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect all texts with links of up to ``SHORT`` aligned k-mers: of each sequence of k-mers, the text that leaves out fewest with each other text."""
+    up, down = SIMILARITY
+    shorts = keep(sketched.where(F.size("shorts") > 0).select("row", "n", F.inline("shorts")))
+    hubs = keep(shorts.groupBy("short").agg(F.min(F.struct("left", "row")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("short", "hub"))
+    together = (F.col("left") + F.col("hub.left")) * up <= (F.col("n") - F.col("left")) * (down - up)
+    return shorts.join(hubs, "short").where((F.col("row") != F.col("hub.row")) & together).select(F.col("row").alias("a"), F.col("hub.row").alias("b"))
+
+
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The links among pairs of rows, by their texts."""
     one = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
@@ -318,19 +361,21 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     sketched = keep(numbered.mapInArrow(_sketched(tables, ell), schema))
     digest = ["n", "digest_a", "digest_b"]
     nodes = keep(sketched.groupBy(*digest).agg(F.min("row").alias("node")))
-    exploded = sketched.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select("row", "n", F.posexplode("keys").alias("place", "key"))
+    different = sketched.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
+    short_pairs = keep(_short_pairs(different))
+    exploded = different.select("row", "n", F.posexplode("keys").alias("place", "key"))
     entries = exploded.select("row", "n", F.xxhash64("place", "key").alias("key"))
     sizes = keep(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     met = keep(entries.join(sizes, "key"))
     members = keep(met.join(met.groupBy("row").agg(F.sum("size").alias("weight")), "row"))
     # The rows grow with the documents, so they are not broadcast where there happen to be few.
-    asked = members.select("row").distinct().hint("merge")
+    asked = members.select("row").union(short_pairs.select("a")).union(short_pairs.select("b")).distinct().hint("merge")
     texts = keep(numbered.join(asked, "row", "left_semi").select("row", F.coalesce("text", F.lit("")).alias("text")))
 
     first = F.max(F.struct("weight", (-F.col("row")).alias("least"), "n"))
     leaders = keep(members.groupBy("key").agg(first.alias("first")).select("key", (-F.col("first.least")).alias("leader"), F.col("first.n").alias("leader_n")))
     alike = "row <> leader AND least(n, leader_n) * 5 >= greatest(n, leader_n) * 4"
-    pairs = keep(members.join(leaders, "key").where(alike).select(F.col("row").alias("a"), F.col("leader").alias("b")).distinct())
+    pairs = keep(members.join(leaders, "key").where(alike).select(F.col("row").alias("a"), F.col("leader").alias("b")).unionByName(short_pairs).distinct())
     links = _verify(pairs, texts)
     # Labels for now: the least leader that a row is linked with, and what that one is linked with. Rows of one class may
     # still differ in them, which only makes more pairs to compare.

@@ -150,6 +150,30 @@ def test_common_kmers_are_counted_in_parts(monkeypatch):
         assert near_dedup._sharing(kmers, one, two, np.ones((8, 8), bool)).tolist() == want
 
 
+def test_short_texts_are_exact(spark):
+    """Texts of few k-mers, with one or two words more or fewer at the ends or inside a run, by brute force."""
+    pick, rows = random.Random(7), []
+    for n in range(4, 15):
+        for i in range(60):
+            base = [f"s{n}x{i}x{k}" for k in range(n + 4)]
+            if i % 3 == 0:
+                base[2:8] = ["run"] * len(base[2:8])
+            other = list(base)
+            for _ in range(pick.randrange(1, 3)):
+                at = pick.choice([0, len(other), 4])
+                other[at:at] = ["run" if at == 4 else f"new{n}x{i}"]
+            for w in (base, other, base[1:], base[:-1] + ["end"]):
+                rows.append((len(rows), " ".join(w)))
+    found = near_dedup.near_duplicates(table(spark, rows)).collect()
+    by_group = {}
+    for k, t in rows:
+        by_group.setdefault(k // 4, []).append((k, t))
+    want = []
+    for some in by_group.values():
+        want += partition([k for k, _ in some], classes(some))
+    assert partition([r.doc_id for r in found], [r.class_id for r in found]) == sorted(want, key=str)
+
+
 def test_order_matters(spark):
     first, second = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     found = near_dedup.near_duplicates(table(spark, [(1, f"{first} {second}"), (2, f"{second} {first}")])).collect()
