@@ -39,13 +39,12 @@ def duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_column: st
     id is kept; null ids come last, and of repeated rows with one id one is kept. Null texts count as
     empty, all empty texts are one group. An empty table gives no rows; other columns are not read.
     """
-    digests = keep(
-        docs.select(
-            F.monotonically_increasing_id().alias("row"),
-            F.col(id_column).alias("doc_id"),
-            text_digest(text_column).alias("digest"),
-        )
-    )
+    row = F.monotonically_increasing_id().alias("row")
+    return _groups(docs.select(row, F.col(id_column).alias("doc_id"), text_digest(text_column).alias("digest")), support)
+
+
+def _groups(digests: DataFrame, support: float) -> DataFrame:
+    digests = keep(digests)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     summary = [F.min(order).alias("winner"), F.count("*").alias("group_size")]
     #: At most 1 / support digests, as freqItems keeps no more counters; both broadcasts are bounded by that.
@@ -66,9 +65,11 @@ def duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_column: st
 def drop_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", support: float = SUPPORT) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Losers, fewer than the rows, are taken away by row number; ``docs`` has to give its rows in the
-    same order when read twice, as files do.
+    Losers, fewer than the rows, are taken away by row number. The numbered rows are written down, as files
+    read twice may be split in another way.
     """
     row = "row number of exact dedup"
-    gone = duplicate_groups(docs, id_column, text_column, support).where("not kept").select(F.col("row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").drop(row)
+    numbered = keep(docs.withColumn(row, F.monotonically_increasing_id()))
+    digests = numbered.select(F.col(row).alias("row"), F.col(id_column).alias("doc_id"), text_digest(text_column).alias("digest"))
+    gone = _groups(digests, support).where("not kept").select(F.col("row").alias(row))
+    return numbered.join(gone, row, "left_anti").drop(row)

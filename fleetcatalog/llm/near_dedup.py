@@ -356,7 +356,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     different ones. A text of fewer than ``K`` words is a k-mer of its own, so only equal ones join;
     all texts without words are one class. An empty table gives no rows; other columns are not read.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    row = F.monotonically_increasing_id().alias("row")
+    return _classes(keep(docs.select(row, F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))), tables, ell)
+
+
+def _classes(numbered: DataFrame, tables: int = TABLES, ell: int = ELL) -> DataFrame:
+    """The classes of row, doc_id, text, which are read twice and so have to be written down."""
     schema = T.StructType([SKETCH["row"], numbered.schema["doc_id"], *SKETCH.fields[1:]])
     sketched = keep(numbered.mapInArrow(_sketched(tables, ell), schema))
     digest = ["n", "digest_a", "digest_b"]
@@ -404,7 +409,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one of each class, with all their columns; ``docs`` has to give its rows in the same order when read twice, as files do."""
+    """The rows of ``docs`` that stay, one of each class, with all their columns."""
     row = "row number of near dedup"
-    gone = near_duplicates(docs, id_column, text_column).where("not kept").select(F.col("row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").drop(row)
+    numbered = keep(docs.withColumn(row, F.monotonically_increasing_id()))
+    picked = numbered.select(F.col(row).alias("row"), F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    gone = _classes(picked).where("not kept").select(F.col("row").alias(row))
+    return numbered.join(gone, row, "left_anti").drop(row)

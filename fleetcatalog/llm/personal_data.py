@@ -142,12 +142,18 @@ def fit_classifier(rows: Sequence[tuple[Sequence[int], float, float]], rounds: i
 def spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (row, doc_id) of ``docs``, and their spans: row, kind (number in KINDS), start, end in characters, probability (1 for exact ones)."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    return _spans(rows)
+
+
+def _spans(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of row, doc_id, text; they are read once, and written down with their matches."""
     at_sign, digit = F.contains("text", F.lit("@")), F.col("text").rlike("[0-9]")
     matches = [
         _matches(0, EMAIL, at_sign), _matches(1, IP, digit & F.col("text").rlike(r"[0-9]\.[0-9]")), _matches(2, CARD, digit),
         _matches(3, PHONE, F.contains("text", F.lit("+"))), _matches(4, TOKEN, digit | at_sign),
     ]
-    found = rows.where(digit | at_sign).select("row", F.explode(F.array_compact(F.array(*matches))).alias("some")).select("row", F.inline("some"))
+    rows = keep(rows.select("row", "doc_id", F.when(digit | at_sign, F.array_compact(F.array(*matches))).alias("matches")))
+    found = rows.select("row", F.explode("matches").alias("some")).select("row", F.inline("some"))
     before_it = Window.partitionBy("row", "kind").orderBy("place")
     placed = found.withColumn("end", F.sum(F.col("gap") + F.length("hit")).over(before_it)).withColumn("start", F.col("end") - F.length("hit"))
     right = F.when(F.col("kind") == 1, _valid("ip", F.col("hit"))).when(F.col("kind") == 2, _valid("card", F.col("hit"))).when(F.col("kind") == 3, _valid("phone", F.col("hit")))
@@ -201,8 +207,8 @@ def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 def redact(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` with the text's spans replaced by their kind in brackets; of spans that overlap the first is taken, and the next from where it ended."""
     row = "row number of redaction"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    _, found = spans(docs, id_column, text_column)
+    numbered = keep(docs.withColumn(row, F.monotonically_increasing_id()))
+    _, found = _spans(numbered.select(F.col(row).alias("row"), F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")))
     listed = found.groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("spans found"))
     names = F.array(*map(F.lit, KINDS))
     text = F.coalesce(F.col(text_column), F.lit(""))

@@ -128,7 +128,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "p
     threshold; an empty host and path score 0, and so do all if rules accept or reject no URL. Null URLs
     are such empty ones, repeated rows are judged each for itself, other columns are not read.
     """
-    numbered = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("page_id"), F.col(url_column).alias("url"))
+    numbered = keep(pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("page_id"), F.col(url_column).alias("url")))
     urls = numbered.withColumns({"host": host_of(), "path": path_of()})
     urls = urls.withColumns({"rule": decided(rules, lambda r: r.host + r.path), "ruled": decided(rules, lambda r: r.verdict), "model_text": model_text(), "learned": _learned("url")})
     count = lambda k: F.count_if((F.col("ruled") == k) & F.col("learned")).alias(k)

@@ -1,0 +1,36 @@
+"""Files that are split in another way after the first table was written, as when an executor is lost or joins."""
+
+import pytest
+from conftest_llm import table
+
+from fleetcatalog.llm import exact_dedup, near_dedup, personal_data, url_filter
+
+ROWS = [(i, f"text number {i // 2} of one two three call +1 415 555 26{i % 90 + 10} or mail a{i}@example.com") for i in range(60)]
+URLS = [(i, f"https://{'www.example.net/en' if i % 3 else 'www.example.org/fr' if i % 2 else 'shop.test/x'}/page{i}") for i in range(60)]
+JOBS = {
+    "exact": (exact_dedup, exact_dedup.drop_duplicates, [(i, f"text {i // 2}") for i in range(60)]),
+    "near": (near_dedup, near_dedup.drop_near_duplicates, [(i, " ".join(f"w{i // 2}x{k}" for k in range(40)) + " end" * (i % 2)) for i in range(60)]),
+    "find": (personal_data, personal_data.find, ROWS),
+    "redact": (personal_data, personal_data.redact, ROWS),
+    "judge": (url_filter, lambda pages: url_filter.judge(pages, id_column="doc_id", url_column="text"), URLS),
+}
+
+
+@pytest.mark.parametrize("name", JOBS)
+def test_rows_are_numbered_once(spark, tmp_path, monkeypatch, name):
+    module, job, rows = JOBS[name]
+    path = str(tmp_path / "docs")
+    table(spark, rows).select("doc_id", "text").repartition(12, "doc_id").write.parquet(path)
+    want = sorted(map(str, job(spark.read.parquet(path)).collect()))
+    keep, split = module.keep, "spark.sql.files.maxPartitionBytes"
+
+    def kept(df):
+        out = keep(df)
+        spark.conf.set(split, "1k")
+        return out
+
+    monkeypatch.setattr(module, "keep", kept)
+    try:
+        assert sorted(map(str, job(spark.read.parquet(path)).collect())) == want
+    finally:
+        spark.conf.unset(split)
