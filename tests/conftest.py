@@ -15,8 +15,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def rows(df, *order):
-    """All rows as tuples, sorted."""
-    return sorted((tuple(r) for r in df.collect()), key=lambda r: [str(v) for v in r])

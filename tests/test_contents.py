@@ -1,6 +1,6 @@
 import hashlib
 
-from conftest import rows
+from fixtures import rows
 
 from fleetcatalog.operators.contents import content_catalog, load_contents, new_contents
 

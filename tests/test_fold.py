@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import rows
+from fixtures import rows
 
 from fleetcatalog.operators.fold import RUN_FIELDS, fold_records, fold_settings, pair_errors
 

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from fixtures import rows
 from pyspark.sql import functions as F
 
 from fleetcatalog import functions as fn

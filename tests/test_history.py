@@ -1,7 +1,7 @@
 import datetime as dt
 import random
 
-from conftest import rows
+from fixtures import rows
 from pyspark.sql import functions as F
 
 from fleetcatalog.operators.history import compat_history, event_tail, event_time, status_rollup

@@ -1,7 +1,7 @@
 import random
 import re
 
-from conftest import rows
+from fixtures import rows
 from pyspark.sql import functions as F
 
 from fleetcatalog.operators.matching import _match_key, name_resolve, port_match, route_match, route_matches

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import rows
+from fixtures import rows
 
 from fleetcatalog.operators.manifest import settings_manifest
 from fleetcatalog.operators.overlay import overlay_delta, resolve_settings, scope_chain

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from fixtures import rows
 
 from fleetcatalog.operators.manifest import version_defaults
 from fleetcatalog.operators.overrides import (

@@ -1,7 +1,6 @@
 import json
 
-from conftest import rows
-from fixtures import BASIC, BUNDLE, ENDPOINT, MIB, bundle
+from fixtures import BASIC, BUNDLE, ENDPOINT, MIB, bundle, rows
 
 from fleetcatalog.operators.manifest import manifest_digests
 from fleetcatalog.plans.distribution import apply_settings, distribute, write_manifests

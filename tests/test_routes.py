@@ -1,6 +1,5 @@
 import pytest
-from conftest import rows
-from fixtures import BASIC, ENDPOINT
+from fixtures import BASIC, ENDPOINT, rows
 
 from fleetcatalog.operators.routes import acl_listing, route_rules
 

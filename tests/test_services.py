@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import rows
+from fixtures import rows
 from pyspark.sql import functions as F
 
 from fleetcatalog.operators.overrides import manual_or_derived

@@ -1,6 +1,5 @@
 import pytest
-from conftest import rows
-from fixtures import BASIC, BUNDLE, ENDPOINT, MIB, bundle
+from fixtures import BASIC, BUNDLE, ENDPOINT, MIB, bundle, rows
 
 from fleetcatalog.operators.validation import InvalidBundles, require_valid, valid_bundles, violations
 
