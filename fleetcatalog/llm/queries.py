@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_model, licences, near_dedup, packing, personal_data, quality, toxicity, url_filter
+from . import decontaminate, exact_dedup, importance, language_model, licences, near_dedup, packing, personal_data, quality, toxicity, url_filter, vector_codes
 from .store import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,11 +76,22 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(read(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = importance.importance(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = vector_codes.compress(read(spark, folder, "embeddings"))
+    digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality, op2_exact_dedup, op3_packing, op4_language_model, op5_personal_data, op6_licences, op7_decontamination, op8_near_dedup,
-        op9_toxicity, op10_url_filter,
+        op9_toxicity, op10_url_filter, op11_importance_resampling, op12_vector_codes,
     )
 }
 
@@ -207,4 +219,78 @@ FROM urls u LEFT JOIN scores s ON s.row = u.row CROSS JOIN least CROSS JOIN able
 """
 
 
-ORACLE: dict[str, str] = {"op2_exact_dedup": EXACT, "op6_licences": LICENCES, "op7_decontamination": CONTAMINATION, "op10_url_filter": _url_sql()}
+#: The CRC-32 table by its rule, and the checksum of a text byte by byte.
+CRC_TABLE = f"list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: xor(c >> 1, {importance.POLYNOMIAL} * (c & 1))))"
+CRC_STEP = "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])"
+
+
+def _bytes(text: str) -> str:
+    digits = f"hex(encode({text}))"
+    return f"list_transform(range(strlen({text})), lambda i: CAST(('0x' || substr({digits}, 2 * i + 1, 2)) AS BIGINT))"
+
+
+def _runs(table: str) -> str:
+    return f"SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS run FROM {table}"
+
+
+def _importance_sql() -> str:
+    n, draw = importance.BUCKETS, f"n_words >= {importance.LEAST_WORDS}"
+    return f"""
+WITH crc AS MATERIALIZED (SELECT {CRC_TABLE} AS t),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, {WORDS} AS w FROM documents),
+items AS (SELECT row_number() OVER () AS id, {WORDS} AS w FROM benchmark),
+doc_runs AS MATERIALIZED (SELECT id, run, count(*) AS n FROM ({_runs("docs")}) GROUP BY ALL),
+item_runs AS (SELECT run, count(*) AS n FROM ({_runs("items")}) GROUP BY ALL),
+buckets AS MATERIALIZED (
+  SELECT run, xor(list_reduce(list_prepend(4294967295, {_bytes("run")}), {CRC_STEP}), 4294967295) % {n} AS bucket
+  FROM (SELECT run FROM doc_runs UNION SELECT run FROM item_runs), crc),
+corpus AS (SELECT bucket, sum(n) AS s FROM doc_runs JOIN buckets USING (run) GROUP BY ALL),
+target AS (SELECT bucket, sum(n) AS t FROM item_runs JOIN buckets USING (run) GROUP BY ALL),
+sizes AS (SELECT coalesce((SELECT sum(s) FROM corpus), 0) AS s_all, coalesce((SELECT sum(t) FROM target), 0) AS t_all),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (s_all + {n}) AS DOUBLE) / CAST((s + 1) * (t_all + {n}) AS DOUBLE))) AS BIGINT) AS gain
+  FROM corpus LEFT JOIN target USING (bucket), sizes),
+weights AS (
+  SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / sum(n)) AS BIGINT) AS weight
+  FROM doc_runs JOIN buckets USING (run) JOIN gains USING (bucket) GROUP BY id),
+scored AS (
+  SELECT id, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(('0x' || substr(sha256('{importance.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM docs LEFT JOIN weights USING (id)),
+ranked AS (
+  SELECT id, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, n_features, weight) AS rank, {importance.PERCENT} * count(*) OVER () // 100 AS drawn
+  FROM scored WHERE {draw})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END AS rank FROM scored LEFT JOIN ranked USING (id)
+"""
+
+
+def _codes_sql() -> str:
+    parts, entries, square = vector_codes.PARTS, vector_codes.ENTRIES, "list_sum(list_transform(list_zip(v, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    assigned = f"""
+  SELECT id, part, v, arg_min(entry, CAST({square} AS BIGINT) * {entries} + entry) AS entry, min(CAST({square} AS BIGINT)) AS squared
+  FROM parts JOIN (SELECT part, entry, list(x ORDER BY position) AS e FROM {{book}} GROUP BY part, entry) USING (part) GROUP BY id, part, v"""
+    rounds = "".join(
+        f"""
+near{k} AS MATERIALIZED ({assigned.format(book=f"book{k}")}),
+book{k + 1} AS MATERIALIZED (
+  SELECT part, entry, position, coalesce(mean, x) AS x FROM book{k} LEFT JOIN (
+    SELECT part, entry, position, CAST(floor(CAST(sum(v[position]) AS DOUBLE) / count(*)) AS BIGINT) AS mean
+    FROM (SELECT part, entry, v, unnest(range(1, len(v) + 1)) AS position FROM near{k}) GROUP BY ALL) USING (part, entry, position)),"""
+        for k in range(vector_codes.ROUNDS)
+    )
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS id, vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {vector_codes.SCALE}) AS BIGINT)) AS whole
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+parts AS MATERIALIZED (SELECT id, part, whole[part * len(whole) // {parts} + 1:(part + 1) * len(whole) // {parts}] AS v FROM kept, range({parts}) AS p(part)),
+book0 AS MATERIALIZED (SELECT part, id - 1 AS entry, position, v[position] AS x FROM (SELECT id, part, v, unnest(range(1, len(v) + 1)) AS position FROM parts WHERE id <= {entries})),{rounds}
+last AS MATERIALIZED ({assigned.format(book=f"book{vector_codes.ROUNDS}")}),
+codes AS (SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(squared) AS BIGINT) AS error FROM last GROUP BY id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, position)) FROM book{vector_codes.ROUNDS}) AS codebooks_sha256
+FROM kept JOIN codes USING (id)
+"""
+
+
+ORACLE: dict[str, str] = {"op2_exact_dedup": EXACT, "op6_licences": LICENCES, "op7_decontamination": CONTAMINATION, "op10_url_filter": _url_sql(),
+                          "op11_importance_resampling": _importance_sql(), "op12_vector_codes": _codes_sql()}
