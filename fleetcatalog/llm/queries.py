@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, importance, language_model, licences, near_dedup, packing, personal_data, quality, toxicity, url_filter, vector_codes
+from . import decontaminate, exact_dedup, html_text, importance, language_model, licences, near_dedup, packing, personal_data, quality, toxicity, url_filter, vector_codes
 from .store import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,11 +87,15 @@ def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
 
 
+def op13_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(read(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality, op2_exact_dedup, op3_packing, op4_language_model, op5_personal_data, op6_licences, op7_decontamination, op8_near_dedup,
-        op9_toxicity, op10_url_filter, op11_importance_resampling, op12_vector_codes,
+        op9_toxicity, op10_url_filter, op11_importance_resampling, op12_vector_codes, op13_html_text,
     )
 }
 

@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("documents", "labels", "benchmark", "pages")
+TABLES = ("documents", "labels", "benchmark", "pages", "embeddings")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 EXTRA = ("row", "kept", "score", "class", "n", "key", "spans", "n_words", "digest", "label", "rule", "place")
 
@@ -29,3 +29,13 @@ ODD = [
     (1, "one two three four five six seven"), (2, "one two three four five six seven"), (2, "one two three four five six seven"), (3, None), (4, ""), (None, " \t"),
     (None, "one two three four five six seven"), (5, "word " * 60_000), (6, "é" * 50_000), (7, "x"),
 ]
+
+
+def as_in_sql(spark, name, folder=DATA):
+    """Holds a registered query against its SQL."""
+    from fleetcatalog.llm import queries
+
+    rows = queries.QUERIES[name](spark, folder)
+    names = sorted(rows.columns)
+    want = duck(folder).execute(f"SELECT {', '.join(names)} FROM ({queries.ORACLE[name]})").fetchall()
+    assert sorted((tuple(r) for r in rows.select(*names).collect()), key=str) == sorted(want, key=str)
