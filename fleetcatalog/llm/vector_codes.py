@@ -96,7 +96,7 @@ def batch_parts(vectors: pa.Array, length: int, parts: int = PARTS, scale: int =
     small = (np.abs(value) < LARGEST).all(1)
     out = np.zeros((int(small.sum()), parts * -(-length // parts)), np.int64)
     out[:, :length] = value[small]
-    return out.reshape(len(out), parts, -1), usual[small], size >= 0
+    return out.reshape(len(out), parts, out.shape[1] // parts), usual[small], size >= 0
 
 
 def _floored(x, scale: int):
