@@ -12,13 +12,14 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrays
+from .store import keep
 
 SIZES = (512, 1024, 2048, 4096)
 #: What a bin costs beside its tokens.
@@ -80,31 +81,27 @@ def pack(lengths: DataFrame, sizes: Sequence[int] = SIZES, overhead: int = OVERH
 
     ``lengths`` has row, doc_id and n_tokens. A document longer than the largest size is cut into pieces
     of that size and a rest; ``start`` is a piece's first token in its document. Lengths of null or less
-    than 1 give no piece. Repeated rows are packed each for itself. An empty table gives no rows.
+    than 1 give no piece. Ids keep their type and value, null or not. Repeated rows are packed each for itself.
+    An empty table gives no rows.
     """
     largest = max(sizes)
+    lengths = keep(lengths.select("row", "doc_id", "n_tokens"))
     shards = max(1, -(-lengths.count() // shard_rows))
-    kind = lengths.schema["doc_id"].dataType
-    schema = T.StructType(
-        [T.StructField("doc_id", kind)] + [T.StructField(n, T.LongType()) for n in ("piece", "start", "length", "bin_id", "bin_size", "bin_offset")]
-    )
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows.n_tokens > 0].sort_values("row", kind="stable")
-        tokens = rows.n_tokens.to_numpy(np.int64)
+    names = ("piece", "start", "length", "bin_id", "bin_size", "bin_offset")
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.filter(pc.greater(rows["n_tokens"], 0)).sort_by("row")
+        tokens = rows["n_tokens"].to_numpy().astype(np.int64)
         pieces = -(-tokens // largest)
         owner = np.repeat(np.arange(len(tokens)), pieces)
         piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         length = np.minimum(tokens[owner] - piece * largest, largest)
         order = np.lexsort((piece, owner, -length))
-        bins, offsets, final = best_fit(length[order].tolist(), sizes, overhead)
-        bins = np.asarray(bins, np.int64)
-        return pd.DataFrame(
-            {
-                "doc_id": rows.doc_id.to_numpy()[owner[order]] if len(rows) else [], "piece": piece[order], "start": piece[order] * largest, "length": length[order],
-                "bin_id": (int(key[0]) << 32) + bins, "bin_size": np.asarray(final, np.int64)[bins] if len(bins) else bins, "bin_offset": np.asarray(offsets, np.int64),
-            }
-        )
+        bins, offsets, final = (np.asarray(x, np.int64) for x in best_fit(length[order].tolist(), sizes, overhead))
+        bin_id, bin_size = (key[0].as_py() << 32) + bins, final[bins] if len(bins) else bins
+        columns = piece[order], piece[order] * largest, length[order], bin_id, bin_size, offsets
+        return pa.table([rows["doc_id"].take(pa.array(owner[order])), *map(pa.array, columns)], ["doc_id", *names])
 
     shard = F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard")
-    return lengths.select("row", "doc_id", "n_tokens", shard).groupBy("shard").applyInPandas(run, schema)
+    schema = T.StructType([lengths.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in names]])
+    return lengths.select("*", shard).groupBy("shard").applyInArrow(run, schema)

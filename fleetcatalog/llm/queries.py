@@ -149,7 +149,8 @@ def _tight(text: str) -> str:
 
 
 def _whole(lines: str) -> str:
-    return _tight(f"array_to_string(list_filter({lines}, lambda x: NOT starts_with(ltrim(x, ' '), 'copyright')), ' ')")
+    named = f"starts_with(ltrim(x, ' '), 'copyright') AND NOT regexp_matches({_tight('x')}, '{licences.SPOKEN_OF}')"
+    return _tight(f"array_to_string(list_filter({lines}, lambda x: NOT ({named})), ' ')")
 
 
 def _known() -> str:

@@ -16,6 +16,16 @@ def test_copies_that_differ_in_form(spark):
     assert [r[0] for r in scanned(spark, texts)] == ["MIT"] * 4 + [None] * 3
 
 
+def test_whole_licences_in_other_dress(spark):
+    """Comment marks, line numbers' punctuation, wrapping and owners differ; a changed word is another text."""
+    whole = [(n, t) for n, t in licences.KNOWN if len(t) > 500]
+    wrapped = [(n, "/*\n * Copyright (c) 2020, The Owner\n" + "\n".join(f" * {' '.join(w[i : i + 9])}" for w in [t.split()] for i in range(0, len(w), 9)) + "\n */") for n, t in whole]
+    changed = [(None, t.replace("software", "hardware").replace("SOFTWARE", "HARDWARE").replace("License", "Licenses")) for _, t in whole]
+    assert {n for n, _ in whole} >= {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Unlicense", "Apache-2.0"}
+    for some in (whole, wrapped, changed):
+        assert [r[0] for r in scanned(spark, [t for _, t in some])] == [n for n, _ in some]
+
+
 def test_lines(spark):
     texts = ["a\nReleased under the MIT licence\nb\nAll rights reserved!\nall RIGHTS reserved", "x Released under the MIT License.", "Licensed under CC-BY-NC 4.0"]
     assert scanned(spark, texts) == [(None, 3, "MIT,proprietary"), (None, 0, ""), ("CC-BY-NC-4.0", 1, "CC-BY-NC-4.0")]

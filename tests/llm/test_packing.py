@@ -87,3 +87,12 @@ def test_odd_rows(spark):
     assert tokens == {1: 8, 2: 16, 3: 1, 4: 1, None: 9, 5: 60_001, 6: 2, 7: 2}
     assert packing.pack(packing.token_counts(table(spark, []))).count() == 0
     assert packing.pack(spark.createDataFrame([(1, 1, None), (2, 2, 0)], "row long, doc_id long, n_tokens long")).count() == 0
+
+
+def test_ids_keep_their_value_beside_null(spark):
+    """A float has no room for these."""
+    large = [9007199254740993, 9007199254740995, None, -9223372036854775808]
+    out = packing.pack(packing.token_counts(table(spark, [(i, "a b c") for i in large])))
+    assert sorted((r.doc_id for r in out.collect()), key=str) == sorted(large, key=str)
+    out = packing.pack(packing.token_counts(table(spark, [("x", "a b"), (None, "a"), ("y", "a " * 5000)], "doc_id string, text string")))
+    assert sorted(((r.doc_id, r.length) for r in out.collect()), key=str) == [("x", 3), ("y", 4096), ("y", 905), (None, 2)]

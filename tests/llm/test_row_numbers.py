@@ -3,7 +3,7 @@
 import pytest
 from conftest_llm import table
 
-from fleetcatalog.llm import exact_dedup, near_dedup, personal_data, url_filter
+from fleetcatalog.llm import exact_dedup, importance, licences, near_dedup, personal_data, url_filter
 
 ROWS = [(i, f"text number {i // 2} of one two three call +1 415 555 26{i % 90 + 10} or mail a{i}@example.com") for i in range(60)]
 URLS = [(i, f"https://{'www.example.net/en' if i % 3 else 'www.example.org/fr' if i % 2 else 'shop.test/x'}/page{i}") for i in range(60)]
@@ -12,6 +12,8 @@ JOBS = {
     "near": (near_dedup, near_dedup.drop_near_duplicates, [(i, " ".join(f"w{i // 2}x{k}" for k in range(40)) + " end" * (i % 2)) for i in range(60)]),
     "find": (personal_data, personal_data.find, ROWS),
     "redact": (personal_data, personal_data.redact, ROWS),
+    "scan": (licences, licences.scan, [(i, f"text {i}\nAll rights reserved" + "\nReleased under the MIT License." * (i % 3)) for i in range(60)]),
+    "resample": (importance, lambda docs: importance.resample(docs, docs.where("doc_id % 5 = 0"), least_words=1), [(i, f"w{i % 5} common w{i % 5}") for i in range(60)]),
     "judge": (url_filter, lambda pages: url_filter.judge(pages, id_column="doc_id", url_column="text"), URLS),
 }
 
