@@ -2,6 +2,9 @@
 
 A prefix test as a join condition has no key to shuffle by. Instead the longer text is turned
 into its own prefixes, of the lengths that occur on the other side, and joined by equality.
+
+A regex without a plain beginning has no such prefix. It is looked up by a text of three characters
+that any match must contain: of all that it has, the one that is in the fewest paths.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spread import prefixed, same
+from .spread import durable, prefixed, same
 
 
 def _prefixes(text: Column, lengths: Column) -> Column:
@@ -29,12 +32,51 @@ def _anchored(pattern: Column) -> Column:
 # Groups nested deeper than this are not looked into.
 GROUP_DEPTH = 4
 
-# Keys so short that very many paths begin with them are dealt over so many buckets of paths.
-SHORT, BUCKETS = 1, 256
+# Keys so short that very many paths begin with them are dealt over buckets of paths.
+SHORT = 1
+
+# Characters of a text that a regex is looked up by.
+GRAM = 3
+
+# What stands in a regex for more or less than itself, in the order in which it is taken out.
+ESCAPES = r"(?s)\\(?:x\{[^}]*\}|x..|u....|[pPN]\{[^}]*\}|[pP].|k<[^>]*>|c.|0[0-7]{1,3}|[1-9][0-9]*|.)"
+CLASSES = r"\[[^\[\]]*\]"
+GROUPS = r"\([^()]*\)"
+OPTIONAL = r"(?s).(?:[*?]|\{[^}]*\})[+?]?"
+REPEATED = r"(?s)(.)\+[+?]?"
+ANY = r"[\^$.]"
+
+
+def _grams(text: Column) -> Column:
+    """All runs of ``GRAM`` characters of a text, each once."""
+    starts = F.when(F.length(text) >= GRAM, F.sequence(F.lit(1), F.length(text) - (GRAM - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(GRAM))))
+
+
+def required_grams(pattern: Column) -> Column:
+    """For each alternative of a regex the grams that all its matches contain; null if one has none, or it can't be told.
+
+    All that is no plain text is taken out and cuts what is around it: escapes, classes, groups,
+    what a quantifier makes optional, anchors and dots. A character that is there once or more is
+    kept and ends its run. Groups with flags, quotes, and groups nested deeper than ``GROUP_DEPTH``
+    can't be told.
+    """
+    left = F.regexp_replace(F.regexp_replace(pattern, ESCAPES, "\n"), CLASSES, "\n")
+    for _ in range(GROUP_DEPTH):
+        left = F.regexp_replace(left, GROUPS, "\n")
+    unclear = left.rlike(r"[()\[\]]") | pattern.rlike(r"\(\?[a-zA-Z-]") | F.contains(pattern, F.lit(r"\Q"))
+    left = F.regexp_replace(F.regexp_replace(left, OPTIONAL, "\n"), REPEATED, "$1\n")
+    runs = F.transform(F.split(F.regexp_replace(left, ANY, "\n"), r"\|"), lambda alternative: F.split(alternative, "\n"))
+    grams = F.transform(runs, lambda run: F.array_distinct(F.flatten(F.transform(run, lambda text: _grams(text)))))
+    return F.when(~unclear & F.forall(grams, lambda g: F.size(g) > 0), grams)
+
+
+def _buckets(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _bucket(key: Column, path: Column) -> Column:
-    return F.when(F.length(key) <= SHORT, F.pmod(F.xxhash64(path), F.lit(BUCKETS))).otherwise(F.lit(0).cast("long"))
+def _bucket(key: Column, path: Column, buckets: int) -> Column:
+    return F.when(F.length(key) <= SHORT, F.pmod(F.xxhash64(path), F.lit(buckets))).otherwise(F.lit(0).cast("long"))
 
 
 def _match_key(kind: Column, value: Column) -> Column:
@@ -53,9 +95,36 @@ def _match_key(kind: Column, value: Column) -> Column:
     return F.when(kind == "path-regex", plain).otherwise(value)
 
 
+PAIR = ("path", "method", "rule_id", "position", "kind", "value", "rewrite")
+
+
+def regex_candidates(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """Distinct ``(path, method)`` with the rules one of whose chosen grams is in the path, once for each rule.
+
+    ``rules`` has ``value`` and ``grams`` (see ``required_grams``). For each alternative the gram is
+    chosen that is in the fewest paths, so a frequent one costs tests only where a rule has no other.
+    Paths are read twice, to count the grams that rules ask for and to look the chosen ones up; a path
+    that has the grams of several alternatives is taken at the first.
+    """
+    numbered = durable(rules.withColumn("_rule", F.monotonically_increasing_id()))
+    asked = numbered.select("_rule", F.posexplode("grams").alias("_alternative", "_grams")).select("_rule", "_alternative", F.explode("_grams").alias("_gram"))
+    held = paths.select("path", "method", F.explode(_grams(F.col("path"))).alias("_gram"))
+    counts = held.join(asked.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    counted = asked.join(counts, "_gram", "left").withColumn("_n", F.coalesce("_n", F.lit(0).cast("long")))
+    rarest = counted.groupBy("_rule", "_alternative").agg(F.min(F.struct("_n", "_gram")).alias("_least"))
+    # A gram that no path has rules its alternative out.
+    listed = rarest.filter("_least._n > 0").groupBy("_rule").agg(F.array_sort(F.collect_list(F.struct("_alternative", "_least._gram"))).alias("_chosen"))
+    each = listed.select("_rule", F.transform("_chosen", lambda c: c["_gram"]).alias("_all")).select("_rule", "_all", F.posexplode("_all").alias("_at", "_gram"))
+    keyed = numbered.drop("grams").join(each.select("_rule", "_gram", F.slice("_all", F.lit(1), F.col("_at")).alias("_earlier")), "_rule")
+    found = held.join(durable(keyed), "_gram")
+    first = ~F.exists("_earlier", lambda g: F.contains(F.col("path"), g))
+    return found.filter(first).drop("_gram", "_earlier", "_rule")
+
+
 def _pairs(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct ``(path, method)`` joined with the rules that match it."""
-    keyed = rules.filter(F.col("kind").isin("path", "path-beg", "path-regex")).select(
+    key = _match_key(F.col("kind"), F.col("value"))
+    rules = rules.filter(F.col("kind").isin("path", "path-beg", "path-regex")).select(
         "rule_id",
         "position",
         "kind",
@@ -63,10 +132,14 @@ def _pairs(paths: DataFrame, rules: DataFrame) -> DataFrame:
         F.col("method").alias("rule_method"),
         "rewrite",
         (F.col("kind") == "path").alias("whole"),
-        _match_key(F.col("kind"), F.col("value")).alias("key"),
+        key.alias("key"),
+        F.when((F.col("kind") == "path-regex") & (F.length(key) <= SHORT), required_grams(F.col("value"))).alias("grams"),
     )
+    rules = durable(rules)
+    keyed, by_gram = rules.filter(F.col("grams").isNull()).drop("grams"), rules.filter(F.col("grams").isNotNull()).drop("key", "whole")
     # The few rules with short keys stand in every bucket, each path in the one of its hash.
-    spread = F.when(~F.col("whole") & (F.length("key") <= SHORT), F.sequence(F.lit(0), F.lit(BUCKETS - 1))).otherwise(F.array(F.lit(0)))
+    buckets = _buckets(paths)
+    spread = F.when(~F.col("whole") & (F.length("key") <= SHORT), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))
     # Plain paths are looked up as a whole, so their many lengths add no prefixes.
     lengths = _lengths(keyed.filter(~F.col("whole")), "key")
 
@@ -83,13 +156,16 @@ def _pairs(paths: DataFrame, rules: DataFrame) -> DataFrame:
             )
         ),
     )
-    # Equal keys are a match, but for a regex only its plain beginning has been compared. One
-    # that has none is tested against every distinct path; nothing else would be exact.
+    # Equal keys and grams are a match but for a regex, of which only a part has been compared. One
+    # that has neither is tested against every distinct path; nothing else would be exact.
     fits = (F.col("kind") != "path-regex") | F.rlike("path", _anchored(F.col("value")))
     allowed = F.col("rule_method").isNull() | (F.col("rule_method") == F.col("method"))
-    heads = heads.withColumn("bucket", F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(_bucket(F.col("key"), F.col("path"))))
+    heads = heads.withColumn("bucket", F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(_bucket(F.col("key"), F.col("path"), buckets)))
     keyed = keyed.withColumn("bucket", F.explode(spread.cast("array<bigint>")))
-    return heads.join(keyed, ["whole", "key", "bucket"]).filter(fits & allowed)
+    found = heads.join(keyed, ["whole", "key", "bucket"]).filter(fits & allowed).select(*PAIR)
+    if by_gram.isEmpty():
+        return found
+    return found.unionByName(regex_candidates(paths, by_gram).filter(fits & allowed).select(*PAIR))
 
 
 def _matched(kind: Column, value: Column, path: Column) -> Column:

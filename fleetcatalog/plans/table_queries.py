@@ -631,6 +631,29 @@ def route_matches(spark: SparkSession, folder: str) -> DataFrame:
     return matching.route_matches(_requests(spark, folder), _page_rules(spark, folder))
 
 
+def regex_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as requests, with segment, name and nation in the path, and parts as regexes without a plain beginning.
+
+    A part's key is looked for at the end of a name, its size as nation, its type in a segment or beside its
+    brand. Some kinds of regex have nothing that a match must contain.
+    """
+    customer, part = _read(spark, folder, "customer"), _read(spark, folder, "part")
+    key, size, kind = _text("p_partkey"), _text("p_size"), F.left("p_type", F.lit(3))
+    forms = F.array(
+        F.concat(F.lit(r"(/[a-z]+)+/[A-Z]+/.*[#-]0*"), key, F.lit("/[0-9]+$")),
+        F.concat(F.lit(".*0/"), size, F.lit("/?$")),
+        F.concat(F.lit(".*/[A-Z]*"), kind, F.lit("|.*"), kind, F.lit("[A-Z]+/|/(st|b)ore/"), F.lower("p_brand")),
+        F.concat(F.lit(r"/\w+/[A-Z]*[A-M]{2}/.*"), size, F.lit("$")),
+    )
+    rules = part.select(F.explode(forms).alias("value")).distinct().select(
+        F.col("value").alias("rule_id"), F.lit(1).alias("position"), F.lit("path-regex").alias("kind"), "value",
+        F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("rewrite"),
+    )
+    path = F.concat_ws("/", F.lit(""), F.lit("store"), "c_mktsegment", "c_name", "c_nationkey")
+    requests = customer.select(F.col("c_custkey").alias("request_id"), path.alias("path"), F.lit("GET").alias("method"))
+    return matching.route_matches(requests, rules)
+
+
 def port_match(spark: SparkSession, folder: str) -> DataFrame:
     """Events as requests for the port of their type and value, to the TCP and UDP rules of customers."""
     rules = routes.route_rules(_customer_endpoints(spark, folder)).select(
@@ -788,6 +811,7 @@ QUERIES: dict[str, Query] = {
         resource_normalize,
         route_match,
         route_matches,
+        regex_matches,
         port_match,
         name_resolve,
         placement_candidates,

@@ -384,6 +384,14 @@ SELECT q.request_id, q.path, q.method, b.rule_id, coalesce(b.matches, 0) AS matc
             ELSE b.rewrite || substr(q.path, length(b.value) + 1) END AS target
 FROM requests q LEFT JOIN best b USING (request_id)""",
     "route_matches": f"WITH {PAGE_RULES} SELECT DISTINCT path, method, rule_id FROM hits",
+    "regex_matches": r"""
+WITH rules AS (
+  SELECT DISTINCT unnest([
+    '(/[a-z]+)+/[A-Z]+/.*[#-]0*' || p_partkey || '/[0-9]+$', '.*0/' || p_size || '/?$',
+    '.*/[A-Z]*' || left(p_type, 3) || '|.*' || left(p_type, 3) || '[A-Z]+/|/(st|b)ore/' || lower(p_brand),
+    '/\w+/[A-Z]*[A-M]{2}/.*' || p_size || '$']) AS rule_id FROM part),
+requests AS (SELECT DISTINCT concat_ws('/', '', 'store', c_mktsegment, c_name, c_nationkey) AS path, 'GET' AS method FROM customer)
+SELECT path, method, rule_id FROM requests JOIN rules ON regexp_matches(path, '^(?:' || rule_id || ')')""",
     "port_match": f"""
 WITH {CUSTOMER_RULES},
 requests AS (

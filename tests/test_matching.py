@@ -1,10 +1,11 @@
 import random
 import re
 
+import pytest
 from fixtures import rows
 from pyspark.sql import functions as F
 
-from fleetcatalog.operators.matching import _match_key, name_resolve, port_match, route_match, route_matches
+from fleetcatalog.operators.matching import _match_key, name_resolve, port_match, regex_candidates, required_grams, route_match, route_matches
 
 RULES = [
     ("exact", 2, "path", "/a/b", None, "/z"),
@@ -114,3 +115,52 @@ def test_name_resolve(spark):
         "t:": ("missing", None, 0),
         "": ("ambiguous", None, 4),
     }
+
+
+GRAMS = {
+    ".*end$": [["end"]], "x.*/users/[0-9]+": [["/us", "use", "ser", "ers", "rs/"]], ".*abc|.*xyz?z": [["abc"], None], ".*abc|.*wxyz": [["abc"], ["wxy", "xyz"]],
+    "(a|b)cd(e|f)": None, ".*ab+cde": [["cde"]], ".*abc+d": [["abc"]], ".*abc*de": None, ".*ab(cd)?efg": [["efg"]], r".*\x41bcd": [["bcd"]], r".*\.html": [["htm", "tml"]], ".*ab{2}cde": [["cde"]],
+    "(?i).*abc": None, r".*\Qabc\E": None, ".*((((a))))bcd": [["bcd"]], ".*(((((a)))))bcd": None, "": None, "a|": None, ".*": None, ".*ab": None, ".*[a]bc]": None, ".*a??bcd": [["bcd"]],
+    ".*(?:ab)++cdé": [["cdé"]], ".*abc+?d": [["abc"]], r".*\p{L}abc\1def": [["abc", "def"]],
+}
+
+
+def test_grams_that_a_match_must_contain(spark):
+    df = spark.createDataFrame([(p,) for p in GRAMS], "p string").withColumn("got", required_grams(F.col("p")))
+    wanted = {p: None if g is None or None in g else g for p, g in GRAMS.items()}
+    assert {r.p: r.got for r in df.collect()} == wanted
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_regexes_against_all_pairs(spark, seed):
+    """Rules of all sorts, with a gram and without, against every path."""
+    rng = random.Random(seed)
+    plain = lambda: "".join(rng.choices("abc/", k=rng.randrange(1, 5)))
+
+    def piece():
+        return rng.choice([plain, plain, lambda: ".*", lambda: "[ab]", lambda: rng.choice("abc") + rng.choice(["?", "*", "+", "{0,2}", "+?", "{2}"]),
+                           lambda: f"({plain()}|{plain()})" + rng.choice(["", "?", "+"]), lambda: r"\w", lambda: "."])()
+
+    regexes = ["".join(piece() for _ in range(rng.randrange(1, 5))) for _ in range(150)]
+    regexes = [r if rng.random() < 0.3 else rng.choice([".*", "(a|/)", ""]) + r + rng.choice(["", "|.*" + plain(), "$"]) for r in regexes]
+    rules = [(str(i), 1, "path-regex", r, None, None) for i, r in enumerate(regexes)]
+    paths = ["/" + "".join(rng.choices("abc/", k=rng.randrange(9))) for _ in range(150)]
+    df = spark.createDataFrame([(i, p, "GET") for i, p in enumerate(paths)], REQUEST)
+    expected = {(p, "GET", r[0]) for p in paths for r in rules if re.match(r[3], p)}
+    assert rows(route_matches(df, spark.createDataFrame(rules, RULE))) == sorted(expected, key=lambda r: [str(v) for v in r])
+
+
+def test_few_pairs_are_tested(spark):
+    """A thousand regexes that begin with anything, and as many paths: under a hundredth of all pairs is looked at."""
+    rules = spark.range(1000).select(F.concat(F.lit(".*/item-"), "id", F.lit("/(x|y)[0-9]*$")).alias("value")).withColumn("grams", required_grams(F.col("value")))
+    paths = spark.range(1000).select(F.concat(F.lit("/shop/item-"), "id", F.lit("/x"), "id").alias("path"), F.lit("GET").alias("method"))
+    pairs = regex_candidates(paths, rules)
+    assert 1000 <= pairs.filter(F.rlike("path", F.col("value"))).count() <= pairs.count() < 10_000
+
+
+def test_a_gram_of_every_path_is_left_alone(spark):
+    """The rarest gram is chosen, also where a third of all paths is one text."""
+    rules = spark.createDataFrame([(".*hot/.*cold", )], "value string").withColumn("grams", required_grams(F.col("value")))
+    paths = spark.range(900).select(F.concat(F.lit("/hot/"), F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string"))).alias("path"), F.col("id").cast("string").alias("method"))
+    paths = paths.union(spark.createDataFrame([("/hot/cold", "GET"), ("/hot/cold", "PUT")], "path string, method string"))
+    assert regex_candidates(paths, rules).count() == 2
