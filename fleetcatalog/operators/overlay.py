@@ -13,38 +13,48 @@ NON_QUALIFYING = tuple(CHECK_SETTINGS)
 CIRCLE_NAMES = 100
 
 
-def scope_chain(scopes: DataFrame) -> DataFrame:
-    """``(start, scope, is_config, distance)``: each scope that others delegate to, with itself and all above it.
-
-    ``scopes`` is ``(scope, parent, is_config)``; a root has a null parent. The scopes that others
-    delegate to are few beside those that none does, and only they are walked. Each round doubles
-    the steps that are known, so a chain of any depth takes the logarithm of it in rounds, and what
-    a round finds is written down. A scope that still has something above it after as many steps as
-    there are scopes is in a circle, or below one.
+def inherited_settings(settings: DataFrame, scopes: DataFrame) -> DataFrame:
+    """``(start, key, value, supplier)``: all that holds in each scope that others delegate to.
+
+    ``settings`` is ``(scope, key, value)`` with one value for a key of a scope, ``scopes`` is ``(scope,
+    parent, is_config)``; a root has a null parent, and so has a scope whose parent is not listed. The
+    scopes that others delegate to are few beside those that none does, and only they are walked.
+
+    Each scope points at another above it, and has for each key the nearest value from below there on. In
+    a round it takes over what the scope it points at has and it has not, and that one's pointer, so what
+    it looks over doubles. A chain of any depth takes the logarithm of it in rounds, and each round writes
+    a row per scope and a row per scope and key that it has by then; pairs of scopes are never listed. A
+    scope that still points at one after as many steps as there are scopes is in a circle, or below one.
     """
     used = scopes.select(F.col("parent").alias("_parent")).filter(F.col("_parent").isNotNull()).distinct()
-    inner = durable(scopes.join(used, F.col("scope") == F.col("_parent"), "left_semi"))
-    count = inner.count()
-    walked = inner.select(F.col("scope").alias("start"), "scope", F.lit(0).cast("long").alias("distance"))
-    known = inner.select(F.col("scope").alias("_known")).distinct()
-    jumps = inner.select("scope", F.col("parent").alias("above")).join(known, F.col("above") == F.col("_known"), "left_semi")
-    jumps, steps = durable(jumps), 1
-    while not jumps.isEmpty():
-        if steps > count:
-            names = ", ".join(r["scope"] for r in jumps.select("scope").distinct().orderBy("scope").limit(CIRCLE_NAMES).collect())
+    inner = scopes.join(used, F.col("scope") == F.col("_parent"), "left_semi")
+    # A row is a scope's pointer or a value that it has.
+    own = settings.join(inner.select("scope", "is_config"), "scope").select(
+        "scope", F.lit(False).alias("_pointer"), "key", "value", F.when(F.col("is_config"), F.col("scope")).alias("supplier")
+    )
+    pointers = inner.select("scope", F.lit(True).alias("_pointer"), F.col("parent").alias("above"))
+    state, steps = durable(pointers.unionByName(own, allowMissingColumns=True)), 1
+    while True:
+        at = state.filter("_pointer").agg(F.count(F.lit(1)), F.count("above")).first()
+        if not at[1]:
+            return state.filter("NOT _pointer").select(F.col("scope").alias("start"), "key", "value", "supplier")
+        if steps > at[0]:
+            far = state.filter("_pointer AND above IS NOT NULL").select("scope").distinct()
+            names = ", ".join(r["scope"] for r in far.orderBy("scope").limit(CIRCLE_NAMES).collect())
             raise ValueError(f"scopes delegate in a circle: {names}")
-        far = prefixed(walked, ["start", "scope", "distance"], "_f_")
-        further = jumps.join(far, F.col("above") == F.col("_f_start"))
-        walked = durable(
-            walked.unionByName(
-                further.select(F.col("scope").alias("start"), F.col("_f_scope").alias("scope"), (F.col("_f_distance") + steps).alias("distance"))
-            )
+        up = prefixed(state, state.columns, "_u_")
+        pointing = state.filter("_pointer AND above IS NOT NULL").select("scope", "above")
+        taken = pointing.join(up, F.col("above") == F.col("_u_scope")).select(
+            "scope", *[F.col(f"_u_{c}").alias(c) for c in ("_pointer", "key", "value", "supplier")], F.col("_u_above").alias("above"), F.lit(True).alias("_taken")
         )
-        over = prefixed(jumps, ["scope", "above"], "_o_")
-        jumps = durable(jumps.join(over, F.col("above") == F.col("_o_scope")).select("scope", F.col("_o_above").alias("above")))
+        # Pointers are replaced by those taken over, also by none; of values the scope's own stay.
+        stays = F.struct(F.when(F.col("_pointer"), ~F.col("_taken")).otherwise(F.col("_taken")))
+        both = state.withColumn("_taken", F.lit(False)).unionByName(taken)
+        # A parent that is not listed is as none.
+        chosen = both.groupBy("scope", "_pointer", "key").agg(F.min_by(F.struct("value", "supplier", "above", "_taken"), stays).alias("s"))
+        above = F.when(F.col("s._taken"), F.col("s.above"))
+        state = durable(chosen.select("scope", "_pointer", "key", "s.value", "s.supplier", above.alias("above")))
         steps *= 2
-    kinds = inner.select(F.col("scope").alias("_scope"), "is_config")
-    return walked.join(kinds, F.col("scope") == F.col("_scope")).select("start", "scope", "is_config", "distance")
 
 
 def resolve_settings(settings: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -60,26 +70,18 @@ def resolve_settings(settings: DataFrame, scopes: DataFrame) -> DataFrame:
     """
     latest = ["seq", "value"] if "seq" in settings.columns else ["value"]
     settings = settings.groupBy("scope", "key").agg(F.max_by("value", F.struct(*latest)).alias("value"))
-    chain = scope_chain(scopes)
-    supplier = F.when(F.col("is_config"), F.col("scope"))
-
-    def nearest(rows: DataFrame, at: str) -> DataFrame:
-        near = F.min_by(F.struct("value", "supplier"), F.col("distance"))
-        chosen = rows.groupBy(at, "key").agg(near.alias("s"))
-        return chosen.select(at, "key", "s.value", F.col("s.supplier").alias("scope"))
-
-    above = nearest(
-        chain.join(settings, "scope").select("start", "key", "value", supplier.alias("supplier"), "distance"), "start"
-    )
+    above = inherited_settings(settings, scopes)
     own = settings.join(scopes.select("scope", "is_config"), "scope").select(
-        F.col("scope").alias("target"), "key", "value", supplier.alias("supplier"), F.lit(0).cast("long").alias("distance")
+        F.col("scope").alias("target"), "key", "value", F.when(F.col("is_config"), F.col("scope")).alias("supplier"), F.lit(0).alias("distance")
     )
     inherited = (
         scopes.select(F.col("scope").alias("target"), F.col("parent").alias("start"))
         .join(above, "start")
-        .select("target", "key", "value", F.col("scope").alias("supplier"), F.lit(1).cast("long").alias("distance"))
+        .select("target", "key", "value", "supplier", F.lit(1).alias("distance"))
     )
-    return nearest(own.unionByName(inherited), "target")
+    near = F.min_by(F.struct("value", "supplier"), F.col("distance"))
+    chosen = own.unionByName(inherited).groupBy("target", "key").agg(near.alias("s"))
+    return chosen.select("target", "key", "s.value", F.col("s.supplier").alias("scope"))
 
 
 def overlay_delta(

@@ -31,6 +31,7 @@ from ..functions import (
 from ..operators import contents, fold, history, install, manifest, matching, overlay
 from ..operators import overrides, placement, ports, routes, services, validation
 from ..operators.overrides import ACLS
+from ..operators.spread import previous_value
 from ..store import durable
 from ..sources import reports
 from . import distribution, local_run
@@ -300,6 +301,18 @@ def overlay_delta(spark: SparkSession, folder: str) -> DataFrame:
     return overlay.overlay_delta(_customer_settings(spark, folder), full=False)
 
 
+def overlay_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as scopes, each of which delegates to the one before of its user; some set a status, a level or a place."""
+    events = _read(spark, folder, "events").select("user_id", "ts", "event_id", "event_type", "value", F.col("event_id").cast("string").alias("scope"))
+    scopes = previous_value(events, ["user_id"], ["ts", "event_id"], "scope", "parent")
+    scopes = scopes.select("scope", "parent", F.col("parent").isNotNull().alias("is_config"))
+    value = F.col("value").cast("string")
+    pairs = {"status": F.when(F.col("event_type") == "error", value), "level": F.when(F.col("value") > 20, value), "place": F.when(F.col("value") < 1, F.col("event_type"))}
+    each = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs.items()])
+    defined = events.select("scope", F.inline(each)).filter(F.col("value").isNotNull())
+    return overlay.resolve_settings(defined, scopes)
+
+
 def settings_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Full manifests and deltas, side by side."""
     resolved = durable(_customer_settings(spark, folder))
@@ -791,6 +804,7 @@ QUERIES: dict[str, Query] = {
         valid_bundles,
         overlay_resolve,
         overlay_delta,
+        overlay_chain,
         settings_manifest,
         default_endpoints,
         override_per_entity,

@@ -271,6 +271,17 @@ WHERE p_partkey::VARCHAR NOT IN (SELECT bundle FROM report)""",
     "overlay_delta": f"""
 WITH {RESOLVED} SELECT * FROM resolved r WHERE scope IS NOT NULL
 AND EXISTS (SELECT 1 FROM resolved o WHERE o.target = r.target AND o.scope IS NOT NULL AND o.key <> 'checks')""",
+    "overlay_chain": """
+WITH e AS (
+  SELECT *, event_id::VARCHAR AS scope, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) > 1 AS is_config FROM events),
+defined AS (
+  SELECT *, unnest(['status', 'level', 'place']) AS key,
+         unnest([CASE WHEN event_type = 'error' THEN value::VARCHAR END, CASE WHEN value > 20 THEN value::VARCHAR END, CASE WHEN value < 1 THEN event_type END]) AS own
+  FROM e),
+nearest AS (
+  SELECT scope AS target, key, last_value(CASE WHEN own IS NOT NULL THEN {'value': own, 'scope': CASE WHEN is_config THEN scope END} END IGNORE NULLS)
+         OVER (PARTITION BY user_id, key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM defined)
+SELECT target, key, s.value AS value, s.scope AS scope FROM nearest WHERE s IS NOT NULL""",
     "settings_manifest": f"""
 WITH {RESOLVED},
 modes AS (

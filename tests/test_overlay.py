@@ -1,28 +1,32 @@
 import json
+import random
 
 import pytest
 from fixtures import rows
 
+from fleetcatalog.operators import overlay
 from fleetcatalog.operators.manifest import settings_manifest
-from fleetcatalog.operators.overlay import overlay_delta, resolve_settings, scope_chain
+from fleetcatalog.operators.overlay import inherited_settings, overlay_delta, resolve_settings
+from fleetcatalog.store import durable
 
+# A project with two trees of configurations below it, and one that is alone.
 SCOPES = [
-    ("project", None, False),
-    ("bundle", "project", True),
-    ("configuration", "project", True),
-    ("backend", "bundle", True),
-    ("backend-config", "configuration", True),
-    ("nested", "backend-config", True),
-    ("other", "configuration", True),
-    ("checked", "project", True),
+    ("shop", None, False),
+    ("north", "shop", True),
+    ("south", "shop", True),
+    ("harbour", "north", True),
+    ("pier", "harbour", True),
+    ("lamp", "pier", True),
+    ("beach", "south", True),
+    ("probed", "shop", True),
 ]
 SETTINGS = [
-    ("project", "nrOfCpus", "0.1"),
-    ("project", "memory", "64"),
-    ("configuration", "nrOfCpus", "11.0"),
-    ("backend", "nrOfCpus", "2.0"),
-    ("backend-config", "nrOfCpus", "12.0"),
-    ("checked", "checks", "$HOST"),
+    ("shop", "nrOfCpus", "0.5"),
+    ("shop", "memory", "96"),
+    ("north", "nrOfCpus", "3.0"),
+    ("pier", "nrOfCpus", "7.5"),
+    ("south", "memory", "128"),
+    ("probed", "checks", "$HOST"),
 ]
 
 
@@ -38,41 +42,72 @@ def of(df, target):
 
 
 def test_nearest_scope_wins(resolved):
-    assert of(resolved, "project") == {"nrOfCpus": ("0.1", None), "memory": ("64", None)}
-    assert of(resolved, "bundle") == {"nrOfCpus": ("0.1", None), "memory": ("64", None)}
-    assert of(resolved, "backend") == {"nrOfCpus": ("2.0", "backend"), "memory": ("64", None)}
-    assert of(resolved, "nested") == {"nrOfCpus": ("12.0", "backend-config"), "memory": ("64", None)}
+    assert of(resolved, "shop") == {"nrOfCpus": ("0.5", None), "memory": ("96", None)}
+    assert of(resolved, "south") == {"nrOfCpus": ("0.5", None), "memory": ("128", "south")}
+    assert of(resolved, "harbour") == {"nrOfCpus": ("3.0", "north"), "memory": ("96", None)}
+    assert of(resolved, "lamp") == {"nrOfCpus": ("7.5", "pier"), "memory": ("96", None)}
 
 
 def test_delta(resolved):
     delta = overlay_delta(resolved, full=False)
-    assert of(delta, "backend-config") == {"nrOfCpus": ("12.0", "backend-config")}
+    assert of(delta, "pier") == {"nrOfCpus": ("7.5", "pier")}
     # Supplied by a parent configuration counts; supplied by the project does not.
-    assert of(delta, "other") == {"nrOfCpus": ("11.0", "configuration")}
-    assert of(delta, "bundle") == {}
+    assert of(delta, "beach") == {"memory": ("128", "south")}
+    assert of(delta, "shop") == {}
     # Checks alone do not make a delta.
-    assert of(delta, "checked") == {}
+    assert of(delta, "probed") == {}
     assert rows(overlay_delta(resolved, full=True)) == rows(resolved)
 
 
 def test_circle(spark):
     links = [("a", "b"), ("b", "c"), ("c", "a"), ("below", "a"), ("leaf", "below"), ("x", None), ("y", "x")]
     scopes = spark.createDataFrame([(*link, True) for link in links], "scope string, parent string, is_config boolean")
+    settings = spark.createDataFrame([("x", "k", "v")], "scope string, key string, value string")
     with pytest.raises(ValueError, match="circle: a, b, below, c"):
-        scope_chain(scopes)
-
-
-@pytest.mark.parametrize("depth", [2, 65, 200])
-def test_any_depth(spark, depth):
+        inherited_settings(settings, scopes)
+
+
+def walked(scopes, settings):
+    """(target, key, value, scope) by walking up from each scope."""
+    above = {s: p for s, p, _ in scopes}
+    config = {s for s, _, c in scopes if c}
+    own = {(s, k): v for s, k, v in settings if s in above}
+    out = []
+    for target in above:
+        found, at = {}, target
+        while at in above:
+            for (s, k), v in own.items():
+                if s == at:
+                    found.setdefault(k, (v, at if at in config else None))
+            at = above[at]
+        out += [(target, k, *v) for k, v in found.items()]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_forests(spark, seed):
+    rng = random.Random(seed)
+    scopes = [(f"s{i}", f"s{rng.randrange(max(0, i - 3), i)}" if i and rng.random() < 0.97 else None, rng.random() < 0.8) for i in range(120)]
+    scopes += [("stray", "not listed", True), ("below", "stray", True)]
+    settings = [(f"s{rng.randrange(130)}", rng.choice("abc"), str(i)) for i in range(60)] + [("stray", "a", "x")]
+    settings = list({r[:2]: r for r in settings}.values())
+    got = resolve_settings(spark.createDataFrame(settings, "scope string, key string, value string"), spark.createDataFrame(scopes, "scope string, parent string, is_config boolean"))
+    assert sorted(((r.target, r.key, r.value, r.scope) for r in got.collect()), key=str) == walked(scopes, settings)
+
+
+@pytest.mark.parametrize("depth", [2, 65, 5000])
+def test_any_depth(spark, monkeypatch, depth):
+    """Each round writes rows linear in the scopes, and there are as many rounds as the depth has digits to base two."""
+    written = []
+    monkeypatch.setattr(overlay, "durable", lambda df: written.append(durable(df)) or written[-1])
     links = [(f"s{i}", f"s{i - 1}" if i else None, i > 0) for i in range(depth)]
     scopes = spark.createDataFrame(links, "scope string, parent string, is_config boolean")
-    chain = scope_chain(scopes)
-    want = [(f"s{i}", f"s{j}", i - j) for i in range(depth - 1) for j in range(i + 1)]
-    assert sorted((r.start, r.scope, r.distance) for r in chain.collect()) == sorted(want)
     settings = spark.createDataFrame([("s0", "a", "0"), (f"s{depth // 2}", "b", "half")], "scope string, key string, value string")
-    found = of(resolve_settings(settings, scopes), f"s{depth - 1}")
-    assert found["a"] == ("0", None) and found["b"][0] == "half"
-    assert chain._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 1
+    resolved = resolve_settings(settings, scopes)
+    found = of(resolved, f"s{depth - 1}")
+    assert found["a"] == ("0", None) and found["b"] == ("half", f"s{depth // 2}")
+    assert resolved.count() == depth + depth - depth // 2
+    assert len(written) <= depth.bit_length() + 1 and all(w.count() <= 3 * depth for w in written)
 
 
 def test_one_setting_twice(spark):
@@ -96,43 +131,42 @@ def test_target_without_name(spark):
 def test_manifest_of_settings(spark):
     scopes = spark.createDataFrame(SCOPES, "scope string, parent string, is_config boolean")
     data = [
-        *SETTINGS,
-        ("project", "name", "overlays"),
-        ("project", "tags", '["0.1.0-SNAPSHOT"]'),
-        ("project", "roles", '["web"]'),
-        ("project", "description", "overlays"),
-        ("project", "endpoints", '{"web":{"bind-protocol":"http","bind-port":0,"services":[]}}'),
-        ("other", "checks", '["$HOST"]'),
-        ("project", "checkInitialDelay", "1400"),
+        *SETTINGS[:-1],
+        ("probed", "checks", '["$HOST"]'),
+        ("shop", "name", "lamps"),
+        ("shop", "tags", '["2.3.1"]'),
+        ("shop", "roles", '["sale"]'),
+        ("shop", "description", "lamps and oil"),
+        ("shop", "endpoints", '{"till":{"bind-protocol":"tcp","bind-port":7,"services":[]}}'),
+        ("beach", "checks", '["$HOST"]'),
+        ("shop", "checkInitialDelay", "2900"),
     ]
-    settings = spark.createDataFrame([d for d in data if d[1:] != ("checks", "$HOST")], "scope string, key string, value string")
-    settings = settings.union(spark.createDataFrame([("checked", "checks", '["$HOST"]')], settings.schema))
-    resolved = resolve_settings(settings, scopes)
+    resolved = resolve_settings(spark.createDataFrame(data, "scope string, key string, value string"), scopes)
     full = {r.target: json.loads(r.manifest) for r in settings_manifest(resolved, full=True).collect()}
-    assert full["backend"] == {
+    assert full["harbour"] == {
         "version": "1",
-        "name": "overlays",
-        "tags": ["0.1.0-SNAPSHOT"],
-        "nrOfCpus": 2.0,
-        "memory": 64,
-        "roles": ["web"],
+        "name": "lamps",
+        "tags": ["2.3.1"],
+        "nrOfCpus": 3.0,
+        "memory": 96,
+        "roles": ["sale"],
         "components": {
-            "overlays": {
-                "description": "overlays",
-                "endpoints": {"web": {"bind-protocol": "http", "bind-port": 0, "services": []}},
+            "lamps": {
+                "description": "lamps and oil",
+                "endpoints": {"till": {"bind-protocol": "tcp", "bind-port": 7, "services": []}},
             }
         },
     }
     delta = {r.target: json.loads(r.manifest) for r in settings_manifest(resolved, full=False).collect()}
-    assert delta["backend-config"] == {"version": "1", "nrOfCpus": 12.0, "components": {"overlays": {}}}
+    assert delta["pier"] == {"version": "1", "nrOfCpus": 7.5, "components": {"lamps": {}}}
     # Checks go along with another setting, with the delay whatever supplies it, but not alone.
-    assert delta["other"]["components"] == {
-        "overlays": {},
+    assert delta["beach"]["components"] == {
+        "lamps": {},
         "bundle-status": {
             "description": "Status check for the bundle component",
             "file-system-type": "universal",
-            "start-command": ["check", "--initial-delay", "1", "$HOST"],
+            "start-command": ["check", "--initial-delay", "2", "$HOST"],
             "endpoints": {},
         },
     }
-    assert sorted(delta) == ["backend", "backend-config", "configuration", "nested", "other"]
+    assert sorted(delta) == ["beach", "harbour", "lamp", "north", "pier", "south"]
