@@ -710,6 +710,22 @@ def placement_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return _placement(spark, folder)
 
 
+def placement_by_disk(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as bundles by size, price and key, line items as nodes by quantity, price and order: three amounts and roles."""
+    part, line = _read(spark, folder, "part"), _read(spark, folder, "lineitem")
+    bundles = part.select(
+        "p_partkey",
+        F.col("p_size").cast("double").alias("cpus"),
+        F.round(F.col("p_retailprice") * 100).cast("long").alias("memory"),
+        (F.col("p_partkey") % 997 * 50).alias("disk"),
+        F.when(F.col("p_type") == "PROMO", F.array(F.lit("R"), F.lit("A"))).when(F.col("p_type") == "LARGE", F.array(F.lit("N"))).alias("roles"),
+    )
+    nodes = line.groupBy("l_suppkey", "l_returnflag").agg(
+        F.max("l_quantity").alias("cpus"), F.round(F.max("l_extendedprice") * 2).cast("long").alias("memory"), F.max("l_orderkey").alias("disk")
+    )
+    return placement.placement_candidates(bundles, nodes.withColumn("roles", F.array("l_returnflag")), "p_partkey", ["cpus", "memory", "disk"])
+
+
 def unplaceable(spark: SparkSession, folder: str) -> DataFrame:
     return placement.unplaceable(_placement(spark, folder)).select("p_partkey")
 
@@ -829,6 +845,7 @@ QUERIES: dict[str, Query] = {
         port_match,
         name_resolve,
         placement_candidates,
+        placement_by_disk,
         unplaceable,
         compat_history,
         event_tail,

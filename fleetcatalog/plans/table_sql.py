@@ -425,6 +425,15 @@ counted AS (
 SELECT query, CASE WHEN n = 0 THEN 'missing' WHEN exact OR n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status,
        CASE WHEN exact THEN prefix WHEN n = 1 THEN one END AS name, n AS candidates FROM counted""",
     "placement_candidates": f"WITH {PLACED} SELECT * FROM placed",
+    "placement_by_disk": """
+WITH demand AS (
+  SELECT p_partkey, p_size AS cpus, round(p_retailprice * 100)::BIGINT AS memory, p_partkey % 997 * 50 AS disk,
+         CASE p_type WHEN 'PROMO' THEN ['R', 'A'] WHEN 'LARGE' THEN ['N'] ELSE [] END AS roles FROM part),
+nodes AS (
+  SELECT l_returnflag AS role, max(l_quantity) AS cpus, round(max(l_extendedprice) * 2)::BIGINT AS memory, max(l_orderkey) AS disk
+  FROM lineitem GROUP BY l_suppkey, l_returnflag)
+SELECT p_partkey, count(role) AS candidates FROM demand d LEFT JOIN nodes n
+  ON n.cpus >= d.cpus AND n.memory >= d.memory AND n.disk >= d.disk AND (len(roles) = 0 OR list_contains(roles, role)) GROUP BY p_partkey""",
     "unplaceable": f"WITH {PLACED} SELECT p_partkey FROM placed WHERE candidates = 0",
     "compat_history": """
 WITH h AS (
