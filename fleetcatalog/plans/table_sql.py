@@ -431,9 +431,11 @@ WITH demand AS (
          CASE p_type WHEN 'PROMO' THEN ['R', 'A'] WHEN 'LARGE' THEN ['N'] ELSE [] END AS roles FROM part),
 nodes AS (
   SELECT l_returnflag AS role, max(l_quantity) AS cpus, round(max(l_extendedprice) * 2)::BIGINT AS memory, max(l_orderkey) AS disk
-  FROM lineitem GROUP BY l_suppkey, l_returnflag)
-SELECT p_partkey, count(role) AS candidates FROM demand d LEFT JOIN nodes n
-  ON n.cpus >= d.cpus AND n.memory >= d.memory AND n.disk >= d.disk AND (len(roles) = 0 OR list_contains(roles, role)) GROUP BY p_partkey""",
+  FROM lineitem GROUP BY l_suppkey, l_returnflag),
+fitting AS (
+  SELECT p_partkey, count(*) AS n FROM demand d JOIN nodes n
+  ON n.cpus >= d.cpus AND n.memory >= d.memory AND n.disk >= d.disk AND (len(roles) = 0 OR list_contains(roles, role)) GROUP BY p_partkey)
+SELECT p_partkey, coalesce(n, 0) AS candidates FROM part LEFT JOIN fitting USING (p_partkey)""",
     "unplaceable": f"WITH {PLACED} SELECT p_partkey FROM placed WHERE candidates = 0",
     "compat_history": """
 WITH h AS (
