@@ -37,6 +37,7 @@ from ..functions.fixed import (
     WEB_HEAP_MIB,
     WEB_MEMORY_MIB,
 )
+from .spread import durable, prefixed, same
 
 
 def resource_normalize(bundles: DataFrame) -> DataFrame:
@@ -141,7 +142,9 @@ def manifest_emit(bundles: DataFrame, endpoints: DataFrame, order: Sequence[str]
     """
     entry = F.struct(*ENDPOINT_FIELDS)
     last = F.max_by(entry, F.struct(*order)) if order else F.max(entry)
-    single = endpoints.filter(F.col("label").isNotNull()).groupBy("bundle", "label").agg(last.alias("_entry"))
+    # Hardly any label is there twice, so nothing is gained by an aggregate before the shuffle.
+    dealt = endpoints.filter(F.col("label").isNotNull()).repartition("bundle", "label")
+    single = dealt.groupBy("bundle", "label").agg(last.alias("_entry"))
     named = bundles.filter(F.col("name").isNotNull())
     owned = single.join(named.select(F.col("name").alias("bundle")), "bundle", "left_semi")
     entries = owned.select("bundle", "label", F.to_json(endpoint_document(F.col("_entry"))).alias("document"))
@@ -174,24 +177,89 @@ def manifest_emit(bundles: DataFrame, endpoints: DataFrame, order: Sequence[str]
     return headers.unionByName(entries)
 
 
-# Hex digits of one slice of an endpoint's digest, and slices.
-SLICE, SLICES = 15, 4
+# Children of a node of a hash tree: one for each hex digit. A leaf has so many endpoints on average, at most.
+FANOUT, DEEPEST = 16, 15
+
+
+def manifest_tree(manifests: DataFrame) -> DataFrame:
+    """The hash tree over the endpoints of each bundle: ``(bundle, level, node, endpoints, hash)``.
+
+    ``manifests`` has the rows of :func:`manifest_emit`. An endpoint stands below the leaf that the first hex
+    digits of its label's SHA-256 name, as many as leave about ``FANOUT`` endpoints to a leaf. The hash of a leaf is SHA-256 over
+    its endpoints' own, in the order of their labels' digests; that of any other node is over its children's names and
+    hashes, in order. The root has level 0 and an empty name. So a changed endpoint changes the nodes above it only, no
+    node has many children, and the tree does not depend on partitions. Bundles without endpoints have none.
+    """
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    leaves = manifests.filter(F.col("label").isNotNull()).select("bundle", digest(F.col("label")).alias("at"), digest(F.concat("label", F.lit(":"), "document")).alias("own"))
+    leaves = durable(leaves)
+    counts = leaves.groupBy(F.col("bundle").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    level = sum((F.col("n") > FANOUT ** (k + 1)).cast("int") for k in range(DEEPEST))
+    counts = durable(counts.select("of", level.alias("level")))
+    deepest = counts.agg(F.coalesce(F.max("level"), F.lit(-1))).first()[0]
+    below = leaves.join(counts, F.col("bundle") == F.col("of")).select(
+        "bundle", "level", F.expr("left(at, level)").alias("node"), F.concat("at", "own").alias("part"), F.lit(1).cast("long").alias("n")
+    )
+    pending, out = below, None
+    for at in range(deepest, -1, -1):
+        parts = F.array_join(F.array_sort(F.collect_list("part")), ",")
+        made = pending.filter(F.col("level") == at).groupBy("bundle", "node").agg(F.sum("n").alias("endpoints"), digest(parts).alias("hash"))
+        made = made.select("bundle", F.lit(at).alias("level"), "node", "endpoints", "hash")
+        # Read for this level and by the one above.
+        made = durable(made) if at else made
+        out = made if out is None else out.unionByName(made)
+        if at:
+            up = made.select("bundle", F.lit(at - 1).alias("level"), F.left("node", F.lit(at - 1)).alias("node"), F.concat("node", F.lit(":"), "hash").alias("part"), F.col("endpoints").alias("n"))
+            pending = below.unionByName(up)
+    if out is None:
+        return leaves.select("bundle", F.lit(0).alias("level"), F.lit("").alias("node"), F.lit(0).cast("long").alias("endpoints"), F.col("own").alias("hash"))
+    return out
 
 
 def manifest_digests(manifests: DataFrame) -> DataFrame:
-    """``(bundle, endpoints, digest)`` of the rows of :func:`manifest_emit`.
+    """``(bundle, endpoints, digest)`` of the rows of :func:`manifest_emit`, which are read twice.
+
+    The digest is SHA-256 over the header, the number of endpoints and the root of their hash tree.
+    """
+    roots = manifest_tree(manifests).filter("level = 0").select(F.col("bundle").alias("of"), "endpoints", "hash")
+    headers = manifests.filter(F.col("label").isNull()).select("bundle", "document")
+    count = F.coalesce("endpoints", F.lit(0).cast("long"))
+    text = F.concat_ws(":", "document", count.cast("string"), F.coalesce("hash", F.lit("")))
+    joined = headers.join(roots, F.col("bundle") == F.col("of"), "left")
+    return joined.select("bundle", count.alias("endpoints"), F.sha2(text.cast("binary"), 256).alias("digest"))
+
+
+def _differing(tree: DataFrame, other: DataFrame) -> DataFrame:
+    """``(of, leaf_level, leaf)``: leaves that the other tree has not, or has with another hash."""
+    top = tree.groupBy(F.col("bundle").alias("of")).agg(F.max("level").alias("leaf_level"))
+    leaves = tree.join(top, (F.col("bundle") == F.col("of")) & (F.col("level") == F.col("leaf_level")))
+    known = prefixed(other, other.columns, "_k_")
+    unequal = leaves.join(known, same([(F.col(c), F.col("_k_" + c)) for c in ("bundle", "level", "node", "hash")]), "left_anti")
+    return unequal.select("of", "leaf_level", F.col("node").alias("leaf"))
+
+
+def manifest_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``(bundle, label, node, change)``: endpoints that are not the same in two versions, as ``added``, ``removed`` or ``changed``.
 
-    The digest is SHA-256 over the header, the number of endpoints, and the sums of the first four
-    slices of the endpoints' own SHA-256, which do not depend on an order. So it is a sum partly
-    made before the shuffle, and no bundle has to fit a task.
+    ``node`` is the leaf above the endpoint, of the version that has it, or the newer. Endpoints are compared
+    only below leaves that differ, so equal subtrees cost a row for each leaf. A header is no endpoint, and what changes in
+    it is not listed.
     """
-    own = F.sha2(F.concat("label", F.lit(":"), "document").cast("binary"), 256)
-    slices = [F.conv(F.substr(own, F.lit(1 + SLICE * i), F.lit(SLICE)), 16, 10).cast("decimal(38,0)") for i in range(SLICES)]
-    sums = [F.coalesce(F.sum(F.when(F.col("label").isNotNull(), x)), F.lit(0).cast("decimal(38,0)")).cast("string") for x in slices]
-    header = F.max(F.when(F.col("label").isNull(), F.col("document")))
-    endpoints = F.count("label")
-    text = F.concat_ws(":", header, endpoints.cast("string"), *sums)
-    return manifests.groupBy("bundle").agg(endpoints.alias("endpoints"), F.sha2(text.cast("binary"), 256).alias("digest"))
+    before, after = (durable(manifest_tree(x)) for x in (old, new))
+
+    def suspects(manifests: DataFrame, differing: DataFrame) -> DataFrame:
+        differing = durable(differing)
+        levels = differing.select(F.col("of").alias("in"), F.col("leaf_level").alias("depth")).distinct()
+        rows = manifests.filter(F.col("label").isNotNull()).join(levels, F.col("bundle") == F.col("in"))
+        rows = rows.withColumn("node", F.expr("left(sha2(CAST(label AS BINARY), 256), depth)"))
+        return rows.join(differing, (F.col("bundle") == F.col("of")) & (F.col("node") == F.col("leaf")), "left_semi").select("bundle", "label", "document", "node")
+
+    one = suspects(old, _differing(before, after))
+    two = prefixed(suspects(new, _differing(after, before)), one.columns, "_t_")
+    joined = one.join(two, (F.col("bundle") == F.col("_t_bundle")) & (F.col("label") == F.col("_t_label")), "full")
+    change = F.when(F.col("label").isNull(), "added").when(F.col("_t_label").isNull(), "removed").otherwise("changed")
+    unequal = joined.filter(~F.col("document").eqNullSafe(F.col("_t_document")))
+    return unequal.select(F.coalesce("bundle", "_t_bundle").alias("bundle"), F.coalesce("label", "_t_label").alias("label"), F.coalesce("_t_node", "node").alias("node"), change.alias("change"))
 
 
 def settings_manifest(resolved: DataFrame, full: bool) -> DataFrame:

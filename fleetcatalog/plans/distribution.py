@@ -13,6 +13,7 @@ from ..operators.overlay import overlay_delta, resolve_settings
 from ..operators.overrides import override_per_entity
 from ..operators.routes import route_rules
 from ..operators.validation import valid_bundles, violations
+from ..store import durable
 
 
 class Distribution(NamedTuple):
@@ -59,7 +60,9 @@ def distribute(
     sound = valid_bundles(complete, report).join(
         bad_rules.select(F.col("bundle").alias("name")).distinct(), "name", "left_anti"
     )
-    manifests = manifest_emit(sound, used)
+    # Read for the headers, for the names of endpoints and for the packages; then for rows, tree and digests.
+    sound = durable(sound)
+    manifests = durable(manifest_emit(sound, used))
     packages = sound.select(F.col("name").alias("bundle"), "package")
     artifacts = manifest_digests(manifests).join(packages, "bundle").select(
         "bundle", "digest", artifact_name(F.concat("package", F.lit(".json")), F.col("digest")).alias("artifact")

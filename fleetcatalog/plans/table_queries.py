@@ -529,7 +529,38 @@ def manifest_emit(spark: SparkSession, folder: str) -> DataFrame:
 
 def manifest_artifacts(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the manifests of orders."""
-    return manifest.manifest_digests(manifest_emit(spark, folder))
+    return manifest.manifest_digests(durable(manifest_emit(spark, folder)))
+
+
+def _supplier_manifests(spark: SparkSession, folder: str, moved: bool = False) -> DataFrame:
+    """Suppliers as bundles, their line items as endpoints; in the moved version some have other ports, labels, or are gone."""
+    line, gone = _read(spark, folder, "lineitem"), F.col("l_quantity") == 7
+    if moved:
+        line = line.filter(~gone)
+    port = F.col("l_linenumber") + F.when(F.lit(moved) & (F.col("l_partkey") % 19 == 3), 1000).otherwise(0)
+    label = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", F.when(F.lit(moved) & (F.col("l_orderkey") % 101 == 5), F.lit("new")))
+    endpoints = line.select(
+        _text("l_suppkey").alias("bundle"), label.alias("label"), F.lit("tcp").alias("bind_protocol"), port.cast("int").alias("bind_port"),
+        F.array().cast("array<string>").alias("services"), F.lit(None).cast("string").alias("service_name"), F.lit(None).cast(ACLS).alias("acls"),
+    )
+    none = F.lit(None)
+    bundles = _read(spark, folder, "supplier").select(
+        _text("s_suppkey").alias("name"), F.lit("1.0").alias("version"), none.cast("array<string>").alias("tags"), none.cast("string").alias("system"),
+        none.cast("string").alias("system_version"), none.cast("string").alias("annotations"), none.cast("double").alias("nr_of_cpus"), none.cast("long").alias("memory"),
+        none.cast("long").alias("min_memory"), none.cast("long").alias("disk_space"), none.cast("array<string>").alias("roles"), none.cast("long").alias("check_delay_ms"),
+        none.cast("array<string>").alias("checks"), F.col("s_name").alias("description"), F.array(F.lit("bin/run")).alias("start_command"),
+    )
+    return durable(manifest.manifest_emit(manifest.resource_normalize(manifest.bundle_names(bundles)), endpoints))
+
+
+def manifest_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.manifest_tree(_supplier_manifests(spark, folder))
+
+
+def manifest_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items whose endpoints differ between two versions of the manifests of suppliers."""
+    changes = manifest.manifest_changes(_supplier_manifests(spark, folder), _supplier_manifests(spark, folder, moved=True))
+    return changes.select("bundle", "label", "change")
 
 
 def detected_manifests(spark: SparkSession, folder: str) -> DataFrame:
@@ -835,6 +866,8 @@ QUERIES: dict[str, Query] = {
         report_counts,
         manifest_emit,
         manifest_artifacts,
+        manifest_tree,
+        manifest_changes,
         detected_manifests,
         run_settings,
         resource_units,

@@ -166,13 +166,39 @@ UNION ALL
 SELECT bundle, label, document FROM entries WHERE bundle IN (SELECT 'order-' || o_orderkey FROM orders)"""
 
 
+def _tree(manifests: str, deepest: int = 4) -> str:
+    """Queries for the hash tree of the rows (bundle, label, document) of a named query: ``tree``."""
+    depth = " + ".join(f"(n > {16 ** (k + 1)})::INTEGER" for k in range(deepest))
+    levels = "".join(
+        f"""
+level{k} AS (
+  SELECT bundle, node, sum(n)::BIGINT AS endpoints, sha256(string_agg(part, ',' ORDER BY part)) AS hash FROM (
+    SELECT bundle, left(place, {k}) AS node, place || own AS part, 1 AS n FROM leaves WHERE level = {k}
+    {f"UNION ALL SELECT bundle, left(node, {k}), node || ':' || hash, endpoints FROM level{k + 1}" if k < deepest else ""}) GROUP BY ALL),"""
+        for k in range(deepest, -1, -1)
+    )
+    union = " UNION ALL ".join(f"SELECT bundle, {k} AS level, node, endpoints, hash FROM level{k}" for k in range(deepest + 1))
+    return f"""
+named AS (SELECT bundle, sha256(label) AS place, sha256(label || ':' || document) AS own, count(*) OVER (PARTITION BY bundle) AS n FROM {manifests} WHERE label IS NOT NULL),
+leaves AS MATERIALIZED (SELECT *, {depth} AS level FROM named),{levels}
+tree AS ({union})"""
+
+
 def _digests(manifests: str) -> str:
-    """Digests of the rows (bundle, label, document) of a named query."""
-    sums = " || ':' || ".join(f"coalesce(sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT), 0)" for i in range(4))
+    """Queries for the digests of the rows (bundle, label, document) of a named query: ``digests``."""
+    return f"""{_tree(manifests)},
+digests AS (
+  SELECT m.bundle, coalesce(t.endpoints, 0) AS endpoints, sha256(document || ':' || coalesce(t.endpoints, 0) || ':' || coalesce(t.hash, '')) AS digest
+  FROM {manifests} m LEFT JOIN tree t ON t.bundle = m.bundle AND t.level = 0 WHERE m.label IS NULL)"""
+
+
+def _supplier_manifests(moved: bool) -> str:
+    port = "l_linenumber + CASE WHEN l_partkey % 19 = 3 THEN 1000 ELSE 0 END" if moved else "l_linenumber"
+    tail = "CASE WHEN l_orderkey % 101 = 5 THEN '-new' ELSE '' END" if moved else "''"
     return f"""
-  SELECT bundle, count(label) AS endpoints,
-         sha256(max(document) FILTER (label IS NULL) || ':' || count(label) || ':' || {sums}) AS digest
-  FROM (SELECT *, CASE WHEN label IS NOT NULL THEN sha256(label || ':' || document) END AS h FROM {manifests}) GROUP BY bundle"""
+  SELECT l_suppkey::VARCHAR AS bundle, l_orderkey || '-' || l_linenumber || '-' || l_partkey || {tail} AS label,
+         '{{"bind-protocol":"tcp","bind-port":' || max({port}) || ',"services":[]}}' AS document
+  FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier){" AND l_quantity <> 7" if moved else ""} GROUP BY ALL"""
 
 
 DETECTED = PATHS + r""",
@@ -355,9 +381,14 @@ SELECT DISTINCT doc_id, name FROM words WHERE name <> ''""",
 SELECT c_custkey // 50 AS report, c_custkey::VARCHAR AS id, c_name AS name, c_nationkey AS replicated,
        length(c_mktsegment)::INTEGER AS starting, NULL::INTEGER AS running FROM customer""",
     "manifest_emit": MANIFESTS,
-    "manifest_artifacts": f"WITH m AS ({MANIFESTS}) {_digests('m')}",
+    "manifest_artifacts": f"WITH m AS ({MANIFESTS}), {_digests('m')} SELECT * FROM digests",
+    "manifest_tree": f"WITH m AS ({_supplier_manifests(False)}), {_tree('m')} SELECT * FROM tree",
+    "manifest_changes": f"""
+WITH o AS ({_supplier_manifests(False)}), n AS ({_supplier_manifests(True)})
+SELECT bundle, label, CASE WHEN o.document IS NULL THEN 'added' WHEN n.document IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM o FULL JOIN n USING (bundle, label) WHERE o.document IS DISTINCT FROM n.document""",
     "detected_manifests": f"""
-WITH {DETECTED}, digests AS ({_digests("manifests")})
+WITH {DETECTED}, {_digests("manifests")}
 SELECT bundle, label, document, bundle || '-1.2-' || digest || '.json' AS artifact FROM manifests JOIN digests USING (bundle)""",
     "run_settings": """
 WITH views AS (
