@@ -17,8 +17,8 @@ from ..functions.fixed import (
 from .overrides import ACLS
 from .spread import durable
 
-# The rules stay JSON text here, so that patterns can be found in them at any depth.
-DESCRIPTORS = "array<struct<name:string,acls:string>>"
+# Names keep their JSON type. The rules stay JSON text here, so that patterns can be found in them at any depth.
+DESCRIPTORS = "array<struct<name:variant,acls:string>>"
 
 # A key and its text value. Within a text value of its own the quotes would be escaped.
 PATTERN_KEY = r'"pathPattern"\s*:'
@@ -30,6 +30,11 @@ def _parsed(json: Column) -> Column:
     return F.when(json.rlike(r"^\s*\["), F.from_json(json, DESCRIPTORS))
 
 
+def _name(service: Column) -> Column:
+    """The name where it is a JSON text; null for a number, a list, or any other type."""
+    return F.when(F.schema_of_variant(service["name"]) == "STRING", F.try_variant_get(service["name"], "$", "string"))
+
+
 def _pattern_texts(acls: Column) -> Column:
     """All patterns below ``acls``, each still a quoted JSON text."""
     return F.coalesce(F.regexp_extract_all(acls, F.lit(PATTERN), F.lit(1)), F.array().cast("array<string>"))
@@ -40,13 +45,13 @@ def _bad(json: Column) -> Column:
 
     def wrong(service: Column) -> Column:
         keys = F.regexp_count(F.coalesce(service["acls"], F.lit("")), F.lit(PATTERN_KEY))
-        return service.isNull() | service["name"].isNull() | (keys != F.size(_pattern_texts(service["acls"])))
+        return service.isNull() | _name(service).isNull() | (keys != F.size(_pattern_texts(service["acls"])))
 
     return parsed.isNull() | F.exists(parsed, wrong)
 
 
 def descriptor_errors(df: DataFrame, json: str = "json") -> DataFrame:
-    """Rows whose JSON is no list of objects that each have a name and only texts as patterns."""
+    """Rows whose JSON is no list of objects that each have a text as name and only texts as patterns."""
     return df.filter(_bad(F.col(json)))
 
 
@@ -60,7 +65,8 @@ def parse_descriptors(df: DataFrame, keys: Sequence[str], json: str = "json", st
     if strict:
         told = F.concat(F.lit("not a list of service descriptors: "), F.coalesce(F.left(json, F.lit(200)), F.lit("null")))
         df = df.withColumn(json, F.when(_bad(F.col(json)), F.raise_error(told).cast("string")).otherwise(F.col(json)))
-    services = df.select(*keys, F.inline(_parsed(F.col(json)))).filter(F.col("name").isNotNull())
+    named = F.transform(_parsed(F.col(json)), lambda s: F.struct(_name(s).alias("name"), s["acls"].alias("acls")))
+    services = df.select(*keys, F.inline(named)).filter(F.col("name").isNotNull())
     texts = F.concat(F.lit("["), F.array_join(_pattern_texts(F.col("acls")), ","), F.lit("]"))
     found = F.transform(F.from_json(texts, "array<string>"), path_prefix)
     return services.select(

@@ -127,6 +127,16 @@ def descriptor_errors(spark: SparkSession, folder: str) -> DataFrame:
     return services.descriptor_errors(both).select("origin", "seq")
 
 
+def descriptor_types(spark: SparkSession, folder: str) -> DataFrame:
+    """Bad descriptors among those of pages, with a value of every JSON type as name, and as pattern at some depth."""
+    values = F.array(*[F.lit(v) for v in ('"a"', "7", "1.5", "true", "null", '["a"]', '{"a":"b"}', '"7"', '""', r'"\u0061\"b"')])
+    pages = _paths(spark, folder).select("page_id", F.get(values, F.col("page_id") % 10).alias("v"), F.get(values, F.floor(F.col("page_id") / 10) % 10).alias("w"), "path")
+    acls = F.concat(F.lit('[{"pathPattern":'), F.to_json(F.struct("path")), F.lit('},{"deeper":[{"pathPattern":'), "w", F.lit("}]}]"))
+    plain = F.concat(F.lit('[{"other":[{"pathPattern":'), "w", F.lit('}],"pathPattern":"x"}]'))
+    json = F.concat(F.lit('[{"name":'), "v", F.lit(',"acls":'), F.when(F.col("page_id") % 3 == 0, acls).otherwise(plain), F.lit("}]"))
+    return services.descriptor_errors(pages.select("page_id", json.alias("json"))).select("page_id")
+
+
 def content_catalog(spark: SparkSession, folder: str) -> DataFrame:
     return contents.content_catalog(_read(spark, folder, "documents"), "doc_id", "text")
 
@@ -837,6 +847,7 @@ QUERIES: dict[str, Query] = {
         service_endpoints,
         service_uri_endpoints,
         descriptor_errors,
+        descriptor_types,
         content_catalog,
         content_names,
         incremental_load,

@@ -233,6 +233,10 @@ UNION ALL SELECT DISTINCT scheme, 'akka-remote', NULL, 'tcp', '' FROM paths""",
     "descriptor_errors": """
 SELECT 'documents' AS origin, doc_id AS seq FROM documents
 UNION ALL SELECT 'pages', page_id FROM pages WHERE page_id % 10 IN (1, 2, 3)""",
+    "descriptor_types": r"""
+WITH v AS (SELECT ['"a"', '7', '1.5', 'true', 'null', '["a"]', '{"a":"b"}', '"7"', '""', '"a\"b"'] AS values),
+p AS (SELECT page_id, values[page_id % 10 + 1]::JSON AS name, values[page_id // 10 % 10 + 1]::JSON AS deep FROM pages, v)
+SELECT page_id FROM p WHERE json_type(name) <> 'VARCHAR' OR json_type(deep) <> 'VARCHAR' OR page_id % 3 = 0""",
     "content_catalog": """
 SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY sha256(text)""",
     "content_names": """

@@ -161,3 +161,13 @@ def test_errors(spark):
     bad = ['{"name": "a"}', "[", json.dumps([{"acls": []}]), None, json.dumps([{"name": "a", "acls": [{"pathPattern": 5}]}])]
     df = spark.createDataFrame([(i, j) for i, j in enumerate([good, *bad])], "i int, json string")
     assert [r[0] for r in rows(descriptor_errors(df).select("i"))] == [1, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("value", ["7", "1.5", "true", "null", '["a"]', '{"a":"b"}'])
+def test_only_texts_are_names(spark, value):
+    good = '[{"name":"7","acls":[]}]'
+    df = spark.createDataFrame([("s", good), ("s", good.replace('"7"', value)), ("s", f'[{good[1:-1]},{{"name":{value}}}]')], "descriptor_set string, json string")
+    assert rows(descriptor_errors(df).select("json")) == rows(df.filter(F.col("json") != good).select("json"))
+    assert {r.service for r in parse_descriptors(df, ["descriptor_set"]).collect()} == {"7"}
+    with pytest.raises(Exception, match="not a list of service descriptors"):
+        parse_descriptors(df, ["descriptor_set"], strict=True).collect()
