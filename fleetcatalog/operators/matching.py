@@ -5,6 +5,8 @@ into its own prefixes, of the lengths that occur on the other side, and joined b
 
 A regex without a plain beginning has no such prefix. It is looked up by a text of three characters
 that any match must contain: of all that it has, the one that is in the fewest paths.
+
+Short names are counted by rank, in one order of names and prefixes.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spread import durable, prefixed, same
+from .spread import durable, prefixed, running_total, same
 
 
 def _prefixes(text: Column, lengths: Column) -> Column:
@@ -241,8 +243,12 @@ def name_resolve(queries: DataFrame, names: DataFrame) -> DataFrame:
 
     ``queries`` is ``(query)``: a prefix of a name, ``prefix:tag`` to narrow to names with that
     tag. ``names`` is ``(name, tags)``. One name beginning so resolves it; an exact name wins
-    over being a prefix of others; several are ambiguous, none is missing. Names are counted per
-    prefix before the join, so a prefix that all names share is one row.
+    over being a prefix of others; several are ambiguous, none is missing.
+
+    Names and asked prefixes are put into one order, by bytes. All names that begin with a prefix stand
+    between it and it with a byte that no text has, so their count is the difference of two ranks, and the
+    first of them, the exact one if there is one, is at the rank after the prefix. What is shuffled is
+    a row per name and tag and two per prefix, whatever their lengths, and no prefix meets its names.
     """
     asked = queries.select("query").distinct().select(
         "query",
@@ -251,25 +257,28 @@ def name_resolve(queries: DataFrame, names: DataFrame) -> DataFrame:
     )
     untagged = names.select("name", F.lit(None).cast("string").alias("tag"))
     tagged = names.select("name", F.explode("tags").alias("tag"))
-    known = untagged.unionByName(tagged).distinct()
-    heads = known.withColumn("_lengths", _lengths(asked, "prefix")).select(
-        "name", "tag", F.explode(_prefixes(F.col("name"), F.col("_lengths"))).alias("prefix")
-    )
-    counted = heads.groupBy("prefix", "tag").agg(
-        F.count(F.lit(1)).alias("candidates"),
-        F.min("name").alias("only"),
-        F.bool_or(F.col("name") == F.col("prefix")).alias("exact"),
+    known = untagged.unionByName(tagged).filter(F.col("name").isNotNull()).distinct()
+    ends = F.array(
+        F.struct(F.col("prefix").cast("binary").alias("place"), F.lit(0).alias("kind")),
+        F.struct(F.concat(F.col("prefix").cast("binary"), F.lit(bytearray(b"\xff"))).alias("place"), F.lit(2).alias("kind")),
     )
-    counted = prefixed(counted, ["prefix", "tag"], "_c_")
-    on = (F.col("prefix") == F.col("_c_prefix")) & F.col("tag").eqNullSafe(F.col("_c_tag"))
-    joined = asked.join(counted, on, "left")
-    resolved = F.coalesce(F.col("exact"), F.lit(False)) | (F.col("candidates") == 1)
-    status = (
-        F.when(F.col("candidates").isNull(), "missing").when(resolved, "resolved").otherwise("ambiguous")
+    markers = asked.select("prefix", "tag").distinct().filter(F.col("prefix").isNotNull())
+    rows = known.select(F.col("name").alias("text"), "tag", F.col("name").cast("binary").alias("place"), F.lit(1).alias("kind")).unionByName(
+        markers.select(F.col("prefix").alias("text"), "tag", F.inline(ends))
     )
+    ranked = running_total(rows.withColumn("one", (F.col("kind") == 1).cast("long")), ["tag"], ["place", "kind", "text"], "rank", "one")
+    ranked = durable(ranked.select("text", "tag", "kind", "rank"))
+    at = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("rank")))
+    counted = ranked.filter("kind <> 1").groupBy(F.col("text").alias("_c_prefix"), F.col("tag").alias("_c_tag")).agg(at(0).alias("start"), at(2).alias("end"))
+    counted = counted.select("_c_prefix", "_c_tag", (F.col("end") - F.col("start")).alias("candidates"), (F.col("start") + 1).alias("next")).filter("candidates > 0")
+    firsts = ranked.filter("kind = 1").select(F.col("text").alias("first"), F.col("tag").alias("_f_tag"), F.col("rank").alias("_f_rank"))
+    found = counted.join(firsts, (F.col("next") == F.col("_f_rank")) & F.col("_c_tag").eqNullSafe(F.col("_f_tag")))
+    joined = asked.join(found, (F.col("prefix") == F.col("_c_prefix")) & F.col("tag").eqNullSafe(F.col("_c_tag")), "left")
+    resolved = (F.col("first") == F.col("prefix")) | (F.col("candidates") == 1)
+    status = F.when(F.col("candidates").isNull(), "missing").when(resolved, "resolved").otherwise("ambiguous")
     return joined.select(
         "query",
         status.alias("status"),
-        F.when(F.col("exact"), F.col("prefix")).when(resolved, F.col("only")).alias("name"),
+        F.when(resolved, F.col("first")).alias("name"),
         F.coalesce("candidates", F.lit(0).cast("long")).alias("candidates"),
     )

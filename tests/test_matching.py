@@ -164,3 +164,27 @@ def test_a_gram_of_every_path_is_left_alone(spark):
     paths = spark.range(900).select(F.concat(F.lit("/hot/"), F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string"))).alias("path"), F.col("id").cast("string").alias("method"))
     paths = paths.union(spark.createDataFrame([("/hot/cold", "GET"), ("/hot/cold", "PUT")], "path string, method string"))
     assert regex_candidates(paths, rules).count() == 2
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_names_and_prefixes(spark, seed):
+    """Against every name, with texts that sort by bytes and not by UTF-16, one name for a third, and equal names."""
+    rng = random.Random(seed)
+    text = lambda n: "".join(rng.choices("ab\u00e9\uffee\U0001f600", k=rng.randrange(n)))
+    names = [(text(6) if i % 3 else "aab", rng.choice([None, [], ["x"], ["x", "y"], [""]])) for i in range(200)] + [(None, ["x"])]
+    asked = sorted({rng.choice(["", "a", text(4), "aab", names[i][0]]) + rng.choice(["", "", ":x", ":y", ":z", ":"]) for i in range(150)})
+    got = {r.query: tuple(r)[1:] for r in name_resolve(spark.createDataFrame([(q,) for q in [*asked, None, "a"]], "query string"), spark.createDataFrame(names, "name string, tags array<string>")).collect()}
+    assert got.pop(None) == ("missing", None, 0) and set(got) == {*asked, "a"}
+    for query, found in got.items():
+        prefix, colon, tag = query.partition(":")
+        fit = sorted({n for n, tags in names if n is not None and n.startswith(prefix) and (not colon or tag in (tags or []))})
+        one = prefix if prefix in fit else fit[0] if len(fit) == 1 else None
+        assert found == ("resolved" if one is not None else "ambiguous" if fit else "missing", one, len(fit))
+
+
+def test_names_are_not_joined_by_their_prefixes(spark):
+    """What a plan explodes is the tags and two ends of each prefix, also where prefixes have many lengths."""
+    names = spark.range(500).select(F.concat(F.lit("name-"), "id").alias("name"), F.array(F.lit("t")).alias("tags"))
+    queries = names.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.left("name", n))).alias("query"))
+    got = name_resolve(queries, names)
+    assert got.filter("status = 'resolved'").count() == 500 and got.filter("query = 'name-1'").first().candidates == 111
