@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import version_rank
 from ..functions.fixed import LAST_VERSION_WITHOUT_ACLS, TARGET_VERSIONS
-from ..store import shared_folder
+from ..store import remove, shared_folder
 
 RULES = ("version", "endpoint", "memory")
 
@@ -74,14 +74,17 @@ class InvalidBundles(ValueError):
 def require_valid(report: DataFrame, path: str | None = None) -> None:
     """Fails once if the report has rows, telling how many break each rule and where all of them are.
 
-    All violations are written as a table to ``path``, in order of bundle, rule and label; without a path, to
-    the shared folder, where they stay.
+    All violations are written as a table to ``path``, those of a bundle together and in order of rule and label;
+    without a path, to the shared folder, where they stay. They are counted in what was written, so the report is
+    evaluated once. Without any violation nothing is left at the path.
     """
-    counts = {r["rule"]: r["count"] for r in report.groupBy("rule").count().collect()}
+    place = path or f"{shared_folder(report.sparkSession)}/violations-{uuid.uuid4().hex}"
+    ordered = report.withColumn("rank", rule_order(F.col("rule"))).repartition("bundle").sortWithinPartitions("bundle", "rank", "label")
+    ordered.drop("rank").write.parquet(place)
+    written = report.sparkSession.read.schema(report.schema).parquet(place)
+    counts = {r["rule"]: r["count"] for r in written.groupBy("rule").count().collect()}
     if not counts:
+        remove(report.sparkSession, place)
         return
-    place = path or f"{shared_folder(report.sparkSession)}/violations-{uuid.uuid4().hex}"
-    rank = report.withColumn("rank", rule_order(F.col("rule")))
-    rank.orderBy("bundle", "rank", "label").drop("rank").write.parquet(place)
     lines = [f"{counts[r]} x {r}" for r in RULES if r in counts]
     raise InvalidBundles("\n".join(["bundle settings are not valid", *lines, f"all of them: {place}"]), place)

@@ -1,5 +1,6 @@
 import pytest
 from fixtures import BASIC, BUNDLE, ENDPOINT, MIB, bundle, rows
+from pyspark.sql import functions as F
 
 from fleetcatalog.operators.validation import InvalidBundles, require_valid, valid_bundles, violations
 
@@ -60,3 +61,15 @@ def test_every_violation_is_kept(spark, tmp_path):
         require_valid(violations(bundles, spark.createDataFrame([], ENDPOINT)), str(tmp_path / "bad"))
     assert failure.value.place == str(tmp_path / "bad")
     assert spark.read.parquet(failure.value.place).count() == 1001
+
+
+def test_the_report_is_evaluated_once(report, tmp_path):
+    """Each row of the report passes a counter on its way; nothing is left where there is nothing to tell."""
+    _, told = report
+    seen = told.sparkSession.sparkContext.accumulator(0)
+    passed = F.udf(lambda rule: seen.add(1) or rule)
+    with pytest.raises(InvalidBundles):
+        require_valid(told.withColumn("rule", passed("rule")), str(tmp_path / "bad"))
+    assert seen.value == 6
+    require_valid(told.limit(0), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
