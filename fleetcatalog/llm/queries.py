@@ -198,7 +198,7 @@ fitting AS (
   FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)),
 urls AS (
   SELECT p.*, rule, ruled, substr(md5(url), 1, 1) > '2' AS learned,
-         '^^^' || regexp_replace(translate(translate(p.host || p.path, '{UPPER}', '{LOWER}'), '0123456789', '0000000000'), '[^a-z0._/-]', '~', 'g') AS t
+         '^^^' || regexp_replace(translate(translate(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE url END, '{UPPER}', '{LOWER}'), '0123456789', '0000000000'), '[^a-z0._/-]', '~', 'g') AS t
   FROM parts p LEFT JOIN fitting f ON f.row = p.row AND rank = 1),
 grams AS (SELECT row, ruled, learned, substr(t, i, 4) AS gram FROM (SELECT row, ruled, learned, t, unnest(range(1, length(t) - 2)) AS i FROM urls)),
 counts AS (

@@ -22,8 +22,6 @@ ORDER = 3
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Letters the models tell: a-z, any digit as 0, . - _ / and one for all else; ^ stands before the start.
 ALPHABET = 32
-#: Grams in a broadcast at most; there are never more than (ALPHABET + 1) ** 4. Beyond, the join shuffles.
-BROADCAST_GRAMS = 300_000
 BINS = 100
 
 
@@ -57,9 +55,11 @@ def decided(rules: tuple[Rule, ...], value) -> Column:
     return F.coalesce(*(F.when(fits(r), F.lit(value(r))) for r in ranked), F.lit(None).cast("string"))
 
 
-def model_text() -> Column:
-    """Host and path in the models' letters, after three marks of the start."""
-    plain = F.translate(F.translate(F.concat("host", "path"), UPPER, LOWER), DIGITS, "0" * 10)
+def model_text(url: str = "url") -> Column:
+    """All after the first ``://``, or the whole URL if it has none, in the models' letters, after three marks of the start."""
+    text = F.coalesce(F.col(url), F.lit(""))
+    rest = F.when(F.contains(text, F.lit("://")), F.substr(text, F.locate("://", text) + 3)).otherwise(text)
+    plain = F.translate(F.translate(rest, UPPER, LOWER), DIGITS, "0" * 10)
     return F.concat(F.lit("^" * ORDER), F.regexp_replace(plain, r"[^a-z0._/-]", "~"))
 
 
@@ -125,17 +125,17 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "p
 
     ``rule`` is that of the longest rule that fits, else null; ``score`` is the mean log ratio per
     character (null if a rule decides). Without a rule a URL is blocked if its score is below the
-    threshold; an empty host and path score 0, and so do all if rules accept or reject no URL. Null URLs
-    are such empty ones, repeated rows are judged each for itself, other columns are not read.
+    threshold; a URL with nothing after ``://`` scores 0, and so do all if rules accept or reject no URL. Rules
+    read host and path, the models all of the URL, with query and fragment. Null URLs are empty, repeated rows are
+    judged each for itself, other columns are not read.
     """
     numbered = keep(pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("page_id"), F.col(url_column).alias("url")))
     urls = numbered.withColumns({"host": host_of(), "path": path_of()})
     urls = urls.withColumns({"rule": decided(rules, lambda r: r.host + r.path), "ruled": decided(rules, lambda r: r.verdict), "model_text": model_text(), "learned": _learned("url")})
     count = lambda k: F.count_if((F.col("ruled") == k) & F.col("learned")).alias(k)
     counts = keep(grams(urls.select("model_text", "ruled", "learned")).groupBy("gram").agg(count("allow"), count("block")))
-    ratios = keep(gram_scores(counts))
-    if ratios.count() <= BROADCAST_GRAMS:
-        ratios = F.broadcast(ratios)
+    #: There are never more than (ALPHABET + 1) ** 4 grams, 1.2 million rows.
+    ratios = F.broadcast(keep(gram_scores(counts)))
     asked = urls.where("ruled IS NULL OR NOT learned").select("row", "ruled", "model_text")
     summed = grams(asked).join(ratios, "gram").groupBy("row").agg(F.first("ruled").alias("ruled"), (F.sum("millionths") / F.count("*") / 1_000_000).alias("score"))
     summed = keep(summed.withColumn("bin", F.floor(F.col("score") * BINS)))

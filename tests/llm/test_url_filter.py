@@ -27,7 +27,7 @@ def plain(urls):
     judged = []
     for u in urls:
         host, path = split(u)
-        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in host + path)
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in ((u or "").split("://", 1)[-1]))
         letters = "".join("0" if c in "0123456789" else c if c in "abcdefghijklmnopqrstuvwxyz._/-" else "~" for c in low)
         judged.append((u, host, path, ruled(host, path), "^^^" + letters if letters else "", hashlib.md5((u or "").encode()).hexdigest()[0] > "2"))
     grams = lambda t: [t[i : i + 4] for i in range(len(t) - 3)]
@@ -99,6 +99,13 @@ def test_model_tells_unseen_hosts_apart(spark):
     assert [r[3] for r in got(url_filter.judge(table(spark, urls + new)))[400:]] == ["allow"] * 20 + ["block"] * 20
 
 
+def test_query_and_fragment_are_judged(spark):
+    """The same host and path with another query, and URLs without a scheme."""
+    urls = [f"http://a.example.org/fr/{i}?ref=friend" for i in range(200)] + [f"http://a.example.com/de/{i}?win=casino" for i in range(200)]
+    new = ["http://b.info/x?ref=friend", "http://b.info/x?win=casino", "http://b.info/x#win=casino", "x?ref=friend", "x?win=casino"]
+    assert [r[3] for r in got(url_filter.judge(table(spark, urls + new)))[400:]] == ["allow", "block", "block", "allow", "block"]
+
+
 def test_given_pages_as_in_sql(spark):
     rows = queries.op10_url_filter(spark, DATA)
     names = sorted(rows.columns)
