@@ -6,22 +6,27 @@ that no test item has ends a suffix, so most starts need no place in it. All tes
 searched in it at once, each as the window it begins with, by binary search for the range of equal
 beginnings. Neighbouring windows on one diagonal join to the longest verbatim match.
 
-The test items come in blocks of up to ``BLOCK_WORDS`` words, each broadcast by itself; the
-documents are read once for each block, and are never shuffled.
+The test items are dealt over blocks of up to ``BLOCK_WORDS`` words. Tasks build the blocks and write
+them down; one after the other is broadcast, and the documents are read once for each. With one block,
+as usual, nothing of the documents is shuffled; with several, only what was found is, by row.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.spread import running_total
 from . import arrays
+from .store import free_name, keep
 
 WINDOW = 13
 #: Words of test items in one broadcast: about 150 bytes each, so 75 MB at most.
@@ -37,7 +42,8 @@ FOUND = T.StructType(
         T.StructField("n_words", T.LongType()),
     ]
 )
-CARRIED = "matches of earlier blocks"
+FOUND_KIND = pa.struct([("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("longest", pa.int64()), ("longest_at", pa.int64()), ("longest_item", pa.string()), ("n_words", pa.int64())])
+CARRIED = "matches"
 
 
 class Block(NamedTuple):
@@ -207,6 +213,12 @@ def _union(spans: list) -> list:
     return out
 
 
+def n_hit() -> Column:
+    """Words in ``spans``."""
+    signed = F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
+    return F.aggregate(signed, F.lit(0).cast("long"), lambda total, x: total + x)
+
+
 def _joined(a: Hit, b: Hit) -> Hit:
     best = max(a, b, key=lambda x: (x.longest, -x.longest_at))
     return Hit(_union(a.spans + b.spans), sorted({*a.items, *b.items}), *best[2:])
@@ -217,60 +229,89 @@ def is_contaminated(n_words: int, spans: list) -> bool:
     return n_hit > 0 and 20 * n_hit >= n_words
 
 
-def _matcher(block, text_at: int, carried: bool, only_clean: bool):
+NOTHING = Hit([], [], 0, None, None)
+
+
+def _matches(column: pa.Array, block: Block) -> tuple[np.ndarray, dict[int, Hit]]:
+    """Words of each row's text, and what was found in those with a hit."""
+    n_words, hits = np.zeros(len(column), np.int64), {}
+    for texts in arrays.slices(column.fill_null(""), SHARD_BYTES):
+        counts, found = match_slice(texts, block)
+        n_words[texts.first : texts.first + len(texts)] = counts
+        hits |= {texts.first + t: hit for t, hit in found.items()}
+    return n_words, hits
+
+
+def _structs(n_words: np.ndarray, hits: list[Hit]) -> pa.Array:
+    return pa.array([hit._asdict() | {"n_words": int(n)} for hit, n in zip(hits, n_words, strict=True)], FOUND_KIND)
+
+
+def _blocks(benchmark: DataFrame, id_column: str, text_column: str, block_words: int) -> list[DataFrame]:
+    """A row with the packed block for each: items go into blocks in their order, by a running total of their size; blocks without a word are left out."""
+
+    def build(key: tuple, items: pa.Table) -> pa.Table:
+        items = items.sort_by("row")
+        block = build_block(list(zip(items["item"].to_pylist(), items["text"].to_pylist(), strict=True)))
+        some = [block] if block else []
+        return pa.table({"block": pa.array([key[0].as_py()] * len(some), pa.int64()), "packed": pa.array([pickle.dumps(b) for b in some], pa.binary())})
+
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    rows = benchmark.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("string").alias("item"), text.alias("text"), (F.floor(F.length(text) / 2) + 1).alias("size"))
+    total = running_total(rows, [], ["row"], "total", "size")
+    dealt = total.select(F.floor((F.col("total") - 1) / block_words).alias("block"), "row", "item", "text")
+    built = keep(dealt.groupBy("block").applyInArrow(build, "block long, packed binary"))
+    #: The numbers of the blocks come to the driver, and each block by itself when it is broadcast.
+    return [built.where(F.col("block") == r["block"]).select("packed") for r in built.select("block").orderBy("block").collect()]
+
+
+def _one_pass(docs: DataFrame, packed: DataFrame, text_at: int, only_clean: bool) -> DataFrame:
+    """``docs`` plus what a block finds, or its clean rows."""
+    held = docs.sparkSession.sparkContext.broadcast(bytes(packed.first()["packed"]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = pickle.loads(held.value)
         for batch in batches:
-            before = batch.column(batch.num_columns - 1).to_pylist() if carried else []
-            if carried:
-                batch = batch.select(range(batch.num_columns - 1))
-            n_words, hits = np.zeros(batch.num_rows, np.int64), {}
-            for texts in arrays.slices(batch.column(text_at).fill_null(""), SHARD_BYTES):
-                counts, found = match_slice(texts, block.value)
-                n_words[texts.first : texts.first + len(texts)] = counts
-                hits |= {texts.first + t: hit for t, hit in found.items()}
-            for i, old in enumerate(before):
-                if old["spans"]:
-                    old = Hit(*(old[name] for name in Hit._fields))
-                    hits[i] = _joined(old, hits[i]) if i in hits else old
+            n_words, hits = _matches(batch.column(text_at), block)
             if only_clean:
-                clean = np.ones(batch.num_rows, bool)
-                for i, hit in hits.items():
-                    clean[i] = not is_contaminated(n_words[i], hit.spans)
-                yield batch.filter(pa.array(clean))
-                continue
-            nothing = Hit([], [], 0, None, None)
-            rows = [hits.get(i, nothing)._asdict() | {"n_words": int(n)} for i, n in enumerate(n_words)]
-            kind = pa.struct([("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("longest", pa.int64()), ("longest_at", pa.int64()), ("longest_item", pa.string()), ("n_words", pa.int64())])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, CARRIED])
-
-    return run
-
-
-def _blocks(benchmark: DataFrame, id_column: str, text_column: str, block_words: int) -> Iterator[list]:
-    """Items in blocks; a partition at a time comes to the driver, and a block of words is held."""
-    items, size = [], 0
-    rows = benchmark.select(F.col(id_column).cast("string"), F.coalesce(F.col(text_column), F.lit("")))
-    for key, text in rows.toLocalIterator():
-        count = len(text) // 2 + 1
-        if items and size + count > block_words:
-            yield items
-            items, size = [], 0
-        items.append((key, text))
-        size += count
-    if items:
-        yield items
-
-
-def _passes(docs: DataFrame, text_at: int, benchmark: DataFrame, benchmark_id: str, benchmark_text: str, block_words: int, only_clean: bool) -> DataFrame | None:
-    """``docs`` after a pass for each block, with what was found or as the clean rows; None if no item has a word."""
-    schema, out = docs.schema, None
-    blocks = [b for x in _blocks(benchmark, benchmark_id, benchmark_text, block_words) if (b := build_block(x))]
-    for k, block in enumerate(blocks):
-        held = docs.sparkSession.sparkContext.broadcast(block)
-        last = only_clean and k == len(blocks) - 1
-        result = schema if last else T.StructType([*schema.fields, T.StructField(CARRIED, FOUND)])
-        out = (docs if out is None else out).mapInArrow(_matcher(held, text_at, k > 0, last), result)
-    return out
+                yield batch.filter(pa.array([i not in hits or not is_contaminated(n, hits[i].spans) for i, n in enumerate(n_words.tolist())], pa.bool_()))
+            else:
+                found = _structs(n_words, [hits.get(i, NOTHING) for i in range(batch.num_rows)])
+                yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, CARRIED])
+
+    return docs.mapInArrow(run, docs.schema if only_clean else T.StructType([*docs.schema.fields, T.StructField(CARRIED, FOUND)]))
+
+
+def _several_passes(numbered: DataFrame, blocks: list[DataFrame]) -> DataFrame:
+    """``row`` and what all blocks find, for each of ``numbered`` (row, text); one block is held at a time."""
+    found = []
+    for packed in blocks:
+        held = numbered.sparkSession.sparkContext.broadcast(bytes(packed.first()["packed"]))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, first=not found) -> Iterator[pa.RecordBatch]:
+            block = pickle.loads(held.value)
+            for batch in batches:
+                n_words, hits = _matches(batch.column(1), block)
+                told = np.arange(batch.num_rows) if first else np.array(sorted(hits), np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(told)), _structs(n_words[told], [hits.get(i, NOTHING) for i in told.tolist()])], names=["row", CARRIED])
+
+        found.append(keep(numbered.mapInArrow(run, T.StructType([numbered.schema["row"], T.StructField(CARRIED, FOUND)]))))
+        held.destroy()
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits, n_words = [], []
+            for parts in batch.column(1).to_pylist():
+                some = [Hit(*(p[name] for name in Hit._fields)) for p in parts if p["spans"]]
+                hits.append(reduce(_joined, some) if some else NOTHING)
+                n_words.append(parts[0]["n_words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _structs(n_words, hits)], names=["row", CARRIED])
+
+    # A row has as many parts as there are blocks at most.
+    listed = every.groupBy("row").agg(F.collect_list(CARRIED).alias("parts"))
+    return listed.mapInArrow(merge, found[0].schema)
 
 
 def contamination(
@@ -287,14 +328,18 @@ def contamination(
     benchmark hits nothing. Repeated rows each get a row. Other columns are not read.
     """
     picked = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    out = _passes(picked, 1, benchmark, benchmark_id, benchmark_text, block_words, False)
-    if out is None:
+    blocks = _blocks(benchmark, benchmark_id, benchmark_text, block_words)
+    if len(blocks) == 1:
+        out = _one_pass(picked, blocks[0], 1, False)
+    elif blocks:
+        numbered = keep(picked.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+        out = numbered.select("row", "doc_id").join(_several_passes(numbered.select("row", "text"), blocks), "row")
+    else:
         empty = F.expr("CAST(array() AS array<bigint>)")
         words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long")
         out = picked.withColumn(CARRIED, F.struct(empty.alias("spans"), F.expr("CAST(array() AS array<string>)").alias("items"), F.lit(0).cast("long").alias("longest"), F.lit(None).cast("long").alias("longest_at"), F.lit(None).cast("string").alias("longest_item"), words.alias("n_words")))
     found = out.select("doc_id", f"`{CARRIED}`.*")
-    signed = F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
-    found = found.withColumn("n_hit", F.aggregate(signed, F.lit(0).cast("long"), lambda total, x: total + x))
+    found = found.withColumn("n_hit", n_hit())
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
@@ -306,7 +351,12 @@ def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, text_column: str = "text", benchmark_id: str = "item_id",
     benchmark_text: str = "text", block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns; nothing is shuffled."""
-    text_at = docs.columns.index(text_column)
-    out = _passes(docs, text_at, benchmark, benchmark_id, benchmark_text, block_words, True)
-    return docs if out is None else out
+    """The rows of ``docs`` that are not contaminated, with all their columns; with one block nothing is shuffled."""
+    blocks = _blocks(benchmark, benchmark_id, benchmark_text, block_words)
+    if len(blocks) < 2:
+        return _one_pass(docs, blocks[0], docs.columns.index(text_column), True) if blocks else docs
+    number = free_name(docs, "row")
+    numbered = keep(docs.withColumn(number, F.monotonically_increasing_id()))
+    found = _several_passes(numbered.select(F.col(number).alias("row"), F.col(text_column).alias("text")), blocks).select(F.col("row").alias(number), f"{CARRIED}.*")
+    contaminated = found.where((n_hit() > 0) & (20 * n_hit() >= F.col("n_words"))).select(number)
+    return numbered.join(contaminated, number, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
