@@ -5,13 +5,11 @@ Every stage takes (spark, docs, sf_dir); its result is written as Parquet and re
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetcatalog.llm import decontaminate, exact_dedup, near_dedup, packing, quality
 from fleetcatalog.llm.queries import read
-from fleetcatalog.llm.store import held_out, shared_folder
+from fleetcatalog.llm.store import held_out, keep
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; what lies between them is written below ``spark.checkpoint.dir``."""
-    docs, folder = read(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages on ``documents``; what lies between them is written as Parquet below ``spark.checkpoint.dir``, until ``release`` removes it."""
+    docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
+            docs = keep(docs)
     return docs
