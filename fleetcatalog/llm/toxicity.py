@@ -1,9 +1,11 @@
 """Operator 9, toxicity: nearest labelled examples by exact TF-IDF cosine, over block-max inverted indexes.
 
-Terms are words that tell the labels apart in the labelled sample. Examples with equal vectors are one
-entry with counts. Entries stand in blocks; for each term the index has its postings and the most it
-weighs in each block. A query adds up bounds of blocks, opens blocks from the highest bound on, and stops
-at the first bound below the last neighbour it needs, so that no nearer example is missed. Neighbours
+All words of the labelled examples are terms. A term weighs its inverse document frequency, counted over
+all documents, times how well it tells the labels apart in the sample (chi-square beyond chance, as a share of
+the best term's, plus ``LEAST_WEIGHT``), so no word is without weight. Examples with equal vectors are one entry with counts.
+Entries stand in blocks, those with the same heaviest terms together; for each term the index has its postings by
+block and the most it weighs in each. A query adds up bounds of blocks, opens blocks from the highest bound on, and
+stops at the first bound below the last neighbour it needs, so that no nearer example is missed. Neighbours
 vote with weights that fall with distance; leave-one-out votes of the examples, made monotone, calibrate
 the scores.
 
@@ -22,11 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrays
-from .store import keep
 
-SAMPLE = 20_000
-#: Terms at most; each has a chi-square of at least LEAST_SHARE of the best one's.
-TERMS, LEAST_SHARE, LEAST_ROWS = 64, 0.05, 5
+SAMPLE = 3_000
+#: What a term weighs that tells nothing, as a share of the best one.
+LEAST_WEIGHT = 0.01
 NEIGHBOURS = 25
 BLOCK = 64
 #: Added to a neighbour's distance before it is inverted.
@@ -51,48 +52,65 @@ def _term_counts(texts: arrays.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 class Index(NamedTuple):
     terms: np.ndarray  # sorted hashes
-    idf: np.ndarray
+    scale: np.ndarray  # weight of each term
     entry_first: np.ndarray  # entry e has terms entry_first[e]:entry_first[e + 1]
     entry_term: np.ndarray
     entry_weight: np.ndarray
-    posting_first: np.ndarray  # term t has postings posting_first[t]:posting_first[t + 1], by entry
+    cell_first: np.ndarray  # term t has cells cell_first[t]:cell_first[t + 1], one for each block it is in
+    cell_block: np.ndarray
+    cell_most: np.ndarray  # the most it weighs there
+    posting_first: np.ndarray  # cell c has postings posting_first[c]:posting_first[c + 1]
     posting_entry: np.ndarray
     posting_weight: np.ndarray
-    block_most: np.ndarray  # [term, block]
     rows: np.ndarray  # examples of entry e, and those of label 1
     toxic: np.ndarray
-    ids: np.ndarray
+    ids: list
     none_rows: int  # examples without any term
     none_toxic: int
     raw: np.ndarray  # calibration: raw votes that rise, and the score of each
     score: np.ndarray
 
 
-def _weights(idf: np.ndarray, term: np.ndarray, count: np.ndarray) -> np.ndarray:
-    w = (1 + np.log(count)) * idf[term]
+def term_weights(rarity: np.ndarray, chi: np.ndarray) -> np.ndarray:
+    """Weights of terms: ``rarity`` is all documents by those with the term; of ``chi`` counts what is above the largest value that chance gives so many terms."""
+    above = np.maximum(chi - 2 * np.log(max(len(chi), 1)), 0)
+    return (1 + np.log(rarity)) * (above / max(above.max(initial=0), 1e-12) + LEAST_WEIGHT)
+
+
+def _weights(scale: np.ndarray, term: np.ndarray, count: np.ndarray) -> np.ndarray:
+    w = (1 + np.log(count)) * scale[term]
     return w / np.sqrt((w * w).sum())
 
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All of ``first[i]``, ``first[i] + 1`` ... one range of ``size[i]`` after the other."""
+    end = np.cumsum(size)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(first - end + size, size)
+
+
 def nearest(index: Index, term: np.ndarray, weight: np.ndarray, need: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
     """The entries that hold the ``need`` nearest examples, ties of the last whole, with cosines; nearest first, ties by entry."""
-    bounds = weight @ index.block_most[term]
+    count = index.cell_first[term + 1] - index.cell_first[term]
+    cell, share = _ranges(index.cell_first[term], count), np.repeat(weight, count)
+    block = index.cell_block[cell]
+    blocks = -(-len(index.rows) // BLOCK)
+    bounds = np.bincount(block, share * index.cell_most[cell], blocks)
     entries, cosines, last = np.zeros(0, np.int64), np.zeros(0), -1.0
     order = np.argsort(-bounds, kind="stable")
     step, at = 4, 0
     while at < len(order) and bounds[order[at]] > 0 and bounds[order[at]] >= last - 1e-12:
-        blocks = order[at : at + step]
-        blocks = blocks[(bounds[blocks] > 0) & (bounds[blocks] >= last - 1e-12)]
+        opened = order[at : at + step]
+        opened = opened[(bounds[opened] > 0) & (bounds[opened] >= last - 1e-12)]
         at, step = at + step, step * 2
-        score = np.zeros((len(blocks), BLOCK))
-        for t, w in zip(term, weight, strict=True):
-            mine, its = (x[index.posting_first[t] : index.posting_first[t + 1]] for x in (index.posting_entry, index.posting_weight))
-            for k, b in enumerate(blocks):
-                i, j = np.searchsorted(mine, (b * BLOCK, (b + 1) * BLOCK))
-                score[k, mine[i:j] - b * BLOCK] += w * its[i:j]
-        got = np.round(score.ravel(), 12)
-        some = got > 0
-        entries = np.concatenate([entries, (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()[some]])
-        cosines = np.concatenate([cosines, got[some]])
+        of = np.zeros(blocks, bool)
+        of[opened] = True
+        some = of[block]
+        first = index.posting_first[cell[some]]
+        size = index.posting_first[cell[some] + 1] - first
+        posting = _ranges(first, size)
+        score = np.round(np.bincount(index.posting_entry[posting], np.repeat(share[some], size) * index.posting_weight[posting], len(index.rows)), 12)
+        met = np.flatnonzero(score > 0)
+        entries, cosines = np.concatenate([entries, met]), np.concatenate([cosines, score[met]])
         sort = np.lexsort((entries, -cosines))
         entries, cosines = entries[sort], cosines[sort]
         enough = int(np.searchsorted(np.cumsum(index.rows[entries]), need))
@@ -125,7 +143,7 @@ def _rising(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.
     return np.array([p[2] for p in pools]), np.maximum.accumulate([(p[1] + 0.5) / (p[0] + 1) for p in pools])
 
 
-def build_index(terms: np.ndarray, idf: np.ndarray, examples: list[tuple]) -> Index:
+def build_index(terms: np.ndarray, scale: np.ndarray, examples: list[tuple]) -> Index:
     """``examples``: (id, label, term numbers, counts), terms rising."""
     groups: dict[tuple, list] = {}
     none = [0, 0]
@@ -138,21 +156,27 @@ def build_index(terms: np.ndarray, idf: np.ndarray, examples: list[tuple]) -> In
         group[0] += 1
         group[1] += int(label)
         group[2] = min(group[2], key)
-    order = sorted(groups)
-    weights = [_weights(idf, np.array(t), np.array(c, float)) for t, c in order]
+
+    def heaviest(group: tuple) -> tuple:
+        term, count = (np.array(x) for x in group)
+        by_weight = np.lexsort((term, -(1 + np.log(count)) * scale[term]))
+        return tuple(term[by_weight[:8]].tolist()), group
+
+    order = sorted(groups, key=heaviest)
+    weights = [_weights(scale, np.array(t), np.array(c, float)) for t, c in order]
     sizes = [len(t) for t, _ in order]
     first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     term = np.concatenate([np.array(t, np.int64) for t, _ in order]) if order else np.zeros(0, np.int64)
     weight = np.concatenate(weights) if order else np.zeros(0)
     entry = np.repeat(np.arange(len(order)), sizes)
     by_term = np.argsort(term, kind="stable")
-    blocks = -(-len(order) // BLOCK)
-    most = np.zeros((len(terms), blocks))
-    np.maximum.at(most, (term, entry // BLOCK), weight)
-    rows, toxic, ids = (np.array([groups[k][i] for k in order], np.int64) for i in range(3))
+    blocks = max(1, -(-len(order) // BLOCK))
+    cells, posting_first = np.unique(term[by_term] * blocks + entry[by_term] // BLOCK, return_index=True)
+    most = np.maximum.reduceat(weight[by_term], posting_first) if len(cells) else np.zeros(0)
+    rows, toxic = (np.array([groups[k][i] for k in order], np.int64) for i in range(2))
     index = Index(
-        terms, idf, first, term, weight, np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))]),
-        entry[by_term], weight[by_term], most, rows, toxic, ids, none[0], none[1], np.zeros(0), np.zeros(0),
+        terms, scale, first, term, weight, np.searchsorted(cells, np.arange(len(terms) + 1) * blocks), cells % blocks, most,
+        np.append(posting_first, len(term)), entry[by_term], weight[by_term], rows, toxic, [groups[k][2] for k in order], none[0], none[1], np.zeros(0), np.zeros(0),
     )
     raw, label, amount = [], [], []
     for e in range(len(order)):
@@ -171,11 +195,35 @@ def calibrated(index: Index, raw: float) -> float:
     return float(np.interp(raw, index.raw, index.score)) if len(index.raw) else raw
 
 
+def _document_counts(texts: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many documents there are, and how many have each term; a task adds up its own before anything is shuffled."""
+    held = texts.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, rows = held.value, 0
+        total = np.zeros(len(terms), np.int64)
+        for batch in batches:
+            rows += batch.num_rows
+            for part in arrays.slices(batch.column(0).fill_null("")):
+                term = _term_counts(part)[1]
+                place = np.minimum(np.searchsorted(terms, term), len(terms) - 1)
+                total += np.bincount(place[terms[place] == term], minlength=len(terms))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], rows))], names=["term", "n"])
+
+    got = texts.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    number, n = got["term"].to_numpy(), got["n"].to_numpy()
+    out = np.zeros(len(terms), np.int64)
+    out[number[number >= 0]] = n[number >= 0]
+    return int(n[number < 0].sum()), out
+
+
 def train(docs: DataFrame, labels: DataFrame, learn, id_column: str = "doc_id", text_column: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Index:
     """The index of the labelled documents that ``learn`` (a condition on doc_id) allows, ``sample`` at most.
 
     A document labelled several times counts once, as 1 if any label is; null ids and labels are left out.
-    Of examples with the same words the one with the smallest id counts.
+    Of examples with the same words, as of repeated rows, the one with the smallest id counts. Ids keep their type. A
+    very long text is an example like any other; the words of the examples come to the driver.
     """
     marked = labels.select(F.col(id_column).alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & learn(F.col("doc_id")))
     picked = marked.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -190,33 +238,33 @@ def train(docs: DataFrame, labels: DataFrame, learn, id_column: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(digest.view(np.int64)), *lists], names=["doc_id", "label", "digest", "terms", "counts"])
 
     many = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("digest", T.LongType()), T.StructField("terms", many), T.StructField("counts", many)])
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    rows = keep(texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label").mapInArrow(run, schema))
-    single = rows.join(rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"])
-    single = keep(single)
-    n, toxic = single.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    counted = single.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("a"), F.sum("label").cast("double").alias("t"))
-    off = F.col("t") * float(n) - F.col("a") * float(toxic)
-    chi = off * off * float(n) / (F.col("a") * (float(n) - F.col("a")) * float(max(toxic * (n - toxic), 1)))
-    ranked = counted.where((F.col("a") >= LEAST_ROWS) & (F.col("a") < float(n))).withColumn("chi", chi).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
-    chosen = sorted((r["term"] & (2**64 - 1), r["a"]) for r in ranked if r["chi"] > 0 and r["chi"] >= LEAST_SHARE * ranked[0]["chi"])
-    terms = np.array([t for t, _ in chosen], np.uint64)
-    idf = np.array([1 + np.log(n / a) for _, a in chosen])
-    number = {int(t): i for i, t in enumerate(terms.view(np.int64))}
-    inside = F.filter(F.arrays_zip("terms", "counts"), lambda x: x["terms"].isin(list(number) or [0]))
-    #: At most SAMPLE rows of at most TERMS terms.
-    examples = [
-        (r["doc_id"], r["label"], *(zip(*sorted((number[x["terms"]], x["counts"]) for x in r["some"] if x["terms"] in number), strict=True) if any(x["terms"] in number for x in r["some"]) else ((), ())))
-        for r in single.select("doc_id", "label", inside.alias("some")).orderBy("doc_id").collect()
-    ]
-    return build_index(terms, idf, examples)
+    kind = docs.schema[id_column].dataType
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("label", T.IntegerType()), T.StructField("digest", T.LongType()), T.StructField("terms", many), T.StructField("counts", many)])
+    texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    rows = texts.join(F.broadcast(picked.select(F.col("doc_id").cast(kind).alias("doc_id"), "label")), "doc_id").select("doc_id", "text", "label").mapInArrow(run, schema)
+    least = F.min_by(F.struct("label", "terms", "counts"), F.col("doc_id")).alias("x")
+    single = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), least).select("doc_id", "x.*").orderBy("doc_id").toArrow()
+    label_of = single["label"].to_numpy()
+    each = [np.asarray(x, np.int64).view(np.uint64) for x in single["terms"].to_pylist()]
+    size = np.array([len(x) for x in each], np.int64)
+    every = np.concatenate(each) if each else np.zeros(0, np.uint64)
+    terms, number = np.unique(every, return_inverse=True)
+    n, toxic, owner = len(label_of), int(label_of.sum()), np.repeat(label_of, size)
+    having, bad = np.bincount(number, minlength=len(terms)), np.bincount(number[owner > 0], minlength=len(terms))
+    off = bad * float(n) - having * float(toxic)
+    chi = off * off * n / np.maximum(having * (n - having) * float(toxic) * (n - toxic), 1)
+    documents, known = _document_counts(texts, terms) if len(terms) else (0, having)
+    scale = term_weights(max(documents, 1) / np.maximum(known, 1), chi)
+    #: At most SAMPLE examples, with the words of their texts.
+    numbers = np.split(number, np.cumsum(size)[:-1]) if n else []
+    examples = list(zip(single["doc_id"].to_pylist(), label_of.tolist(), (x.tolist() for x in numbers), single["counts"].to_pylist(), strict=True))
+    return build_index(terms, scale, examples)
 
 
 def score(docs: DataFrame, index: Index, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, score (0 to 1), raw vote, similarity of the nearest example, and evidence: ids of up to three nearest examples.
 
-    A text without any term, as an empty or null one, has the share of label 1 among such examples; its raw vote, similarity and evidence are null or empty.
+    Repeated rows each get a row; a very long text is one query. A text without any term, as an empty or null one, has the share of label 1 among such examples; its raw vote, similarity and evidence are null or empty.
     """
     held = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -240,15 +288,15 @@ def score(docs: DataFrame, index: Index, id_column: str = "doc_id", text_column:
                     j = bounds[k + 1] if k + 1 < len(bounds) else len(text)
                     key = term[i:j].tobytes() + b"/" + counts[i:j].tobytes()
                     if key not in known:
-                        entries, cosines = nearest(index, term[i:j], _weights(index.idf, term[i:j], counts[i:j].astype(float)))
+                        entries, cosines = nearest(index, term[i:j], _weights(index.scale, term[i:j], counts[i:j].astype(float)))
                         if len(known) >= 100_000:
                             known.clear()
                         raw = vote(index, entries, cosines) if len(entries) else None
-                        known[key] = (none, None, None, []) if raw is None else (calibrated(index, raw), raw, float(cosines[0]), index.ids[entries[:3]].tolist())
+                        known[key] = (none, None, None, []) if raw is None else (calibrated(index, raw), raw, float(cosines[0]), [index.ids[e] for e in entries[:3]])
                     out[texts.first + int(text[i])] = known[key]
-            columns = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int64())))]
+            columns = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.float64(), pa.float64(), pa.float64(), pa.list_(batch.schema.field(0).type)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=VOTE_COLUMNS)
 
     picked = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     doubles = [T.StructField(n, T.DoubleType()) for n in VOTE_COLUMNS[1:4]]
-    return picked.mapInArrow(run, T.StructType([picked.schema["doc_id"], *doubles, T.StructField("evidence", T.ArrayType(T.LongType()))]))
+    return picked.mapInArrow(run, T.StructType([picked.schema["doc_id"], *doubles, T.StructField("evidence", T.ArrayType(picked.schema["doc_id"].dataType))]))
