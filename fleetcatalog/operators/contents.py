@@ -6,10 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import artifact_name
+from ..store import durable
 
 READ_BYTES = 1 << 20
 
@@ -106,3 +107,46 @@ def load_contents(batch: DataFrame, catalog_path: str, id_col: str, content: str
     new = new_contents(batch, others, id_col, content)
     new.select("digest", "first_id").write.mode("overwrite").parquet(f"{catalog_path}/load={load_id}")
     return spark.read.schema(schema).parquet(catalog_path)
+
+
+def create_catalog(spark: SparkSession, table: str, path: str, buckets: int, id_type: str = "bigint") -> None:
+    """An empty catalog table ``(digest, first_id, load)`` at ``path``, kept in so many buckets by digest."""
+    spark.sql(
+        f"CREATE TABLE {table} (digest STRING, first_id {id_type}, load STRING) USING parquet "
+        f"PARTITIONED BY (load) CLUSTERED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+
+
+def _buckets(spark: SparkSession, table: str) -> int:
+    told = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Num Buckets'")
+    return int(told.first()["data_type"])
+
+
+def unknown_contents(batch: DataFrame, table: str, id_col: str, content: str, load_id: str) -> DataFrame:
+    """Contents of ``batch`` that no other load of a catalog table has: ``(digest, first_id)``.
+
+    The batch is dealt over the table's buckets, so the table is read where it lies and never shuffled,
+    however often it is loaded into. Equal contents are one before that.
+    """
+    spark = batch.sparkSession
+    fresh = batch.select(F.col(id_col).alias("id"), digest(F.col(content)).alias("digest")).groupBy("digest").agg(F.min("id").alias("first_id"))
+    others = spark.table(table).filter(F.col("load") != load_id).select(F.col("digest").alias("known"))
+    # A left join, as an anti join would be moved below the dealing. No two rows of the other loads are equal.
+    dealt = fresh.repartition(_buckets(spark, table), "digest")
+    joined = dealt.join(others.hint("merge"), F.col("digest") == F.col("known"), "left")
+    return joined.filter(F.col("known").isNull()).select("digest", "first_id")
+
+
+def load_catalog(batch: DataFrame, table: str, id_col: str, content: str, load_id: str) -> DataFrame:
+    """Adds the unknown contents of ``batch`` to a catalog table as the load of that name, and returns the whole catalog.
+
+    A load of the same name is replaced, so running it again changes nothing. What is new is written down
+    before the table is touched.
+    """
+    spark = batch.sparkSession
+    new, buckets = durable(unknown_contents(batch, table, id_col, content, load_id)), _buckets(spark, table)
+    new.repartition(buckets, "digest").createOrReplaceTempView(f"{table}_new")
+    name = load_id.replace("'", "\\'")
+    spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (load = '{name}') SELECT digest, first_id FROM {table}_new")
+    spark.catalog.dropTempView(f"{table}_new")
+    return spark.table(table)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,7 +33,7 @@ from ..operators import contents, fold, history, install, manifest, matching, ov
 from ..operators import overrides, placement, ports, routes, services, validation
 from ..operators.overrides import ACLS
 from ..operators.spread import previous_value
-from ..store import durable
+from ..store import durable, shared_folder
 from ..sources import reports
 from . import distribution, local_run
 
@@ -154,6 +155,17 @@ def incremental_load(spark: SparkSession, folder: str) -> DataFrame:
     return contents.new_contents(documents, catalog, "doc_id", "text")
 
 
+def catalog_load(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled documents, then all, loaded into a catalog in buckets; the second load twice."""
+    documents = _read(spark, folder, "documents")
+    labelled = documents.join(_read(spark, folder, "labels").select("doc_id"), "doc_id", "left_semi")
+    table = f"catalog_{uuid.uuid4().hex}"
+    contents.create_catalog(spark, table, f"{shared_folder(spark)}/{table}", 8)
+    contents.load_catalog(labelled, table, "doc_id", "text", "labelled")
+    contents.load_catalog(documents, table, "doc_id", "text", "all")
+    return contents.load_catalog(documents, table, "doc_id", "text", "all")
+
+
 def path_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Each page path as a plain rule and as three regexes: prefix, whole path, and one with a double slash."""
     def form(name: str, path: Column, is_regex: bool) -> Column:
@@ -851,6 +863,7 @@ QUERIES: dict[str, Query] = {
         content_catalog,
         content_names,
         incremental_load,
+        catalog_load,
         path_rules,
         pair_requests,
         tuple_requests,

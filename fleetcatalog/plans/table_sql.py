@@ -245,6 +245,10 @@ SELECT doc_id AS id, sha256(text) AS digest, source || '-' || sha256(text) || '.
 SELECT sha256(text) AS digest, min(doc_id) AS first_id FROM documents
 WHERE sha256(text) NOT IN (SELECT sha256(d.text) FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM labels))
 GROUP BY sha256(text)""",
+    "catalog_load": """
+WITH d AS (SELECT doc_id, sha256(text) AS digest, doc_id IN (SELECT doc_id FROM labels) AS labelled FROM documents)
+SELECT digest, min(doc_id) AS first_id, 'labelled' AS load FROM d WHERE labelled GROUP BY digest
+UNION ALL SELECT digest, min(doc_id), 'all' FROM d WHERE NOT EXISTS (SELECT 1 FROM d x WHERE x.labelled AND x.digest = d.digest) GROUP BY digest""",
     "path_rules": f"""
 WITH {PATHS},
 raw AS (
