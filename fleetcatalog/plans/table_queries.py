@@ -34,7 +34,7 @@ from ..operators import overrides, placement, ports, routes, services, validatio
 from ..operators.overrides import ACLS
 from ..operators.spread import previous_value
 from ..store import durable, shared_folder
-from ..sources import reports
+from ..sources import documents, reports
 from . import distribution, local_run
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -575,6 +575,16 @@ def _supplier_manifests(spark: SparkSession, folder: str, moved: bool = False) -
     return durable(manifest.manifest_emit(manifest.resource_normalize(manifest.bundle_names(bundles)), endpoints))
 
 
+def manifest_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Manifests of suppliers written as a file each, and the ports of their endpoints read from the files again."""
+    manifests = _supplier_manifests(spark, folder)
+    artifacts = manifest.manifest_digests(manifests).select("bundle", F.concat("bundle", F.lit("-"), "digest", F.lit(".json")).alias("artifact"))
+    path = f"{shared_folder(spark)}/manifests-{uuid.uuid4().hex}"
+    documents.write_documents(manifests, artifacts, path)
+    port = F.get_json_object("document", "$['bind-port']").cast("int")
+    return documents.read_documents(spark, path).select("bundle", "label", port.alias("port"))
+
+
 def manifest_tree(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.manifest_tree(_supplier_manifests(spark, folder))
 
@@ -890,6 +900,7 @@ QUERIES: dict[str, Query] = {
         report_counts,
         manifest_emit,
         manifest_artifacts,
+        manifest_files,
         manifest_tree,
         manifest_changes,
         detected_manifests,

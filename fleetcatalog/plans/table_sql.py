@@ -390,6 +390,9 @@ SELECT c_custkey // 50 AS report, c_custkey::VARCHAR AS id, c_name AS name, c_na
        length(c_mktsegment)::INTEGER AS starting, NULL::INTEGER AS running FROM customer""",
     "manifest_emit": MANIFESTS,
     "manifest_artifacts": f"WITH m AS ({MANIFESTS}), {_digests('m')} SELECT * FROM digests",
+    "manifest_files": """
+SELECT l_suppkey::VARCHAR AS bundle, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS label, max(l_linenumber)::INTEGER AS port
+FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY ALL""",
     "manifest_tree": f"WITH m AS ({_supplier_manifests(False)}), {_tree('m')} SELECT * FROM tree",
     "manifest_changes": f"""
 WITH o AS ({_supplier_manifests(False)}), n AS ({_supplier_manifests(True)})
