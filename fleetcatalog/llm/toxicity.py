@@ -4,7 +4,8 @@ All words of the labelled examples are terms. A term weighs its inverse document
 all documents, times how well it tells the labels apart in the sample (chi-square beyond chance, as a share of
 the best term's, plus ``LEAST_WEIGHT``), so no word is without weight. Examples with equal vectors are one entry with counts.
 Entries stand in blocks, those with the same heaviest terms together; for each term the index has its postings by
-block and the most it weighs in each. A query adds up bounds of blocks, opens blocks from the highest bound on, and
+block and the most it weighs in each. The few terms that are in very many entries have a whole row instead, and are added
+up for many queries at once, so that their part of a bound is what they give. A query adds up bounds of blocks, opens blocks from the highest bound on, and
 stops at the first bound below the last neighbour it needs, so that no nearer example is missed. Neighbours
 vote with weights that fall with distance; leave-one-out votes of the examples, made monotone, calibrate
 the scores.
@@ -30,6 +31,8 @@ SAMPLE = 3_000
 LEAST_WEIGHT = 0.01
 NEIGHBOURS = 25
 BLOCK = 64
+#: Terms in this share of the entries or more have a row of weights; queries are multiplied with them QUERIES at once.
+COMMON, QUERIES = 0.05, 256
 #: Added to a neighbour's distance before it is inverted.
 NEAR = 0.05
 VOTE_COLUMNS = ["doc_id", "score", "raw", "similarity", "evidence"]
@@ -56,7 +59,9 @@ class Index(NamedTuple):
     entry_first: np.ndarray  # entry e has terms entry_first[e]:entry_first[e + 1]
     entry_term: np.ndarray
     entry_weight: np.ndarray
-    cell_first: np.ndarray  # term t has cells cell_first[t]:cell_first[t + 1], one for each block it is in
+    common_at: np.ndarray  # row of each term in ``common``, or -1
+    common: np.ndarray  # [row, entry] weights
+    cell_first: np.ndarray  # any other term t has cells cell_first[t]:cell_first[t + 1], one for each block it is in
     cell_block: np.ndarray
     cell_most: np.ndarray  # the most it weighs there
     posting_first: np.ndarray  # cell c has postings posting_first[c]:posting_first[c + 1]
@@ -88,13 +93,28 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(end[-1] if len(end) else 0) + np.repeat(first - end + size, size)
 
 
-def nearest(index: Index, term: np.ndarray, weight: np.ndarray, need: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-    """The entries that hold the ``need`` nearest examples, ties of the last whole, with cosines; nearest first, ties by entry."""
+def common_parts(index: Index, query: np.ndarray, term: np.ndarray, weight: np.ndarray, count: int) -> np.ndarray:
+    """[query, entry]: what the common terms give, of ``count`` queries whose terms are listed with their number."""
+    row = index.common_at[term]
+    dense = np.zeros((count, len(index.common)))
+    dense[query[row >= 0], row[row >= 0]] = weight[row >= 0]
+    return dense @ index.common
+
+
+def nearest(index: Index, term: np.ndarray, weight: np.ndarray, need: int = NEIGHBOURS, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The entries that hold the ``need`` nearest examples, ties of the last whole, with cosines; nearest first, ties by entry.
+
+    ``part`` is what the common terms give to each entry, if it is known.
+    """
+    if part is None:
+        part = common_parts(index, np.zeros(len(term), np.int64), term, weight, 1)[0]
     count = index.cell_first[term + 1] - index.cell_first[term]
     cell, share = _ranges(index.cell_first[term], count), np.repeat(weight, count)
     block = index.cell_block[cell]
-    blocks = -(-len(index.rows) // BLOCK)
+    blocks = -(-len(part) // BLOCK)
     bounds = np.bincount(block, share * index.cell_most[cell], blocks)
+    if blocks:
+        bounds = bounds + np.maximum.reduceat(part, np.arange(0, len(part), BLOCK))
     entries, cosines, last = np.zeros(0, np.int64), np.zeros(0), -1.0
     order = np.argsort(-bounds, kind="stable")
     step, at = 4, 0
@@ -108,16 +128,18 @@ def nearest(index: Index, term: np.ndarray, weight: np.ndarray, need: int = NEIG
         first = index.posting_first[cell[some]]
         size = index.posting_first[cell[some] + 1] - first
         posting = _ranges(first, size)
-        score = np.round(np.bincount(index.posting_entry[posting], np.repeat(share[some], size) * index.posting_weight[posting], len(index.rows)), 12)
-        met = np.flatnonzero(score > 0)
-        entries, cosines = np.concatenate([entries, met]), np.concatenate([cosines, score[met]])
+        rest = np.bincount(index.posting_entry[posting], np.repeat(share[some], size) * index.posting_weight[posting], len(part))
+        inside = (opened[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        inside = inside[inside < len(part)]
+        score = np.round(rest[inside] + part[inside], 12)
+        entries, cosines = np.concatenate([entries, inside[score > 0]]), np.concatenate([cosines, score[score > 0]])
         sort = np.lexsort((entries, -cosines))
         entries, cosines = entries[sort], cosines[sort]
         enough = int(np.searchsorted(np.cumsum(index.rows[entries]), need))
         if enough < len(entries):
             last = cosines[enough]
-            inside = cosines >= last
-            entries, cosines = entries[inside], cosines[inside]
+            kept = cosines >= last
+            entries, cosines = entries[kept], cosines[kept]
     return entries, cosines
 
 
@@ -143,8 +165,8 @@ def _rising(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.
     return np.array([p[2] for p in pools]), np.maximum.accumulate([(p[1] + 0.5) / (p[0] + 1) for p in pools])
 
 
-def build_index(terms: np.ndarray, scale: np.ndarray, examples: list[tuple]) -> Index:
-    """``examples``: (id, label, term numbers, counts), terms rising."""
+def build_index(terms: np.ndarray, scale: np.ndarray, examples: list[tuple], common: float = COMMON) -> Index:
+    """``examples``: (id, label, term numbers, counts), terms rising. ``common``: see COMMON."""
     groups: dict[tuple, list] = {}
     none = [0, 0]
     for key, label, term, count in examples:
@@ -169,14 +191,19 @@ def build_index(terms: np.ndarray, scale: np.ndarray, examples: list[tuple]) ->
     term = np.concatenate([np.array(t, np.int64) for t, _ in order]) if order else np.zeros(0, np.int64)
     weight = np.concatenate(weights) if order else np.zeros(0)
     entry = np.repeat(np.arange(len(order)), sizes)
+    often = np.bincount(term, minlength=len(terms)) >= max(common * len(order), 1)
+    common_at = np.where(often, np.cumsum(often) - 1, -1)
+    rows_of = np.zeros((int(often.sum()), len(order)))
+    rows_of[common_at[term[often[term]]], entry[often[term]]] = weight[often[term]]
     by_term = np.argsort(term, kind="stable")
+    by_term = by_term[~often[term[by_term]]]
     blocks = max(1, -(-len(order) // BLOCK))
     cells, posting_first = np.unique(term[by_term] * blocks + entry[by_term] // BLOCK, return_index=True)
     most = np.maximum.reduceat(weight[by_term], posting_first) if len(cells) else np.zeros(0)
     rows, toxic = (np.array([groups[k][i] for k in order], np.int64) for i in range(2))
     index = Index(
-        terms, scale, first, term, weight, np.searchsorted(cells, np.arange(len(terms) + 1) * blocks), cells % blocks, most,
-        np.append(posting_first, len(term)), entry[by_term], weight[by_term], rows, toxic, [groups[k][2] for k in order], none[0], none[1], np.zeros(0), np.zeros(0),
+        terms, scale, first, term, weight, common_at, rows_of, np.searchsorted(cells, np.arange(len(terms) + 1) * blocks), cells % blocks, most,
+        np.append(posting_first, len(by_term)), entry[by_term], weight[by_term], rows, toxic, [groups[k][2] for k in order], none[0], none[1], np.zeros(0), np.zeros(0),
     )
     raw, label, amount = [], [], []
     for e in range(len(order)):
@@ -271,7 +298,6 @@ def score(docs: DataFrame, index: Index, id_column: str = "doc_id", text_column:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
         none = (index.none_toxic + 0.5) / (index.none_rows + 1)
-        known: dict[bytes, tuple] = {}
         for batch in batches:
             out: list[tuple] = [(none, None, None, [])] * batch.num_rows
             for texts in arrays.slices(batch.column(1).fill_null("")):
@@ -283,17 +309,19 @@ def score(docs: DataFrame, index: Index, id_column: str = "doc_id", text_column:
                 some = index.terms[place] == hashes
                 pairs, counts = np.unique(found.text[some] * len(index.terms) + place[some], return_counts=True)
                 text, term = np.divmod(pairs, len(index.terms))
-                bounds = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else []
-                for k, i in enumerate(bounds):
-                    j = bounds[k + 1] if k + 1 < len(bounds) else len(text)
-                    key = term[i:j].tobytes() + b"/" + counts[i:j].tobytes()
-                    if key not in known:
-                        entries, cosines = nearest(index, term[i:j], _weights(index.scale, term[i:j], counts[i:j].astype(float)))
-                        if len(known) >= 100_000:
-                            known.clear()
-                        raw = vote(index, entries, cosines) if len(entries) else None
-                        known[key] = (none, None, None, []) if raw is None else (calibrated(index, raw), raw, float(cosines[0]), [index.ids[e] for e in entries[:3]])
-                    out[texts.first + int(text[i])] = known[key]
+                starts = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else np.zeros(0, np.int64)
+                ends = np.append(starts[1:], len(text))
+                weight = (1 + np.log(counts)) * index.scale[term]
+                weight /= np.repeat(np.sqrt(np.add.reduceat(weight * weight, starts)), ends - starts) if len(starts) else 1
+                for some in range(0, len(starts), QUERIES):
+                    first, last = starts[some : some + QUERIES], ends[some : some + QUERIES]
+                    inner = slice(first[0], last[-1])
+                    parts = common_parts(index, np.repeat(np.arange(len(first)), last - first), term[inner], weight[inner], len(first))
+                    for i, j, part in zip(first, last, parts, strict=True):
+                        entries, cosines = nearest(index, term[i:j], weight[i:j], part=part)
+                        if len(entries):
+                            raw = vote(index, entries, cosines)
+                            out[texts.first + int(text[i])] = (calibrated(index, raw), raw, float(cosines[0]), [index.ids[e] for e in entries[:3]])
             columns = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.float64(), pa.float64(), pa.float64(), pa.list_(batch.schema.field(0).type)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=VOTE_COLUMNS)
 

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from conftest_llm import DATA, ODD, table
 
 from fleetcatalog.llm import queries, toxicity
@@ -10,19 +11,21 @@ from fleetcatalog.llm import queries, toxicity
 LARGER = "/root/testdata/sf0.01"
 
 
-def index(seed, count=700, terms=12):
+def index(seed, count=700, terms=12, common=toxicity.COMMON):
     pick = np.random.default_rng(seed)
     idf = 1 + pick.random(terms) * 3
     examples = []
     for i in range(count):
         some = np.flatnonzero(pick.random(terms) < 0.25)
         examples.append((i, int(pick.random() < 0.2 + 0.6 * (0 in some)), tuple(some.tolist()), tuple(pick.integers(1, 4, len(some)).tolist())))
-    return toxicity.build_index(np.arange(terms, dtype=np.uint64), idf, examples)
+    return toxicity.build_index(np.arange(terms, dtype=np.uint64), idf, examples, common)
 
 
-def test_no_nearer_example_is_missed():
-    made = index(1)
-    assert made.cell_block.max() > 2
+@pytest.mark.parametrize("common", [0.0, 0.25, 2.0])
+def test_no_nearer_example_is_missed(common):
+    """With rows for all terms, for some, and for none."""
+    made = index(1, common=common)
+    assert len(made.rows) > 3 * toxicity.BLOCK and (common == 0.25) == (0 < len(made.common) < 12)
     dense = np.zeros((len(made.rows), len(made.scale)))
     for e in range(len(made.rows)):
         i, j = made.entry_first[e : e + 2]
