@@ -206,13 +206,17 @@ def build_index(terms: np.ndarray, scale: np.ndarray, examples: list[tuple], com
         np.append(posting_first, len(by_term)), entry[by_term], weight[by_term], rows, toxic, [groups[k][2] for k in order], none[0], none[1], np.zeros(0), np.zeros(0),
     )
     raw, label, amount = [], [], []
-    for e in range(len(order)):
-        found = nearest(index, term[first[e] : first[e + 1]], weight[first[e] : first[e + 1]], NEIGHBOURS + 1)
-        for y, n in ((1, toxic[e]), (0, rows[e] - toxic[e])):
-            if n:
-                raw.append(vote(index, *found, (e, y)))
-                label.append(y)
-                amount.append(n)
+    for some in range(0, len(order), QUERIES):
+        last = min(some + QUERIES, len(order))
+        mine = slice(first[some], first[last])
+        parts = common_parts(index, entry[mine] - some, term[mine], weight[mine], last - some)
+        for e in range(some, last):
+            found = nearest(index, term[first[e] : first[e + 1]], weight[first[e] : first[e + 1]], NEIGHBOURS + 1, parts[e - some])
+            for y, n in ((1, toxic[e]), (0, rows[e] - toxic[e])):
+                if n:
+                    raw.append(vote(index, *found, (e, y)))
+                    label.append(y)
+                    amount.append(n)
     pools = _rising(np.round(np.array(raw), 9), np.array(label, float), np.array(amount, float)) if raw else (np.zeros(0), np.zeros(0))
     return index._replace(raw=pools[0], score=pools[1])
 
