@@ -34,8 +34,9 @@ def _anchored(pattern: Column) -> Column:
 # Groups nested deeper than this are not looked into.
 GROUP_DEPTH = 4
 
-# Keys so short that very many paths begin with them are dealt over buckets of paths.
-SHORT = 1
+# Keys so short that very many paths begin with them are dealt over buckets of paths, so many for each
+# partition that their hashes fill all alike.
+SHORT, BUCKETS_EACH = 1, 16
 
 # Characters of a text that a regex is looked up by.
 GRAM = 3
@@ -74,7 +75,7 @@ def required_grams(pattern: Column) -> Column:
 
 
 def _buckets(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return BUCKETS_EACH * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _bucket(key: Column, path: Column, buckets: int) -> Column:
