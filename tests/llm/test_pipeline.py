@@ -56,7 +56,7 @@ def test_odd_rows_and_other_columns(spark):
 
 def test_registered(spark):
     names = set(__spark_entry__.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {name.split("_")[0] + "_" for name in names if name.startswith("op") and name[2].isdigit()}
+    assert {f"op{n}_" for n in range(1, 14)} == {name.split("_")[0] + "_" for name in names if name.startswith("op") and name[2].isdigit()}
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= names
 
 
