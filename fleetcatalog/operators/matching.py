@@ -106,20 +106,24 @@ def regex_candidates(paths: DataFrame, rules: DataFrame) -> DataFrame:
 
     ``rules`` has ``value`` and ``grams`` (see ``required_grams``). For each alternative the gram is
     chosen that is in the fewest paths, so a frequent one costs tests only where a rule has no other.
-    Paths are read twice, to count the grams that rules ask for and to look the chosen ones up; a path
+    Paths are read twice, to count their grams and to look the chosen ones up; a path
     that has the grams of several alternatives is taken at the first.
+
+    Sides that are made of exploded grams are far larger than the files they are read from, by which the
+    planner would broadcast them through the driver, so they are merged instead.
     """
     numbered = durable(rules.withColumn("_rule", F.monotonically_increasing_id()))
     asked = numbered.select("_rule", F.posexplode("grams").alias("_alternative", "_grams")).select("_rule", "_alternative", F.explode("_grams").alias("_gram"))
     held = paths.select("path", "method", F.explode(_grams(F.col("path"))).alias("_gram"))
-    counts = held.join(asked.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    counted = asked.join(counts, "_gram", "left").withColumn("_n", F.coalesce("_n", F.lit(0).cast("long")))
+    # Grams are counted before they are shuffled.
+    counts = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    counted = asked.join(counts.hint("merge"), "_gram", "left").withColumn("_n", F.coalesce("_n", F.lit(0).cast("long")))
     rarest = counted.groupBy("_rule", "_alternative").agg(F.min(F.struct("_n", "_gram")).alias("_least"))
     # A gram that no path has rules its alternative out.
     listed = rarest.filter("_least._n > 0").groupBy("_rule").agg(F.array_sort(F.collect_list(F.struct("_alternative", "_least._gram"))).alias("_chosen"))
     each = listed.select("_rule", F.transform("_chosen", lambda c: c["_gram"]).alias("_all")).select("_rule", "_all", F.posexplode("_all").alias("_at", "_gram"))
-    keyed = numbered.drop("grams").join(each.select("_rule", "_gram", F.slice("_all", F.lit(1), F.col("_at")).alias("_earlier")), "_rule")
-    found = held.join(durable(keyed), "_gram")
+    keyed = numbered.drop("grams").join(each.select("_rule", "_gram", F.slice("_all", F.lit(1), F.col("_at")).alias("_earlier")).hint("merge"), "_rule")
+    found = held.join(durable(keyed).hint("merge"), "_gram")
     first = ~F.exists("_earlier", lambda g: F.contains(F.col("path"), g))
     return found.filter(first).drop("_gram", "_earlier", "_rule")
 

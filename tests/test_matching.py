@@ -188,3 +188,12 @@ def test_names_are_not_joined_by_their_prefixes(spark):
     queries = names.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.left("name", n))).alias("query"))
     got = name_resolve(queries, names)
     assert got.filter("status = 'resolved'").count() == 500 and got.filter("query = 'name-1'").first().candidates == 111
+
+
+def test_exploded_grams_are_not_broadcast(spark):
+    """However small the files of rules and paths look, their grams are not sent through the driver."""
+    rules = spark.range(50).select(F.concat(F.lit(".*/item-"), "id", F.lit("$")).alias("value")).withColumn("grams", required_grams(F.col("value")))
+    paths = spark.range(50).select(F.concat(F.lit("/shop/item-"), "id").alias("path"), F.lit("GET").alias("method"))
+    pairs = regex_candidates(paths, rules)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.filter(F.rlike("path", F.col("value"))).count() == 50
