@@ -37,7 +37,7 @@ from ..functions.fixed import (
     WEB_HEAP_MIB,
     WEB_MEMORY_MIB,
 )
-from .spread import durable, prefixed, same
+from .spread import durable, prefixed
 
 
 def resource_normalize(bundles: DataFrame) -> DataFrame:
@@ -180,6 +180,80 @@ def manifest_emit(bundles: DataFrame, endpoints: DataFrame, order: Sequence[str]
 # Children of a node of a hash tree: one for each hex digit. A leaf has so many endpoints on average, at most.
 FANOUT, DEEPEST = 16, 15
 
+# Levels of a hash tree above its leaves that are built where the endpoints are dealt, in one task each.
+SUBTREE = 2
+
+# Documents longer than this are dealt as their digest. Shorter ones take less room than a digest, being compressed.
+DEALT_BYTES = 256
+
+
+def _digest(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def _levels(endpoints: DataFrame) -> DataFrame:
+    """``(of, level)``: the level of the leaves of each bundle that has more than a root, which are few beside the endpoints."""
+    counts = endpoints.groupBy(F.col("bundle").alias("of")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FANOUT)
+    level = sum((F.col("n") > FANOUT ** (k + 1)).cast("int") for k in range(DEEPEST))
+    return durable(counts.select("of", level.alias("level")))
+
+
+def _parent(kids: Column) -> Column:
+    return _digest(F.array_join(F.array_sort(F.transform(kids, lambda k: F.concat(k["node"], F.lit(":"), k["hash"]))), ","))
+
+
+def _tree(manifests: DataFrame) -> DataFrame:
+    """The rows of :func:`manifest_tree` and whether they are a ``leaf``, with hashes as bytes.
+
+    Endpoints are shuffled once, by the node that is ``SUBTREE`` levels above their leaf, and their digests are made
+    after that, as they can't be compressed. All nodes up to that one are built in its task; it has few children
+    on every level, so no task has a whole bundle. Levels above have a row for thousands of endpoints.
+    """
+    endpoints = manifests.filter(F.col("bundle").isNotNull() & F.col("label").isNotNull()).select("bundle", "label", "document")
+    levels = _levels(endpoints)
+    deepest = levels.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
+    at = _digest(F.col("label"))
+    own = _digest(F.concat("label", F.lit(":"), "document"))
+    long = F.octet_length("document") > DEALT_BYTES
+    dealt = endpoints.join(levels, F.col("bundle") == F.col("of"), "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    dealt = dealt.select(
+        "bundle", "level", "label", F.when(F.col("level") > SUBTREE, F.left(at, F.col("level") - SUBTREE)).otherwise("").alias("top"),
+        F.when(~long, F.col("document")).alias("document"), F.when(long, F.unhex(own)).alias("own"),
+    ).repartition("bundle", "top")
+    parted = dealt.select("bundle", "level", "top", at.alias("at"), F.coalesce(F.lower(F.hex("own")), own).alias("own"))
+    group, total = ["bundle", "level", "top"], F.sum("n").alias("n")
+    parts = F.collect_list(F.concat("at", "own"))
+    built = parted.groupBy(*group, F.left("at", F.col("level")).alias("node")).agg(F.count(F.lit(1)).alias("n"), _digest(F.array_join(F.array_sort(parts), ",")).alias("hash"))
+    listed = F.struct("node", "n", "hash", F.col("level").alias("at"), F.lit(True).alias("leaf"))
+    built = built.select(*group, "node", "n", "hash", F.array(listed).alias("below"))
+    for up in range(1, SUBTREE + 1):
+        # Bundles that have no such level keep what they have, which is their root.
+        there = F.col("level") >= up
+        node = F.when(there, F.left("node", F.col("level") - up)).otherwise(F.col("node"))
+        kids = F.collect_list(F.struct("node", "n", "hash", "below"))
+        built = built.groupBy(*group, node.alias("up")).agg(total, kids.alias("kids"))
+        hash_ = F.when(there, _parent(F.col("kids"))).otherwise(F.element_at("kids", 1)["hash"])
+        built = built.select(*group, F.col("up").alias("node"), "n", hash_.alias("hash"), F.flatten("kids.below").alias("below"))
+        own_row = F.struct("node", "n", "hash", (F.col("level") - up).alias("at"), F.lit(False).alias("leaf"))
+        built = built.withColumn("below", F.when(there, F.concat("below", F.array(own_row))).otherwise(F.col("below")))
+    columns = ["bundle", F.col("at").alias("level"), "node", F.col("n").alias("endpoints"), F.unhex("hash").alias("hash"), "leaf"]
+    out = built.select("bundle", F.inline("below")).select(*columns)
+    if deepest <= SUBTREE:
+        return out
+    out = durable(out)
+    tops = levels.filter(F.col("level") > SUBTREE).select("of", (F.col("level") - SUBTREE).alias("_top"))
+    pending = out.join(tops, (F.col("bundle") == F.col("of")) & (F.col("level") == F.col("_top"))).select("bundle", "level", "node", "endpoints", "hash")
+    pending = durable(pending)
+    for level in range(deepest - SUBTREE - 1, -1, -1):
+        kids = F.collect_list(F.struct("node", F.lower(F.hex("hash")).alias("hash")))
+        below = pending.filter(F.col("level") == level + 1)
+        made = below.groupBy("bundle", F.left("node", F.lit(level)).alias("up")).agg(F.sum("endpoints").alias("endpoints"), F.unhex(_parent(kids)).alias("hash"))
+        # Read for this level and by the one above.
+        made = durable(made.select("bundle", F.lit(level).alias("level"), F.col("up").alias("node"), "endpoints", "hash"))
+        out = out.unionByName(made.withColumn("leaf", F.lit(False)))
+        pending = pending.unionByName(made)
+    return out
+
 
 def manifest_tree(manifests: DataFrame) -> DataFrame:
     """The hash tree over the endpoints of each bundle: ``(bundle, level, node, endpoints, hash)``.
@@ -190,30 +264,7 @@ def manifest_tree(manifests: DataFrame) -> DataFrame:
     hashes, in order. The root has level 0 and an empty name. So a changed endpoint changes the nodes above it only, no
     node has many children, and the tree does not depend on partitions. Bundles without endpoints have none.
     """
-    digest = lambda c: F.sha2(c.cast("binary"), 256)
-    leaves = manifests.filter(F.col("label").isNotNull()).select("bundle", digest(F.col("label")).alias("at"), digest(F.concat("label", F.lit(":"), "document")).alias("own"))
-    leaves = durable(leaves)
-    counts = leaves.groupBy(F.col("bundle").alias("of")).agg(F.count(F.lit(1)).alias("n"))
-    level = sum((F.col("n") > FANOUT ** (k + 1)).cast("int") for k in range(DEEPEST))
-    counts = durable(counts.select("of", level.alias("level")))
-    deepest = counts.agg(F.coalesce(F.max("level"), F.lit(-1))).first()[0]
-    below = leaves.join(counts, F.col("bundle") == F.col("of")).select(
-        "bundle", "level", F.expr("left(at, level)").alias("node"), F.concat("at", "own").alias("part"), F.lit(1).cast("long").alias("n")
-    )
-    pending, out = below, None
-    for at in range(deepest, -1, -1):
-        parts = F.array_join(F.array_sort(F.collect_list("part")), ",")
-        made = pending.filter(F.col("level") == at).groupBy("bundle", "node").agg(F.sum("n").alias("endpoints"), digest(parts).alias("hash"))
-        made = made.select("bundle", F.lit(at).alias("level"), "node", "endpoints", "hash")
-        # Read for this level and by the one above.
-        made = durable(made) if at else made
-        out = made if out is None else out.unionByName(made)
-        if at:
-            up = made.select("bundle", F.lit(at - 1).alias("level"), F.left("node", F.lit(at - 1)).alias("node"), F.concat("node", F.lit(":"), "hash").alias("part"), F.col("endpoints").alias("n"))
-            pending = below.unionByName(up)
-    if out is None:
-        return leaves.select("bundle", F.lit(0).alias("level"), F.lit("").alias("node"), F.lit(0).cast("long").alias("endpoints"), F.col("own").alias("hash"))
-    return out
+    return _tree(manifests).select("bundle", "level", "node", "endpoints", F.lower(F.hex("hash")).alias("hash"))
 
 
 def manifest_digests(manifests: DataFrame) -> DataFrame:
@@ -221,23 +272,14 @@ def manifest_digests(manifests: DataFrame) -> DataFrame:
 
     The digest is SHA-256 over the header, the number of endpoints and the root of their hash tree.
     """
-    roots = manifest_tree(manifests).filter("level = 0").select(F.col("bundle").alias("of"), "endpoints", "hash")
+    roots = _tree(manifests).filter("level = 0").select(F.col("bundle").alias("of"), "endpoints", "hash")
     headers = manifests.filter(F.col("label").isNull()).select("bundle", "document")
     count = F.coalesce("endpoints", F.lit(0).cast("long"))
-    text = F.concat_ws(":", "document", count.cast("string"), F.coalesce("hash", F.lit("")))
+    text = F.concat_ws(":", "document", count.cast("string"), F.coalesce(F.lower(F.hex("hash")), F.lit("")))
     joined = headers.join(roots, F.col("bundle") == F.col("of"), "left")
     return joined.select("bundle", count.alias("endpoints"), F.sha2(text.cast("binary"), 256).alias("digest"))
 
 
-def _differing(tree: DataFrame, other: DataFrame) -> DataFrame:
-    """``(of, leaf_level, leaf)``: leaves that the other tree has not, or has with another hash."""
-    top = tree.groupBy(F.col("bundle").alias("of")).agg(F.max("level").alias("leaf_level"))
-    leaves = tree.join(top, (F.col("bundle") == F.col("of")) & (F.col("level") == F.col("leaf_level")))
-    known = prefixed(other, other.columns, "_k_")
-    unequal = leaves.join(known, same([(F.col(c), F.col("_k_" + c)) for c in ("bundle", "level", "node", "hash")]), "left_anti")
-    return unequal.select("of", "leaf_level", F.col("node").alias("leaf"))
-
-
 def manifest_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """``(bundle, label, node, change)``: endpoints that are not the same in two versions, as ``added``, ``removed`` or ``changed``.
 
@@ -245,21 +287,25 @@ def manifest_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     only below leaves that differ, so equal subtrees cost a row for each leaf. A header is no endpoint, and what changes in
     it is not listed.
     """
-    before, after = (durable(manifest_tree(x)) for x in (old, new))
-
-    def suspects(manifests: DataFrame, differing: DataFrame) -> DataFrame:
-        differing = durable(differing)
-        levels = differing.select(F.col("of").alias("in"), F.col("leaf_level").alias("depth")).distinct()
+    # A node above leaves never has a leaf's hash, so leaves are compared with leaves.
+    before, after = (_tree(x).filter("leaf").select("bundle", "level", "node", "hash") for x in (old, new))
+    known = prefixed(after, after.columns, "_k_")
+    both = before.join(known, (F.col("bundle") == F.col("_k_bundle")) & (F.col("level") == F.col("_k_level")) & (F.col("node") == F.col("_k_node")), "full")
+    unequal = durable(both.filter(~F.col("hash").eqNullSafe(F.col("_k_hash"))).drop("hash", "_k_hash"))
+
+    def suspects(manifests: DataFrame, bundle: str, level: str, leaf: str) -> DataFrame:
+        differing = unequal.filter(F.col(bundle).isNotNull()).select(F.col(bundle).alias("of"), F.col(level).alias("depth"), F.col(leaf).alias("leaf"))
+        levels = differing.select(F.col("of").alias("in"), "depth").distinct()
         rows = manifests.filter(F.col("label").isNotNull()).join(levels, F.col("bundle") == F.col("in"))
         rows = rows.withColumn("node", F.expr("left(sha2(CAST(label AS BINARY), 256), depth)"))
         return rows.join(differing, (F.col("bundle") == F.col("of")) & (F.col("node") == F.col("leaf")), "left_semi").select("bundle", "label", "document", "node")
 
-    one = suspects(old, _differing(before, after))
-    two = prefixed(suspects(new, _differing(after, before)), one.columns, "_t_")
+    one = suspects(old, "bundle", "level", "node")
+    two = prefixed(suspects(new, "_k_bundle", "_k_level", "_k_node"), one.columns, "_t_")
     joined = one.join(two, (F.col("bundle") == F.col("_t_bundle")) & (F.col("label") == F.col("_t_label")), "full")
     change = F.when(F.col("label").isNull(), "added").when(F.col("_t_label").isNull(), "removed").otherwise("changed")
-    unequal = joined.filter(~F.col("document").eqNullSafe(F.col("_t_document")))
-    return unequal.select(F.coalesce("bundle", "_t_bundle").alias("bundle"), F.coalesce("label", "_t_label").alias("label"), F.coalesce("_t_node", "node").alias("node"), change.alias("change"))
+    unequal_rows = joined.filter(~F.col("document").eqNullSafe(F.col("_t_document")))
+    return unequal_rows.select(F.coalesce("bundle", "_t_bundle").alias("bundle"), F.coalesce("label", "_t_label").alias("label"), F.coalesce("_t_node", "node").alias("node"), change.alias("change"))
 
 
 def settings_manifest(resolved: DataFrame, full: bool) -> DataFrame:

@@ -551,7 +551,7 @@ def manifest_emit(spark: SparkSession, folder: str) -> DataFrame:
 
 def manifest_artifacts(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the manifests of orders."""
-    return manifest.manifest_digests(durable(manifest_emit(spark, folder)))
+    return manifest.manifest_digests(durable(manifest_emit(spark, folder), "zstd"))
 
 
 def _supplier_manifests(spark: SparkSession, folder: str, moved: bool = False) -> DataFrame:
@@ -572,7 +572,7 @@ def _supplier_manifests(spark: SparkSession, folder: str, moved: bool = False) -
         none.cast("long").alias("min_memory"), none.cast("long").alias("disk_space"), none.cast("array<string>").alias("roles"), none.cast("long").alias("check_delay_ms"),
         none.cast("array<string>").alias("checks"), F.col("s_name").alias("description"), F.array(F.lit("bin/run")).alias("start_command"),
     )
-    return durable(manifest.manifest_emit(manifest.resource_normalize(manifest.bundle_names(bundles)), endpoints))
+    return durable(manifest.manifest_emit(manifest.resource_normalize(manifest.bundle_names(bundles)), endpoints), "zstd")
 
 
 def manifest_files(spark: SparkSession, folder: str) -> DataFrame:
