@@ -110,6 +110,32 @@ def test_any_depth(spark, monkeypatch, depth):
     assert len(written) <= depth.bit_length() + 1 and all(w.count() <= 3 * depth for w in written)
 
 
+def test_a_round_writes_a_row_for_each_scope(spark, monkeypatch):
+    """Values stand beside their scope's pointer, and scopes at their root are not written again."""
+    written = []
+    monkeypatch.setattr(overlay, "durable", lambda df: written.append(durable(df)) or written[-1])
+    links = [(f"s{i}", f"s{i - 1}" if i else None, i > 0) for i in range(40)]
+    scopes = spark.createDataFrame(links, "scope string, parent string, is_config boolean")
+    settings = spark.createDataFrame([(f"s{i}", k, str(i)) for i in range(40) for k in "abc"], "scope string, key string, value string")
+    assert inherited_settings(settings, scopes).count() == 3 * 39
+    # All but the last are parents; a root, and what is found to point at one, are left out afterwards.
+    assert [w.count() for w in written] == [39, 38, 37, 35, 31, 23, 7]
+
+
+@pytest.mark.parametrize("most", [0, 64])
+def test_few_and_many_names(spark, monkeypatch, most):
+    """Rows by scope and rows by scope and key give the same, with a name and values that are null."""
+    monkeypatch.setattr(overlay, "ROW_NAMES", most)
+    scopes = spark.createDataFrame([("r", None, False), ("a", "r", True), ("b", "a", True), ("c", "b", True), ("d", "gone", True), ("e", "d", True)], "scope string, parent string, is_config boolean")
+    settings = spark.createDataFrame([("r", "k", "1"), ("a", "k", None), ("b", None, "2"), ("a", "m", "3"), ("r", "m", "4"), ("d", "k", "5")], "scope string, key string, value string")
+    got = {tuple(r) for r in resolve_settings(settings, scopes).collect()}
+    assert got == {
+        ("r", "k", "1", None), ("r", "m", "4", None), ("a", "k", None, "a"), ("a", "m", "3", "a"), ("b", "k", None, "a"), ("b", "m", "3", "a"), ("b", None, "2", "b"),
+        ("c", "k", None, "a"), ("c", "m", "3", "a"), ("c", None, "2", "b"), ("d", "k", "5", "d"), ("e", "k", "5", "d"),
+    }
+    assert resolve_settings(settings.limit(0), scopes).count() == 0
+
+
 def test_one_setting_twice(spark):
     scopes = spark.createDataFrame([("s", None, True)], "scope string, parent string, is_config boolean")
     settings = spark.createDataFrame([("s", "k", "b", 1), ("s", "k", "a", 2)], "scope string, key string, value string, seq int")
