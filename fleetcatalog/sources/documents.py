@@ -6,14 +6,18 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import batched, groupby
+from json.encoder import encode_basestring
 
-from pyarrow import fs
+from pyarrow import RecordBatch, fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+# Endpoints that are written to a file at once.
+AT_ONCE = 1000
+
 # Folder below the target in which tasks write before their files get their names.
 UNFINISHED = "_unfinished"
 
@@ -39,7 +43,7 @@ def _head(document: str, bundle: str) -> tuple[str, str]:
 
 
 class ManifestWriter(DataSourceWriter):
-    """Each task writes its bundles one after the other, row by row, to a folder of its own; the driver gives the files their names.
+    """Each task writes its bundles one after the other, some endpoints at once, to a folder of its own; the driver gives the files their names.
 
     A name has the digest in it, so a task that is run again, or a job, writes the same files, and a file
     that is there already is the same.
@@ -52,18 +56,23 @@ class ManifestWriter(DataSourceWriter):
         return fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
 
     def write(self, rows: Iterator[Row]) -> Written:
+        return self._write((r["artifact"], r["bundle"], r["label"], r["document"]) for r in rows)
+
+    def _write(self, rows: Iterator[tuple[str, str, str | None, str]]) -> Written:
         store, base = self._place()
         folder, names = f"{base}/{UNFINISHED}/{uuid.uuid4().hex}", []
         store.create_dir(folder, recursive=True)
-        for (artifact, bundle), parts in groupby(rows, key=lambda r: (r["artifact"], r["bundle"])):
-            first = next(parts)
-            if first["label"] is not None:
+        for (artifact, bundle), parts in groupby(rows, key=lambda r: r[:2]):
+            _, _, label, document = next(parts)
+            if label is not None:
                 raise ValueError(f"{bundle} has no header, or its rows are not in order")
-            head, tail = _head(first["document"], bundle)
+            head, tail = _head(document, bundle)
             with store.open_output_stream(f"{folder}/{artifact}") as out:
                 out.write(head.encode())
-                for k, row in enumerate(parts):
-                    out.write((("," if k else "") + json.dumps(row["label"], ensure_ascii=False) + ":" + row["document"]).encode())
+                comma = ""
+                for some in batched((f"{encode_basestring(label)}:{document}" for _, _, label, document in parts), AT_ONCE):
+                    out.write((comma + ",".join(some)).encode())
+                    comma = ","
                 out.write(tail.encode())
             names.append(artifact)
         return Written(folder, names)
@@ -83,6 +92,14 @@ class ManifestWriter(DataSourceWriter):
             store.delete_dir(f"{base}/{UNFINISHED}")
 
 
+class BatchWriter(ManifestWriter, DataSourceArrowWriter):
+    """The same from Arrow batches, without a ``Row`` for each endpoint."""
+
+    def write(self, batches: Iterator[RecordBatch]) -> Written:
+        columns = ("artifact", "bundle", "label", "document")
+        return self._write(row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in columns)))
+
+
 class ManifestFiles(DataSource):
     """``df.write.format("manifest-files")``; the rows are those that :func:`write_documents` puts in order."""
 
@@ -91,7 +108,7 @@ class ManifestFiles(DataSource):
         return "manifest-files"
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return ManifestWriter(self.options["path"])
+        return BatchWriter(self.options["path"])
 
 
 def write_documents(manifests: DataFrame, artifacts: DataFrame, path: str) -> None:

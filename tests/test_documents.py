@@ -3,10 +3,11 @@ import os
 
 import pytest
 from fixtures import BASIC, BUNDLE, ENDPOINT, bundle
+from pyarrow import RecordBatch
 from pyspark.sql import Row
 
 from fleetcatalog.operators.manifest import bundle_names, manifest_digests, manifest_emit, resource_normalize
-from fleetcatalog.sources.documents import UNFINISHED, ManifestWriter, read_documents, write_documents
+from fleetcatalog.sources.documents import UNFINISHED, ManifestFiles, ManifestWriter, read_documents, write_documents
 
 
 @pytest.fixture
@@ -63,3 +64,13 @@ def test_a_task_that_fails_once(tmp_path):
 def test_rows_without_a_header(tmp_path):
     with pytest.raises(ValueError, match="no header"):
         ManifestWriter(str(tmp_path)).write(iter([part("one")]))
+
+
+def test_batches_are_written_without_rows(tmp_path):
+    """Bundles that go on from one batch into the next, and more endpoints than are written at once."""
+    parts = [part(None, '{"name":"b","components":{"b":{}}}'), *[part(f'l"{i}', str(i)) for i in range(2500)], part(None, '{"name":"c","components":{"c":{}}}', "c"), part("x", "1", "c")]
+    batches = [RecordBatch.from_pylist([r.asDict() for r in parts[k : k + 700]]) for k in range(0, len(parts), 700)]
+    writer = ManifestFiles({"path": str(tmp_path)}).writer(None, False)
+    writer.commit([writer.write(iter(batches))])
+    assert json.loads((tmp_path / "b.json").read_text()) == {"name": "b", "components": {"b": {"endpoints": {f'l"{i}': i for i in range(2500)}}}}
+    assert json.loads((tmp_path / "c.json").read_text())["components"]["c"]["endpoints"] == {"x": 1}
