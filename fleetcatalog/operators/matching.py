@@ -3,7 +3,7 @@
 A prefix test as a join condition has no key to shuffle by. Instead the longer text is turned
 into its own prefixes, of the lengths that occur on the other side, and joined by equality.
 
-A regex without a plain beginning has no such prefix. It is looked up by a text of three characters
+A regex without a plain beginning has no such prefix. It is looked up by a text of three or six characters
 that any match must contain: of all that it has, the one that is in the fewest paths.
 
 Short names are counted by rank, in one order of names and prefixes.
@@ -11,6 +11,8 @@ Short names are counted by rank, in one order of names and prefixes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,8 @@ GROUP_DEPTH = 4
 # partition that their hashes fill all alike.
 SHORT, BUCKETS_EACH = 1, 16
 
-# Characters of a text that a regex is looked up by.
-GRAM = 3
+# Characters of a text that a regex is looked up by; the longer ones, where it has any, are in far fewer paths.
+GRAM, LONG_GRAM = 3, 6
 
 # What stands in a regex for more or less than itself, in the order in which it is taken out.
 ESCAPES = r"(?s)\\(?:x\{[^}]*\}|x..|u....|[pPN]\{[^}]*\}|[pP].|k<[^>]*>|c.|0[0-7]{1,3}|[1-9][0-9]*|.)"
@@ -50,13 +52,17 @@ REPEATED = r"(?s)(.)\+[+?]?"
 ANY = r"[\^$.]"
 
 
-def _grams(text: Column) -> Column:
-    """All runs of ``GRAM`` characters of a text, each once."""
-    starts = F.when(F.length(text) >= GRAM, F.sequence(F.lit(1), F.length(text) - (GRAM - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(GRAM))))
+def _grams(text: Column, size: int = GRAM) -> Column:
+    """All runs of ``size`` characters of a text, each once."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))))
+
+
+def _all_grams(text: Column) -> Column:
+    return F.concat(_grams(text), _grams(text, LONG_GRAM))
 
 
-def required_grams(pattern: Column) -> Column:
+def required_grams(pattern: Column, of: Callable[[Column], Column] = _grams) -> Column:
     """For each alternative of a regex the grams that all its matches contain; null if one has none, or it can't be told.
 
     All that is no plain text is taken out and cuts what is around it: escapes, classes, groups,
@@ -70,7 +76,7 @@ def required_grams(pattern: Column) -> Column:
     unclear = left.rlike(r"[()\[\]]") | pattern.rlike(r"\(\?[a-zA-Z-]") | F.contains(pattern, F.lit(r"\Q"))
     left = F.regexp_replace(F.regexp_replace(left, OPTIONAL, "\n"), REPEATED, "$1\n")
     runs = F.transform(F.split(F.regexp_replace(left, ANY, "\n"), r"\|"), lambda alternative: F.split(alternative, "\n"))
-    grams = F.transform(runs, lambda run: F.array_distinct(F.flatten(F.transform(run, lambda text: _grams(text)))))
+    grams = F.transform(runs, lambda run: F.array_distinct(F.flatten(F.transform(run, lambda text: of(text)))))
     return F.when(~unclear & F.forall(grams, lambda g: F.size(g) > 0), grams)
 
 
@@ -112,9 +118,10 @@ def regex_candidates(paths: DataFrame, rules: DataFrame) -> DataFrame:
     Sides that are made of exploded grams are far larger than the files they are read from, by which the
     planner would broadcast them through the driver, so they are merged instead.
     """
-    numbered = durable(rules.withColumn("_rule", F.monotonically_increasing_id()))
+    longer = required_grams(F.col("value"), _all_grams)
+    numbered = durable(rules.withColumns({"_rule": F.monotonically_increasing_id(), "grams": F.coalesce(longer, "grams")}))
     asked = numbered.select("_rule", F.posexplode("grams").alias("_alternative", "_grams")).select("_rule", "_alternative", F.explode("_grams").alias("_gram"))
-    held = paths.select("path", "method", F.explode(_grams(F.col("path"))).alias("_gram"))
+    held = paths.select("path", "method", F.explode(_all_grams(F.col("path"))).alias("_gram"))
     # Grams are counted before they are shuffled.
     counts = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     counted = asked.join(counts.hint("merge"), "_gram", "left").withColumn("_n", F.coalesce("_n", F.lit(0).cast("long")))
@@ -169,7 +176,8 @@ def _pairs(paths: DataFrame, rules: DataFrame) -> DataFrame:
     allowed = F.col("rule_method").isNull() | (F.col("rule_method") == F.col("method"))
     heads = heads.withColumn("bucket", F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(_bucket(F.col("key"), F.col("path"), buckets)))
     keyed = keyed.withColumn("bucket", F.explode(spread.cast("array<bigint>")))
-    found = heads.join(keyed, ["whole", "key", "bucket"]).filter(fits & allowed).select(*PAIR)
+    # Both sides are exploded, so neither is broadcast (see ``regex_candidates``).
+    found = heads.join(keyed.hint("merge"), ["whole", "key", "bucket"]).filter(fits & allowed).select(*PAIR)
     if by_gram.isEmpty():
         return found
     return found.unionByName(regex_candidates(paths, by_gram).filter(fits & allowed).select(*PAIR))

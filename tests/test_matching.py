@@ -5,7 +5,7 @@ import pytest
 from fixtures import rows
 from pyspark.sql import functions as F
 
-from fleetcatalog.operators.matching import _match_key, name_resolve, port_match, regex_candidates, required_grams, route_match, route_matches
+from fleetcatalog.operators.matching import _match_key, _pairs, name_resolve, port_match, regex_candidates, required_grams, route_match, route_matches
 
 RULES = [
     ("exact", 2, "path", "/a/b", None, "/z"),
@@ -194,6 +194,17 @@ def test_exploded_grams_are_not_broadcast(spark):
     """However small the files of rules and paths look, their grams are not sent through the driver."""
     rules = spark.range(50).select(F.concat(F.lit(".*/item-"), "id", F.lit("$")).alias("value")).withColumn("grams", required_grams(F.col("value")))
     paths = spark.range(50).select(F.concat(F.lit("/shop/item-"), "id").alias("path"), F.lit("GET").alias("method"))
+    whole = spark.createDataFrame([r for r in RULES if r[2] != "port"], RULE)
+    assert "Broadcast" not in _pairs(paths, whole)._jdf.queryExecution().executedPlan().toString()
     pairs = regex_candidates(paths, rules)
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
     assert pairs.filter(F.rlike("path", F.col("value"))).count() == 50
+
+
+def test_long_grams_leave_hardly_any_pairs(spark):
+    """Numbers of which all three digits in a row are frequent."""
+    digits = F.lpad((F.col("id") * 7919 % 100_000).cast("string"), 5, "0")
+    rules = spark.range(2000).select(F.concat(F.lit(".*#"), digits, F.lit("/x$")).alias("value")).withColumn("grams", required_grams(F.col("value")))
+    paths = spark.range(2000).select(F.concat(F.lit("/shop#"), digits, F.lit("/x")).alias("path"), F.lit("GET").alias("method"))
+    pairs = regex_candidates(paths, rules)
+    assert pairs.filter(F.rlike("path", F.col("value"))).count() == 2000 and pairs.count() < 4000
