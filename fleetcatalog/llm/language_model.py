@@ -8,9 +8,10 @@ each word. All adds up to 1 over known words and one unknown word a class.
 
 The corpus is tokenised once, into blocks with their own list of distinct words. Counts of all words are summed
 in buckets of words: a block sends each bucket one row with all its words there, and gets the sums back in that
-order, so that no table of words is ever broadcast. What a score owes to the classes needs no sums of others and is
-found before the blocks are shuffled to meet them, so that only the tokens are. Each training block takes part in one round of gradient updates: every task goes on from the weights of the
-last round, and the changes are averaged feature by feature.
+order, so that no table of words is ever broadcast. What a score owes to the classes needs no sums of other blocks
+and is found before the blocks are shuffled to meet them, so that their words need not be sent again.
+Each training block takes part in one round of gradient updates: every task goes on from the weights of the last
+round, and the changes are averaged feature by feature.
 """
 
 from __future__ import annotations
